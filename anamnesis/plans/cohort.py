@@ -162,8 +162,9 @@ def attach_predictions(spark, sf_dir):
 
 ALL_IDS_SQL = """all_ids AS (
   SELECT CAST(subject_id AS VARCHAR) || '_' ||
-         CAST(row_number() OVER (PARTITION BY subject_id ORDER BY endtime, label) - 1 AS VARCHAR) AS sample_id
-  FROM cohort),
+         CAST(row_number() OVER (PARTITION BY subject_id ORDER BY prediction_time, boolean_value NULLS FIRST) - 1
+              AS VARCHAR) AS sample_id
+  FROM (SELECT DISTINCT * FROM raw_cohort)),
 data_ids AS (SELECT DISTINCT sample_id FROM joined)"""
 
 
@@ -175,20 +176,23 @@ UNION ALL
 SELECT sample_id, 'cohort' FROM all_ids WHERE sample_id NOT IN (SELECT sample_id FROM data_ids)""",
 )
 def check_id_sets(spark, sf_dir):
+    """Ids of the built samples against ids counted over all predictions, labelled or not."""
     _, index, hot = histories(spark, sf_dir)
-    return P.check_id_sets(index, C.number_samples(X.cohort(spark, sf_dir), hot))
+    everyone = C.project_cohort(X.raw_cohort(spark, sf_dir)).distinct()
+    return P.check_id_sets(index, C.number_samples(everyone, hot))
 
 
 @query(
     "id_set_equality",
-    "WITH " + X.KEPT_SQL + ",\n" + X.COHORT_SQL + """
-SELECT subject_id, 'left' AS side FROM (SELECT subject_id FROM kept EXCEPT SELECT subject_id FROM cohort)
+    "WITH " + X.KEPT_SQL + ",\n" + X.COHORT_SQL + """,
+positive AS (SELECT DISTINCT subject_id FROM cohort WHERE label)
+SELECT subject_id, 'left' AS side FROM (SELECT subject_id FROM kept EXCEPT SELECT subject_id FROM positive)
 UNION ALL
-SELECT subject_id, 'right' FROM (SELECT subject_id FROM cohort EXCEPT SELECT subject_id FROM kept)""",
+SELECT subject_id, 'right' FROM (SELECT subject_id FROM positive EXCEPT SELECT subject_id FROM kept)""",
 )
 def id_set_equality(spark, sf_dir):
     events = C.subject_ids(X.kept(spark, sf_dir))
-    return P.id_set_difference(events, C.subject_ids(X.cohort(spark, sf_dir)))
+    return P.id_set_difference(events, C.subject_ids(X.cohort(spark, sf_dir).where("label")))
 
 
 @query(
