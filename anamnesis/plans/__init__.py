@@ -1,3 +1,3 @@
 """Registered queries over the given tables, each with its SQL counterpart."""
 
-from anamnesis.plans import cohort, scores, sequence, tokens  # noqa: F401
+from anamnesis.plans import cohort, scores, sequence, sources, tokens, vectors  # noqa: F401

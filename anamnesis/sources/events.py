@@ -16,7 +16,7 @@ STAY_SCHEMA = "stay_id BIGINT, split_2020 STRING, time STRING, hi_start STRING"
 def _read(spark: SparkSession, path: str, kind: str, schema: str | None, **options) -> DataFrame:
     reader = spark.read.options(**options)
     if kind == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", "\"")
         if schema is None:
             reader = reader.option("inferSchema", True)
     if schema is not None:
