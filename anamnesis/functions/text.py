@@ -106,10 +106,10 @@ class EventField:
 
     def __init__(self, name: str, dtype: T.DataType, verbatim: bool) -> None:
         self.name = name
+        self.present = F.col(f"`{name}`").isNotNull()
         text = plain_text(name, dtype)
         if not verbatim and isinstance(dtype, T.StringType):
             text = round_decimals(text)
-        self.value = text
         self.text = text if verbatim else space_digits(text)
         self.tokens = _tagged(words(text), S.TYPE_VALUE) if verbatim else value_tokens(text)
 
@@ -135,7 +135,7 @@ def event_fields(
 def event_text(fields: Sequence[EventField]) -> Column:
     """``name value`` of every field that is not null, joined by one space; null if all are."""
     text = F.concat_ws(
-        " ", *[F.when(f.text.isNotNull(), F.concat(F.lit(f.name + " "), f.text)) for f in fields]
+        " ", *[F.when(f.present, F.concat(F.lit(f.name + " "), f.text)) for f in fields]
     )
     return F.nullif(text, F.lit(""))
 
@@ -147,7 +147,7 @@ def event_tokens(fields: Sequence[EventField], max_tokens: int = S.MAX_EVENT_TOK
         *[
             F.coalesce(
                 F.when(
-                    f.value.isNotNull(),
+                    f.present,
                     F.concat(_tagged(words(F.lit(f.name)), S.TYPE_NAME), f.tokens),
                 ),
                 no_tokens,

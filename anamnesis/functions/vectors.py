@@ -28,10 +28,6 @@ def cosine_score(vector: Column, query: Sequence[float]) -> Column:
     return (cosine + 1) / 2
 
 
-def add(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: a.cast("double") + b.cast("double"))
-
-
 def text_of(vector: Column, places: int = 6) -> Column:
     """Comma-joined, rounded values."""
     rounded = F.transform(vector, lambda x: fixed(x.cast("double"), places))

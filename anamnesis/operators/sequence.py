@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from anamnesis import settings as S
 from anamnesis.functions.arrays import next_multiple, next_power_of_two, pad_left, pad_right
 from anamnesis.operators.cohort import row_in_window
-from anamnesis.operators.skew import attach, running
+from anamnesis.operators.skew import HotGroups, attach, running
 
 
 def place_events(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -98,14 +98,18 @@ def reassemble_chunks(pieces: DataFrame, expected: DataFrame, key: str, max_len:
 
 
 def token_event_time(
-    tokens: DataFrame, times: DataFrame, key: str, order: Sequence[str]
+    tokens: DataFrame,
+    times: DataFrame,
+    key: str,
+    order: Sequence[str],
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Time of each token of a flat stream: its event is the count of SEPs before it.
 
     ``times`` is ``(key, event_no, time_min)``.
     """
     sep = (F.col("type_id") == S.TYPE_SEP).cast("bigint")
-    numbered = running(tokens, [key], order, {"event_no": ("sum", sep, False)})
+    numbered = running(tokens, [key], order, {"event_no": ("sum", sep, False)}, hot)
     return numbered.join(times, [key, "event_no"])
 
 

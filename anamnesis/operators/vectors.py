@@ -6,42 +6,49 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
-from anamnesis.functions.vectors import add
 
 
 def _lookup(table: DataFrame, id_column: str, vector: str, size: int) -> DataFrame:
-    """An embedding table with no more rows than its fixed size, which bounds the broadcast."""
-    bounded = table.where(F.col(id_column).between(0, size - 1))
-    return F.broadcast(bounded.select(id_column, F.col("embedding").alias(vector)))
+    """An embedding table with no more rows than its fixed size, which bounds the broadcast.
+
+    Id 0 is padding and adds nothing.
+    """
+    bounded = table.where(F.col(id_column).between(1, size - 1))
+    return F.broadcast(
+        bounded.select(id_column, F.col("embedding").cast("array<double>").alias(vector))
+    )
+
+
+def _add_known(left: Column, right: Column) -> Column:
+    return F.coalesce(F.zip_with(left, right, lambda a, b: a + b), left, right)
 
 
 def token_embedding_lookup(
-    tokens: DataFrame, token_table: DataFrame, type_table: DataFrame, place_table: DataFrame
+    tokens: DataFrame,
+    token_table: DataFrame,
+    type_table: DataFrame,
+    place_table: DataFrame,
+    dim: int,
 ) -> DataFrame:
-    """Add ``vector``: the sum of token, type and digit-place vectors.
-
-    Id 0 is padding in all three tables and adds nothing.
-    """
+    """Add ``vector``: the sum of token, type and digit-place vectors."""
     joined = (
         tokens.join(_lookup(token_table, "token_id", "__a", S.VOCABULARY_SIZE), "token_id", "left")
         .join(_lookup(type_table, "type_id", "__b", S.NUM_TYPES), "type_id", "left")
         .join(_lookup(place_table, "dpe_id", "__c", S.NUM_PLACES), "dpe_id", "left")
     )
-    zero = F.transform(F.coalesce("__a", "__b", "__c"), lambda x: F.lit(0.0))
-
-    def part(vector: str, id_column: str):
-        known = F.when(F.col(id_column) != 0, F.col(vector))
-        return F.coalesce(known.cast("array<double>"), zero)
-
-    total = add(add(part("__a", "token_id"), part("__b", "type_id")), part("__c", "dpe_id"))
-    return joined.withColumn("vector", total).drop("__a", "__b", "__c")
+    total = _add_known(_add_known(F.col("__a"), F.col("__b")), F.col("__c"))
+    nothing = F.array_repeat(F.lit(0.0), dim)
+    return joined.withColumn("vector", F.coalesce(total, nothing)).drop("__a", "__b", "__c")
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str, skip_zero: bool = True) -> DataFrame:
@@ -58,16 +65,83 @@ def first_pool(df: DataFrame, keys: Sequence[str], vector: str, order: str) -> D
     return df.groupBy(*keys).agg(F.min_by(vector, order).alias("pooled"))
 
 
+def _matrix(table: DataFrame, id_column: str, size: int, dim: int) -> np.ndarray:
+    """An embedding table as a matrix by id; at most ``size`` rows are read."""
+    bounded = table.where(F.col(id_column).between(1, size - 1)).select(id_column, "embedding")
+    rows = bounded.toArrow()
+    matrix = np.zeros((size, dim), dtype=np.float32)
+    if rows.num_rows:
+        vectors = rows.column("embedding").combine_chunks().flatten().to_numpy()
+        matrix[rows.column(id_column).to_numpy()] = vectors.reshape(rows.num_rows, dim)
+    return matrix
+
+
+def _word_ids(vocabulary: DataFrame, size: int) -> tuple[pa.Array, np.ndarray]:
+    rows = vocabulary.where(F.col("token_id") < size).select("token", "token_id").toArrow()
+    words = list(S.SPECIAL_TOKEN_IDS) + rows.column("token").to_pylist()
+    ids = list(S.SPECIAL_TOKEN_IDS.values()) + rows.column("token_id").to_pylist()
+    return pa.array(words, pa.string()), np.array(ids)
+
+
+VALUES_AT_ONCE = 4_000_000
+
+
 def event_vectors(
-    tokens: DataFrame,
-    keys: Sequence[str],
+    events: DataFrame,
+    vocabulary: DataFrame,
     token_table: DataFrame,
     type_table: DataFrame,
     place_table: DataFrame,
+    dim: int,
+    size: int = S.VOCABULARY_SIZE,
+    tokens_column: str = "tokens",
 ) -> DataFrame:
-    """One vector per event: the mean of the vectors of its tokens."""
-    looked_up = token_embedding_lookup(tokens, token_table, type_table, place_table)
-    return mean_pool(looked_up, keys, "vector", skip_zero=False).withColumnRenamed("pooled", "repr")
+    """Turn the ``tokens`` of each event into ``repr``: the mean of the vectors of its tokens.
+
+    The tables have fixed sizes (vocabulary, types, places) and are sent to the executors
+    once. Tokens stay nested, so neither tokens nor vectors are shuffled.
+    """
+    words, ids = _word_ids(vocabulary, size)
+    shared = events.sparkSession.sparkContext.broadcast(
+        (
+            words,
+            ids,
+            _matrix(token_table, "token_id", size, dim),
+            _matrix(type_table, "type_id", S.NUM_TYPES, dim),
+            _matrix(place_table, "dpe_id", S.NUM_PLACES, dim),
+        )
+    )
+
+    def means(tokens: pa.ListArray) -> np.ndarray:
+        words, ids, by_token, by_type, by_place = shared.value
+        flat = tokens.flatten()
+        found = pc.fill_null(pc.index_in(flat.field("token"), value_set=words), -1).to_numpy()
+        token_ids = np.where(found >= 0, ids[found], S.SPECIAL_TOKEN_IDS[S.TOKEN_UNK])
+        vectors = by_token[token_ids].astype(np.float64)
+        vectors += by_type[flat.field("type_id").to_numpy()]
+        vectors += by_place[flat.field("dpe_id").to_numpy()]
+        lengths = pc.list_value_length(tokens).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        return np.add.reduceat(vectors, starts, axis=0) / lengths[:, None]
+
+    kept = [c for c in events.columns if c != tokens_column]
+    schema = T.StructType(
+        [events.schema[c] for c in kept] + [T.StructField("repr", T.ArrayType(T.DoubleType()))]
+    )
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, VALUES_AT_ONCE // (dim * S.MAX_EVENT_TOKENS))
+        for batch in batches:
+            tokens = batch.column(tokens_column)
+            parts = [means(tokens.slice(i, step)) for i in range(0, len(tokens), step)]
+            flat = np.concatenate(parts).reshape(-1) if parts else np.zeros(0)
+            offsets = pa.array(np.arange(len(tokens) + 1) * dim, pa.int32())
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), vectors], names=[*kept, "repr"]
+            )
+
+    return events.mapInArrow(encode, schema)
 
 
 def encode_with(

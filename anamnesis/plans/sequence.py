@@ -9,6 +9,7 @@ from anamnesis.functions.time import time_features as features
 from anamnesis.functions.vectors import text_of
 from anamnesis.operators import cohort as C
 from anamnesis.operators import sequence as Q
+from anamnesis.operators.skew import find_hot, hot_rows
 from anamnesis.plans import fixtures as X
 from anamnesis.plans import tokens as TP
 from anamnesis.registry import register_operator as query
@@ -112,12 +113,16 @@ FROM token_rows r JOIN times t ON r.event_id = t.event_id""",
 )
 def token_event_time(spark, sf_dir):
     """The time of a token is found from the separators before it, not from its event id."""
-    events = subject_events(spark, sf_dir)
-    tokens = TP.event_token_rows(spark, sf_dir).withColumn("pos", F.col("pos").cast("bigint"))
-    stream = tokens.join(events.select("event_id", "event_idx"), "event_id")
-    times = events.select("subject_id", F.col("event_idx").alias("event_no"), "time_min")
-    timed = Q.token_event_time(stream, times, "subject_id", ["event_idx", "pos"])
-    return timed.select("event_id", "pos", "type_id", "time_min")
+    kept = X.kept(spark, sf_dir)
+    # The events stand for their tokens in the size check; an event has some 32 of them.
+    hot = find_hot(kept, ["subject_id"], hot_rows(spark) // 32)
+    placed = C.order_events(kept, X.TIE, hot)
+    events = TP.K.tokenize(placed, (*TP.NOT_FIELDS_OR_IDS, "event_idx", "time_min"))
+    stream = TP.K.token_rows(events, ["subject_id", "event_id", "event_idx"])
+    times = placed.select("subject_id", F.col("event_idx").alias("event_no"), F.col("time_min").cast("bigint").alias("time_min")
+    )
+    timed = Q.token_event_time(stream, times, "subject_id", ["event_idx", "pos"], hot)
+    return timed.select("event_id", F.col("pos").cast("bigint").alias("pos"), "type_id", "time_min")
 
 
 @query(
@@ -162,7 +167,7 @@ ranked AS (
 SELECT subject_id, event_id, CAST(pos AS BIGINT) AS pos, token FROM ranked WHERE r <= 492""",
 )
 def cap_tokens_by_chunks(spark, sf_dir):
-    events = TP.K.tokenize(X.kept(spark, sf_dir), TP.NOT_FIELDS_OR_IDS)
+    events = TP.tokenized(spark, sf_dir, TP.NOT_FIELDS_OR_IDS)
     rows = TP.K.token_rows(events, ["subject_id", "time", "event_id"])
     latest_first = [F.desc("time"), F.desc("event_id"), F.desc("pos")]
     capped = Q.cap_tokens_by_chunks(rows, "subject_id", latest_first, chunks=1)

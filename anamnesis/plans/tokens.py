@@ -8,13 +8,18 @@ from anamnesis.functions import text as T
 from anamnesis.operators import tokens as K
 from anamnesis.plans import fixtures as X
 from anamnesis.registry import register_operator as query
+from anamnesis.sources.workspace import spread
 
 NOT_FIELDS = ("subject_id", "time")
 NOT_FIELDS_OR_IDS = (*NOT_FIELDS, "event_id")
 
 
 def document_text(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(X.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def tokenized(spark, sf_dir, not_fields=NOT_FIELDS):
+    return K.tokenize(spread(X.kept(spark, sf_dir)), not_fields)
 
 
 # --- SQL building blocks -----------------------------------------------------------------
@@ -112,8 +117,7 @@ def joined_text_sql(field: str) -> str:
 
 def event_token_rows(spark, sf_dir):
     """Token rows of the events (without their id column)."""
-    events = K.tokenize(X.kept(spark, sf_dir), NOT_FIELDS_OR_IDS)
-    return K.token_rows(events, ["subject_id", "event_id"])
+    return K.token_rows(tokenized(spark, sf_dir, NOT_FIELDS_OR_IDS), ["subject_id", "event_id"])
 
 
 def event_token_ids(spark, sf_dir):
@@ -193,7 +197,7 @@ def digit_place_ids(spark, sf_dir):
     items = X.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price")
     )
-    prices = orders.unionByName(items).withColumn("price", T.decimal_text(F.col("price")))
+    prices = spread(orders.unionByName(items)).withColumn("price", T.decimal_text(F.col("price")))
     places = F.array_join(T.digit_place_ids(F.col("price")).cast("array<string>"), ",")
     return prices.withColumn("places", places)
 
@@ -204,7 +208,7 @@ def digit_place_ids(spark, sf_dir):
 SELECT event_id, {joined_text_sql('type_id')} AS type_ids, {joined_text_sql('dpe_id')} AS dpe_ids FROM tokenized""",
 )
 def token_type_ids(spark, sf_dir):
-    events = K.tokenize(X.kept(spark, sf_dir), NOT_FIELDS)
+    events = tokenized(spark, sf_dir)
     return events.select(
         "event_id",
         joined_text("tokens", "type_id").alias("type_ids"),
@@ -217,7 +221,7 @@ def token_type_ids(spark, sf_dir):
     "WITH " + tokens_sql(True) + f" SELECT event_id, {joined_text_sql('token')} AS tokens FROM tokenized",
 )
 def tokenize_events(spark, sf_dir):
-    events = K.tokenize(X.kept(spark, sf_dir), NOT_FIELDS)
+    events = tokenized(spark, sf_dir)
     return events.select("event_id", joined_text("tokens", "token").alias("tokens"))
 
 
@@ -249,7 +253,7 @@ SELECT event_id, CAST(128 AS BIGINT) AS n,
        {joined_text_sql('token')} || repeat(' [PAD]', 128 - CAST(len(tokens) AS INTEGER)) AS tokens FROM tokenized""",
 )
 def pad_events(spark, sf_dir):
-    events = K.tokenize(X.kept(spark, sf_dir), NOT_FIELDS)
+    events = tokenized(spark, sf_dir)
     padded = events.withColumn("tokens", T.pad_event(F.col("tokens")))
     return padded.select(
         "event_id", F.size("tokens").cast("bigint").alias("n"), joined_text("tokens", "token").alias("tokens")
@@ -277,7 +281,7 @@ def truncate_tokens(spark, sf_dir):
 SELECT code, count(*) AS n_events, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM tokenized GROUP BY code""",
 )
 def event_token_count(spark, sf_dir):
-    events = K.tokenize(X.kept(spark, sf_dir), NOT_FIELDS)
+    events = tokenized(spark, sf_dir)
     return events.groupBy("code").agg(
         F.count(F.lit(1)).alias("n_events"), F.sum(F.size("tokens")).alias("n_tokens")
     )

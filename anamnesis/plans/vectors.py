@@ -324,26 +324,27 @@ summed AS (
     "token_embedding_lookup",
     "WITH " + LOOKUP_SQL + """
 SELECT event_id, CAST(pos AS BIGINT) AS pos, round(list_sum(vector), 6) AS total,
-       round(list_dot_product(vector, vector), 6) AS square, round(vector[1], 6) AS first, round(vector[64], 6) AS last
+       round(vector[1], 6) AS first, round(vector[64], 6) AS last
 FROM summed""",
 )
 def token_embedding_lookup(spark, sf_dir):
     tables = embedding_tables(spark, sf_dir)
-    rows = E.token_embedding_lookup(TP.event_token_ids(spark, sf_dir), *tables)
+    rows = E.token_embedding_lookup(TP.event_token_ids(spark, sf_dir), *tables, X.DIM)
     vector = F.col("vector")
     return rows.select(
         "event_id",
         F.col("pos").cast("bigint").alias("pos"),
         F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-        F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"),
         F.round(vector[0], 6).alias("first"),
         F.round(F.element_at(vector, -1), 6).alias("last"),
     )
 
 
-def vectors_of_events(spark, sf_dir):
-    rows = TP.event_token_ids(spark, sf_dir)
-    return E.event_vectors(rows, ["subject_id", "event_id"], *embedding_tables(spark, sf_dir))
+def encoder(spark, sf_dir):
+    """Events with tokens to events with vectors; the vocabulary is that of all events."""
+    vocabulary = TP.K.build_vocabulary(TP.event_token_rows(spark, sf_dir))
+    tables = embedding_tables(spark, sf_dir)
+    return lambda events: E.event_vectors(events, vocabulary, *tables, X.DIM)
 
 
 EVENT_VECTORS_SQL = LOOKUP_SQL + ",\nevent_vectors AS " + mean_sql("summed", "subject_id, event_id", "vector")
@@ -351,10 +352,20 @@ EVENT_VECTORS_SQL = LOOKUP_SQL + ",\nevent_vectors AS " + mean_sql("summed", "su
 
 @query(
     "event_vectors",
-    "WITH " + EVENT_VECTORS_SQL + f" SELECT event_id, {text_sql('pooled')} AS repr FROM event_vectors",
+    "WITH " + EVENT_VECTORS_SQL + """
+SELECT event_id, round(list_sum(pooled), 6) AS total, round(pooled[1], 6) AS first, round(pooled[64], 6) AS last
+FROM event_vectors""",
 )
 def event_vectors(spark, sf_dir):
-    return vectors_of_events(spark, sf_dir).select("event_id", text_of(F.col("repr")).alias("repr"))
+    events = TP.tokenized(spark, sf_dir, TP.NOT_FIELDS_OR_IDS)
+    encoded = encoder(spark, sf_dir)(events.select("event_id", "tokens"))
+    vector = F.col("repr")
+    return encoded.select(
+        "event_id",
+        F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.round(vector[0], 6).alias("first"),
+        F.round(F.element_at(vector, -1), 6).alias("last"),
+    )
 
 
 @query(
@@ -396,14 +407,6 @@ def history_topk(spark, sf_dir):
     return best.select("sample_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-def token_vectors(spark, sf_dir):
-    """Events with their place and vector."""
-    events, samples, _ = histories(spark, sf_dir)
-    vectors = vectors_of_events(spark, sf_dir)
-    placed = events.select("subject_id", "event_id", "event_idx", "time_min")
-    return placed.join(vectors, ["subject_id", "event_id"]), samples
-
-
 PREDICT_SQL = TP.IDS_SQL.replace(X.KEPT_SQL, X.JOINED_SQL) + ",\n" + LOOKUP_SQL[len(TP.IDS_SQL) + 2 :] + ",\nevent_vectors AS " + mean_sql(
     "summed", "subject_id, event_id", "vector"
 ) + ",\n" + QUERY_SQL + f""",
@@ -428,16 +431,20 @@ FROM filled, head"""
 def predict_cohort(spark, sf_dir):
     """Tokens to event vectors, scores, the 16 best of each history, pooled, scored, on the cohort.
 
-    Vectors and scores are made once per event; only places and scores take part in the
-    retrieval, and vectors join the winners.
+    Vectors and scores are made once per event and only the scores are kept; the vectors of the
+    events that won a place are made again, so that no vector is shuffled for the others.
     """
-    events, samples = token_vectors(spark, sf_dir)
-    query_ = X.first_vector(spark, sf_dir)
-    scored_events = R.cosine_scores(R.mask_zero_vectors(events), query_)
-    scored_events = scored_events.withColumn("score", F.round("score", 9))
-    narrow = R.reject_below(scored_events.select("subject_id", "event_idx", "score"), 0.6)
-    best = R.history_topk(narrow, samples, 16)
-    winners = best.join(events.select("subject_id", "event_idx", "repr"), ["subject_id", "event_idx"])
+    events, samples, _ = histories(spark, sf_dir)
+    fields = ["subject_id", "event_idx", "code", "numeric_value", "props"]
+    tokens = TP.K.tokenize(events.select(*fields), ("subject_id", "event_idx"))
+    tokens = tokens.select("subject_id", "event_idx", "tokens")
+    encode = encoder(spark, sf_dir)
+    seen = R.cosine_scores(R.mask_zero_vectors(encode(tokens)), X.first_vector(spark, sf_dir))
+    seen = seen.select("subject_id", "event_idx", F.round("score", 9).alias("score"))
+    best = R.history_topk(R.reject_below(seen, 0.6), samples, 16)
+    won = best.select("subject_id", "event_idx").distinct()
+    vectors = encode(tokens.join(won, ["subject_id", "event_idx"], "left_semi"))
+    winners = best.join(vectors.select("subject_id", "event_idx", "repr"), ["subject_id", "event_idx"])
     pooled = E.mean_pool(winners, ["sample_id"], "repr")
     ready = R.empty_retrieval_fallback(samples.select("sample_id"), pooled, "sample_id", CONSTANT)
     predictions = H.linear_heads(ready, {"binary": ("binary", head(1, 4))}).select(

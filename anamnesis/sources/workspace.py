@@ -34,3 +34,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits to all cores, for work that is heavy per row.
+
+    A scan that already has a task per core is left as it is.
+    """
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallel) if df.rdd.getNumPartitions() < parallel else df
