@@ -9,21 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis import settings as S
 from anamnesis.functions.time import elapsed_minutes, whole_seconds
-from anamnesis.operators.skew import HotGroups, attach, find_hot, running
+from anamnesis.operators.skew import HotGroups, attach, explode_range, find_hot, running
 
 SUBJECT = "subject_id"
 BLOCK_SAMPLES = 1024
 
 
 def drop_birth_and_static(events: DataFrame, birth_code: str = S.BIRTH_CODE) -> DataFrame:
-    """Null the time of birth events, then drop rows without subject or time."""
-    time = F.when(F.col("code") == birth_code, F.lit(None)).otherwise(F.col("time"))
-    return events.withColumn("time", time).dropna(subset=[SUBJECT, "time"])
+    """Drop birth events and events without subject or time; an event without code stays.
+
+    Written as plain comparisons, which reach the Parquet scan.
+    """
+    not_birth = F.col("code").isNull() | (F.col("code") != birth_code)
+    return events.where(F.col(SUBJECT).isNotNull() & F.col("time").isNotNull() & not_birth)
 
 
 def birth_code_warning(codes: DataFrame, birth_code: str = S.BIRTH_CODE) -> DataFrame:
@@ -35,7 +38,7 @@ def birth_code_warning(codes: DataFrame, birth_code: str = S.BIRTH_CODE) -> Data
 
 
 def drop_unlabelled(cohort: DataFrame, label: str = "boolean_value") -> DataFrame:
-    return cohort.dropna(subset=[label])
+    return cohort.where(F.col(label).isNotNull())
 
 
 def project_cohort(cohort: DataFrame, label: str = "boolean_value") -> DataFrame:
@@ -56,15 +59,10 @@ def truncate_seconds(events: DataFrame) -> DataFrame:
 def describe_codes(events: DataFrame, codes: DataFrame) -> DataFrame:
     """Replace a code by its description where that is neither null nor empty."""
     names = codes.where(F.col("description") != "").select(
-        F.col("code").alias("__code"), "description"
-    )
-    described = events.join(names, events["code"] == F.col("__code"), "left")
-    return described.select(
-        *[
-            F.coalesce("description", events["code"]).alias("code") if c == "code" else events[c]
-            for c in events.columns
-        ]
+        "code", F.col("description").alias("__description")
     )
+    described = attach(events, names, ["code"], "left")
+    return described.withColumn("code", F.coalesce("__description", "code")).select(*events.columns)
 
 
 def order_events(
@@ -107,7 +105,7 @@ def number_samples(samples: DataFrame, hot: HotGroups | None = None) -> DataFram
     ).drop("__count")
 
 
-def _history_marks(events: DataFrame, cohort: DataFrame) -> DataFrame:
+def history_marks(events: DataFrame, cohort: DataFrame) -> DataFrame:
     happened = events.select(
         SUBJECT,
         F.col("time").alias("endtime"),
@@ -127,7 +125,7 @@ def sample_index(
     the running count of events is the size of its history. Columns: ``sample_id,
     subject_id, sample_no, endtime, label, n_events, first_time, last_time``.
     """
-    marks = _history_marks(events, cohort)
+    marks = history_marks(events, cohort)
     hot = find_hot(marks, [SUBJECT]) if hot is None else hot
     event_time = F.when(F.col("is_event") == 1, F.col("endtime"))
     # An event at the very prediction time belongs to the history: it sorts first.
@@ -165,6 +163,8 @@ def join_history(
 ) -> DataFrame:
     """Every sample with each event of its history (``events`` come from ``order_events``).
 
+    ``samples`` is used twice and best written first (``materialise``): it is small.
+
     A sample holds the events ``from_idx <= event_idx < n_events`` of its subject
     (``from_idx`` is optional and 0 without it). Events are cut into chunks and samples
     into blocks, and the join runs on (subject, chunk, block): no key meets more than
@@ -179,25 +179,19 @@ def join_history(
     def chunk_of(place: Column) -> Column:
         return F.floor(place / chunk_events)
 
-    wanted = samples.withColumns(
-        {
-            "block": block_of(F.col("sample_no")),
-            "chunk": F.explode(
-                F.sequence(chunk_of(F.col("from_idx")), chunk_of(F.col("n_events") - 1))
-            ),
-        }
+    wanted = explode_range(
+        samples.withColumn("block", block_of(F.col("sample_no"))),
+        "chunk",
+        chunk_of(F.col("from_idx")),
+        chunk_of(F.col("n_events") - 1),
     )
     blocks = samples.groupBy(SUBJECT).agg(F.max(block_of(F.col("sample_no"))).alias("__last_block"))
-    have = (
-        attach(events, blocks, [SUBJECT], hot=hot)
-        .withColumns(
-            {
-                "chunk": chunk_of(F.col("event_idx")),
-                "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last_block"))),
-            }
-        )
-        .drop("__last_block")
-    )
+    have = explode_range(
+        attach(events, blocks, [SUBJECT], hot=hot).withColumn("chunk", chunk_of(F.col("event_idx"))),
+        "block",
+        F.lit(0).cast("bigint"),
+        F.col("__last_block"),
+    ).drop("__last_block")
     inside = (F.col("event_idx") >= F.col("from_idx")) & (F.col("event_idx") < F.col("n_events"))
     return have.join(wanted, [SUBJECT, "chunk", "block"]).where(inside)
 
@@ -284,9 +278,3 @@ def partition_subjects(events: DataFrame, workers: int) -> DataFrame:
 def latest_description(codes: DataFrame, order: Column) -> DataFrame:
     """One description per code: the last in order wins."""
     return codes.groupBy("code").agg(F.max_by("description", order).alias("description"))
-
-
-def row_in_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows per key; each input partition is cut down before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -35,7 +35,8 @@ def task_table(tasks: DataFrame, source: str | None = None, name: str = "task")
 
 
 def task_filter(df: DataFrame, tasks: DataFrame) -> DataFrame:
-    return df.join(tasks.select("task").distinct(), "task", "left_semi")
+    """Rows of the given tasks; the list of tasks is short and known by name."""
+    return df.join(F.broadcast(tasks.select("task").distinct()), "task", "left_semi")
 
 
 def _clamped_log(p: Column) -> Column:

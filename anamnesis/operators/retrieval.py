@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from anamnesis import settings as S
 from anamnesis.functions import vectors as V
 from anamnesis.functions.arrays import all_zero
-from anamnesis.operators.cohort import row_in_window
+from anamnesis.operators.skew import HotGroups, attach, row_in_window
 
 
 def mask_zero_vectors(df: DataFrame, vector: str = "repr") -> DataFrame:
@@ -159,6 +159,7 @@ def history_topk(
     samples: DataFrame,
     k: int = S.MAX_RETRIEVE_LEN,
     levels: Iterable[int] = LEVELS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """The k best events of every sample's history, without meeting all pairs.
 
@@ -169,7 +170,7 @@ def history_topk(
     from complete ranges, the largest first, and the single events of its last incomplete
     one. An event among the k best of a history is among the k best of its range, so the
     result is exact, while a sample meets a bounded number of rows per level. Levels longer
-    than every history are left out.
+    than every history are left out. ``samples`` is used several times: write it first.
     """
     subject = "subject_id"
     best = [F.desc("score"), F.col("event_idx")]
@@ -183,7 +184,7 @@ def history_topk(
         outer = sizes[level + 1] if level + 1 < len(sizes) else None
         if level:
             long = samples.where(F.col("n_events") >= size).select(subject).distinct()
-            noded = rows.join(long, subject, "left_semi").withColumn(
+            noded = attach(rows, long, [subject], "left_semi", hot).withColumn(
                 "__node", _node_of(F.col("event_idx"), size)
             )
             rows = row_in_window(noded, [subject, "__node"], best, k).drop("rank", "__node")

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from anamnesis import settings as S
 from anamnesis.functions.arrays import next_multiple, next_power_of_two, pad_left, pad_right
-from anamnesis.operators.cohort import row_in_window
-from anamnesis.operators.skew import HotGroups, attach, running
+from anamnesis.operators.skew import HotGroups, attach, explode_range, row_in_window, running
 
 
-def place_events(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def place_events(
+    df: DataFrame, key: str, order: Sequence[str], hot: HotGroups | None = None
+) -> DataFrame:
     """0-based ``event_idx`` of each row within its sample."""
-    placed = running(df, [key], order, {"__place": ("sum", F.lit(1).cast("bigint"))})
+    placed = running(df, [key], order, {"__place": ("sum", F.lit(1).cast("bigint"))}, hot)
     return placed.withColumn("event_idx", F.col("__place") - 1).drop("__place")
 
 
-def observation_window(df: DataFrame, key: str, hours: int, time: str = "time_min") -> DataFrame:
+def observation_window(
+    df: DataFrame, key: str, hours: int, time: str = "time_min", hot: HotGroups | None = None
+) -> DataFrame:
     """Events from the given hour on; the last event where none qualifies. Negative: all.
 
     ``df`` has ``event_idx``. The last event of each sample is found by aggregation, so a
@@ -34,10 +37,12 @@ def observation_window(df: DataFrame, key: str, hours: int, time: str = "time_mi
     keep = (F.col(time) >= start) | (
         (F.col("__latest") < start) & (F.col("event_idx") == F.col("__last"))
     )
-    return attach(df, extent, [key]).where(keep).drop("__latest", "__last")
+    return attach(df, extent, [key], hot=hot).where(keep).drop("__latest", "__last")
 
 
-def window_start(samples: DataFrame, events: DataFrame, hours: int) -> DataFrame:
+def window_start(
+    samples: DataFrame, events: DataFrame, hours: int, hot: HotGroups | None = None
+) -> DataFrame:
     """The observation window as a first index per sample, before events are joined."""
     if hours < 0:
         return samples
@@ -45,7 +50,8 @@ def window_start(samples: DataFrame, events: DataFrame, hours: int) -> DataFrame
         F.count(F.lit(1)).alias("__before")
     )
     first = F.least(F.coalesce("__before", F.lit(0)), F.col("n_events") - 1)
-    return attach(samples, before, ["subject_id"], "left").withColumn("from_idx", first).drop("__before")
+    joined = attach(samples, before, ["subject_id"], "left", hot)
+    return joined.withColumn("from_idx", first).drop("__before")
 
 
 def tail_events(df: DataFrame, key: str, max_len: int = S.MAX_SEQ_LEN) -> DataFrame:
@@ -68,14 +74,14 @@ def chunk_index(lengths: DataFrame, key: str, length: str, max_len: int) -> Data
     """All chunks of all samples in sample order: ``(global_chunk, key, chunk, start, stop)``."""
     counted = lengths.withColumn("__chunks", F.ceil(F.col(length) / max_len))
     placed = running(counted, [], [key], {"__first": ("sum", F.col("__chunks"), False)})
-    chunks = placed.select(
-        key,
-        length,
-        "__first",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__chunks") - 1)).alias("chunk"),
+    chunks = explode_range(
+        placed.withColumnRenamed("__first", "__before"),
+        "chunk",
+        F.lit(0).cast("bigint"),
+        F.col("__chunks") - 1,
     )
     return chunks.select(
-        (F.col("__first") + F.col("chunk")).alias("global_chunk"),
+        (F.col("__before") + F.col("chunk")).alias("global_chunk"),
         key,
         "chunk",
         (F.col("chunk") * max_len).alias("start"),
@@ -83,7 +89,9 @@ def chunk_index(lengths: DataFrame, key: str, length: str, max_len: int) -> Data
     )
 
 
-def reassemble_chunks(pieces: DataFrame, expected: DataFrame, key: str, max_len: int) -> DataFrame:
+def reassemble_chunks(
+    pieces: DataFrame, expected: DataFrame, key: str, max_len: int, hot: HotGroups | None = None
+) -> DataFrame:
     """Rows of chunks back as rows of samples, for samples whose chunks are all present.
 
     ``pieces`` is ``(key, chunk, pos, …)``, ``expected`` is ``(key, num_chunks)``. Events stay
@@ -93,7 +101,7 @@ def reassemble_chunks(pieces: DataFrame, expected: DataFrame, key: str, max_len:
         F.count(F.lit(1)).alias("__present")
     )
     complete = present.join(expected, key).where(F.col("__present") == F.col("num_chunks")).select(key)
-    kept = attach(pieces, complete, [key])
+    kept = attach(pieces, complete, [key], hot=hot)
     return kept.withColumn("event_idx", F.col("chunk") * max_len + F.col("pos")).drop("chunk", "pos")
 
 
@@ -113,10 +121,12 @@ def token_event_time(
     return numbered.join(times, [key, "event_no"])
 
 
-def minutes_before_last(df: DataFrame, key: str, time: str = "time_min") -> DataFrame:
+def minutes_before_last(
+    df: DataFrame, key: str, time: str = "time_min", hot: HotGroups | None = None
+) -> DataFrame:
     """Replace the time by the minutes before the latest event of the sample."""
     latest = df.groupBy(key).agg(F.max(time).alias("__latest"))
-    return attach(df, latest, [key]).withColumn(time, F.col("__latest") - F.col(time)).drop("__latest")
+    return attach(df, latest, [key], hot=hot).withColumn(time, F.col("__latest") - F.col(time)).drop("__latest")
 
 
 def max_sequence_length(stays: DataFrame, length: str, start: str, multiple: int = 128) -> DataFrame:
@@ -139,8 +149,9 @@ def cap_tokens_by_chunks(tokens: DataFrame, key: str, order: Sequence[Column], c
 
 
 def _pad_batch(df: DataFrame, batch: str, values: str, target: Column, pad, fill: Column) -> DataFrame:
+    # A batch is a handful of samples, so joining its longest back is an even join.
     longest = df.groupBy(batch).agg(F.max(F.size(values)).alias("__longest"))
-    sized = attach(df, longest, [batch]).withColumn("padded_to", target)
+    sized = df.join(longest, batch).withColumn("padded_to", target)
     return sized.withColumn(values, pad(F.col(values), F.col("padded_to"), fill)).drop("__longest")
 
 

@@ -17,6 +17,8 @@ from anamnesis.sources.workspace import materialise
 HOT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 50_000
 MAX_SEGMENTS = 20_000
+SALTS = 64
+STEP = 4096
 
 _SEG = "__seg"
 
@@ -181,6 +183,39 @@ def running_split(df, keys, order, measures, total: int | None = None) -> DataFr
     )
 
 
+def row_in_window(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int
+) -> DataFrame:
+    """The first ``limit`` rows per key with their ``rank``.
+
+    Up to a limit that the session sets, Spark cuts each input partition down before the
+    shuffle. Beyond it the rows are first ranked in ``SALTS`` parts of each group.
+    """
+    spark = df.sparkSession
+    cut_early = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+    if limit > cut_early:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        df = first(salted, *keys, "__salt").drop("rank", "__salt")
+    return first(df, *keys)
+
+
+def explode_range(df: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
+    """One row per whole number in ``first..last``, by steps so that no array gets long."""
+    steps = df.withColumns({"__first": first, "__last": last}).withColumn(
+        "__step", F.explode(F.sequence(F.floor(F.col("__first") / STEP), F.floor(F.col("__last") / STEP)))
+    )
+    numbers = F.sequence(
+        F.greatest(F.col("__first"), F.col("__step") * STEP),
+        F.least(F.col("__last"), F.col("__step") * STEP + (STEP - 1)),
+    )
+    return steps.withColumn(name, F.explode(numbers)).drop("__first", "__last", "__step")
+
+
 def attach(
     df: DataFrame, unique: DataFrame, keys: Sequence[str], how: str = "inner", hot: HotGroups | None = None
 ) -> DataFrame:

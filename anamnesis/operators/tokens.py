@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis import settings as S
 from anamnesis.functions.text import event_fields, event_text, event_tokens
+from anamnesis.operators.skew import running
 
 
 def textify(events: DataFrame, not_fields: Sequence[str] = ("subject_id", "time"), **options) -> DataFrame:
@@ -44,17 +45,18 @@ def token_rows(events: DataFrame, keys: Sequence[str], tokens: str = "tokens") -
 def build_vocabulary(rows: DataFrame, size: int = S.VOCABULARY_SIZE) -> DataFrame:
     """The most frequent tokens with their ids; ids below ``FIRST_WORD_ID`` are reserved.
 
-    Only the ranked words (a fixed number) reach the final numbering.
+    The rank over all distinct tokens is a running count over range-ordered segments.
     """
     counted = (
         rows.where(~F.col("token").isin(*S.SPECIAL_TOKEN_IDS))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size - S.FIRST_WORD_ID)
     )
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
-    return counted.select("token", "n", (rank + (S.FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
+    ranked = running(
+        counted, [], [F.desc("n"), "token"], {"__rank": ("sum", F.lit(1).cast("bigint"), False)}
+    )
+    words = ranked.withColumn("token_id", (F.col("__rank") + S.FIRST_WORD_ID).cast("int"))
+    return words.where(F.col("token_id") < size).select("token", "n", "token_id")
 
 
 def token_ids(rows: DataFrame, vocabulary: DataFrame, size: int = S.VOCABULARY_SIZE) -> DataFrame:

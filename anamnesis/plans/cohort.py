@@ -11,6 +11,7 @@ from anamnesis.operators import sequence as Q
 from anamnesis.operators.skew import find_hot, running
 from anamnesis.plans import fixtures as X
 from anamnesis.registry import register_operator as query
+from anamnesis.sources.workspace import materialise
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -24,10 +25,11 @@ def stamp_sql(column: str, name: str | None = None) -> str:
 
 
 def histories(spark, sf_dir):
-    """Placed events and the sample index, with the hot subjects looked up once."""
+    """Placed events and the written sample index, with the hot subjects looked up once."""
     events, cohort = X.kept(spark, sf_dir), X.cohort(spark, sf_dir)
-    hot = find_hot(C._history_marks(events, cohort), [C.SUBJECT])
-    return C.order_events(events, X.TIE, hot), C.sample_index(events, cohort, hot), hot
+    hot = find_hot(C.history_marks(events, cohort), [C.SUBJECT])
+    index = materialise(C.sample_index(events, cohort, hot), "index")
+    return C.order_events(events, X.TIE, hot), index, hot
 
 
 def joined(spark, sf_dir, *columns):
@@ -368,7 +370,7 @@ WHERE time_min >= 240 * 60 OR (event_idx = n_events - 1 AND NOT EXISTS (
 def history_window(spark, sf_dir):
     events, samples, hot = histories(spark, sf_dir)
     narrow = events.select("subject_id", "event_idx", "event_id", "time_min")
-    windowed = Q.window_start(samples, narrow, 240)
+    windowed = Q.window_start(samples, narrow, 240, hot)
     return C.join_history(narrow, windowed, hot).select(
         "sample_id", "event_id", F.col("time_min").cast("bigint").alias("time_min")
     )

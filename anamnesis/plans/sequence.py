@@ -15,10 +15,15 @@ from anamnesis.plans import tokens as TP
 from anamnesis.registry import register_operator as query
 
 
-def placed_vectors(spark, sf_dir):
+def hot_samples(spark, sf_dir):
+    return find_hot(X.vectors(spark, sf_dir).select("sample_id"), ["sample_id"])
+
+
+def placed_vectors(spark, sf_dir, hot=None):
     """Representation rows with their place in the sample."""
     rows = X.vectors(spark, sf_dir).withColumnRenamed("event_idx", "vec_id")
-    return Q.place_events(rows, "sample_id", ["time_min", "vec_id"])
+    hot = hot_samples(spark, sf_dir) if hot is None else hot
+    return Q.place_events(rows, "sample_id", ["time_min", "vec_id"], hot)
 
 
 PLACED_VECTORS_SQL = X.VECTORS_SQL + """,
@@ -42,7 +47,8 @@ WHERE time_min >= 47 * 60 OR (event_idx = n - 1 AND NOT EXISTS (
   SELECT 1 FROM placed o WHERE o.sample_id = p.sample_id AND o.time_min >= 47 * 60))""",
 )
 def observation_window(spark, sf_dir):
-    kept = Q.observation_window(placed_vectors(spark, sf_dir), "sample_id", 47)
+    hot = hot_samples(spark, sf_dir)
+    kept = Q.observation_window(placed_vectors(spark, sf_dir, hot), "sample_id", 47, hot=hot)
     return kept.select("sample_id", "vec_id", "time_min")
 
 
@@ -90,13 +96,14 @@ WHERE sample_id NOT IN (SELECT sample_id FROM gone)""",
 )
 def reassemble_chunks(spark, sf_dir):
     """Chunks of six events; a chunk that starts with class 7 went missing."""
-    rows = placed_vectors(spark, sf_dir).withColumns(
+    hot = hot_samples(spark, sf_dir)
+    rows = placed_vectors(spark, sf_dir, hot).withColumns(
         {"chunk": F.floor(F.col("event_idx") / 6), "pos": F.col("event_idx") % 6}
     )
     sizes = rows.groupBy("sample_id").agg((F.max("chunk") + 1).alias("num_chunks"))
     gone = rows.where((F.col("label") == 7) & (F.col("pos") == 0)).select("sample_id", "chunk")
     pieces = rows.drop("event_idx").join(gone, ["sample_id", "chunk"], "left_anti")
-    whole = Q.reassemble_chunks(pieces, sizes, "sample_id", 6)
+    whole = Q.reassemble_chunks(pieces, sizes, "sample_id", 6, hot)
     return whole.select("sample_id", "event_idx", "vec_id")
 
 
@@ -119,7 +126,8 @@ def token_event_time(spark, sf_dir):
     placed = C.order_events(kept, X.TIE, hot)
     events = TP.K.tokenize(placed, (*TP.NOT_FIELDS_OR_IDS, "event_idx", "time_min"))
     stream = TP.K.token_rows(events, ["subject_id", "event_id", "event_idx"])
-    times = placed.select("subject_id", F.col("event_idx").alias("event_no"), F.col("time_min").cast("bigint").alias("time_min")
+    times = placed.select(
+        "subject_id", F.col("event_idx").alias("event_no"), F.col("time_min").cast("bigint").alias("time_min")
     )
     timed = Q.token_event_time(stream, times, "subject_id", ["event_idx", "pos"], hot)
     return timed.select("event_id", F.col("pos").cast("bigint").alias("pos"), "type_id", "time_min")

@@ -401,9 +401,9 @@ ranked AS (
 )
 def history_topk(spark, sf_dir):
     """The five largest values in the history of each sample."""
-    events, samples, _ = histories(spark, sf_dir)
+    events, samples, hot = histories(spark, sf_dir)
     rows = events.select("subject_id", "event_idx", "event_id", F.col("numeric_value").alias("score"))
-    best = R.history_topk(rows, samples, 5)
+    best = R.history_topk(rows, samples, 5, hot=hot)
     return best.select("sample_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -434,14 +434,14 @@ def predict_cohort(spark, sf_dir):
     Vectors and scores are made once per event and only the scores are kept; the vectors of the
     events that won a place are made again, so that no vector is shuffled for the others.
     """
-    events, samples, _ = histories(spark, sf_dir)
+    events, samples, hot = histories(spark, sf_dir)
     fields = ["subject_id", "event_idx", "code", "numeric_value", "props"]
     tokens = TP.K.tokenize(events.select(*fields), ("subject_id", "event_idx"))
     tokens = tokens.select("subject_id", "event_idx", "tokens")
     encode = encoder(spark, sf_dir)
     seen = R.cosine_scores(R.mask_zero_vectors(encode(tokens)), X.first_vector(spark, sf_dir))
     seen = seen.select("subject_id", "event_idx", F.round("score", 9).alias("score"))
-    best = R.history_topk(R.reject_below(seen, 0.6), samples, 16)
+    best = R.history_topk(R.reject_below(seen, 0.6), samples, 16, hot=hot)
     won = best.select("subject_id", "event_idx").distinct()
     vectors = encode(tokens.join(won, ["subject_id", "event_idx"], "left_semi"))
     winners = best.join(vectors.select("subject_id", "event_idx", "repr"), ["subject_id", "event_idx"])

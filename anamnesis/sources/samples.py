@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
+from anamnesis.operators.skew import attach, find_hot, hot_rows
 from anamnesis.sources.events import write_new
 
 MANIFEST_SCHEMA = "subject_id STRING, num_events BIGINT, shard_id INT"
@@ -21,9 +23,8 @@ def manifest(samples: DataFrame, shards: int = 1) -> DataFrame:
     )
 
 
-def write_manifest(table: DataFrame, path: str, append: bool = False) -> None:
+def write_manifest(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab separated, with a header in each file."""
-    mode = "append" if append else "errorifexists"
     table.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
 
 
@@ -38,9 +39,14 @@ def write_samples(samples: DataFrame, path: str, rebase: bool = False) -> None:
 
 
 def read_samples_by_manifest(samples: DataFrame, table: DataFrame) -> DataFrame:
-    """The samples a manifest names, from the shards it names."""
+    """The samples a manifest names, from the shards it names.
+
+    Rows are nested chunks of up to a thousand events, so a sample counts as hot sooner.
+    """
+    keys = ["sample_id", "shard_id"]
     wanted = table.select(F.col("subject_id").alias("sample_id"), "shard_id")
-    return samples.join(wanted, ["sample_id", "shard_id"], "left_semi")
+    hot = find_hot(samples, keys, hot_rows(samples.sparkSession) // S.ENCODE_CHUNK)
+    return attach(samples, wanted, keys, "left_semi", hot)
 
 
 def write_repr_cache(df: DataFrame, path: str, rebase: bool = False, key: str = "sample_id") -> None:

@@ -15,7 +15,8 @@ from anamnesis.operators.cohort import (
     sample_index,
 )
 from anamnesis.operators.tokens import drop_empty_events, tokenize
-from anamnesis.sources.samples import manifest
+from anamnesis.sources.samples import manifest, write_manifest
+from anamnesis.sources.workspace import materialise
 
 
 def event_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -45,18 +46,12 @@ def ingest_shards(
 
     def build(batch: DataFrame, number: int) -> None:
         kept = drop_empty_events(drop_birth_and_static(batch, birth_code))
-        index = sample_index(kept, cohort)
+        index = materialise(sample_index(kept, cohort), "index")
         placed = tokenize(order_events(kept, tie), ("subject_id", "time", "event_idx", "time_min"))
         wide = placed.select("subject_id", "event_idx", *fields)
         nested = assemble_samples(join_history(wide, index), fields)
         nested.write.mode("overwrite").parquet(f"{out}/samples/batch={number}")
-        table = manifest(index)
-        (
-            table.write.mode("overwrite")
-            .option("sep", "\t")
-            .option("header", True)
-            .csv(f"{out}/manifest/batch={number}")
-        )
+        write_manifest(manifest(index), f"{out}/manifest/batch={number}", mode="overwrite")
 
     return (
         stream.writeStream.foreachBatch(build)
