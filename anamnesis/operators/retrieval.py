@@ -175,13 +175,14 @@ def history_topk(
     subject = "subject_id"
     best = [F.desc("score"), F.col("event_idx")]
     longest = samples.agg(F.max("n_events")).first()[0] or 0
-    sizes = [1, *[s for s in sorted(levels) if s <= longest]]
+    sizes = [1, *sorted(levels)]
+    outers = [*sizes[1:], None]
+    used = [(i, s, o) for i, (s, o) in enumerate(zip(sizes, outers)) if s <= max(longest, 1)]
 
     # Every range is filed under the range of the next level around it.
     table = None
     rows = events
-    for level, size in enumerate(sizes):
-        outer = sizes[level + 1] if level + 1 < len(sizes) else None
+    for level, size, outer in used:
         if level:
             long = samples.where(F.col("n_events") >= size).select(subject).distinct()
             noded = attach(rows, long, [subject], "left_semi", hot).withColumn(
@@ -194,8 +195,7 @@ def history_topk(
         table = filed if table is None else table.unionByName(filed)
 
     spans = []
-    for level, size in enumerate(sizes):
-        outer = sizes[level + 1] if level + 1 < len(sizes) else None
+    for level, size, outer in used:
         node = _node_of(F.col("n_events"), outer)
         start = node * (outer or 0)
         stop = _node_of(F.col("n_events"), size) * size

@@ -14,6 +14,7 @@ from anamnesis.plans import fixtures as X
 from anamnesis.plans import tokens as TP
 from anamnesis.plans.cohort import histories
 from anamnesis.registry import register_operator as query
+from anamnesis.sources.workspace import materialise
 
 K, CUTOFF = 5, 0.5
 
@@ -441,7 +442,7 @@ def predict_cohort(spark, sf_dir):
     encode = encoder(spark, sf_dir)
     seen = R.cosine_scores(R.mask_zero_vectors(encode(tokens)), X.first_vector(spark, sf_dir))
     seen = seen.select("subject_id", "event_idx", F.round("score", 9).alias("score"))
-    best = R.history_topk(R.reject_below(seen, 0.6), samples, 16, hot=hot)
+    best = materialise(R.history_topk(R.reject_below(seen, 0.6), samples, 16, hot=hot), "retrieved")
     won = best.select("subject_id", "event_idx").distinct()
     vectors = encode(tokens.join(won, ["subject_id", "event_idx"], "left_semi"))
     winners = best.join(vectors.select("subject_id", "event_idx", "repr"), ["subject_id", "event_idx"])
