@@ -204,19 +204,21 @@ def tail_of(samples: DataFrame, max_events: int) -> DataFrame:
 
 
 def assemble_samples(
-    joined: DataFrame, fields: Sequence[str], chunk_events: int = S.ENCODE_CHUNK
+    joined: DataFrame,
+    fields: Sequence[str],
+    sample_fields: Sequence[str] = ("sample_id", "label"),
 ) -> DataFrame:
     """Nested samples: the ordered events of each (sample, chunk) of a joined history.
 
-    A nested row holds at most ``chunk_events`` events, whatever the length of the history.
+    A nested row holds the events of one chunk, whatever the length of the history.
     Grouping by the join keys first keeps the rows where the join left them.
     """
-    keys = [SUBJECT, "chunk", "block", "sample_id", "label"]
+    keys = [SUBJECT, "chunk", "block", *sample_fields]
     event = F.struct("event_idx", *fields)
     return (
         joined.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(event)).alias("events"))
-        .select("sample_id", "label", "chunk", "events")
+        .select(*sample_fields, "chunk", "events")
     )
 
 

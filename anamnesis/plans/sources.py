@@ -175,19 +175,37 @@ def overwrite_policy(spark, sf_dir):
     )
 
 
+def cached_vectors(spark, sf_dir):
+    path = fresh_path(spark, "repr")
+    SS.write_repr_cache(placed_vectors(spark, sf_dir), path)
+    return SS.read_repr_cache(spark, path)
+
+
+def total_of(vector: str):
+    return F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total")
+
+
 @query(
-    "repr_cache",
+    "write_repr_cache",
     "WITH " + PLACED_VECTORS_SQL + """
 SELECT sample_id, event_idx, time_min, label, round(list_sum(repr), 6) AS total FROM placed""",
 )
-def repr_cache(spark, sf_dir):
+def write_repr_cache(spark, sf_dir):
     """Representation rows written to the cache and read back."""
-    path = fresh_path(spark, "repr")
-    SS.write_repr_cache(placed_vectors(spark, sf_dir), path)
-    total = F.aggregate("repr", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return SS.read_repr_cache(spark, path).select(
-        "sample_id", "event_idx", "time_min", "label", F.round(total, 6).alias("total")
-    )
+    cache = cached_vectors(spark, sf_dir)
+    return cache.select("sample_id", "event_idx", "time_min", "label", total_of("repr"))
+
+
+@query(
+    "read_repr_cache",
+    "WITH " + PLACED_VECTORS_SQL + """
+SELECT sample_id, event_idx, max(time_min) OVER (PARTITION BY sample_id) - time_min AS time_min,
+       round(list_sum(repr), 6) AS total FROM placed""",
+)
+def read_repr_cache(spark, sf_dir):
+    """The cache as retrieval reads it: times are minutes before the last event."""
+    rows = Q.minutes_before_last(cached_vectors(spark, sf_dir), "sample_id")
+    return rows.select("sample_id", "event_idx", "time_min", total_of("repr"))
 
 
 # --- legacy stays: one row per sample of twenty vectors, its event times as text ----------
@@ -292,8 +310,7 @@ def merge_partial_reprs(spark, sf_dir):
 
     low = F.col("label") < 5
     merged = SS.merge_partial_reprs(worker(low).unionByName(worker(~low)), ("sample_id", "event_idx"))
-    total = F.aggregate("repr", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return merged.select("sample_id", "event_idx", "time_min", F.round(total, 6).alias("total"))
+    return merged.select("sample_id", "event_idx", "time_min", total_of("repr"))
 
 
 @query(

@@ -37,6 +37,14 @@ def split_groups(spark):
     spark.conf.unset("anamnesis.hotRows")
 
 
+@pytest.fixture
+def split_subjects(spark):
+    """Make the busier subjects of the given tables take the split route."""
+    spark.conf.set("anamnesis.hotRows", "60")
+    yield
+    spark.conf.unset("anamnesis.hotRows")
+
+
 @pytest.fixture(scope="session")
 def duck():
     from oracle import connect

@@ -34,7 +34,7 @@ SPLIT = [
 
 
 @pytest.mark.parametrize("name", SPLIT)
-def test_matches_sql_when_groups_are_split(spark, duck, split_groups, name):
+def test_matches_sql_when_groups_are_split(spark, duck, split_subjects, name):
     assert compare(spark, duck, SF_DIR, QUERIES[name], SQL[name], empty=True) is None
 
 
