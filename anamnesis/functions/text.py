@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, types as T
@@ -76,6 +77,12 @@ def _token(token: Column, type_id: Column, place: Column) -> Column:
     )
 
 
+def name_tokens(name: str) -> Column:
+    """Tokens of a field name, a constant of the plan."""
+    found = re.findall(r"[^\W_]+|[^\w\s]|_", name)
+    return F.array(*[_token(F.lit(t), F.lit(S.TYPE_NAME), F.lit(0)) for t in found])
+
+
 def value_tokens(text: Column) -> Column:
     """Tokens of a value; each digit or point is a token with its place id."""
 
@@ -148,7 +155,7 @@ def event_tokens(fields: Sequence[EventField], max_tokens: int = S.MAX_EVENT_TOK
             F.coalesce(
                 F.when(
                     f.present,
-                    F.concat(_tagged(words(F.lit(f.name)), S.TYPE_NAME), f.tokens),
+                    F.concat(name_tokens(f.name), f.tokens),
                 ),
                 no_tokens,
             )

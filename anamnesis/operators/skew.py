@@ -35,13 +35,14 @@ class HotGroups:
     so the list is small whatever the data and no remaining group is large.
     """
 
-    def __init__(self, spark: SparkSession, keys: Sequence[str], rows: list, schema) -> None:
+    def __init__(self, heavy: DataFrame, keys: Sequence[str]) -> None:
         self.keys = list(keys)
-        self.total = sum(r["__n"] for r in rows)
-        self._rows, self._schema, self._spark = rows, schema, spark
+        self._spark, self._schema = heavy.sparkSession, heavy.schema
+        self._rows = heavy.toArrow()
+        self.total = sum(self._rows.column("__n").to_pylist())
 
     def __bool__(self) -> bool:
-        return bool(self._rows)
+        return self._rows.num_rows > 0
 
     def frame(self) -> DataFrame:
         table = self._spark.createDataFrame(self._rows, self._schema)
@@ -73,7 +74,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Ho
         .orderBy(F.desc("__n"))
         .limit(MAX_HOT_GROUPS)
     )
-    return HotGroups(df.sparkSession, keys, heavy.collect(), heavy.schema)
+    return HotGroups(heavy, keys)
 
 
 # How a running value of one segment is merged with that of all earlier segments.

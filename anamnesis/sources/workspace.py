@@ -39,7 +39,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few splits to all cores, for work that is heavy per row.
 
-    A scan that already has a task per core is left as it is.
+    A scan that already has a task per core is left as it is. ``df`` is a scan with
+    projections and filters only, whose tasks are known without running anything.
     """
     parallel = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(parallel) if df.rdd.getNumPartitions() < parallel else df
