@@ -230,7 +230,11 @@ def in_parts(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], size: int
 ) -> DataFrame:
     """Ordered lists per key, cut into parts of at most ``size`` rows."""
-    placed = running(df, keys, order, {"__place": ("sum", F.lit(1).cast("bigint"))})
+    # A large group needs a large first key, which takes less to count.
+    hot = find_hot(df, keys[:1])
+    if hot and len(keys) > 1:
+        hot = find_hot(hot.inside(df), keys)
+    placed = running(df, keys, order, {"__place": ("sum", F.lit(1).cast("bigint"))}, hot)
     part = F.floor((F.col("__place") - 1) / size)
     return (
         placed.withColumn("part", part)

@@ -120,8 +120,7 @@ def cohort_event_join(spark, sf_dir):
     )
 
 
-CODES_SQL = """codes(code, description) AS (
-  VALUES ('click', 'page click'), ('view', ''), ('error', NULL), ('purchase', 'order placed'))"""
+CODES_SQL = f"codes(code, description) AS (VALUES {X.CODES})"
 
 
 @query(

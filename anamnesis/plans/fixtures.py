@@ -57,15 +57,10 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODES, "code STRING, description STRING")
+    return spark.sql(f"SELECT * FROM VALUES {CODES} AS codes(code, description)")
 
 
-CODES = [
-    ("click", "page click"),
-    ("view", ""),
-    ("error", None),
-    ("purchase", "order placed"),
-]
+CODES = "('click', 'page click'), ('view', ''), ('error', NULL), ('purchase', 'order placed')"
 
 MEDS_SQL = """meds AS (
   SELECT user_id AS subject_id, ts AS time, event_type AS code, value AS numeric_value,

@@ -193,7 +193,7 @@ def task_table(spark, sf_dir):
     "WITH " + X.SCORES_SQL + " SELECT task, doc_id, round(score, 6) AS score FROM long_scores WHERE task = 'readmission'",
 )
 def task_filter(spark, sf_dir):
-    present = spark.createDataFrame([("readmission",), ("los_7",)], "task STRING")
+    present = spark.sql("SELECT * FROM VALUES ('readmission'), ('los_7') AS tasks(task)")
     rows = M.task_filter(X.long_scores(spark, sf_dir), present)
     return rows.select("task", "doc_id", F.round("score", 6).alias("score"))
 

@@ -176,7 +176,8 @@ FROM (SELECT doc_id, spans, unnest(range(1, len(spans) + 1)) AS pos
 )
 def number_spans(spark, sf_dir):
     spans = T.number_spans(F.col("text"))
-    return document_text(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("pos", "number"))
+    rows = document_text(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("pos", "number"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 PRICES_SQL = """prices AS (

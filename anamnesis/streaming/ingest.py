@@ -11,8 +11,10 @@ from anamnesis.operators.cohort import (
     assemble_samples,
     drop_birth_and_static,
     join_history,
+    keep_subjects,
     order_events,
     sample_index,
+    subject_ids,
 )
 from anamnesis.operators.tokens import drop_empty_events, tokenize
 from anamnesis.sources.samples import manifest, write_manifest
@@ -46,7 +48,8 @@ def ingest_shards(
 
     def build(batch: DataFrame, number: int) -> None:
         kept = drop_empty_events(drop_birth_and_static(batch, birth_code))
-        index = materialise(sample_index(kept, cohort), "index")
+        asked = keep_subjects(cohort, subject_ids(kept))
+        index = materialise(sample_index(kept, asked), "index")
         placed = tokenize(order_events(kept, tie), ("subject_id", "time", "event_idx", "time_min"))
         wide = placed.select("subject_id", "event_idx", *fields)
         nested = assemble_samples(join_history(wide, index), fields)
