@@ -90,7 +90,7 @@ def encode_events(
     """One vector per event, for all samples that share it; builds a vocabulary if none is given."""
     events = spark.read.parquet(f"{processed}/events")
     if vocabulary is None:
-        vocabulary = K.build_vocabulary(events.select(F.explode("tokens.token").alias("token")))
+        vocabulary = K.build_vocabulary(events.select(F.explode_outer("tokens.token").alias("token")))
     SE.write_new(vocabulary, f"{out}/vocabulary", rebase)
     vocabulary = spark.read.parquet(f"{out}/vocabulary")
     vectors = E.event_vectors(events, vocabulary, token_table, type_table, place_table, dim)

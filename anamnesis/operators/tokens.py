@@ -35,8 +35,12 @@ def tokenize(
 
 
 def token_rows(events: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """Long token table ``(keys, pos, token, type_id, dpe_id)``."""
-    return events.select(*keys, F.posexplode(tokens).alias("pos", "__t")).select(
+    """Long token table ``(keys, pos, token, type_id, dpe_id)``.
+
+    An event has CLS and SEP at least, so the outer form adds no row; the inner form would
+    make Spark tokenise each event once more, to filter on the number of tokens.
+    """
+    return events.select(*keys, F.posexplode_outer(tokens).alias("pos", "__t")).select(
         *keys, "pos", "__t.token", "__t.type_id", "__t.dpe_id"
     )
 

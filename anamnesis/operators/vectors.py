@@ -18,15 +18,10 @@ from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
 
 
-def _lookup(table: DataFrame, id_column: str, vector: str, size: int) -> DataFrame:
-    """An embedding table with no more rows than its fixed size, which bounds the broadcast.
-
-    Id 0 is padding and adds nothing.
-    """
+def _known_ids(table: DataFrame, id_column: str, vector: str, size: int) -> DataFrame:
+    """An embedding table cut to its fixed size; id 0 is padding and adds nothing."""
     bounded = table.where(F.col(id_column).between(1, size - 1))
-    return F.broadcast(
-        bounded.select(id_column, F.col("embedding").cast("array<double>").alias(vector))
-    )
+    return bounded.select(id_column, F.col("embedding").cast("array<double>").alias(vector))
 
 
 def _add_known(left: Column, right: Column) -> Column:
@@ -40,15 +35,28 @@ def token_embedding_lookup(
     place_table: DataFrame,
     dim: int,
 ) -> DataFrame:
-    """Add ``vector``: the sum of token, type and digit-place vectors."""
-    joined = (
-        tokens.join(_lookup(token_table, "token_id", "__a", S.VOCABULARY_SIZE), "token_id", "left")
-        .join(_lookup(type_table, "type_id", "__b", S.NUM_TYPES), "type_id", "left")
-        .join(_lookup(place_table, "dpe_id", "__c", S.NUM_PLACES), "dpe_id", "left")
+    """Add ``vector``: the sum of token, type and digit-place vectors.
+
+    Type and place vectors are added up once per pair of ids. Both tables that are
+    broadcast have fixed sizes: the pairs and the vocabulary.
+    """
+    ids = tokens.sparkSession.range(S.NUM_TYPES * S.NUM_PLACES)
+    pairs = (
+        ids.select(
+            F.floor(F.col("id") / S.NUM_PLACES).cast("int").alias("type_id"),
+            (F.col("id") % S.NUM_PLACES).cast("int").alias("dpe_id"),
+        )
+        .join(_known_ids(type_table, "type_id", "__b", S.NUM_TYPES), "type_id", "left")
+        .join(_known_ids(place_table, "dpe_id", "__c", S.NUM_PLACES), "dpe_id", "left")
+        .select("type_id", "dpe_id", _add_known(F.col("__b"), F.col("__c")).alias("__pair"))
+    )
+    words = _known_ids(token_table, "token_id", "__word", S.VOCABULARY_SIZE)
+    joined = tokens.join(F.broadcast(words), "token_id", "left").join(
+        F.broadcast(pairs), ["type_id", "dpe_id"], "left"
     )
-    total = _add_known(_add_known(F.col("__a"), F.col("__b")), F.col("__c"))
     nothing = F.array_repeat(F.lit(0.0), dim)
-    return joined.withColumn("vector", F.coalesce(total, nothing)).drop("__a", "__b", "__c")
+    total = F.coalesce(_add_known(F.col("__word"), F.col("__pair")), nothing)
+    return joined.withColumn("vector", total).drop("__word", "__pair")
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str, skip_zero: bool = True) -> DataFrame:

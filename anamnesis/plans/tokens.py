@@ -176,8 +176,8 @@ FROM (SELECT doc_id, spans, unnest(range(1, len(spans) + 1)) AS pos
 )
 def number_spans(spark, sf_dir):
     spans = T.number_spans(F.col("text"))
-    rows = document_text(spark, sf_dir).select("doc_id", F.posexplode(spans).alias("pos", "number"))
-    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+    rows = document_text(spark, sf_dir).select("doc_id", F.posexplode_outer(spans).alias("pos", "number"))
+    return rows.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 PRICES_SQL = """prices AS (
@@ -233,7 +233,7 @@ def tokenize_events(spark, sf_dir):
 """ + VOCABULARY_SQL + " SELECT token, n, token_id FROM vocabulary",
 )
 def build_vocabulary(spark, sf_dir):
-    rows = document_text(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("token"))
+    rows = document_text(spark, sf_dir).select(F.explode_outer(T.words(F.col("text"))).alias("token"))
     return K.build_vocabulary(rows).withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
