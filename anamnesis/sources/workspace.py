@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,3 +46,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     parallel = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(parallel) if df.rdd.getNumPartitions() < parallel else df
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each Spark application.
+
+    Spark's file server hands the archive to every executor, so none needs the package installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_anamnesis_sent", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:
+        copy = shutil.copytree(
+            top, os.path.join(folder, "code", "anamnesis"), ignore=shutil.ignore_patterns("__pycache__")
+        )
+        name = os.path.join(context._temp_dir, "anamnesis-code")
+        context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(copy)))
+    context._anamnesis_sent = True
