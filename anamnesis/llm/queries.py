@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import load
+from anamnesis.llm import toxic_crf
+from anamnesis.llm.bilinear_lm import score_texts
+from anamnesis.llm.common import crc, load, materialise
+from anamnesis.llm.decontaminate import contaminated, find_passages
 from anamnesis.llm.jaccard_join import jaccard_components
+from anamnesis.llm.kd_shards import kd_shards
+from anamnesis.llm.pieces import encode_texts
+from anamnesis.llm.privacy import KINDS, find_private
+from anamnesis.llm.quality_rules import COUNTS, base_failed, count_text, kept, learn
+from anamnesis.llm.tag_paths import extract
+from anamnesis.llm.warc_salvage import archived, page_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +34,127 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("doc").alias("doc_id"), F.col("n_ngrams").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), n=13)
+    items = F.array_sort("items")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = materialise(count_text(docs).select("doc_id", "counts"), "counts")
+    rules = learn(counted, load(spark, sf_dir, "labels"))
+    counts = F.col("counts")
+    return counted.select(
+        "doc_id", *[counts[c].alias(c) for c in COUNTS], base_failed(counts).alias("base_failed"), kept(rules, counts).alias("kept")
+    )
+
+
+@query
+def op4_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(load(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    write = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter(spans, lambda s: s["kind"].isin(*KINDS))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(F.concat_ws(",", F.transform(base, write)).cast("binary"), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform(spans, write)).alias("spans"),
+    )
+
+
+#: The vocabulary file that the queries encode with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_texts(load(spark, sf_dir, "documents"), PIECES)
+    return found.select(F.col("key").alias("doc_id"), "ids", "n_pieces", F.col("same").alias("round_trip"))
+
+
+@query
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(load(spark, sf_dir, "pages")).where("gap is null")
+    return records.select(
+        page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+ORACLE["op1_warc_salvage"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, CAST((i // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
+@query
+def op2_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc(F.col("doc_id")) % 5 == 0
+    field = toxic_crf.learn(docs, load(spark, sf_dir, "labels").where(~held))
+    found = toxic_crf.tag_toxic(docs, field)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.coalesce(crc(F.col("key")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kd_shards(load(spark, sf_dir, "documents"), shards=40)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op6_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc(F.col("doc_id")) % 7 == 2, F.lit(False))
+    found = score_texts(docs, ~held)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.coalesce(crc(F.col("key")) % 7 == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
