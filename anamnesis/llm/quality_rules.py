@@ -35,14 +35,15 @@ FEATURES = {
 }
 #: Quantiles of the bad and of the good rows at which a feature may be cut.
 BAD_CUTS, GOOD_CUTS = [0.1, 0.5, 0.9], [0.01, 0.99, 1.0]
-MIN_PRECISION, MIN_ROWS, MAX_CONDITIONS = 0.9, 20, 3
+MIN_PRECISION, MIN_ROWS, MAX_CONDITIONS = 0.9, 8, 3
 
 
 def count_text(docs: DataFrame, text_col: str = "text", out: str = "counts") -> DataFrame:
     """Add the struct ``out`` of the counts of each text; a column of that name is replaced.
 
     Words in a window of three that occurs twice are found on hashes of windows, sorted with their
-    places, and only where a text has equal hashes at all.
+    places, and only where a text has equal hashes at all. Write the result before filtering by the
+    counts, as a filter is pushed below them and counts again.
     """
     names = [c for c in docs.columns if c.lower() != out.lower()]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -179,7 +180,8 @@ def cover(edges: dict[str, list[float]], cells: dict) -> list[Rule]:
             chosen.pop(k)
         covered = restrict(left, chosen) if chosen else {}
         good, bad = totals(covered)
-        if good + bad < MIN_ROWS or min(precision(covered, True), precision(covered, False)) < MIN_PRECISION:
+        other = totals(covered, False)
+        if good + bad < MIN_ROWS or precision(covered, None) < MIN_PRECISION or other[1] < MIN_PRECISION * sum(other):
             return rules
         conditions = tuple((names[i], least, edges[names[i]][k - 1]) for i, least, k in chosen)
         rules.append(Rule(conditions, bad / (good + bad), good + bad))
