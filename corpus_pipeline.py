@@ -26,8 +26,9 @@ NEAR_WORDS, NEAR_SHARE = 3, 87
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: the base rules and the list learned from the labels of these documents."""
     names = docs.columns
-    counted = count_text(docs, out="_counts")
-    rules = learn(materialise(counted.select("doc_id", "_counts"), "counts"), load(spark, sf_dir, "labels"), out="_counts")
+    # Written once: a filter on the counts would otherwise be pushed below them and count again.
+    counted = materialise(count_text(docs, out="_counts"), "counted")
+    rules = learn(counted, load(spark, sf_dir, "labels"), out="_counts")
     return counted.where(kept(rules, F.col("_counts"))).select(*names)
 
 
