@@ -86,6 +86,8 @@ def _split(points: DataFrame, root: Node, level: list[Node], keys: list[str]) ->
     node = root.column()
     wide = _widest(points, node, keys)
     level = [n for n in level if n.first in wide]
+    if not level:
+        return
     for n in level:
         n.by = wide[n.first]
     name = F.create_map(*[x for n in level for x in (F.lit(n.first), F.lit(n.by))])[F.col("node")]

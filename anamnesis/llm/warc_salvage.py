@@ -38,7 +38,7 @@ MAX_HEADER = 1 << 16
 #: Records in one archive file at most.
 FILE_RECORDS = 20_000
 
-_START = re.compile(rb"\x1f\x8b\x08|(?:\A|(?<=\n))WARC/[0-9]")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r\n")
 _FIRST = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 
