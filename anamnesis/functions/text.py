@@ -51,10 +51,15 @@ def number_spans(text: Column) -> Column:
 
 
 def _place(number: Column, index: Column) -> Column:
-    """Place id of the 0-based character: 6 for units, 7 for tens, 5 for the point, 4 for tenths."""
+    """Place id of the 0-based character: 6 for units, 7 for tens, 5 for the point, 4 for tenths.
+
+    A place that the place table has no id for (below 1, 100 and above) is 0, which has no vector.
+    """
     point = F.instr(number, ".")
     whole = F.when(point > 0, point - 1).otherwise(F.length(number))
-    return F.when(number.rlike(r"^\.{2,}$"), F.lit(0)).otherwise(whole + S.POINT_PLACE - index)
+    place = whole + S.POINT_PLACE - index
+    known = ~number.rlike(r"^\.{2,}$") & place.between(1, S.NUM_PLACES - 1)
+    return F.when(known, place).otherwise(F.lit(0))
 
 
 def digit_place_ids(number: Column) -> Column:
@@ -108,6 +113,10 @@ def plain_text(name: str, dtype: T.DataType) -> Column:
     return column.cast("string")
 
 
+#: Types whose text holds no decimal number, or has been rounded already.
+_WHOLE = (T.IntegralType, T.BooleanType, T.DateType, T.DoubleType, T.FloatType)
+
+
 class EventField:
     """One field of an event, its name and how its value is written and tokenised."""
 
@@ -115,7 +124,7 @@ class EventField:
         self.name = name
         self.present = F.col(f"`{name}`").isNotNull()
         text = plain_text(name, dtype)
-        if not verbatim and isinstance(dtype, T.StringType):
+        if not verbatim and not isinstance(dtype, _WHOLE):
             text = round_decimals(text)
         self.text = text if verbatim else space_digits(text)
         self.tokens = _tagged(words(text), S.TYPE_VALUE) if verbatim else value_tokens(text)

@@ -61,7 +61,7 @@ def describe_codes(events: DataFrame, codes: DataFrame) -> DataFrame:
     names = codes.where(F.col("description") != "").select(
         "code", F.col("description").alias("__description")
     )
-    described = attach(events, names, ["code"], "left")
+    described = events.join(names, "code", "left")
     return described.withColumn("code", F.coalesce("__description", "code")).select(*events.columns)
 
 
@@ -157,7 +157,6 @@ def history_span(index: DataFrame) -> DataFrame:
 def join_history(
     events: DataFrame,
     samples: DataFrame,
-    hot: HotGroups | None = None,
     chunk_events: int = S.ENCODE_CHUNK,
     block_samples: int = BLOCK_SAMPLES,
 ) -> DataFrame:
@@ -169,6 +168,7 @@ def join_history(
     (``from_idx`` is optional and 0 without it). Events are cut into chunks and samples
     into blocks, and the join runs on (subject, chunk, block): no key meets more than
     chunk x block rows, and each sample names only the chunks that its history touches.
+    Events of a chunk that no sample needs are dropped by the first join, on (subject, chunk).
     """
     if "from_idx" not in samples.columns:
         samples = samples.withColumn("from_idx", F.lit(0).cast("bigint"))
@@ -185,13 +185,10 @@ def join_history(
         chunk_of(F.col("from_idx")),
         chunk_of(F.col("n_events") - 1),
     )
-    blocks = samples.groupBy(SUBJECT).agg(F.max(block_of(F.col("sample_no"))).alias("__last_block"))
-    have = explode_range(
-        attach(events, blocks, [SUBJECT], hot=hot).withColumn("chunk", chunk_of(F.col("event_idx"))),
-        "block",
-        F.lit(0).cast("bigint"),
-        F.col("__last_block"),
-    ).drop("__last_block")
+    # A chunk goes to the blocks from the first to the last that need it, and to none if none does.
+    needed = wanted.groupBy(SUBJECT, "chunk").agg(F.min("block").alias("__from"), F.max("block").alias("__to"))
+    chunked = events.withColumn("chunk", chunk_of(F.col("event_idx"))).join(needed, [SUBJECT, "chunk"])
+    have = explode_range(chunked, "block", F.col("__from"), F.col("__to")).drop("__from", "__to")
     inside = (F.col("event_idx") >= F.col("from_idx")) & (F.col("event_idx") < F.col("n_events"))
     return have.join(wanted, [SUBJECT, "chunk", "block"]).where(inside)
 
@@ -276,9 +273,9 @@ def keep_subjects(events: DataFrame, subjects: DataFrame) -> DataFrame:
     return events.join(subjects.select(SUBJECT), SUBJECT, "left_semi")
 
 
-def partition_subjects(events: DataFrame, workers: int) -> DataFrame:
-    """Give each subject to one of ``workers`` parts of about equal subject counts."""
-    return events.withColumn("worker", F.pmod(F.xxhash64(SUBJECT), F.lit(workers)).cast("int"))
+def shard_of(subject: Column | str, shards: int) -> Column:
+    """The shard that all rows of a subject are written to."""
+    return F.pmod(F.xxhash64(subject), F.lit(shards)).cast("int")
 
 
 def latest_description(codes: DataFrame, order: Column) -> DataFrame:

@@ -41,22 +41,65 @@ def linear_heads(
     return df.withColumns(out)
 
 
-def fit_head(train: DataFrame, vector: str, label: str, iterations: int = 20) -> LogisticRegressionModel:
-    """A linear head (binary or multiclass by the labels present)."""
+PENALTY = 1e-4
+
+
+def fit_head(
+    train: DataFrame, vector: str, label: str, iterations: int = 1000, tolerance: float = 1e-9
+) -> LogisticRegressionModel:
+    """A linear head (binary or multiclass by the labels present), fitted until it converges.
+
+    The loss is the mean log loss plus ``PENALTY`` / 2 times the squared weights, without the
+    intercept. A fit that uses up its iterations is an error.
+    """
     rows = train.select(
         array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
         F.col(label).cast("double").alias("label"),
     )
-    return LogisticRegression(maxIter=iterations, regParam=1e-4).fit(rows)
+    learner = LogisticRegression(maxIter=iterations, regParam=PENALTY, tol=tolerance, standardization=False)
+    model = learner.fit(rows)
+    if model.summary.totalIterations >= iterations:
+        raise ValueError(f"the head did not converge in {iterations} iterations")
+    return model
 
 
-def predict_head(model: LogisticRegressionModel, df: DataFrame, vector: str) -> DataFrame:
-    """Add ``probability`` (one value per class) and ``predicted_label``."""
-    scored = model.transform(
-        df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    )
-    return scored.select(
-        *df.columns,
-        vector_to_array("probability").alias("probability"),
-        F.col("prediction").cast("int").alias("predicted_label"),
+
+def head_weights(model: LogisticRegressionModel) -> tuple[str, Weights]:
+    """Kind and weights of a fitted head, as ``linear_heads`` takes them."""
+    matrix = model.coefficientMatrix.toArray().tolist()
+    kind = "binary" if len(matrix) == 1 else "multiclass"
+    return kind, list(zip(matrix, model.interceptVector.toArray().tolist()))
+
+
+def predict_head(head: LogisticRegressionModel | tuple[str, Weights], df: DataFrame, vector: str) -> DataFrame:
+    """Add ``probability`` (one value per class) and ``predicted_label``, the first of the largest."""
+    kind, weights = head_weights(head) if isinstance(head, LogisticRegressionModel) else head
+    scored = linear_heads(df, {"probability": (kind, weights)}, vector)
+    if kind != "multiclass":
+        one = F.col("probability")[0]
+        scored = scored.withColumn("probability", F.array(1 - one, one))
+    largest = F.array_position("probability", F.array_max("probability")) - 1
+    return scored.withColumn("predicted_label", largest.cast("int"))
+
+
+def head_gradient(head: LogisticRegressionModel | tuple[str, Weights], train: DataFrame, vector: str, label: str) -> DataFrame:
+    """``(class, component, gradient)`` of the loss of ``fit_head`` at a head's weights.
+
+    Component -1 is the intercept. At the minimum every gradient is 0.
+    """
+    kind, weights = head_weights(head) if isinstance(head, LogisticRegressionModel) else head
+    scored = predict_head((kind, weights), train, vector)
+    classes = range(len(weights))
+    errors = F.array(
+        *[F.col("probability")[c + (kind != "multiclass")] - (F.col(label) == c + (kind != "multiclass")).cast("double") for c in classes]
     )
+    values = F.concat(F.transform(vector, lambda x: x.cast("double")), F.array(F.lit(1.0)))
+    rows = scored.select(F.posexplode(errors).alias("class", "__error"), values.alias("__x"))
+    rows = rows.select("class", "__error", F.posexplode("__x").alias("component", "__x"))
+    slope = rows.groupBy("class", "component").agg(F.avg(F.col("__error") * F.col("__x")).alias("__slope"))
+    width = len(weights[0][0])
+    flat = [(c, i, float(x)) for c in classes for i, x in enumerate([*weights[c][0], 0.0])]
+    known = train.sparkSession.createDataFrame(flat, "class int, component int, __w double")
+    gradient = F.col("__slope") + PENALTY * F.col("__w")
+    component = F.when(F.col("component") == width, -1).otherwise(F.col("component"))
+    return slope.join(known, ["class", "component"]).select("class", component.alias("component"), gradient.alias("gradient"))

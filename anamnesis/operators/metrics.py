@@ -35,8 +35,8 @@ def task_table(tasks: DataFrame, source: str | None = None, name: str = "task")
 
 
 def task_filter(df: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Rows of the given tasks; the list of tasks is short and known by name."""
-    return df.join(F.broadcast(tasks.select("task").distinct()), "task", "left_semi")
+    """Rows of the given tasks."""
+    return df.join(tasks.select("task").distinct(), "task", "left_semi")
 
 
 def _clamped_log(p: Column) -> Column:
@@ -165,6 +165,38 @@ def metrics_of_binary(df: DataFrame, truth: str = "truth", p: str = "score") ->
     )
 
 
+def metrics_of_arrays(df: DataFrame, kind: str, truth: str = "truth", p: str = "p") -> DataFrame:
+    """The same for multilabel or multiclass rows, whose ranking metrics are micro averages.
+
+    A row whose truth holds -1 is masked: it counts in the divisor of the loss only.
+    """
+    known = df.where(~F.array_contains(truth, -1.0))
+    loss = masked_multilabel_loss if kind == "multilabel" else masked_nll_loss
+    accuracy = subset_accuracy if kind == "multilabel" else multiclass_accuracy
+    return (
+        loss(df, ["task"], truth, p)
+        .join(ranking_metrics(ravel(known, ["task"], truth, p), ["task"], "truth", "score"), "task")
+        .join(accuracy(known, ["task"], truth, p), "task")
+    )
+
+
+def evaluate(
+    binary: DataFrame | None = None, multilabel: DataFrame | None = None, multiclass: DataFrame | None = None
+) -> DataFrame:
+    """Metric records of a run over tasks of all kinds, with the mean over tasks as task ``avg``.
+
+    ``binary`` is ``(task, truth, score)``, the others are ``(task, truth, p)`` with arrays.
+    """
+    parts = [] if binary is None else [metrics_of_binary(binary)]
+    parts += [] if multilabel is None else [metrics_of_arrays(multilabel, "multilabel")]
+    parts += [] if multiclass is None else [metrics_of_arrays(multiclass, "multiclass")]
+    names = ["task", "loss", "auprc", "auroc", "acc"]
+    table = parts[0].select(*names)
+    for part in parts[1:]:
+        table = table.unionByName(part.select(*names))
+    return task_metrics(table)
+
+
 def task_metrics(per_task: DataFrame) -> DataFrame:
     """Long ``(task, metric, value)`` with the unweighted mean over tasks as task ``avg``.
 
@@ -179,24 +211,29 @@ def task_metrics(per_task: DataFrame) -> DataFrame:
 def early_stop(
     history: DataFrame, patience: int = S.PATIENCE, metric: str = "avg_auroc", run: str = "run_id"
 ) -> DataFrame:
-    """Per epoch: is it the best so far, epochs since the best, and is it within the run.
+    """Per epoch: is it the best so far, evaluations since the best, and is it within the run.
 
     An epoch as good as the best counts as better. ``stopped`` marks the first epoch whose
     counter reaches the patience; later epochs are not part of the run. Metrics with
     ``loss`` in their name are better when lower.
     """
     value = -F.col("value") if "loss" in metric else F.col("value")
-    best = running(history, [run], ["epoch"], {"__best": ("max", value, False)})
+    best = running(
+        history,
+        [run],
+        ["epoch"],
+        {"__best": ("max", value, False), "__row": ("sum", F.lit(1).cast("bigint"))},
+    )
     better = F.col("__best").isNull() | (value >= F.col("__best"))
     marked = best.withColumn("is_best", better)
-    best_epoch = F.when(F.col("is_best"), F.col("epoch"))
-    counted = running(marked, [run], ["epoch"], {"__at": ("max", best_epoch)}).withColumn(
-        "counter", F.col("epoch") - F.col("__at")
+    best_row = F.when(F.col("is_best"), F.col("__row"))
+    counted = running(marked, [run], ["epoch"], {"__at": ("max", best_row)}).withColumn(
+        "counter", F.col("__row") - F.col("__at")
     )
     reached = (F.col("counter") >= patience).cast("bigint")
     stopped = running(counted, [run], ["epoch"], {"__stops": ("sum", reached, False)})
     return (
         stopped.where(F.col("__stops") == 0)
         .withColumn("stopped", F.col("counter") >= patience)
-        .drop("__best", "__at", "__stops")
+        .drop("__best", "__row", "__at", "__stops")
     )

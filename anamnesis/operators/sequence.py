@@ -101,7 +101,8 @@ def reassemble_chunks(
         F.count(F.lit(1)).alias("__present")
     )
     complete = present.join(expected, key).where(F.col("__present") == F.col("num_chunks")).select(key)
-    kept = attach(pieces, complete, [key], hot=hot)
+    # A chunk may be delivered more than once; each of its places counts once.
+    kept = attach(pieces, complete, [key], hot=hot).dropDuplicates([key, "chunk", "pos"])
     return kept.withColumn("event_idx", F.col("chunk") * max_len + F.col("pos")).drop("chunk", "pos")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from anamnesis.sources.workspace import materialise
 
 HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 50_000
-MAX_SEGMENTS = 20_000
+#: Hot groups up to which their list, and one partner row for each, is broadcast.
+BROADCAST_GROUPS = 100_000
 SALTS = 64
 STEP = 4096
 
@@ -29,24 +29,26 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 class HotGroups:
-    """The heaviest groups of a table: at most ``MAX_HOT_GROUPS`` keys with their sizes.
+    """All groups of a table above a number of rows, as a written table of keys and sizes.
 
-    Whatever is left out of a full list holds less than total / MAX_HOT_GROUPS rows,
-    so the list is small whatever the data and no remaining group is large.
+    Find them once for a job and hand them to its steps. The list is as long as the data
+    make it; only a short one is broadcast.
     """
 
     def __init__(self, heavy: DataFrame, keys: Sequence[str]) -> None:
         self.keys = list(keys)
-        self._spark, self._schema = heavy.sparkSession, heavy.schema
-        self._rows = heavy.toArrow()
-        self.total = sum(self._rows.column("__n").to_pylist())
+        self._table = materialise(heavy, "hot")
+        self.count, self.total = self._table.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
 
     def __bool__(self) -> bool:
-        return self._rows.num_rows > 0
+        return self.count > 0
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """A table of at most one row per hot group, broadcast when there are few groups."""
+        return F.broadcast(df) if self.count <= BROADCAST_GROUPS else df
 
     def frame(self) -> DataFrame:
-        table = self._spark.createDataFrame(self._rows, self._schema)
-        return F.broadcast(table.select(*[F.col(k).alias(f"__hot_{k}") for k in self.keys]))
+        return self.few(self._table.select(*[F.col(k).alias(f"__hot_{k}") for k in self.keys]))
 
     def _matches(self, df: DataFrame) -> tuple[DataFrame, Column]:
         hot = self.frame()
@@ -71,8 +73,6 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Ho
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > limit)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT_GROUPS)
     )
     return HotGroups(heavy, keys)
 
@@ -135,23 +135,19 @@ def running_split(df, keys, order, measures, total: int | None = None) -> DataFr
 
     The rows are range partitioned by (keys, order) and written, so that each row's
     segment number is fixed. Each segment is scanned on its own, and one carry per
-    (group, segment) brings in what came before. There is one carry per segment plus
-    one per group, which makes the carry table as small as the number of segments.
+    (group, segment) brings in what came before. A segment holds about ``hot_rows`` rows
+    where the ``total`` of rows is known, else the session's partitions set it. There are
+    as many carries as segments and groups together; they are joined by an ordinary join.
     """
     spark = df.sparkSession
     named = {f"__in_{i}": _measure(spec)[1] for i, spec in enumerate(measures.values())}
     ranked = df.withColumns(named) if named else df
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    per_segment = hot_rows(spark)
     if total is None:
-        parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = ranked.repartitionByRange(*by)
     else:
-        parallel = total // per_segment + 1
-    parallel = max(2, min(parallel, MAX_SEGMENTS))
-    fixed = materialise(
-        ranked.repartitionByRange(parallel, *by).withColumn(_SEG, F.spark_partition_id()),
-        "segments",
-    )
+        ranged = ranked.repartitionByRange(max(2, total // hot_rows(spark) + 1), *by)
+    fixed = materialise(ranged.withColumn(_SEG, F.spark_partition_id()), "segments")
 
     inputs = {}
     for i, (name, spec) in enumerate(measures.items()):
@@ -175,7 +171,7 @@ def running_split(df, keys, order, measures, total: int | None = None) -> DataFr
     condition = F.col(_SEG) == F.col("__c_seg")
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"__c_{key}"))
-    joined = local.join(F.broadcast(carry), condition)
+    joined = local.join(carry, condition)
     out = {
         n: _COMBINE[k][1](F.col(f"__c_of_{n}"), F.col(n)) for n, (k, _, _) in inputs.items()
     }
@@ -189,20 +185,16 @@ def row_in_window(
 ) -> DataFrame:
     """The first ``limit`` rows per key with their ``rank``.
 
-    Up to a limit that the session sets, Spark cuts each input partition down before the
-    shuffle. Beyond it the rows are first ranked in ``SALTS`` parts of each group.
+    The rows are first ranked in ``SALTS`` parts of each group, so that a group that all
+    input partitions hold doesn't meet in one task with all their candidates.
     """
-    spark = df.sparkSession
-    cut_early = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
-    if limit > cut_early:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        df = first(salted, *keys, "__salt").drop("rank", "__salt")
-    return first(df, *keys)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    return first(first(salted, *keys, "__salt").drop("rank", "__salt"), *keys)
 
 
 def explode_range(df: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
@@ -222,12 +214,12 @@ def attach(
 ) -> DataFrame:
     """Join a table that has at most one row per key.
 
-    Rows of hot keys meet their few partner rows (one per hot key) by broadcast, the
-    rest is an ordinary join.
+    Rows of hot keys meet their partner rows, one per hot key, by broadcast where these are
+    few, else in a join that adaptive execution splits. The rest is an ordinary join.
     """
     hot = find_hot(df, keys) if hot is None else hot
     if not hot:
         return df.join(unique, list(keys), how)
     cold = hot.outside(df).join(unique, list(keys), how)
-    few = F.broadcast(hot.inside(unique))
+    few = hot.few(hot.inside(unique))
     return cold.unionByName(hot.inside(df).join(few, list(keys), how))

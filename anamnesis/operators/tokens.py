@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anamnesis import settings as S
 from anamnesis.functions.text import event_fields, event_text, event_tokens
-from anamnesis.operators.skew import running
+from anamnesis.operators.skew import HotGroups, attach, find_hot, hot_rows, running
 
 
 def textify(events: DataFrame, not_fields: Sequence[str] = ("subject_id", "time"), **options) -> DataFrame:
@@ -46,8 +46,10 @@ def token_rows(events: DataFrame, keys: Sequence[str], tokens: str = "tokens") -
 
 
 
-def build_vocabulary(rows: DataFrame, size: int = S.VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent tokens with their ids; ids below ``FIRST_WORD_ID`` are reserved.
+def build_vocabulary(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """All distinct tokens with their ids, the most frequent first; ids below ``FIRST_WORD_ID`` are reserved.
+
+    With ``size`` only the ids below it, for a vocabulary of a given size.
 
     The rank over all distinct tokens is a running count over range-ordered segments.
     """
@@ -60,27 +62,25 @@ def build_vocabulary(rows: DataFrame, size: int = S.VOCABULARY_SIZE) -> DataFram
         counted, [], [F.desc("n"), "token"], {"__rank": ("sum", F.lit(1).cast("bigint"), False)}
     )
     words = ranked.withColumn("token_id", (F.col("__rank") + S.FIRST_WORD_ID).cast("int"))
-    return words.where(F.col("token_id") < size).select("token", "n", "token_id")
+    words = words if size is None else words.where(F.col("token_id") < size)
+    return words.select("token", "n", "token_id")
 
 
-def token_ids(rows: DataFrame, vocabulary: DataFrame, size: int = S.VOCABULARY_SIZE) -> DataFrame:
+def token_ids(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Add ``token_id``: reserved ids, vocabulary ids, and the unknown id for the rest.
 
-    The vocabulary is cut at its fixed size, which bounds what is broadcast.
+    Frequent tokens are hot keys of the join. Where the vocabulary has their counts ``n``, they are known
+    without counting the rows; their entries are few and broadcast, the rest is an ordinary join.
     """
-    words = F.broadcast(
-        vocabulary.where(F.col("token_id") < size).select(
-            F.col("token").alias("__word"), F.col("token_id").alias("__word_id")
-        )
-    )
+    words = vocabulary.select("token", F.col("token_id").alias("__word_id"))
     reserved = F.lit(None).cast("int")
     for token, token_id in S.SPECIAL_TOKEN_IDS.items():
         reserved = F.when(F.col("token") == token, F.lit(token_id)).otherwise(reserved)
-    return (
-        rows.join(words, F.col("token") == F.col("__word"), "left")
-        .withColumn(
-            "token_id",
-            F.coalesce(reserved, F.col("__word_id"), F.lit(S.SPECIAL_TOKEN_IDS[S.TOKEN_UNK])),
-        )
-        .drop("__word", "__word_id")
-    )
+    if "n" in vocabulary.columns:
+        frequent = vocabulary.where(F.col("n") > hot_rows(rows.sparkSession))
+        hot = HotGroups(frequent.select("token", F.col("n").alias("__n")), ["token"])
+    else:
+        hot = find_hot(rows, ["token"])
+    unknown = F.lit(S.SPECIAL_TOKEN_IDS[S.TOKEN_UNK])
+    found = attach(rows, words, ["token"], "left", hot)
+    return found.withColumn("token_id", F.coalesce(reserved, F.col("__word_id"), unknown)).drop("__word_id")

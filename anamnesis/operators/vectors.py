@@ -16,12 +16,17 @@ from pyspark.sql import types as T
 
 from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
+from anamnesis.sources.workspace import send_code
 
 
-def _known_ids(table: DataFrame, id_column: str, vector: str, size: int) -> DataFrame:
-    """An embedding table cut to its fixed size; id 0 is padding and adds nothing."""
-    bounded = table.where(F.col(id_column).between(1, size - 1))
-    return bounded.select(id_column, F.col("embedding").cast("array<double>").alias(vector))
+#: Bytes of all tables that ``event_vectors`` sends to the executors.
+MAX_TABLE_BYTES = 2 << 30
+
+
+def _known_ids(table: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """An embedding table; id 0 is padding and adds nothing."""
+    known = table.where(F.col(id_column) > 0)
+    return known.select(id_column, F.col("embedding").cast("array<double>").alias(vector))
 
 
 def _add_known(left: Column, right: Column) -> Column:
@@ -37,8 +42,8 @@ def token_embedding_lookup(
 ) -> DataFrame:
     """Add ``vector``: the sum of token, type and digit-place vectors.
 
-    Type and place vectors are added up once per pair of ids. Both tables that are
-    broadcast have fixed sizes: the pairs and the vocabulary.
+    Type and place vectors are added up once per pair of ids; that table has a fixed
+    size and is broadcast. The token table is joined as its size asks.
     """
     ids = tokens.sparkSession.range(S.NUM_TYPES * S.NUM_PLACES)
     pairs = (
@@ -46,12 +51,12 @@ def token_embedding_lookup(
             F.floor(F.col("id") / S.NUM_PLACES).cast("int").alias("type_id"),
             (F.col("id") % S.NUM_PLACES).cast("int").alias("dpe_id"),
         )
-        .join(_known_ids(type_table, "type_id", "__b", S.NUM_TYPES), "type_id", "left")
-        .join(_known_ids(place_table, "dpe_id", "__c", S.NUM_PLACES), "dpe_id", "left")
+        .join(_known_ids(type_table, "type_id", "__b"), "type_id", "left")
+        .join(_known_ids(place_table, "dpe_id", "__c"), "dpe_id", "left")
         .select("type_id", "dpe_id", _add_known(F.col("__b"), F.col("__c")).alias("__pair"))
     )
-    words = _known_ids(token_table, "token_id", "__word", S.VOCABULARY_SIZE)
-    joined = tokens.join(F.broadcast(words), "token_id", "left").join(
+    words = _known_ids(token_table, "token_id", "__word")
+    joined = tokens.join(words, "token_id", "left").join(
         F.broadcast(pairs), ["type_id", "dpe_id"], "left"
     )
     nothing = F.array_repeat(F.lit(0.0), dim)
@@ -73,19 +78,30 @@ def first_pool(df: DataFrame, keys: Sequence[str], vector: str, order: str) -> D
     return df.groupBy(*keys).agg(F.min_by(vector, order).alias("pooled"))
 
 
-def _matrix(table: DataFrame, id_column: str, size: int, dim: int) -> np.ndarray:
-    """An embedding table as a matrix by id; at most ``size`` rows are read."""
-    bounded = table.where(F.col(id_column).between(1, size - 1)).select(id_column, "embedding")
-    rows = bounded.toArrow()
-    matrix = np.zeros((size, dim), dtype=np.float32)
+def _matrix(table: DataFrame, id_column: str, dim: int) -> np.ndarray:
+    """An embedding table as a matrix by id, with zeros for ids it lacks."""
+    known = table.where(F.col(id_column) > 0).select(id_column, "embedding")
+    largest = known.agg(F.max(id_column)).first()[0] or 0
+    if (largest + 1) * dim * 4 > MAX_TABLE_BYTES:
+        raise ValueError(f"{id_column} goes up to {largest}: its table is too large to send, use token_embedding_lookup")
+    rows = known.toArrow()
+    matrix = np.zeros((largest + 1, dim), dtype=np.float32)
     if rows.num_rows:
         vectors = rows.column("embedding").combine_chunks().flatten().to_numpy()
         matrix[rows.column(id_column).to_numpy()] = vectors.reshape(rows.num_rows, dim)
     return matrix
 
 
-def _word_ids(vocabulary: DataFrame, size: int) -> tuple[pa.Array, np.ndarray]:
-    rows = vocabulary.where(F.col("token_id") < size).select("token", "token_id").toArrow()
+def _rows(matrix: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Vectors by id; an id that the table lacks has none, as in a left join."""
+    return matrix[np.where((ids >= 0) & (ids < len(matrix)), ids, 0)]
+
+
+def _word_ids(vocabulary: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    size = vocabulary.agg(F.sum(F.octet_length("token") + 12)).first()[0] or 0
+    if size > MAX_TABLE_BYTES:
+        raise ValueError(f"a vocabulary of {size} bytes is too large to send, use token_embedding_lookup")
+    rows = vocabulary.select("token", "token_id").toArrow()
     words = list(S.SPECIAL_TOKEN_IDS) + rows.column("token").to_pylist()
     ids = list(S.SPECIAL_TOKEN_IDS.values()) + rows.column("token_id").to_pylist()
     return pa.array(words, pa.string()), np.array(ids)
@@ -101,22 +117,24 @@ def event_vectors(
     type_table: DataFrame,
     place_table: DataFrame,
     dim: int,
-    size: int = S.VOCABULARY_SIZE,
     tokens_column: str = "tokens",
 ) -> DataFrame:
     """Turn the ``tokens`` of each event into ``repr``: the mean of the vectors of its tokens.
 
-    The tables have fixed sizes (vocabulary, types, places) and are sent to the executors
-    once. Tokens stay nested, so neither tokens nor vectors are shuffled.
+    The tables and the vocabulary are sent to the executors once; their sizes are checked, and a
+    table beyond ``MAX_TABLE_BYTES`` is refused. Tokens stay nested, so neither tokens nor
+    vectors are shuffled.
     """
-    words, ids = _word_ids(vocabulary, size)
+    send_code(events.sparkSession)
+    words, ids = _word_ids(vocabulary)
+    unknown, most = S.SPECIAL_TOKEN_IDS[S.TOKEN_UNK], S.MAX_EVENT_TOKENS
     shared = events.sparkSession.sparkContext.broadcast(
         (
             words,
             ids,
-            _matrix(token_table, "token_id", size, dim),
-            _matrix(type_table, "type_id", S.NUM_TYPES, dim),
-            _matrix(place_table, "dpe_id", S.NUM_PLACES, dim),
+            _matrix(token_table, "token_id", dim),
+            _matrix(type_table, "type_id", dim),
+            _matrix(place_table, "dpe_id", dim),
         )
     )
 
@@ -124,10 +142,10 @@ def event_vectors(
         words, ids, by_token, by_type, by_place = shared.value
         flat = tokens.flatten()
         found = pc.fill_null(pc.index_in(flat.field("token"), value_set=words), -1).to_numpy()
-        token_ids = np.where(found >= 0, ids[found], S.SPECIAL_TOKEN_IDS[S.TOKEN_UNK])
-        vectors = by_token[token_ids].astype(np.float64)
-        vectors += by_type[flat.field("type_id").to_numpy()]
-        vectors += by_place[flat.field("dpe_id").to_numpy()]
+        token_ids = np.where(found >= 0, ids[found], unknown)
+        vectors = _rows(by_token, token_ids).astype(np.float64)
+        vectors += _rows(by_type, flat.field("type_id").to_numpy())
+        vectors += _rows(by_place, flat.field("dpe_id").to_numpy())
         lengths = pc.list_value_length(tokens).to_numpy()
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return np.add.reduceat(vectors, starts, axis=0) / lengths[:, None]
@@ -138,7 +156,7 @@ def event_vectors(
     )
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, VALUES_AT_ONCE // (dim * S.MAX_EVENT_TOKENS))
+        step = max(1, VALUES_AT_ONCE // (dim * most))
         for batch in batches:
             tokens = batch.column(tokens_column)
             parts = [means(tokens.slice(i, step)) for i in range(0, len(tokens), step)]
@@ -159,6 +177,7 @@ def encode_with(
     encode: Callable[[pd.DataFrame], np.ndarray],
 ) -> DataFrame:
     """One vector per event from a user function on batches of rows."""
+    send_code(events.sparkSession)
     columns = [*keys, *inputs]
     key_schema = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
 

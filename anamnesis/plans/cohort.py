@@ -35,7 +35,7 @@ def histories(spark, sf_dir):
 def joined(spark, sf_dir, *columns):
     events, samples, hot = histories(spark, sf_dir)
     narrow = events.select("subject_id", "event_idx", *columns)
-    return C.join_history(narrow, samples, hot)
+    return C.join_history(narrow, samples)
 
 
 @query(
@@ -202,9 +202,10 @@ def id_set_equality(spark, sf_dir):
 SELECT subject_id, CAST(1 AS BIGINT) AS n_workers, count(*) AS n_events FROM kept GROUP BY subject_id""",
 )
 def partition_subjects(spark, sf_dir):
-    parts = C.partition_subjects(X.kept(spark, sf_dir), 8)
-    per_worker = parts.groupBy("subject_id", "worker").agg(F.count(F.lit(1)).alias("n"))
-    return per_worker.groupBy("subject_id").agg(
+    """The shards that the rows of a subject are written to: always one."""
+    parts = X.kept(spark, sf_dir).withColumn("shard_id", C.shard_of("subject_id", 8))
+    per_shard = parts.groupBy("subject_id", "shard_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_shard.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("n_workers"), F.sum("n").alias("n_events")
     )
 
@@ -314,7 +315,7 @@ def event_index(spark, sf_dir):
     started = running(
         samples, [], ["subject_id", "sample_no"], {"start": ("sum", F.col("n_events"), False)}
     )
-    rows = C.join_history(events.select("subject_id", "event_idx", "event_id"), started, hot)
+    rows = C.join_history(events.select("subject_id", "event_idx", "event_id"), started)
     return rows.select(
         "sample_id", "event_id", "event_idx", (F.col("start") + F.col("event_idx")).alias("flat_offset")
     )
@@ -356,7 +357,7 @@ SELECT sample_id, event_id, event_idx FROM joined WHERE event_idx >= n_events -
 def history_tail(spark, sf_dir):
     events, samples, hot = histories(spark, sf_dir)
     narrow = events.select("subject_id", "event_idx", "event_id")
-    return C.join_history(narrow, C.tail_of(samples, 8), hot).select("sample_id", "event_id", "event_idx")
+    return C.join_history(narrow, C.tail_of(samples, 8)).select("sample_id", "event_id", "event_idx")
 
 
 @query(
@@ -370,6 +371,6 @@ def history_window(spark, sf_dir):
     events, samples, hot = histories(spark, sf_dir)
     narrow = events.select("subject_id", "event_idx", "event_id", "time_min")
     windowed = Q.window_start(samples, narrow, 240, hot)
-    return C.join_history(narrow, windowed, hot).select(
+    return C.join_history(narrow, windowed).select(
         "sample_id", "event_id", F.col("time_min").cast("bigint").alias("time_min")
     )

@@ -52,6 +52,10 @@ def multilabel(spark, sf_dir):
     )
 
 
+MULTILABEL_ROWS_SQL = """label_rows AS (
+  SELECT CAST(greatest(quality, 0) AS DOUBLE) AS t0, CAST(greatest(toxic, 0) AS DOUBLE) AS t1,
+         p_quality AS p0, p_toxic AS p1 FROM scores)"""
+
 MULTILABEL_SQL = X.SCORES_SQL + """,
 rows AS (SELECT CAST(greatest(quality, 0) AS DOUBLE) AS t0, CAST(greatest(toxic, 0) AS DOUBLE) AS t1,
                 p_quality AS p0, p_toxic AS p1 FROM scores)"""
@@ -73,9 +77,14 @@ def masked_multilabel_loss(spark, sf_dir):
 
 
 def multiclass(spark, sf_dir):
-    """Ten classes scored by the first ten components of the vector; class 3 is unknown."""
+    """Ten classes, each scored by every tenth component of the vector; class 3 is unknown."""
     rows = X.vectors(spark, sf_dir)
-    raised = F.transform(F.slice("repr", 1, 10), lambda x: F.exp(5 * x.cast("double")))
+
+    def score(c):
+        own = F.filter("repr", lambda x, i: i % 10 == c)
+        return F.exp(F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double")))
+
+    raised = F.transform(F.sequence(F.lit(0), F.lit(9)), score)
     total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "event_idx",
@@ -85,7 +94,8 @@ def multiclass(spark, sf_dir):
 
 
 MULTICLASS_SQL = """raised AS (
-  SELECT vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda x: exp(5 * CAST(x AS DOUBLE))) AS e FROM embeddings),
+  SELECT vec_id, label, list_transform(range(10), lambda c:
+    exp(list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: (i - 1) % 10 = c)))) AS e FROM embeddings),
 rows AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM raised)"""
 
 
@@ -114,16 +124,15 @@ def auprc(spark, sf_dir):
 pairs AS (SELECT unnest(range(10)) AS c, label, p FROM rows WHERE label <> 3),
 counts AS (
   SELECT score, sum(t) AS pos, sum(1 - t) AS neg
-  FROM (SELECT CAST(label = c AS INTEGER) AS t, round(p[c + 1], 3) AS score FROM pairs) GROUP BY score),
+  FROM (SELECT CAST(label = c AS INTEGER) AS t, p[c + 1] AS score FROM pairs) GROUP BY score),
 ranked AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM counts WINDOW w AS (ORDER BY score DESC))
 SELECT 'creatinine_1' AS task, round(1 - sum(pos * (fp - neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auroc,
        round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS auprc FROM ranked""",
 )
 def micro_ranking(spark, sf_dir):
-    """Micro average over all (row, class) pairs; scores on a grid, so that ties count."""
+    """Micro average over all (row, class) pairs."""
     rows = multiclass(spark, sf_dir).where(~F.array_contains("truth", -1.0))
     pairs = M.ravel(rows.withColumn("task", F.lit("creatinine_1")), ["task"], "truth", "p")
-    pairs = pairs.withColumn("score", F.round("score", 3))
     return rounded(M.ranking_metrics(pairs, ["task"], "truth", "score"), "auroc", "auprc")
 
 
@@ -150,9 +159,33 @@ def accuracy(spark, sf_dir):
 
 @query(
     "task_metrics",
-    "WITH " + METRIC_SQL + """,
+    "WITH " + METRIC_SQL + ",\n" + MULTILABEL_ROWS_SQL + ",\n" + MULTICLASS_SQL.replace("rows AS", "class_rows AS") + f""",
+pairs AS (
+  SELECT 'diagnosis' AS task, t0 AS truth, p0 AS score FROM label_rows WHERE t0 + t1 > 0
+  UNION ALL SELECT 'diagnosis', t1, p1 FROM label_rows WHERE t0 + t1 > 0
+  UNION ALL SELECT 'creatinine_1', CAST(label = c AS DOUBLE), p[c + 1]
+  FROM (SELECT *, unnest(range(10)) AS c FROM class_rows WHERE label <> 3)),
+pair_counts AS (SELECT task, score, sum(truth) AS pos, sum(1 - truth) AS neg FROM pairs GROUP BY task, score),
+pair_ranked AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM pair_counts WINDOW w AS (PARTITION BY task ORDER BY score DESC)),
+pair_ranking AS (
+  SELECT task, 1 - sum(pos * (fp - neg / 2.0)) / (sum(pos) * sum(neg)) AS auroc,
+         sum(pos * tp / (tp + fp)) / sum(pos) AS auprc FROM pair_ranked GROUP BY task),
+pair_losses AS (
+  SELECT 'diagnosis' AS task, sum(CASE WHEN t0 + t1 > 0 THEN
+      -(t0 * {clamp('p0')} + (1 - t0) * {clamp('1 - p0')} + t1 * {clamp('p1')} + (1 - t1) * {clamp('1 - p1')}) / 2
+      ELSE 0 END) / count(*) AS loss FROM label_rows
+  UNION ALL
+  SELECT 'creatinine_1', sum(CASE WHEN label = 3 THEN 0 ELSE -ln(p[label + 1] + 1e-10) END) / count(*) FROM class_rows),
+pair_hits AS (
+  SELECT 'diagnosis' AS task, avg(CAST(round_even(p0, 0) = t0 AND round_even(p1, 0) = t1 AS INTEGER)) AS acc
+  FROM label_rows WHERE t0 + t1 > 0
+  UNION ALL
+  SELECT 'creatinine_1', avg(CAST(list_position(p, list_max(p)) - 1 = label AS INTEGER)) FROM class_rows WHERE label <> 3),
 per_task AS (
-  SELECT l.task, loss, auprc, auroc, acc FROM losses l JOIN ranking r ON l.task = r.task JOIN hits h ON l.task = h.task),
+  SELECT l.task, loss, auprc, auroc, acc FROM losses l JOIN ranking r ON l.task = r.task JOIN hits h ON l.task = h.task
+  UNION ALL
+  SELECT l.task, loss, auprc, auroc, acc FROM pair_losses l JOIN pair_ranking r ON l.task = r.task JOIN pair_hits h ON l.task = h.task),
 long AS (
   SELECT task, 'loss' AS metric, loss AS value FROM per_task UNION ALL SELECT task, 'auprc', auprc FROM per_task
   UNION ALL SELECT task, 'auroc', auroc FROM per_task UNION ALL SELECT task, 'acc', acc FROM per_task)
@@ -160,8 +193,10 @@ SELECT task, metric, round(value, 6) AS value FROM long
 UNION ALL SELECT 'avg', metric, round(avg(value), 6) FROM long GROUP BY metric""",
 )
 def task_metrics(spark, sf_dir):
-    rows = X.long_scores(spark, sf_dir)
-    return rounded(M.task_metrics(M.metrics_of_binary(rows)), "value")
+    """Tasks of all three kinds, and their mean."""
+    many = multilabel(spark, sf_dir).withColumn("task", F.lit("diagnosis"))
+    one = multiclass(spark, sf_dir).withColumn("task", F.lit("creatinine_1"))
+    return rounded(M.evaluate(X.long_scores(spark, sf_dir), many, one), "value")
 
 
 @query(
@@ -204,20 +239,22 @@ def task_filter(spark, sf_dir):
 def metric_history(spark, sf_dir):
     events = X.table(spark, sf_dir, "events")
     epoch = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    return events.groupBy(F.col("event_type").alias("run_id"), epoch.cast("bigint").alias("epoch")).agg(
+    daily = events.groupBy(F.col("event_type").alias("run_id"), epoch.cast("bigint").alias("epoch")).agg(
         F.round(F.avg("value"), 1).alias("value")
     )
+    return daily.where(F.col("epoch") % 3 != 1)  # some epochs were not evaluated
 
 
 EARLY_STOP_SQL = """WITH history AS (
   SELECT event_type AS run_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS epoch, round(avg(value), 1) AS value
-  FROM events GROUP BY 1, 2),
+  FROM events GROUP BY 1, 2 HAVING epoch % 3 <> 1),
 signed AS (SELECT *, {sign}value AS v FROM history),
 best AS (
   SELECT *, coalesce(v >= max(v) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best
   FROM signed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS n FROM best),
 counted AS (
-  SELECT *, epoch - max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS counter FROM best),
+  SELECT *, n - max(CASE WHEN is_best THEN n END) OVER (PARTITION BY run_id ORDER BY epoch) AS counter FROM numbered),
 stops AS (SELECT run_id, min(epoch) AS stop FROM counted WHERE counter >= 3 GROUP BY run_id)
 SELECT c.run_id, c.epoch, c.value, c.is_best, c.counter, c.counter >= 3 AS stopped
 FROM counted c LEFT JOIN stops s ON c.run_id = s.run_id WHERE s.stop IS NULL OR c.epoch <= s.stop"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anamnesis import settings as S
 from anamnesis.functions import arrays as A
 from anamnesis.functions.time import time_features as features
 from anamnesis.functions.vectors import text_of
@@ -121,8 +122,8 @@ FROM token_rows r JOIN times t ON r.event_id = t.event_id""",
 def token_event_time(spark, sf_dir):
     """The time of a token is found from the separators before it, not from its event id."""
     kept = X.kept(spark, sf_dir)
-    # The events stand for their tokens in the size check; an event has some 32 of them.
-    hot = find_hot(kept, ["subject_id"], hot_rows(spark) // 32)
+    # The events stand for their tokens in the size check; an event has at most so many.
+    hot = find_hot(kept, ["subject_id"], hot_rows(spark) // S.MAX_EVENT_TOKENS)
     placed = C.order_events(kept, X.TIE, hot)
     events = TP.K.tokenize(placed, (*TP.NOT_FIELDS_OR_IDS, "event_idx", "time_min"))
     stream = TP.K.token_rows(events, ["subject_id", "event_id", "event_idx"])
@@ -166,6 +167,18 @@ def limit_debug(spark, sf_dir):
     return Q.limit_samples(rows, ["subject_id", "sample_no"])
 
 
+@query(
+    "limit_debug_few",
+    "WITH " + X.JOINED_SQL + """
+SELECT DISTINCT subject_id, sample_no, sample_id, n_events FROM joined ORDER BY subject_id, sample_no LIMIT 50""",
+)
+def limit_debug_few(spark, sf_dir):
+    """The same with a limit below the number of samples of the given tables."""
+    index = C.sample_index(X.kept(spark, sf_dir), X.cohort(spark, sf_dir))
+    rows = index.select("subject_id", "sample_no", "sample_id", "n_events")
+    return Q.limit_samples(rows, ["subject_id", "sample_no"], count=50)
+
+
 @query(
     "cap_tokens_by_chunks",
     "WITH " + TP.ROWS_SQL + """,
@@ -182,12 +195,11 @@ def cap_tokens_by_chunks(spark, sf_dir):
     return capped.select("subject_id", "event_id", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-# --- padding: the last 48 event times of each subject, eight subjects per batch ----------
+# --- padding: the event times of each subject, eight subjects per batch ------------------
 
 
 def batches(spark, sf_dir):
-    tail = Q.tail_events(subject_events(spark, sf_dir), "subject_id", 48)
-    lists = tail.groupBy("subject_id").agg(
+    lists = subject_events(spark, sf_dir).groupBy("subject_id").agg(
         F.sort_array(F.collect_list(F.struct("event_idx", "time_min"))).alias("__rows")
     )
     return lists.select(
@@ -198,11 +210,9 @@ def batches(spark, sf_dir):
 
 
 BATCHES_SQL = X.PLACED_SQL + """,
-tails AS (
-  SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM placed),
 lists AS (
   SELECT subject_id, subject_id // 8 AS batch, list(time_min ORDER BY event_idx) AS times
-  FROM tails WHERE event_idx >= n - 48 GROUP BY subject_id),
+  FROM placed GROUP BY subject_id),
 sized AS (SELECT *, max(len(times)) OVER (PARTITION BY batch) AS longest FROM lists)"""
 
 RIGHT_SQL = """SELECT subject_id, CAST({size} AS BIGINT) AS padded_to,
@@ -229,13 +239,14 @@ def pad_pow2(spark, sf_dir):
 @query(
     "pad_left",
     "WITH " + BATCHES_SQL + """,
-powers AS (SELECT *, CAST(least(pow(2, ceil(log2(longest))), 512) AS BIGINT) AS size FROM sized)
+powers AS (SELECT *, CAST(least(pow(2, ceil(log2(longest))), 64) AS BIGINT) AS size FROM sized)
 SELECT subject_id, size AS padded_to,
-  array_to_string(list_concat(list_transform(range(size - len(times)), lambda i: CAST(0 AS BIGINT)), times), ',') AS times
+  array_to_string(list_concat(list_transform(range(greatest(size - len(times), 0)), lambda i: CAST(0 AS BIGINT)),
+    list_slice(times, greatest(len(times) - size, 0) + 1, len(times))), ',') AS times
 FROM powers""",
 )
 def pad_left(spark, sf_dir):
-    return padded_text(Q.pad_pow2(batches(spark, sf_dir), "batch", "times", left=True))
+    return padded_text(Q.pad_pow2(batches(spark, sf_dir), "batch", "times", cap=64, left=True))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anamnesis import jobs as J
 from anamnesis.operators import cohort as C
 from anamnesis.operators import sequence as Q
 from anamnesis.plans import fixtures as X
@@ -38,11 +39,10 @@ def scan_events(spark, sf_dir):
     """SELECT event_type AS code, arg_max(props, event_id) AS description FROM events GROUP BY event_type""",
 )
 def scan_codes(spark, sf_dir):
-    """The dictionary of last descriptions, written as a code table and scanned."""
+    """A code table that names each code many times, in the order of the events; the last row counts."""
     named = X.meds(spark, sf_dir).select("code", F.col("props").alias("description"), "event_id")
-    latest = C.latest_description(named, F.col("event_id"))
     path = fresh_path(spark, "codes")
-    latest.write.parquet(path)
+    named.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
     return SE.scan_codes(spark, path)
 
 
@@ -94,7 +94,7 @@ FIELDS = ["event_id", "time_min"]
 
 def nested_samples(spark, sf_dir):
     events, index, hot = histories(spark, sf_dir)
-    rows = C.join_history(events.select("subject_id", "event_idx", *FIELDS), index, hot)
+    rows = C.join_history(events.select("subject_id", "event_idx", *FIELDS), index)
     return C.assemble_samples(rows, FIELDS), index
 
 
@@ -147,9 +147,9 @@ def read_samples_by_manifest(spark, sf_dir):
     """Samples in four shards; the manifest names those with ten events or more."""
     samples, index = nested_samples(spark, sf_dir)
     listed = SS.manifest(index, shards=4)
-    shard = F.pmod(F.xxhash64(F.split_part("sample_id", F.lit("_"), F.lit(1)).cast("bigint")), F.lit(4))
+    shard = C.shard_of(F.split_part("sample_id", F.lit("_"), F.lit(1)).cast("bigint"), 4)
     path = fresh_path(spark, "samples")
-    SS.write_samples(samples.withColumn("shard_id", shard.cast("int")), path)
+    SS.write_samples(samples.withColumn("shard_id", shard), path)
     wanted = listed.where(F.col("num_events") >= 10)
     return sample_sums(SS.read_samples_by_manifest(spark.read.parquet(path), wanted))
 
@@ -347,3 +347,103 @@ def ingest_shards_query(spark, sf_dir):
     if run.exception() is not None:
         raise run.exception()
     return SS.read_manifest(spark, f"{out}/manifest").select("subject_id", "num_events")
+
+
+# --- the jobs on files, with subjects that lie in two splits ------------------------------
+
+SPLITS = ("train", "tuning", "held_out")
+
+JOB_SQL = X.COHORT_SQL + """,
+spread AS (
+  SELECT *, CASE WHEN subject_id % 5 = 0 AND event_id % 2 = 0 THEN 'held_out'
+                 WHEN subject_id % 10 < 8 THEN 'train' WHEN subject_id % 10 = 8 THEN 'tuning' ELSE 'held_out' END AS split
+  FROM kept),
+pairs AS (
+  SELECT e.split, e.subject_id, e.event_id, c.endtime, c.label FROM spread e JOIN cohort c
+  ON e.subject_id = c.subject_id AND e.time <= c.endtime),
+numbers AS (
+  SELECT split, subject_id, endtime, label, count(*) AS n_events, sum(event_id) AS ids,
+         row_number() OVER (PARTITION BY split, subject_id ORDER BY endtime, label) - 1 AS sample_no
+  FROM pairs GROUP BY split, subject_id, endtime, label)"""
+
+
+def split_of_event():
+    both = (F.col("subject_id") % 5 == 0) & (F.col("event_id") % 2 == 0)
+    return F.when(both, F.lit("held_out")).otherwise(split_of(F.col("subject_id")))
+
+
+def processed(spark, sf_dir, **options):
+    """The first job on the event table, written to a folder for each split."""
+    root, out = fresh_path(spark, "job events"), fresh_path(spark, "processed")
+    events = X.meds(spark, sf_dir).withColumn("split", split_of_event())
+    for name in SPLITS:
+        rows = events.where(F.col("split") == name).drop("split")
+        rows.repartitionByRange(2, "time", "event_id").sortWithinPartitions("time", "event_id").write.parquet(f"{root}/{name}")
+    asked = fresh_path(spark, "asked")
+    X.raw_cohort(spark, sf_dir).write.parquet(f"{asked}/all")
+    J.process_events(spark, root, asked, out, birth_code=X.BIRTH, **options)
+    return out
+
+
+@query(
+    "process_events_manifest",
+    "WITH " + X.KEPT_SQL + ",\n" + JOB_SQL + """
+SELECT split, CAST(subject_id AS VARCHAR) || '_' || CAST(sample_no AS VARCHAR) AS sample_id, n_events AS num_events FROM numbers""",
+)
+def process_events_manifest(spark, sf_dir):
+    """The manifest of the job: subjects in two folders have samples in both."""
+    table = SS.read_manifest(spark, f"{processed(spark, sf_dir, shards=4)}/manifest")
+    return table.select("split", F.col("subject_id").alias("sample_id"), "num_events")
+
+
+@query(
+    "process_events_samples",
+    "WITH " + X.KEPT_SQL + ",\n" + JOB_SQL + """
+SELECT split, CAST(subject_id AS VARCHAR) || '_' || CAST(sample_no AS VARCHAR) AS sample_id, label, n_events
+FROM numbers WHERE n_events >= 10""",
+)
+def process_events_samples(spark, sf_dir):
+    """Samples of the job that its manifest names, from four shards of each split."""
+    out = processed(spark, sf_dir, shards=4)
+    wanted = SS.read_manifest(spark, f"{out}/manifest").where(F.col("num_events") >= 10)
+    samples = SS.read_samples_by_manifest(spark.read.parquet(f"{out}/samples"), wanted)
+    return samples.groupBy("split", "sample_id", "label").agg(F.sum(F.size("events")).alias("n_events"))
+
+
+@query(
+    "predict_test_cohort",
+    "WITH " + X.KEPT_SQL + ",\n" + X.RAW_COHORT_SQL + f""",
+held AS (SELECT * FROM kept WHERE {SPLIT_SQL} = 'held_out')
+SELECT c.subject_id, {stamp_sql('prediction_time')}, boolean_value,
+       CASE WHEN EXISTS (SELECT 1 FROM held e WHERE e.subject_id = c.subject_id AND e.time <= c.prediction_time)
+            THEN 0.731059 END AS boolean_prediction
+FROM raw_cohort c WHERE c.subject_id % 10 >= 8""",
+)
+def predict_test_cohort(spark, sf_dir):
+    """All three jobs, then an outside cohort with unlabelled rows and subjects of another split.
+
+    Every event is rejected, so each row with history gets what the head makes of the fallback.
+    """
+    root, out, encoded = (fresh_path(spark, n) for n in ("test events", "processed", "encoded"))
+    events = X.meds(spark, sf_dir).withColumn("split", split_of(F.col("subject_id")))
+    events.where("split = 'held_out'").drop("split").write.parquet(f"{root}/held_out")
+    asked = fresh_path(spark, "asked")
+    X.raw_cohort(spark, sf_dir).write.parquet(f"{asked}/all")
+    J.process_events(spark, root, asked, out, birth_code=X.BIRTH)
+
+    def table(name):
+        vectors = X.table(spark, sf_dir, "embeddings")
+        return vectors.select(F.col("vec_id").cast("int").alias(name), F.slice("embedding", 1, 4).alias("embedding"))
+
+    J.encode_events(spark, out, encoded, table("token_id"), table("type_id"), table("dpe_id"), dim=4)
+    model = J.Model(
+        heads={"meds_single_task": ("binary", [([1.0, 0.0, 0.0, 0.0], 0.0)])},
+        constant=[1.0, 0.0, 0.0, 0.0],
+        query=[1.0, 0.0, 0.0, 0.0],
+        rejection_cutoff=1.0,
+    )
+    cohort = X.raw_cohort(spark, sf_dir).where(F.col("subject_id") % 10 >= 8)
+    found = J.predict_cohort(spark, out, encoded, model, split="held_out", test_cohort=cohort)
+    return found.select(
+        "subject_id", stamp("prediction_time"), "boolean_value", F.round("boolean_prediction", 6).alias("boolean_prediction")
+    )

@@ -98,7 +98,7 @@ VOCABULARY_SQL = """vocabulary AS (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 103 AS token_id
   FROM (SELECT token, count(*) AS n FROM token_rows
         WHERE token NOT IN ('[PAD]', '[UNK]', '[CLS]', '[SEP]')
-        GROUP BY token ORDER BY n DESC, token LIMIT 28892))"""
+        GROUP BY token))"""
 
 IDS_SQL = ROWS_SQL + ",\n" + VOCABULARY_SQL + """,
 ids AS (

@@ -445,6 +445,7 @@ def predict_cohort(spark, sf_dir):
     best = materialise(R.history_topk(R.reject_below(seen, 0.6), samples, 16, hot=hot), "retrieved")
     won = best.select("subject_id", "event_idx").distinct()
     vectors = encode(tokens.join(won, ["subject_id", "event_idx"], "left_semi"))
+    # An event that many samples of a subject want is a hot key, which adaptive execution splits.
     winners = best.join(vectors.select("subject_id", "event_idx", "repr"), ["subject_id", "event_idx"])
     pooled = E.mean_pool(winners, ["sample_id"], "repr")
     ready = R.empty_retrieval_fallback(samples.select("sample_id"), pooled, "sample_id", CONSTANT)
@@ -464,24 +465,67 @@ def predict_cohort(spark, sf_dir):
     )
 
 
-@query("fit_head")
+@query(
+    "fit_head",
+    "WITH " + X.VECTORS_SQL + """
+SELECT DISTINCT CAST(unnest(range(-1, 64)) AS BIGINT) AS component, true AS at_minimum FROM vectors""",
+)
 def fit_head(spark, sf_dir):
-    """A binary head on pooled vectors: does the sample hold more low than high classes."""
+    """A binary head on pooled vectors (does the sample hold more low than high classes): is the gradient of
+    its loss 0 in every component?"""
     rows = X.vectors(spark, sf_dir)
     pooled = E.mean_pool(rows, ["sample_id"], "repr")
     label = (F.avg("label") < 4.5).cast("int").alias("label")
-    train = pooled.join(rows.groupBy("sample_id").agg(label), "sample_id")
-    model = H.fit_head(train, "pooled", "label")
-    scores = H.predict_head(model, train, "pooled")
-    return scores.select(
-        "sample_id", "label", F.round(F.col("probability")[1], 3).alias("score"), "predicted_label"
-    )
+    train = materialise(pooled.join(rows.groupBy("sample_id").agg(label), "sample_id"), "train")
+    gradient = H.head_gradient(H.fit_head(train, "pooled", "label"), train, "pooled", "label")
+    return gradient.select(F.col("component").cast("bigint").alias("component"), (F.abs("gradient") < 1e-5).alias("at_minimum"))
 
 
-@query("predict_head")
+@query(
+    "predict_head",
+    "WITH " + X.VECTORS_SQL + f""",
+heads AS (SELECT {weights_sql(10, 64, 5)} AS m),
+logits AS (
+  SELECT event_idx, label, list_transform(range(10), lambda c: exp(list_dot_product(m[c + 1], repr) + 0.1 * c)) AS e
+  FROM vectors, heads)
+SELECT event_idx, label, {text_sql('list_transform(e, lambda y: y / list_sum(e))')} AS probability,
+       CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS predicted_label FROM logits""",
+)
 def predict_head(spark, sf_dir):
-    """A ten-class head on single vectors."""
-    rows = X.vectors(spark, sf_dir)
-    model = H.fit_head(rows, "repr", "label")
-    scores = H.predict_head(model, rows, "repr")
-    return scores.select("event_idx", "label", "predicted_label")
+    """A ten-class head with given weights on single vectors."""
+    scores = H.predict_head(("multiclass", head(10, 5)), X.vectors(spark, sf_dir), "repr")
+    return scores.select("event_idx", "label", text_of(F.col("probability")).alias("probability"), "predicted_label")
+
+
+# --- a scorer that sees how long before the end of the sample an event was ----------------
+
+
+def timed_layers() -> list[R.Layer]:
+    first = formula_weights(4, 3, 1)
+    first[:, 2] /= 1440.0
+    return [R.Layer(first, np.zeros(4), np.ones(4), np.zeros(4)), R.Layer(formula_weights(1, 4, 2), np.zeros(1))]
+
+
+@query(
+    "history_topk_timed",
+    "WITH " + X.JOINED_SQL + f""",
+aged AS (
+  SELECT sample_id, event_id, event_idx, [numeric_value / 100, (event_idx % 7) / 7,
+         (max(time_min) OVER (PARTITION BY sample_id) - time_min) / 1440.0::DOUBLE] AS x FROM joined),
+w AS (SELECT {weights_sql(4, 3, 1)} AS a, {weights_sql(1, 4, 2)} AS b),
+hidden AS (SELECT sample_id, event_id, event_idx, {matmul_sql('a', 'x')} AS h, b FROM aged, w),
+centred AS (SELECT *, list_transform(h, lambda y: y - list_avg(h)) AS d FROM hidden),
+scaled AS (
+  SELECT *, list_transform(d, lambda y: greatest(y / sqrt(list_avg(list_transform(d, lambda z: z * z)) + 1e-5), 0)) AS r FROM centred),
+scores AS (SELECT *, 1 / (1 + exp(-list_dot_product(b[1], r))) AS score FROM scaled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, event_idx) AS rank FROM scores WHERE score > 0.3)
+SELECT sample_id, event_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
+)
+def history_topk_timed(spark, sf_dir):
+    """The five events of each history that a small network over value, place and age likes best."""
+    events, samples, _ = histories(spark, sf_dir)
+    vector = F.array(F.col("numeric_value") / 100, (F.col("event_idx") % 7) / 7)
+    rows = events.select("subject_id", "event_idx", "event_id", F.col("time_min").cast("bigint").alias("time_min"), vector.alias("repr"))
+    best = R.history_topk_timed(rows, samples, timed_layers(), 5, 0.3)
+    named = best.join(rows.select("subject_id", "event_idx", "event_id"), ["subject_id", "event_idx"])
+    return named.select("sample_id", "event_id", F.col("rank").cast("bigint").alias("rank"), round6("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +64,7 @@ def scan_events(spark: SparkSession, path: str, csv_schema: str | None = EVENT_S
 def scan_codes(spark: SparkSession, path: str) -> DataFrame:
     """Code dictionary; of a code named twice the last row of the file counts."""
     # Rows are numbered within a block of the file, blocks by where they start.
-    place = F.struct(
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id(),
-    )
-    codes = spark.read.parquet(path).select("code", "description", place.alias("__row"))
+    codes = spark.read.parquet(path).select("code", "description", source_order().alias("__row"))
     return latest_description(codes, F.col("__row"))
 
 
@@ -80,9 +77,22 @@ def scan_test_cohort(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def source_order() -> Column:
+    """Where a row of a scan comes from: its file, its block of the file, its place in the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def split_from_path(root: str) -> Column:
     """Split of a row: its sub-directory under ``root``, or the stem of its file."""
-    inside = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/") + "/", -1)
+    # The path of a row is a URI; a plus sign in it stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    below = F.substring_index(path, name + "/", -1)
+    inside = F.when(path.endswith(name), F.substring_index(path, "/", -1)).otherwise(below)
     return F.when(F.instr(inside, "/") > 0, F.regexp_extract(inside, r"^(.*)/[^/]+$", 1)).otherwise(
         F.regexp_extract(inside, r"([^/]*?)(\.[^./]*)?$", 1)
     )

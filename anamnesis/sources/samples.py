@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
+from anamnesis.operators.cohort import shard_of
 from anamnesis.operators.skew import attach, find_hot, hot_rows
 from anamnesis.sources.events import write_new
 
@@ -15,17 +16,18 @@ MANIFEST_SCHEMA = "subject_id STRING, num_events BIGINT, shard_id INT"
 
 def manifest(samples: DataFrame, shards: int = 1) -> DataFrame:
     """One row per sample with its number of events and the shard its subject lies in."""
-    shard = F.pmod(F.xxhash64("subject_id"), F.lit(shards)).cast("int")
     return samples.select(
         F.col("sample_id").alias("subject_id"),
         F.col("n_events").alias("num_events"),
-        shard.alias("shard_id"),
+        shard_of("subject_id", shards).alias("shard_id"),
+        *[c for c in ("split",) if c in samples.columns],
     )
 
 
 def write_manifest(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tab separated, with a header in each file."""
-    table.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    """Tab separated, with a header in each file; one directory per split where there are splits."""
+    writer = table.write.mode(mode).option("sep", "\t").option("header", True)
+    (writer.partitionBy("split") if "split" in table.columns else writer).csv(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -39,12 +41,14 @@ def write_samples(samples: DataFrame, path: str, rebase: bool = False) -> None:
 
 
 def read_samples_by_manifest(samples: DataFrame, table: DataFrame) -> DataFrame:
-    """The samples a manifest names, from the shards it names.
+    """The samples a manifest names, from the splits and shards it names.
 
-    Rows are nested chunks of up to a thousand events, so a sample counts as hot sooner.
+    Rows are nested chunks of up to a thousand events, so a sample counts as hot sooner. Splits
+    and shards are directories, so those that the manifest lacks are not read.
     """
-    keys = ["sample_id", "shard_id"]
-    wanted = table.select(F.col("subject_id").alias("sample_id"), "shard_id")
+    by = [c for c in ("split", "shard_id") if c in samples.columns and c in table.columns]
+    keys = ["sample_id", *by]
+    wanted = table.select(F.col("subject_id").alias("sample_id"), *by).distinct()
     hot = find_hot(samples, keys, hot_rows(samples.sparkSession) // S.ENCODE_CHUNK)
     return attach(samples, wanted, keys, "left_semi", hot)
 
@@ -52,8 +56,7 @@ def read_samples_by_manifest(samples: DataFrame, table: DataFrame) -> DataFrame:
 def write_repr_cache(df: DataFrame, path: str, rebase: bool = False, key: str = "sample_id") -> None:
     """Event vectors in long form, ordered within each sample so that reads can skip."""
     vectors = df.withColumn("repr", F.col("repr").cast("array<float>"))
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = vectors.repartitionByRange(parallel, key, "event_idx")
+    ordered = vectors.repartitionByRange(key, "event_idx")
     write_new(ordered.sortWithinPartitions(key, "event_idx"), path, rebase)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is set only on a local master where nothing is named:
-    on a cluster every executor must see the same files.
+    A temporary folder is set only on a local master where nothing is named, and removed at
+    the end: on a cluster every executor must see the same files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -23,7 +24,9 @@ def work_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="anamnesis-"))
+        folder = tempfile.mkdtemp(prefix="anamnesis-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

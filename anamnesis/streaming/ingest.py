@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from anamnesis.operators.cohort import (
     assemble_samples,
+    describe_codes,
     drop_birth_and_static,
+    history_marks,
     join_history,
     keep_subjects,
     order_events,
     sample_index,
     subject_ids,
 )
+from anamnesis.operators.skew import find_hot
 from anamnesis.operators.tokens import drop_empty_events, tokenize
 from anamnesis.sources.samples import manifest, write_manifest
 from anamnesis.sources.workspace import materialise
@@ -38,20 +41,35 @@ def ingest_shards(
     tie: Sequence[str],
     birth_code: str,
     fields: Sequence[str] = ("time_min", "tokens"),
+    codes: DataFrame | None = None,
 ) -> StreamingQuery:
     """Build samples of every arriving batch and append them to ``out``.
 
-    A shard holds whole subjects, so batches never share one and can be numbered on their
-    own. Each batch writes to its own folder, which a repeated batch replaces: a lost
-    executor or a restart leaves no double rows.
+    A shard holds whole subjects, so batches can be numbered on their own; a subject that an earlier
+    batch had is an error, as its samples would have to be built anew. Each batch writes to its own
+    folder, which a repeated batch replaces: a lost executor or a restart leaves no double
+    rows. ``out/events`` is what ``encode_events`` reads. ``codes`` is ``(code, description)``.
     """
 
     def build(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         kept = drop_empty_events(drop_birth_and_static(batch, birth_code))
-        asked = keep_subjects(cohort, subject_ids(kept))
-        index = materialise(sample_index(kept, asked), "index")
-        placed = tokenize(order_events(kept, tie), ("subject_id", "time", "event_idx", "time_min"))
-        wide = placed.select("subject_id", "event_idx", *fields)
+        kept = materialise(kept if codes is None else describe_codes(kept, codes), "kept")
+        subjects = subject_ids(kept)
+        if number:
+            known = spark.read.schema("subject_id BIGINT").option("recursiveFileLookup", True)
+            earlier = [f"{out}/subjects/batch={n}" for n in range(number)]
+            again = subjects.join(known.parquet(*earlier), "subject_id", "left_semi").limit(5).collect()
+            if again:
+                raise ValueError(f"subjects of an earlier batch came again: {[r[0] for r in again]}")
+        subjects.write.mode("overwrite").parquet(f"{out}/subjects/batch={number}")
+        asked = keep_subjects(cohort, subjects)
+        hot = find_hot(history_marks(kept, asked), ["subject_id"])
+        index = materialise(sample_index(kept, asked, hot), "index")
+        placed = tokenize(order_events(kept, tie, hot), ("subject_id", "time", "event_idx", "time_min"))
+        wide = placed.select("subject_id", "time", "event_idx", *fields)
+        wide.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
+        wide = spark.read.parquet(f"{out}/events/batch={number}").drop("time")
         nested = assemble_samples(join_history(wide, index), fields)
         nested.write.mode("overwrite").parquet(f"{out}/samples/batch={number}")
         write_manifest(manifest(index), f"{out}/manifest/batch={number}", mode="overwrite")
