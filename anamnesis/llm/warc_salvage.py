@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.llm.common import send_code
@@ -35,6 +35,8 @@ DATE = "2000-01-01T00:00:00Z"
 BATCH_BYTES = 4 << 20
 #: Bytes that the header of a record may have.
 MAX_HEADER = 1 << 16
+#: Records that a task packs at a time.
+PACK_ROWS = 256
 #: Records in one archive file at most.
 FILE_RECORDS = 20_000
 
@@ -204,19 +206,25 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(lost, len(data), why)
 
 
-def _pages(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(page, url, payload, digest) as bytes."""
-    send_code(pages.sparkSession)
+# Fixed value: the alphabet of base 32.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-    def run(batches):
-        for batch in batches:
-            marks = [digest(p.as_py() or b"") for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=["page", "url", "payload", "digest"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
+def base32(raw: Column) -> Column:
+    """The base 32 text of a SHA-1 in hex: five hex digits are four letters."""
+    letters = []
+    for group in range(8):
+        number = F.conv(F.substring(raw, 5 * group + 1, 5), 16, 10).cast("int")
+        for k in (15, 10, 5, 0):
+            letters.append(F.substring(F.lit(BASE32), F.shiftright(number, k).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
+    return F.concat(*letters)
+
+
+def _pages(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(page, url, payload, hash)."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
-    return rows.mapInArrow(run, f"page {kind}, url string, payload binary, digest string")
+    return rows.withColumn("hash", F.sha1("payload"))
 
 
 def write_archives(
@@ -226,21 +234,23 @@ def write_archives(
 
     Payloads of at least ``min_bytes`` that occur more than once are written with the least id only.
     """
+    send_code(pages.sparkSession)
     rows = _pages(pages, id_col, url_col, payload_col)
     size = F.octet_length("payload")
-    first = rows.where(size >= min_bytes).groupBy("digest").agg(F.min("page").alias("least"), F.count("*").alias("n")).where("n > 1")
-    placed = rows.join(first.select("digest", "least"), "digest", "left")
+    first = rows.where(size >= min_bytes).groupBy("hash").agg(F.min("page").alias("least"), F.count("*").alias("n")).where("n > 1")
+    placed = rows.join(first.select("hash", "least"), "hash", "left")
     revisit = F.coalesce(F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least")) & (size >= min_bytes), F.lit(False))
-    placed = placed.select("page", "url", F.when(~revisit, F.col("payload")).alias("payload"), size.cast("long").alias("size"), "digest", "least", revisit.alias("revisit"))
+    placed = placed.select("page", "url", F.when(~revisit, F.col("payload")).alias("payload"), size.cast("long").alias("size"), base32(F.col("hash")).alias("digest"), "least", revisit.alias("revisit"))
 
     def run(batches):
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            records = []
-            for page, url, payload, n, mark, least, again in zip(*columns, strict=True):
-                body = _Length(n) if again else payload
-                records.append(member(write_record(page, url, body, least, again, mark)))
-            yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
+            for low in range(0, batch.num_rows, PACK_ROWS):
+                columns = [c.to_pylist() for c in batch.slice(low, PACK_ROWS).columns]
+                records = []
+                for page, url, payload, n, mark, least, again in zip(*columns, strict=True):
+                    body = _Length(n) if again else payload
+                    records.append(member(write_record(page, url, body, least, again, mark)))
+                yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
 
     packed = placed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     packed.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
