@@ -3,11 +3,13 @@
 Labels mark documents, so tokens are labelled first: in a bounded sample of labelled documents, a word of
 a toxic one is marked if it, or its beginning, is found in many toxic documents and hardly in clean ones. The field has
 two states, clean and toxic; words and their beginnings score the state, and a 2 x 2 table the step from
-one word to the next. It is trained by gradient on the likelihood of the token labels.
+one word to the next. It is trained by gradient on the likelihood of the token labels. The largest marginal
+of each sampled text then gives the log-odds at which toxic and clean texts part best, which marginals are
+shifted by.
 
 Scoring runs forward and backward over every whole text: stretches of words become 2 x 2 products that
 are chained, so long and short texts share the same array steps. A document's score is the largest
-marginal of a word, its spans are the words whose marginal is a half or more. Null, empty and wordless
+shifted marginal of a word, its spans are the words whose shifted marginal is a half or more. Null, empty and wordless
 texts score 0. Documents with several labels count as their highest; null labels are left out.
 """
 
@@ -48,10 +50,30 @@ class Field:
         self.weight = np.zeros(BUCKETS)
         self.bias = -4.0
         self.step = np.array([[2.0, -2.0], [0.0, 0.0]])
+        self.shift = 0.0  # log-odds of a marginal at which a text is as likely toxic as clean
 
     def emission(self, found: np.ndarray) -> np.ndarray:
         return self.weight[found].sum(0) + self.bias
 
+    def calibrated(self, p: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(self.shift - _log_odds(p)))
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p) - np.log1p(-p)
+
+
+def best_cut(values: np.ndarray, toxic: np.ndarray) -> float:
+    """The value between the clean and the toxic ones with the fewest on the wrong side, in the middle
+    of the widest such gap."""
+    order = np.argsort(values, kind="stable")
+    values, toxic = values[order], toxic[order]
+    wrong = np.append(0, np.cumsum(toxic)) + (np.sum(~toxic) - np.append(0, np.cumsum(~toxic)))
+    edges = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    gap = np.concatenate([[0.0], np.diff(values), [0.0]])
+    return float(edges[np.lexsort((-gap, wrong))[0]])
+
 
 def _train_windows(field: Field, found: np.ndarray, labels: np.ndarray, real: np.ndarray, seed: int = 1) -> None:
     """Gradient steps on windows: found (features, windows, places), labels and real (windows, places)."""
@@ -132,6 +154,15 @@ def fit(texts: list[str], toxic: list[bool]) -> Field:
     at = np.minimum(at, len(words) - 1)
     if hot.any():
         _train_windows(field, found[:, at], np.where(real, labels[at], 0), real)
+        marks = np.array(list(once.values()))
+        held = np.flatnonzero(np.diff(words.first))
+        p = np.empty(len(held))
+        for part in range(0, len(held), 256):  # whole texts, a few at a time
+            rows = held[part : part + 256]
+            a, b = words.first[rows[0]], words.first[rows[-1] + 1]
+            own = marginals(field, field.emission(found[:, a:b]), words.first[rows[0] : rows[-1] + 2] - a)
+            p[part : part + 256] = np.maximum.reduceat(own, words.first[rows] - a)
+        field.shift = best_cut(_log_odds(p), marks[held])
     return field
 
 
@@ -233,6 +264,7 @@ def tag_toxic(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
                 if not len(words):
                     continue
                 p = marginals(shared.value, shared.value.emission(features(words)), words.first)
+                p = shared.value.calibrated(p)
                 held = np.flatnonzero(np.diff(words.first))
                 scores[first + held] = np.maximum.reduceat(p, words.first[held])
                 hit = p >= cut

@@ -88,3 +88,10 @@ def test_no_labels_no_toxic_words(spark, table):
     assert T.tag_toxic(table([]), T.Field()).count() == 0
     clash = docs.selectExpr("*", "1 as key", "2 as score", "3 as spans", "4 as id", "5 as toxic")
     assert T.tag_toxic(clash, T.learn(clash, none)).count() == 2
+
+
+def test_best_cut_parts_the_two_kinds():
+    values = np.array([0.0, 1.0, 2.0, 8.0, 9.0])
+    assert T.best_cut(values, np.array([False, False, False, True, True])) == 5.0
+    assert T.best_cut(values, np.array([False, True, False, True, True])) in (0.5, 5.0)
+    assert T.best_cut(values, np.zeros(5, dtype=bool)) == 10.0
