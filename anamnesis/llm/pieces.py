@@ -28,7 +28,7 @@ from anamnesis.llm.common import send_code
 
 SPACE = "▁"
 #: Bytes of text whose distinct stretches are indexed together.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 1 << 20
 #: Bytes that end a word: controls and space.
 INSIDE = np.arange(256) > 0x20
 
@@ -355,8 +355,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words = shared.value
         borders = _BORDERS.setdefault(id(words), _Borders(words))
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 texts, n = part.column(1), part.num_rows
                 ids, sizes, same = [], np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
                 for first, flat, offsets in encode_batch(words, borders, texts):
