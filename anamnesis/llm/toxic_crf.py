@@ -24,7 +24,7 @@ from anamnesis.llm.bytewords import ALNUM, LOWER, U, Words, text_runs
 from anamnesis.llm.common import send_code
 
 #: Labelled documents of each kind that are learned from at most, and bytes of one of them at most.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2500, 5000, 1 << 16
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 1 << 15
 BUCKETS = 1 << 18
 #: Lengths in bytes of the beginnings that are features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
@@ -115,19 +115,20 @@ def _train_windows(field: Field, found: np.ndarray, labels: np.ndarray, real: np
             field.step -= moves[2]
 
 
-def label_tokens(words: Words, found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic texts with a feature that marks them; each different text counts once."""
+def label_tokens(first: np.ndarray, found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """1 for words of toxic texts with a feature that marks them; each different text counts once.
+
+    ``first`` is the first word of each text and the end of the last.
+    """
     rows = len(toxic)
     in_toxic, in_clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k in range(len(found)):
-        pair = np.unique(words.row * BUCKETS + found[k])
-        row, bucket = pair // BUCKETS, pair % BUCKETS
-        in_toxic += np.bincount(bucket[toxic[row]], minlength=BUCKETS)
-        in_clean += np.bincount(bucket[~toxic[row]], minlength=BUCKETS)
+    for row in range(rows):
+        own = np.unique(found[:, first[row] : first[row + 1]])
+        (in_toxic if toxic[row] else in_clean)[own] += 1
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int(rows - toxic.sum()), 1)
     often = in_toxic >= max(2.0, MIN_SHARE * n_toxic)
     marks = often & (in_toxic / n_toxic >= MIN_TIMES * (in_clean / n_clean))
-    return (marks[found].any(0) & toxic[words.row]).astype(np.int64)
+    return (marks[found].any(0) & np.repeat(toxic, np.diff(first))).astype(np.int64)
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Field:
@@ -136,32 +137,38 @@ def fit(texts: list[str], toxic: list[bool]) -> Field:
     once = {text: bool(mark) for text, mark in sorted(zip(texts, toxic, strict=True)) if text}
     if not any(once.values()) or all(once.values()):
         return field
-    runs = list(text_runs(pa.array(list(once)), 1 << 40))
-    _, data, offsets = runs[0]
-    words = Words(LOWER[data], offsets, ALNUM)
-    found = features(words)
-    labels = label_tokens(words, found, np.array(list(once.values())))
+    parts, sizes = [], [np.zeros(1, dtype=np.int64)]
+    for _, data, offsets in text_runs(pa.array(list(once))):
+        words = Words(LOWER[data], offsets, ALNUM)
+        parts.append(features(words).astype(np.int32))
+        sizes.append(np.diff(words.first))
+    found, first = np.concatenate(parts, axis=1), np.cumsum(np.concatenate(sizes))
+    del parts
+    marks = np.array(list(once.values()))
+    if not first[-1]:
+        return field
+    labels = label_tokens(first, found, marks)
     # Windows of consecutive words of one text; toxic ones, and clean ones in number alike.
-    place = np.arange(len(words)) - words.first[words.row]
-    begin = np.flatnonzero(place % WINDOW == 0)
-    size = np.minimum(WINDOW, words.first[words.row[begin] + 1] - begin)
+    per = -(-np.diff(first) // WINDOW)
+    text = np.repeat(np.arange(len(per)), per)
+    begin = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
+    size = np.minimum(WINDOW, first[text + 1] - begin)
     hot = np.add.reduceat(labels, begin) > 0
     rng = np.random.default_rng(0)
     cold = np.flatnonzero(~hot)
     picked = np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(2 * int(hot.sum()), 4000)]])
     at = begin[picked, None] + np.arange(WINDOW)
     real = np.arange(WINDOW) < size[picked, None]
-    at = np.minimum(at, len(words) - 1)
+    at = np.minimum(at, first[-1] - 1)
     if hot.any():
         _train_windows(field, found[:, at], np.where(real, labels[at], 0), real)
-        marks = np.array(list(once.values()))
-        held = np.flatnonzero(np.diff(words.first))
+        held = np.flatnonzero(np.diff(first))
         p = np.empty(len(held))
-        for part in range(0, len(held), 256):  # whole texts, a few at a time
-            rows = held[part : part + 256]
-            a, b = words.first[rows[0]], words.first[rows[-1] + 1]
-            own = marginals(field, field.emission(found[:, a:b]), words.first[rows[0] : rows[-1] + 2] - a)
-            p[part : part + 256] = np.maximum.reduceat(own, words.first[rows] - a)
+        for part in range(0, len(held), 64):  # whole texts, a few at a time
+            rows = held[part : part + 64]
+            a, b = first[rows[0]], first[rows[-1] + 1]
+            own = marginals(field, field.emission(found[:, a:b]), first[rows[0] : rows[-1] + 2] - a)
+            p[part : part + 64] = np.maximum.reduceat(own, first[rows] - a)
         field.shift = best_cut(_log_odds(p), marks[held])
     return field
 
@@ -175,8 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     clean = known.where("toxic <= 0").orderBy(*order).limit(MAX_CLEAN)
     chosen = F.broadcast(toxic.union(clean))
     rows = docs.where(F.octet_length(text_col) <= MAX_BYTES).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = rows.join(chosen, "id").dropDuplicates(["id", "text"]).select("text", "toxic").collect()
-    return fit([r["text"] for r in picked], [r["toxic"] > 0 for r in picked])
+    picked = rows.join(chosen, "id").dropDuplicates(["id", "text"]).select("text", "toxic").toArrow()
+    return fit(picked.column("text").to_pylist(), [t > 0 for t in picked.column("toxic").to_pylist()])
 
 
 def marginals(field: Field, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
