@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,6 +263,8 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(write_spans(s for s in spans if s[0] in KINDS).encode()).hexdigest()
 
 
+#: Rows that ``sanitise`` hands back at once.
+BATCH_ROWS = 1024
 #: Terms that ``sanitise`` broadcasts at most; more are joined.
 MAX_TERMS = 500_000
 
@@ -296,18 +299,27 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         return spans + [("term" if shared.value[t] else "class", a, b) for t, a, b in near if t in shared.value]
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(at)
-            clean = texts.to_pylist()
-            for first, data, offsets in text_runs(texts):
-                marks = np.append(0, np.cumsum(_MAY[data]))
-                for row in (first + np.flatnonzero(np.diff(marks[offsets]))).tolist():
-                    clean[row] = redact(clean[row], private(clean[row], batch, row))
-            columns = list(batch.columns)[: len(names)]
-            columns[at] = pa.array(clean, texts.type)
-            if count_at is not None:
-                columns[count_at] = pa.array([None if t is None else len(t) for t in clean], columns[count_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for low in range(0, whole.num_rows, BATCH_ROWS):
+                yield cleaned(whole.slice(low, BATCH_ROWS))
+
+    def cleaned(batch):
+        texts = batch.column(at)
+        changed, new = np.zeros(batch.num_rows, dtype=bool), []
+        for first, data, offsets in text_runs(texts):
+            marks = np.append(0, np.cumsum(_MAY[data]))
+            for row in (first + np.flatnonzero(np.diff(marks[offsets]))).tolist():
+                text = texts[row].as_py()
+                spans = private(text, batch, row)
+                if spans:
+                    changed[row] = True
+                    new.append(redact(text, spans))
+        columns = list(batch.columns)[: len(names)]
+        if new:
+            columns[at] = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
+        if count_at is not None:
+            columns[count_at] = pc.utf8_length(columns[at]).cast(columns[count_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
     return rows.mapInArrow(run, docs.schema)
