@@ -31,7 +31,9 @@ from anamnesis.llm.bytewords import INVERSE, LOWER, NOT_SPACE, U, Words, mix, te
 from anamnesis.llm.common import components, materialise, send_code
 
 #: N-grams that one group holds at most, a single longer set aside.
-GROUP_NGRAMS = 4_000_000
+GROUP_NGRAMS = 2_000_000
+#: Texts whose keys a task holds at once.
+BATCH_ROWS = 2048
 #: Bits of the filter that keeps texts without partners from being shuffled; a fixed size.
 FILTER_BITS = 1 << 23
 
@@ -128,7 +130,7 @@ def _keyed(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> D
 
     def run(batches):
         of = _bands(share)
-        for batch in batches:
+        for batch in (whole.slice(low, BATCH_ROWS) for whole in batches for low in range(0, whole.num_rows, BATCH_ROWS)):
             keys, nodes, seen = [], [], set()
             for _, ngrams in _sets(batch.column(0), n):
                 node = _digest(ngrams)
