@@ -28,7 +28,7 @@ from anamnesis.llm.common import send_code
 
 SPACE = "▁"
 #: Bytes of text whose distinct stretches are indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 #: Bytes that end a word: controls and space.
 INSIDE = np.arange(256) > 0x20
 
@@ -198,12 +198,13 @@ def _edges(words: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     padded = np.zeros(n + width, dtype=np.uint16)
     padded[:n] = codes
     suffixes = _keys(np.lib.stride_tricks.sliding_window_view(padded, width)[:n])
-    order = np.argsort(suffixes, kind="stable")
+    order = np.argsort(suffixes, kind="stable").astype(np.int32)
     ranked = suffixes[order]
+    del suffixes, padded
     low = np.searchsorted(ranked, words.low, side="left")
     count = np.maximum(np.searchsorted(ranked, words.high, side="right") - low, 0)
     before = np.cumsum(count) - count
-    places = np.arange(int(count.sum())) + np.repeat(low - before, count)
+    places = np.arange(int(count.sum()), dtype=np.int32) + np.repeat((low - before).astype(np.int32), count)
     return order[places], np.repeat(words.piece_len, count), np.repeat(words.piece_ids, count)
 
 
@@ -223,7 +224,7 @@ def _encode_stretches(words: Vocabulary, borders: _Borders, points: np.ndarray,
     where = np.arange(n) + segment
     layout[where] = codes
     start, length, piece = _edges(words, layout)
-    origin = begin + np.arange(len(begin))
+    origin = (begin + np.arange(len(begin))).astype(np.int32)
     owner = np.cumsum(np.bincount(origin, minlength=len(layout)).astype(np.int32)) - 1
     local_end = start + length - origin[owner[start]]
     # Small numbers sort by their digits, in linear time.
@@ -373,6 +374,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
                 columns = [part.column(0), lists, pa.array(sizes), pa.array(same, mask=null)]
                 yield pa.record_batch(columns, names=["key", "ids", "n_pieces", "same"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), _ready(F.col(text_col)).alias("text"))
