@@ -19,8 +19,6 @@ from anamnesis.llm.quality_rules import count_text, kept, learn
 
 #: The vocabulary file of the last stage.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Scattered edits that leave 80 percent of the five-word shingles leave 87 percent of the three-word ones.
-NEAR_WORDS, NEAR_SHARE = 3, 87
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least id stays, once; rows without an id all stay."""
-    found = jaccard_components(docs, n=NEAR_WORDS, share=NEAR_SHARE)
+    found = jaccard_components(docs, n=5, share=80)
     others = found.where("doc <> component").select(F.col("doc").alias("doc_id"))
     repeated = found.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
     left = docs.join(others, "doc_id", "left_anti")
