@@ -105,7 +105,7 @@ def _keys(ngrams: np.ndarray, bands) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_ngrams, node): the size of every document's set and the number of the set."""
+    """(doc, n_ngrams, node, mark): the size of every row's set, the number of the set and a hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -114,11 +114,12 @@ def describe(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
             for row, ngrams in _sets(batch.column(1), n):
                 sizes[row], nodes[row] = len(ngrams), _digest(ngrams)
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes), pa.array(nodes)], names=["doc", "n_ngrams", "node"]
+                [batch.column(0), pa.array(sizes), pa.array(nodes), batch.column(2)], names=["doc", "n_ngrams", "node", "mark"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc {kind}, n_ngrams long, node long")
+    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
+    return rows.mapInArrow(run, f"doc {kind}, n_ngrams long, node long, mark long")
 
 
 def _keyed(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
@@ -235,8 +236,8 @@ def link_group(sets: list[np.ndarray], share: int, halves: np.ndarray | None = N
 
 
 def _wanted_bits(wanted: DataFrame) -> np.ndarray:
-    """Which of ``FILTER_BITS`` bits the wanted documents set; read as at most a word for 64 bits."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    """Which of ``FILTER_BITS`` bits the wanted rows set; read as at most a word for 64 bits."""
+    bit = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(FILTER_BITS))
     words = wanted.select(
         (bit / 64).cast("long").alias("w"),
         F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v"),
@@ -248,7 +249,7 @@ def _wanted_bits(wanted: DataFrame) -> np.ndarray:
 
 
 def _read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, ngrams) of the wanted documents and of few others."""
+    """(node, ngrams) of the wanted nodes, read from their first rows, and of few others."""
     bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
 
     def run(batches):
@@ -256,21 +257,21 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col
             for part in range(0, batch.num_rows, 512):
                 piece = batch.slice(part, 512)
                 if piece.num_rows:
-                    ngrams = [s.tobytes() for _, s in _sets(piece.column(1), n)]
-                    yield pa.record_batch([piece.column(0), pa.array(ngrams, pa.binary())], names=["doc", "ngrams"])
+                    sets = {_digest(s): s for _, s in _sets(piece.column(0), n)}
+                    ngrams = pa.array([s.tobytes() for s in sets.values()], pa.binary())
+                    yield pa.record_batch([pa.array(list(sets), pa.int64()), ngrams], names=["node", "ngrams"])
 
     def some(batches):
         def kept():
             for batch in batches:
-                bit = batch.column(2).to_numpy()
+                bit = batch.column(1).to_numpy()
                 on = (bits.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)
                 yield batch.filter(pa.array(on.astype(bool)))
 
         yield from run(kept())
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    bit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))
-    return docs.select(id_col, text_col, bit.alias("bit")).mapInArrow(some, f"doc {kind}, ngrams binary")
+    bit = F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col)), F.lit(FILTER_BITS))
+    return docs.select(F.col(text_col), bit.alias("bit")).mapInArrow(some, "node long, ngrams binary")
 
 
 def jaccard_components(
@@ -286,11 +287,29 @@ def jaccard_components(
     Two documents link when their sets of ``n`` words overlap by ``share`` percent or more of
     their union; a text of fewer words is one n-gram.
     """
+    found = linked_rows(docs, n, share, id_col, text_col, group_ngrams)
+    return found.select("doc", "n_ngrams", F.coalesce("first.doc", "doc").alias("component"))
+
+
+def linked_rows(
+    docs: DataFrame,
+    n: int = 5,
+    share: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_ngrams: int = GROUP_NGRAMS,
+) -> DataFrame:
+    """(doc, mark, n_ngrams, first) for every row; mark is a hash of its text, which tells rows of one id apart.
+
+    first is (without, doc, mark) of the least row that links lead to, rows without an id last; it is null where
+    the set is empty.
+    """
     if not 50 < share <= 100:
         raise ValueError("share must be over 50 and at most 100 percent")
     send_code(docs.sparkSession)
     known = materialise(describe(docs, n, id_col, text_col), "sets")
-    nodes = known.where("n_ngrams > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n_ngrams").alias("n_ngrams"))
+    first = F.struct(F.col("doc").isNull().alias("without"), "doc", "mark")
+    nodes = known.where("n_ngrams > 0").groupBy("node").agg(F.min(first).alias("first"), F.max("n_ngrams").alias("n_ngrams"))
     nodes = materialise(nodes, "nodes")
 
     keyed = _keyed(docs, n, share, id_col, text_col)
@@ -309,9 +328,9 @@ def jaccard_components(
         "blocks", F.when(F.col("weight") <= group_ngrams, 1).otherwise(blocks)
     )
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialise(members.select("doc", "node", "component", "blocks", "block"), "members")
+    members = materialise(members.select("first", "node", "component", "blocks", "block"), "members")
     sets = _read_sets(docs, members, n, id_col, text_col)
-    placed = sets.dropDuplicates(["doc"]).join(members, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = sets.dropDuplicates(["node"]).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "ngrams")
 
     def link(key, table):
@@ -325,10 +344,8 @@ def jaccard_components(
 
     links = placed.groupBy("component", "one", "two").applyInArrow(link, "a long, b long")
     joined = components(links)
-    named = joined.join(nodes.select("node", "doc"), "node")
-    least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    of_node = nodes.select("node", "doc").join(named.join(least, "component").select("node", "least"), "node", "left")
-    of_node = of_node.select("node", F.coalesce("least", "doc").alias("component"))
-    return known.join(of_node, "node", "left").select(
-        "doc", "n_ngrams", F.coalesce(F.when(F.col("n_ngrams") > 0, F.col("component")), F.col("doc")).alias("component")
-    )
+    named = joined.join(nodes.select("node", "first"), "node")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    of_node = nodes.select("node", "first").join(named.join(least, "component").select("node", "least"), "node", "left")
+    of_node = of_node.select("node", F.coalesce("least", "first").alias("first"))
+    return known.join(of_node, "node", "left").select("doc", "mark", "n_ngrams", "first")

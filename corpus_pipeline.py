@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import load, materialise
 from anamnesis.llm.decontaminate import drop_contaminated
-from anamnesis.llm.jaccard_join import jaccard_components
+from anamnesis.llm.jaccard_join import linked_rows
 from anamnesis.llm.pieces import encode_texts
 from anamnesis.llm.privacy import sanitise
 from anamnesis.llm.quality_rules import count_text, kept, learn
@@ -31,11 +31,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least id stays, once; rows without an id all stay."""
-    found = jaccard_components(docs, n=5, share=80)
-    others = found.where("doc <> component").select(F.col("doc").alias("doc_id"))
-    repeated = found.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
-    left = docs.join(others, "doc_id", "left_anti")
+    """Of each group the row with the least id stays, once; rows without an id all stay.
+
+    Rows are told apart by id and text, so other texts under the id of a copy stay.
+    """
+    found = linked_rows(docs, n=5, share=80)
+    named = found.where("doc is not null")
+    others = named.where("doc <> first.doc or mark <> first.mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
+    repeated = named.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
+    same = (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    left = docs.join(others, same, "left_anti")
     if repeated.isEmpty():
         return left.select(*docs.columns)
     once = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])

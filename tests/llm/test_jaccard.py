@@ -75,3 +75,11 @@ def test_empty_table_and_clashing_columns(spark, table):
     assert jaccard_components(table([]), 3, 90).count() == 0
     docs = table(["a b c d", "a b c d"]).selectExpr("*", "1 as node", "2 as key", "3 as component", "4 as doc")
     assert sorted(tuple(r) for r in jaccard_components(docs, 3, 90).collect()) == [(0, 2, 0), (1, 2, 0)]
+
+
+def test_rows_that_share_an_id_keep_their_links(spark, table):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, ""), (2, text("a") + " end"), (3, text("b") + " end"), (None, text("c")), (None, text("c") + " end"), (4, text("c") + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table([]).schema)
+    found = {(r["doc"], r["n_ngrams"], r["component"]) for r in jaccard_components(docs).collect()}
+    assert found == {(1, 36, 1), (1, 0, 1), (2, 37, 1), (3, 37, 1), (None, 36, 4), (None, 37, 4), (4, 37, 4)}

@@ -4,7 +4,7 @@ import corpus_pipeline
 
 
 def near(spark, docs):
-    return sorted(tuple(r)[:2] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    return sorted((tuple(r)[:2] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=lambda r: (r[0], str(r[1])))
 
 
 def test_near_copies_by_five_word_shingles(spark, table):
@@ -26,3 +26,11 @@ def test_pairs_below_the_share_stay(spark, table):
     more[40] = "y"  # 85 of 115 shared with the first: 0.74; three words: 93 of 111
     assert [i for i, _ in near(spark, table([" ".join(words), " ".join(more)]))] == [0, 1]
     assert [i for i, _ in near(spark, table([" ".join(words), " ".join(edited)]))] == [0]
+
+
+def test_rows_of_one_id_are_told_apart(spark, table):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (5, None), (7, text("b") + " end"), (8, text("c")), (8, text("d")), (9, text("d")), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table([]).schema)
+    want = [rows[k] for k in (0, 2, 3, 5, 6, 8)]
+    assert near(spark, docs) == sorted(want, key=lambda r: (r[0], str(r[1])))
