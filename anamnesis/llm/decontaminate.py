@@ -155,7 +155,11 @@ def find_passages(
 
     # Each block finds its hits on rows numbered once; the words hit by any block are joined after.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = materialise(rows, "rows")
+    return _by_blocks(materialise(rows, "rows"), items, n, blocks).drop("row")
+
+
+def _by_blocks(rows: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(row, key, n_words, n_hit, items, spans) for every row of the written ``rows`` (row, key, text)."""
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     found = []
     for k in range(blocks):
@@ -169,26 +173,27 @@ def find_passages(
     )
     merged = merged.select(F.col("key").alias("row"), "items", _merge_spans(F.col("spans")).alias("spans"))
     joined = rows.join(merged, "row", "left")
+    names = ["row", "key", "n_words", "n_hit", "items", "spans"]
 
     def count(batches):
         for batch in batches:
             n_words, n_hit = [], []
-            spans = batch.column(3).to_pylist()
-            for first, data, offsets in text_runs(batch.column(1)):
+            spans = batch.column(4).to_pylist()
+            for first, data, offsets in text_runs(batch.column(2)):
                 words = Words(LOWER[data], offsets, ALNUM)
                 for row in range(len(offsets) - 1):
                     a, b = words.first[row], words.first[row + 1]
                     n_words.append(int(b - a))
                     start, own = words.start[a:b] - offsets[row], spans[first + row] or []
                     n_hit.append(sum(int(np.count_nonzero((start >= s["start"]) & (start < s["end"]))) for s in own))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(2), batch.column(3)]
-            yield pa.record_batch(columns, names=["key", "n_words", "n_hit", "items", "spans"])
+            counts = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())]
+            yield pa.record_batch([batch.column(0), batch.column(1), *counts, batch.column(3), batch.column(4)], names=names)
 
     kind = rows.schema["key"].dataType.simpleString()
     empty = F.array()
     return joined.select(
-        "key", "text", F.coalesce("items", empty.cast("array<string>")).alias("items"), F.coalesce("spans", empty.cast(SPAN)).alias("spans")
-    ).mapInArrow(count, f"key {kind}, n_words long, n_hit long, items array<string>, spans {SPAN}")
+        "row", "key", "text", F.coalesce("items", empty.cast("array<string>")).alias("items"), F.coalesce("spans", empty.cast(SPAN)).alias("spans")
+    ).mapInArrow(count, f"row long, key {kind}, n_words long, n_hit long, items array<string>, spans {SPAN}")
 
 
 def contaminated(n_hit: Column, n_words: Column, share: int = 5) -> Column:
@@ -209,16 +214,22 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they are.
 
-    One block of windows filters the rows where they are read. With more, the rows of ids with
-    a contaminated row are left out by a join, so rows must be told apart by their id.
+    One block of windows filters the rows where they are read. With more, the rows are numbered once and written, and
+    the numbers of contaminated rows are left out by a join; either way each row is judged by itself.
     """
     spark = docs.sparkSession
     send_code(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
-    if _blocks(items, block_bytes) > 1:
-        found = find_passages(docs, benchmark, n, id_col, text_col, item_col, item_text, block_bytes)
-        bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"), share)).select(F.col("key").alias(id_col))
-        return docs.join(bad.distinct(), id_col, "left_anti").select(*docs.columns)
+    blocks = _blocks(items, block_bytes)
+    if blocks > 1:
+        number = "_row"
+        while number in docs.columns:
+            number += "_"
+        numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+        rows = numbered.select(F.col(number).alias("row"), F.lit(None).cast("string").alias("key"), F.col(text_col).alias("text"))
+        found = _by_blocks(rows, items, n, blocks)
+        bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"), share)).select(F.col("row").alias(number))
+        return numbered.join(bad, number, "left_anti").select(*docs.columns)
     shared = spark.sparkContext.broadcast(WindowSet(items.toArrow(), n))
     at = docs.columns.index(text_col)
 

@@ -75,3 +75,13 @@ def test_empty_tables(spark, table):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in find_passages(table(["a b"]), none).collect()] == [0]
     assert find_passages(table([]), none).count() == 0
+
+
+@pytest.mark.parametrize("block", [4 << 20, 20])
+def test_rows_are_judged_by_themselves_whatever_the_benchmark_size(spark, table, block):
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight")], "item_id long, text string")
+    rows = [(1, "one two three four"), (1, "clean words only here"), (None, "five six seven eight"), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table([]).schema).withColumn("_row", F.lit("x"))
+    kept = drop_contaminated(docs, bench, n=4, block_bytes=block)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
