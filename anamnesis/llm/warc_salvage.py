@@ -7,7 +7,8 @@ system it knows, members apart by one zero byte, which gzip readers skip.
 Reading: each record is checked (member checksum, version line, headers, length, closing blank lines,
 digests). When a check fails, the reader looks for the next member or version line from which a record passes
 all checks, goes on there, and reports the bytes between as a gap with the reason. Plain and compressed records
-may follow each other.
+may follow each other. A member is read the same way: its records before and after damage are kept, also those before
+the place where it can no longer be unpacked. Places are of the archive's bytes; a gap inside a member has the member's.
 
 A null payload is empty. Rows that repeat an id with equal payload are both responses.
 """
@@ -33,8 +34,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 #: Bytes of payload that an Arrow batch of read records holds before it is sent.
 BATCH_BYTES = 4 << 20
-#: Bytes that the header of a record may have.
-MAX_HEADER = 1 << 16
 #: Records that a task packs at a time.
 PACK_ROWS = 256
 #: Records in one archive file at most.
@@ -42,6 +41,7 @@ FILE_RECORDS = 20_000
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r\n")
 _FIRST = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+_NEXT = re.compile(rb"\r\nWARC/[0-9]+\.[0-9]+\r\n")
 
 
 def digest(data: bytes) -> str:
@@ -80,7 +80,11 @@ def member(record: bytes) -> bytes:
 
 
 class Damaged(ValueError):
-    """Why a record failed its checks."""
+    """Why a record failed its checks; of a member also the records that can be kept."""
+
+    def __init__(self, reason: str, records: list | None = None) -> None:
+        super().__init__(reason)
+        self.records = records or []
 
 
 @dataclass
@@ -125,8 +129,8 @@ def parse_record(data: bytes, start: int) -> Record:
     first = _FIRST.match(data, start)
     if not first:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", first.end() - 2, start + MAX_HEADER)
-    if stop < 0:
+    stop = data.find(b"\r\n\r\n", first.end() - 2)
+    if stop < 0 or _NEXT.search(data, first.end() - 2, stop + 2):
         raise Damaged("header without an end")
     headers = _headers(data[first.end() : stop])
     size = headers.get("content-length", "")
@@ -152,33 +156,60 @@ def parse_record(data: bytes, start: int) -> Record:
     return record
 
 
-def _member(data: bytes, start: int) -> tuple[list[Record], int]:
-    """Records of the gzip member at ``start`` and its end."""
+def _unpack(data: bytes, start: int) -> tuple[bytes, int, str]:
+    """Text of the gzip member at ``start``, its end, and what stopped it before its end, if anything."""
     unpack = zlib.decompressobj(31)
     parts, at = [], start
     try:
         while not unpack.eof:
             piece = data[at : at + (1 << 16)]
             if not piece:
-                raise Damaged("member without an end")
+                return b"".join(parts), at, "member without an end"
             parts.append(unpack.decompress(piece))
             at += len(piece)
-            if len(parts) == 1 and len(parts[0]) >= 5 and not parts[0].startswith(b"WARC/"):
-                raise Damaged("member holds no record")
     except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
-    end = at - len(unpack.unused_data)
-    text, inside, records = b"".join(parts), 0, []
-    while inside < len(text):
-        record = parse_record(text, inside)
-        inside = record.end
-        record.start, record.end = start, end
-        records.append(record)
-    return records, end
+        # What the last piece gives before the error is read byte by byte.
+        again = zlib.decompressobj(31)
+        if at > start:
+            again.decompress(data[start:at])
+        try:
+            for k in range(len(piece)):
+                parts.append(again.decompress(piece[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, f"member: {error}"
+    return b"".join(parts), at - len(unpack.unused_data), ""
+
+
+def _member(data: bytes, start: int) -> tuple[list[Record | Gap], int]:
+    """Records and gaps of the gzip member at ``start`` and its end; a gap is reported as the whole member.
+
+    Of a member that can't be unpacked to its end, records with a good block digest can be kept. If its checksum is
+    wrong and all its records are good, the damage is in a header or in the checksum, and none is kept.
+    """
+    text, end, reason = _unpack(data, start)
+    found = list(_salvage(text, _FIRST))
+    records = [r for r in found if isinstance(r, Record)]
+    if reason:
+        if "incorrect" in reason and "check" in reason and len(records) == len(found):
+            records = []
+        records = [r for r in records if r.headers.get("warc-block-digest", "").startswith("sha1:")]
+    for r in found:
+        r.start, r.end = start, end
+    if reason:
+        raise Damaged(reason, records)
+    if text and not records:
+        raise Damaged("member holds no record")
+    return found, end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive, in order; together with zero bytes of padding they cover it."""
+    return _salvage(data, _START)
+
+
+def _salvage(data: bytes, begin: re.Pattern) -> Iterator[Record | Gap]:
+    """``begin`` is what a record may begin with: a version line, or a member as well."""
     at, lost, why = 0, None, ""
     while at < len(data):
         if lost is None and data[at] == 0:
@@ -186,15 +217,19 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             at = padding
             continue
         try:
-            if data.startswith(b"\x1f\x8b", at):
+            if begin is _START and data.startswith(b"\x1f\x8b", at):
                 records, end = _member(data, at)
             else:
                 record = parse_record(data, at)
                 records, end = [record], record.end
         except Damaged as error:
+            if lost is not None and error.records:
+                yield Gap(lost, at, why)
+                lost = None
+            yield from error.records
             if lost is None:
                 lost, why = at, str(error)
-            found = _START.search(data, at + 1)
+            found = begin.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
         if lost is not None:

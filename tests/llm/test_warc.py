@@ -129,3 +129,29 @@ def test_gap_is_exact():
     assert [(g.start, g.end) for g in gaps] == [(len(parts[0]), len(parts[0]) + 10)]
     assert ids(b"") == ([], []) and ids(b"\0\0") == ([], [])
     assert [(g.start, g.end) for g in ids(b"nothing here")[1]] == [(0, 12)]
+
+
+def test_long_headers_are_read():
+    url = "data:text/html," + "a" * 200_000
+    for pack in (bytes, member):
+        found = list(salvage(pack(write_record(1, url, b"x", None, False)) + pack(write_record(2, "http://WARC/1.1", b"y", None, False))))
+        assert [r.headers["warc-target-uri"] for r in found] == [url, "http://WARC/1.1"]
+
+
+@pytest.mark.parametrize("how", ["payload", "header", "cut", "checksum"])
+def test_records_of_one_member_are_salvaged(how):
+    rng = random.Random(5)
+    records = [write_record(i, f"http://x/{i}", rng.randbytes(30_000), None, False) for i in range(9)]
+    if how == "payload":
+        records[4] = records[4][:900] + b"?" + records[4][901:]
+    if how == "header":
+        records[4] = b"?" + records[4][1:]
+    packed = member(b"".join(records))
+    if how == "cut":
+        packed = packed[: len(packed) // 2]
+    if how == "checksum":
+        packed = packed[:-8] + bytes([packed[-8] ^ 1]) + packed[-7:]
+    got, gaps = ids(packed + member(write_record(99, None, b"last", None, False)))
+    lost = {"payload": {4}, "header": {4}, "cut": set(range(4, 9)), "checksum": set(range(9))}[how]
+    assert got == [f"<urn:page:{i}>" for i in [*range(9), 99] if i not in lost]
+    assert [(g.start, g.end) for g in gaps] == [(0, len(packed))]
