@@ -3,8 +3,9 @@
 A page is read into blocks of text, each with its path of block elements from the root. Over the blocks of one
 path the lengths and the punctuation marks are added up, and divided by their number. The ratios are
 smoothed along the page, fused by their product, weighed by what the names on a path say, and compared with a
-threshold from their spread. The paths of the blocks above it lead to the element that holds the content;
-its blocks are the text, but for paths of menus, notices, forms and the like and paths made of links.
+threshold from their spread. The blocks above it are the text. The element that holds most of them, or the article or
+main element around it, adds its other blocks, which are too short to pass by themselves, and so do headings beside them. Paths of menus, notices, forms and
+the like and paths made of links are left out; names of the elements that hold most of a page's text don't count for that.
 
 Null and empty pages, and pages without a block above the threshold, have an empty text. Tags may be left open or be
 closed twice. White space, character references included, becomes one space.
@@ -30,6 +31,7 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 BOILERPLATE = frozenset("nav header footer aside form menu button select dialog fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 #: An open element that ends when one of the others begins beside it.
 ENDS = {
@@ -147,8 +149,26 @@ def _names(label: str) -> list[str]:
     return label.split(".")
 
 
-def _is_boilerplate(path: tuple[str, ...]) -> bool:
-    return any(n[0] in BOILERPLATE or not BAD_NAMES.isdisjoint(n[1:]) for n in map(_names, path))
+def _boilerplate(blocks: list[Block]) -> list[bool]:
+    """Whether each block is boilerplate.
+
+    Names don't count on html, body, main and the outer article, nor on an element that holds three quarters of the text.
+    """
+    held: dict[tuple[str, ...], int] = {}
+    for b in blocks:
+        for depth in range(1, len(b.path) + 1):
+            held[b.path[:depth]] = held.get(b.path[:depth], 0) + len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    known: dict[tuple[str, ...], bool] = {}
+    for path in {b.path for b in blocks}:
+        known[path], articles = False, 0
+        for depth, (tag, *names) in enumerate(map(_names, path), 1):
+            articles += tag == "article"
+            whole = tag in ("html", "body", "main") or tag == "article" and articles == 1 or held[path[:depth]] >= 0.75 * total
+            if tag in BOILERPLATE or not (whole or BAD_NAMES.isdisjoint(names)):
+                known[path] = True
+                break
+    return [known[b.path] for b in blocks]
 
 
 def _is_content(path: tuple[str, ...]) -> bool:
@@ -168,7 +188,7 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, mode="valid")
-    hints = np.array([0.0 if _is_boilerplate(b.path) else 10.0 if _is_content(b.path) else 1.0 for b in blocks])
+    hints = np.array([0.0 if bad else 10.0 if _is_content(b.path) else 1.0 for b, bad in zip(blocks, _boilerplate(blocks), strict=True)])
     return smooth(text) * (0.5 + smooth(marks)) * hints
 
 
@@ -192,14 +212,19 @@ def main_text(page: str | None) -> str:
     inner = max(holders, key=len)
     while inner and _names(inner[-1])[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "ul", "ol", "td", "tr"):
         inner = inner[:-1]
+    around = [depth for depth, label in enumerate(inner, 1) if _names(label)[0] in CONTENT]
+    inner = inner[: around[-1]] if around else inner
     links: dict[tuple[str, ...], list[int]] = {}
     for b in blocks:
         own = links.setdefault(b.path, [0, 0])
         own[0] += b.linked
         own[1] += len(b.text)
     out = []
-    for b in blocks:
-        if b.path[: len(inner)] == inner and not _is_boilerplate(b.path):
+    passed = set(chosen.tolist())
+    beside = {blocks[k].path[:-1] for k in passed}
+    for k, (b, bad) in enumerate(zip(blocks, _boilerplate(blocks), strict=True)):
+        title = b.path and _names(b.path[-1])[0] in HEADINGS and b.path[:-1] in beside
+        if not bad and (k in passed or title or b.path[: len(inner)] == inner):
             linked, size = links[b.path]
             if 2 * linked <= size:
                 out.append(b.text)

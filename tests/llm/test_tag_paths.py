@@ -54,3 +54,23 @@ def test_table(spark):
     found = extract(pages).collect()
     assert sorted((str(r["page_id"]), len(r["text"])) for r in found) == [("1", len(LONG) - 1), ("2", 0), ("2", 0), ("None", len(LONG) * 2000 - 1)]
     assert extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("outer", "inner"),
+    [*((o, i) for o in ("article", "div") for i in ("div", "table", "section", "figure")), ("article", "div class=body")],
+)
+def test_passed_blocks_beside_the_largest_element_stay(outer, inner):
+    tag = inner.split()[0]
+    page = f"<body><{outer}><h1>Head</h1><p>Intro, {LONG}</p><{inner}><p>{LONG * 9}</p></{tag}><p>End, {LONG}</p></{outer}></body>"
+    assert main_text(page) == " ".join(f"Head Intro, {LONG} {LONG * 9} End, {LONG}".split())
+
+
+@pytest.mark.parametrize(
+    ("start", "end"),
+    [("<body class='has-sidebar'>", "</body>"), ("<main class='menu-open'>", "</main>"), ("<article class='reader'>", "</article>"), ("<body><div id=widget>", "</div></body>")],
+)
+def test_names_of_elements_around_the_text_are_no_boilerplate(start, end):
+    page = f"{start}<p>{LONG * 3}</p><div class=sidebar><p>{LONG}</p></div><p>{LONG * 2}</p><article class=comment><article class=comment>{LONG}</article></article>{end}"
+    text = main_text(page)
+    assert text.startswith(" ".join((LONG * 5).split())) and text.count("long day") < 7
