@@ -1,11 +1,13 @@
 """Personal data in texts, and the words that give it away.
 
 Emails, network addresses, card and phone numbers are found by fixed patterns in every whole text:
-the protected entities. Around each of them the words nearby are counted; over the whole corpus all
-occurrences of those words are counted. A word whose occurrences stand beside protected entities far more
-often than chance reveals them: its disclosure is the pointwise information log2(P(entity beside |
-word) / P(entity beside)). Words over the thresholds are terms. Beside an entity a term that
-stands there in at least ``remove_share`` of its occurrences is removed, any other is generalised to its class.
+the protected entities. Around each of them the words nearby are counted, once for any entity, once for its kind and
+once for itself; over the whole corpus all occurrences of those words are counted. A word whose occurrences stand
+beside one of these far more often than chance reveals it: its disclosure is the pointwise information
+log2(P(entity beside | word) / P(entity beside)). It must be significant as well: the chance of so many different texts among
+its occurrences (Chernoff's bound) is weighed against the number of words and entities that could have met. Words that are both
+are terms, and every occurrence in any text is found. A term that stands beside the entity in at least ``remove_share`` of
+its occurrences is removed, any other is generalised to its class.
 
 A fixed-size filter of the words seen beside entities keeps the count of the corpus to those words;
 an exact join follows. Null and empty texts have no spans. Offsets are code points, end exclusive.
@@ -43,9 +45,10 @@ LOWER_AZ = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 #: Words before and after an entity that may reveal it.
 NEAR_WORDS = 3
-#: Occurrences beside entities that a term needs, over so many different texts, its least disclosure in bits, and
-#: the share of its occurrences that must be beside entities.
-MIN_NEAR, MIN_DOCS, MIN_BITS, MIN_SHARE = 20, 10, 3.0, 0.2
+#: The least disclosure of a term in bits, and the share of its occurrences that must be beside the entity.
+MIN_BITS, MIN_SHARE = 3.0, 0.2
+#: Bits of significance that a term needs beyond one in all pairs of a word and an entity.
+SURE_BITS = 10.0
 #: Share of occurrences beside entities from which a term is removed and not generalised.
 REMOVE_SHARE = 0.8
 FILTER_BITS = 1 << 23
@@ -104,54 +107,73 @@ _MAY = np.zeros(256, dtype=bool)
 _MAY[0x30:0x3A] = _MAY[0x40] = True
 
 
-def _near(text: str, spans) -> list[tuple[str, int, int]]:
-    """Terms beside the spans, each once: (term, start, end); what touches a span is none."""
-    if not spans:
-        return []
+def _places(text: str, spans):
+    """Words of the text as (start, end), whether each touches a span, and the first and last + 1 word that each span touches."""
     words = [(m.start(), m.end()) for m in TERM.finditer(text)]
     starts, ends = np.array([a for a, _ in words]), np.array([b for _, b in words])
-    taken = np.zeros(len(words), dtype=bool)
-    wanted = np.zeros(len(words), dtype=bool)
+    taken, touched = np.zeros(len(words), dtype=bool), []
     for _, a, b in spans:
         first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
         taken[first:last] = True
-        wanted[max(0, first - NEAR_WORDS) : first] = wanted[last : last + NEAR_WORDS] = True
-    out = []
-    for k in np.flatnonzero(wanted & ~taken).tolist():
-        a, b = words[k]
-        if b - a > 1 and not any(c.isdigit() for c in text[a:b]):
-            out.append((text[a:b].translate(LOWER_AZ), a, b))
-    return out
+        touched.append((first, last))
+    return words, taken, touched
+
+
+def _events(text: str, kind: str, a: int, b: int) -> tuple[str, str, str]:
+    """What a word beside an entity stands beside: any, one of its kind, and this one."""
+    own = text[a:b].translate(LOWER_AZ)
+    own = "".join(c for c in own if c in "0123456789") if kind in ("card", "phone") else own
+    return "", kind, f"{kind}:{own}"
 
 
-def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, mark, spans, near): base spans of every row and the terms beside them; mark is a hash of the text."""
+def _near(text: str, spans) -> list[tuple[str, list[str]]]:
+    """Terms beside the spans, each place once: (term, events); what touches a span is none."""
+    if not spans:
+        return []
+    words, taken, touched = _places(text, spans)
+    met: dict[int, set[str]] = {}
+    for (kind, a, b), (first, last) in zip(spans, touched, strict=True):
+        events = _events(text, kind, a, b)
+        for k in [*range(max(0, first - NEAR_WORDS), first), *range(last, min(last + NEAR_WORDS, len(words)))]:
+            if not taken[k] and words[k][1] - words[k][0] > 1:
+                met.setdefault(k, set()).update(events)
+    return [(text[words[k][0] : words[k][1]].translate(LOWER_AZ), sorted(met[k])) for k in sorted(met)]
+
+
+def _with_terms(text: str, known: dict[str, bool]) -> list[tuple[str, int, int]]:
+    """Base spans, then every occurrence of the ``known`` terms that touches none: to be removed, then to be generalised."""
+    spans = base_spans(text)
+    if not known:
+        return spans
+    words, taken, _ = _places(text, spans)
+    more = {True: [], False: []}
+    for k, (a, b) in enumerate(words):
+        remove = known.get(text[a:b].translate(LOWER_AZ))
+        if remove is not None and not taken[k]:
+            more[remove].append(("term" if remove else "class", a, b))
+    return spans + more[True] + more[False]
+
+
+def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(mark, near) of the rows with terms beside their base spans; mark is a hash of the text."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            spans, near = [[] for _ in range(n)], [[] for _ in range(n)]
-            texts = batch.column(2)
+            near = [[] for _ in range(n)]
+            texts = batch.column(1)
             for first, data, offsets in text_runs(texts):
                 marks = np.append(0, np.cumsum(_MAY[data]))
                 for row in (first + np.flatnonzero(np.diff(marks[offsets]))).tolist():
                     text = texts[row].as_py()
-                    spans[row] = base_spans(text)
-                    near[row] = _near(text, spans[row])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            term = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            columns = [
-                batch.column(0),
-                batch.column(1),
-                pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], kind),
-                pa.array([[{"term": k, "start": a, "end": b} for k, a, b in own] for own in near], term),
-            ]
-            yield pa.record_batch(columns, names=["key", "mark", "spans", "near"])
-
-    key = docs.schema[id_col].dataType.simpleString()
-    ddl = "array<struct<{}:string,start:int,end:int>>"
-    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"key {key}, mark long, spans {ddl.format('kind')}, near {ddl.format('term')}")
+                    near[row] = _near(text, base_spans(text))
+            term = pa.list_(pa.struct([("term", pa.string()), ("events", pa.list_(pa.string()))]))
+            near = pa.array([[{"term": t, "events": e} for t, e in own] for own in near], term)
+            held = pc.greater(pc.list_value_length(near), 0)
+            yield pa.record_batch([batch.column(0), near], names=["mark", "near"]).filter(held)
+
+    rows = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "mark long, near array<struct<term:string,events:array<string>>>")
 
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
@@ -196,46 +218,132 @@ def _count_terms(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataF
 def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, near, n, share, bits, remove) of the words that reveal protected entities.
 
-    ``entities`` is the written result of ``find_entities`` on ``docs``.
+    ``entities`` is the written result of ``find_entities`` on ``docs``. Figures are those of the event (any entity, a
+    kind, one entity) with the largest share.
     """
-    beside = entities.select("mark", F.explode("near").alias("w")).select("mark", F.col("w.term").alias("term"))
-    per_doc = beside.groupBy("term", "mark").agg(F.count("*").alias("near"))
-    near = per_doc.groupBy("term").agg(F.sum("near").alias("near"), F.count("*").alias("docs"))
-    total = beside.count()
-    candidates = materialise(near.where((F.col("near") >= MIN_NEAR) & (F.col("docs") >= MIN_DOCS)), "candidates")
-    counts = materialise(_count_terms(docs, candidates, text_col), "words")
+    beside = entities.select("mark", F.explode("near").alias("w"))
+    beside = beside.select("mark", F.col("w.term").alias("term"), F.explode("w.events").alias("event"))
+    per_doc = beside.groupBy("event", "term", "mark").agg(F.count("*").alias("near"))
+    near = per_doc.groupBy("event", "term").agg(F.sum("near").alias("near"), F.count("*").alias("docs"))
+    near = materialise(near, "near")
+    wide = F.col("event").isin("", *KINDS)
+    counted = near.groupBy("event").agg(F.sum("near").alias("places"))
+    of_wide = {r["event"]: r["places"] for r in counted.where(wide).collect()}
+    events = near.select("event").distinct().count()
+    # One text is never significant: its bits are at most those of the number of words.
+    often = near.where("docs > 1")
+    single = often.where(~wide).join(counted.where(~wide), "event")
+    places = F.coalesce(*[F.when(F.col("event") == e, F.lit(n)) for e, n in of_wide.items()], F.lit(0))
+    candidates = often.where(wide).withColumn("places", places.cast("long")).unionByName(single)
+    candidates = materialise(candidates.select("term", "event", "near", "docs", "places"), "candidates")
+    counts = materialise(_count_terms(docs, candidates.select("term").distinct(), text_col), "words")
     words = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
-    chance = max(total, 1) / max(words, 1)
-    share = F.least(F.lit(1.0), F.col("near") / F.greatest("n", "near"))
-    scored = candidates.join(counts.where("term is not null"), "term").withColumn("share", share)
-    scored = scored.withColumn("bits", F.log2(F.col("share") / F.lit(chance)))
-    scored = scored.where((F.col("bits") >= MIN_BITS) & (F.col("share") >= MIN_SHARE))
-    return scored.select("term", "near", "n", "share", "bits", (F.col("share") >= REMOVE_SHARE).alias("remove"))
+    scored = candidates.join(counts.where("term is not null"), "term")
+    n = F.greatest("n", "near")
+    chance = F.least(F.lit(1.0), F.col("places") / F.lit(max(words, 1)))
+    scored = scored.withColumn("share", F.col("near") / n).withColumn("bits", F.log2(F.col("near") / n / chance))
+    seen = F.col("docs") / n
+    other = F.when((seen < 1) & (chance < 1), (1 - seen) * F.log2((1 - seen) / (1 - chance))).otherwise(0.0)
+    sure = F.when(seen > chance, n * (seen * F.log2(seen / chance) + other)).otherwise(0.0)
+    least = SURE_BITS + float(np.log2(max(words, 1)) + np.log2(max(events, 1)))
+    scored = scored.where((F.col("bits") >= MIN_BITS) & (F.col("share") >= MIN_SHARE) & (sure >= least))
+    best = scored.groupBy("term").agg(F.max(F.struct("share", "bits", "near", "n")).alias("best")).select("term", "best.*")
+    return best.select("term", "near", "n", "share", "bits", (F.col("share") >= REMOVE_SHARE).alias("remove"))
+
+
+def _maybe(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of a run, and the places of those that pass the filter of terms."""
+    words = Words(LOWER[data], offsets, TERM_BYTES)
+    bit = words.hashes() & U(FILTER_BITS - 1)
+    return words, np.flatnonzero((bits[bit >> U(6)] >> (bit & U(63))) & U(1))
+
+
+class _Terms:
+    """The terms of a corpus, and for every row of ``rows`` those that it holds.
+
+    Up to ``MAX_TERMS`` are broadcast. More are joined by a number that each written row gets, in the column
+    ``number``, and the terms of a row come with it in the column ``held``.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str) -> None:
+        entities = materialise(find_entities(docs, text_col), "entities")
+        terms = materialise(disclosing_terms(docs, entities, text_col), "terms")
+        context = docs.sparkSession.sparkContext
+        size = terms.count()
+        self.any, self.few, self.rows = size > 0, size <= MAX_TERMS, docs
+        self.known = self.bits = None
+        if self.any and self.few:
+            self.known = context.broadcast({r["term"]: r["remove"] for r in terms.select("term", "remove").collect()})
+            self.bits = context.broadcast(_filter_of(terms))
+        elif self.any:
+            self.rows = self._joined(docs, terms, text_col, context.broadcast(_filter_of(terms)))
+
+    def _joined(self, docs, terms, text_col, bits):
+        number, held = "_row", "_held"
+        while number in docs.columns or held in docs.columns:
+            number, held = number + "_", held + "_"
+        rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+
+        def words_of(batches):
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                for first, data, offsets in text_runs(batch.column(1)):
+                    words, on = _maybe(data, offsets, bits.value)
+                    pairs = sorted({(int(words.row[i]), words.text(i).decode("utf-8", "replace")) for i in on.tolist()})
+                    own = pa.array(numbers[[first + row for row, _ in pairs]] if pairs else [], pa.int64())
+                    yield pa.record_batch([own, pa.array([t for _, t in pairs], pa.string())], names=["row", "term"])
+
+        found = rows.select(number, text_col).mapInArrow(words_of, "row long, term string")
+        found = found.join(terms.select("term", "remove"), "term").distinct()
+        found = found.groupBy("row").agg(F.collect_list(F.struct("term", "remove")).alias(held)).withColumnRenamed("row", number)
+        return rows.join(found, number, "left").select(*docs.columns, held)
+
+    def finder(self):
+        """A function of a batch of ``rows`` and the place of its text: (row, text, spans) of rows that may have spans."""
+        few, known, bits, any_term = self.few, self.known, self.bits, self.any
+
+        def spans(batch, at):
+            texts = batch.column(at)
+            for first, data, offsets in text_runs(texts):
+                marks = np.append(0, np.cumsum(_MAY[data]))
+                may = np.diff(marks[offsets]) > 0
+                if any_term and few:
+                    words, on = _maybe(data, offsets, bits.value)
+                    may[words.row[on]] = True
+                elif any_term:
+                    held = batch.column(batch.num_columns - 1).slice(first, len(may))
+                    may |= held.is_valid().to_numpy(zero_copy_only=False)
+                for row in (first + np.flatnonzero(may)).tolist():
+                    text = texts[row].as_py()
+                    if any_term and not few:
+                        own = {h["term"]: h["remove"] for h in batch.column(batch.num_columns - 1)[row].as_py() or []}
+                    else:
+                        own = known.value if any_term else {}
+                    yield row, text, _with_terms(text, own)
+
+        return spans
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, mark, spans) for every row of ``docs``: base spans, then the terms beside them.
+    """(key, mark, spans) for every row of ``docs``: base spans, then all occurrences of terms.
 
     The kind of a term is ``term`` where it is to be removed, ``class`` where it is generalised.
     """
     send_code(docs.sparkSession)
-    entities = materialise(find_entities(docs, id_col, text_col), "entities")
-    terms = materialise(disclosing_terms(docs, entities, text_col), "terms")
-    return _with_terms(entities, terms)
+    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    terms = _Terms(rows, "text")
+    find = terms.finder()
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    def run(batches):
+        for batch in batches:
+            spans = [[] for _ in range(batch.num_rows)]
+            for row, _, own in find(batch, 2):
+                spans[row] = [{"kind": k, "start": a, "end": b} for k, a, b in own]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["key", "mark", "spans"])
 
-def _with_terms(entities: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, mark, spans) of all rows of ``entities``, with the spans of ``terms`` after the base spans."""
-    held = entities.where(F.size("near") > 0).dropDuplicates(["key", "mark"])
-    used = held.select("key", "mark", F.explode("near").alias("w")).join(
-        terms.select(F.col("term").alias("name"), "remove"), F.col("w.term") == F.col("name")
-    )
-    kind = F.when(F.col("remove"), "term").otherwise("class").alias("kind")
-    span = F.struct(kind, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    more = used.groupBy("key", "mark").agg(F.array_sort(F.collect_set(span)).alias("more"))
-    of = lambda kind: F.filter("more", lambda s: s["kind"] == kind)
-    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", of("term"), of("class")))
-    return entities.join(more, ["key", "mark"], "left").select("key", "mark", spans.alias("spans"))
+    key = rows.schema["key"].dataType.simpleString()
+    return terms.rows.mapInArrow(run, f"key {key}, mark long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -274,29 +382,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
     ``count_col`` gets the new number of characters. The terms are learned from ``docs`` itself.
     """
-    spark = docs.sparkSession
-    send_code(spark)
-    entities = materialise(find_entities(docs, id_col, text_col), "entities")
-    terms = materialise(disclosing_terms(docs, entities, text_col), "terms")
-    few = terms.count() <= MAX_TERMS
+    send_code(docs.sparkSession)
     at = docs.columns.index(text_col)
     count_at = docs.columns.index(count_col) if count_col else None
-    if few:
-        known = {r["term"]: r["remove"] for r in terms.select("term", "remove").collect()}
-        shared = spark.sparkContext.broadcast(known)
-        rows = docs
-    else:
-        spans = _with_terms(entities, terms).where(F.size("spans") > 0).dropDuplicates(["key", "mark"])
-        spans = spans.withColumnsRenamed({"key": "_key", "mark": "_mark", "spans": "_spans"})
-        rows = docs.join(spans, (F.col("_key") == docs[id_col]) & (F.col("_mark") == F.xxhash64(docs[text_col])), "left")
-        rows = rows.select(*[docs[c] for c in docs.columns], "_spans")
-
-    def private(text, batch, row):
-        if not few:
-            return [(s["kind"], s["start"], s["end"]) for s in batch.column(len(batch.columns) - 1)[row].as_py() or []]
-        spans = base_spans(text)
-        near = _near(text, spans)
-        return spans + [("term" if shared.value[t] else "class", a, b) for t, a, b in near if t in shared.value]
+    terms = _Terms(docs, text_col)
+    find = terms.finder()
 
     def run(batches):
         for whole in batches:
@@ -306,14 +396,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     def cleaned(batch):
         texts = batch.column(at)
         changed, new = np.zeros(batch.num_rows, dtype=bool), []
-        for first, data, offsets in text_runs(texts):
-            marks = np.append(0, np.cumsum(_MAY[data]))
-            for row in (first + np.flatnonzero(np.diff(marks[offsets]))).tolist():
-                text = texts[row].as_py()
-                spans = private(text, batch, row)
-                if spans:
-                    changed[row] = True
-                    new.append(redact(text, spans))
+        for row, text, spans in find(batch, at):
+            if spans:
+                changed[row] = True
+                new.append(redact(text, spans))
         columns = list(batch.columns)[: len(names)]
         if new:
             columns[at] = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
@@ -322,4 +408,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
-    return rows.mapInArrow(run, docs.schema)
+    return terms.rows.mapInArrow(run, docs.schema)

@@ -111,3 +111,39 @@ def test_empty_table_and_clashing_columns(spark, table):
     docs = table(["x a@b.cd y"]).selectExpr("*", "1 as key", "2 as mark", "3 as spans", "4 as near")
     assert find_private(docs).first()["spans"][0]["kind"] == "email"
     assert sanitise(docs).first()["text"] == "x [email] y"
+
+
+def filler(rng, n=60):
+    return ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+
+def test_terms_are_found_far_from_entities_and_for_one_entity(spark, table):
+    rng = random.Random(8)
+    texts = []
+    for i in range(300):
+        words = filler(rng)
+        if i < 60:
+            words[30:30] = ["Zorblax", f"m{i}@host.example.com"]
+        if 60 <= i < 70:
+            words[10:10] = ["zorblax"]  # no entity in the text
+        if 70 <= i < 80:
+            words += ["x@y.example.com", *filler(rng, 4), "Zorblax"]  # four words away
+        if 100 <= i < 106:  # beside one person's address, in 6 texts
+            words[20:20] = ["kquill77", "pat@q.example.com"]
+        texts.append(" ".join(words))
+    rows = {r["key"]: [tuple(s) for s in r["spans"]] for r in find_private(table(texts)).collect()}
+    for i, text in enumerate(texts):
+        want = {m.span() for m in re.finditer("zorblax|kquill77", text, re.I)}
+        assert {(a, b) for k, a, b in rows[i] if k not in P.KINDS} == want, i
+    clean = [r["text"] for r in sanitise(table(texts)).collect()]
+    assert len(clean) == len(texts) and not any(re.search("zorblax|kquill77", t, re.I) for t in clean)
+
+
+def test_rows_without_an_id_are_cleaned_with_any_number_of_terms(spark, table, monkeypatch):
+    rows = [(None, t, "en", "s", 0) for t in corpus()]
+    docs = spark.createDataFrame(rows, table([]).schema)
+    want = sorted(str(r["text"]) for r in sanitise(docs).collect())
+    monkeypatch.setattr(P, "MAX_TERMS", 0)
+    found = [str(r["text"]) for r in sanitise(docs).collect()]
+    assert sorted(found) == want and len(found) == len(rows)
+    assert not any("Zorblax" in t or brute(t) for t in found)
