@@ -6,8 +6,6 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -47,6 +45,6 @@ def split_subjects(spark):
 
 @pytest.fixture(scope="session")
 def duck():
-    from oracle import connect
+    from oracle import SMALLEST, connect
 
-    return connect(SF_DIR)
+    return connect(SMALLEST)

@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import SF_DIR
+from oracle import SMALLEST as SF_DIR
 from oracle import compare
 
 import __spark_entry__ as entry
