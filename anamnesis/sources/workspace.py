@@ -38,7 +38,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once and read it back, which fixes its rows and cuts its lineage."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._anamnesis_path = path
+    return written
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that reads them is written itself.
+
+    Nothing that was derived from them may be run afterwards.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._anamnesis_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
