@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.sources.workspace import materialise, send_code
+from anamnesis.sources.workspace import drop_written, materialise, send_code
 
-__all__ = ["components", "crc", "load", "materialise", "send_code", "utf8"]
+__all__ = ["components", "crc", "drop_written", "load", "materialise", "send_code", "utf8"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = F.sum(F.xxhash64("a", "b") % 1_000_003)
     before = edges.agg(F.count("*"), sign).first()
     while before[0]:
-        edges = materialise(_round(edges), "edges")
+        last, edges = edges, materialise(_round(edges), "edges")
+        drop_written(last)
         after = edges.agg(F.count("*"), sign).first()
         if tuple(after) == tuple(before):
             break

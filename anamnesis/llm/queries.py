@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm import toxic_crf
 from anamnesis.llm.bilinear_lm import score_texts
+from anamnesis.llm.circulant_minhash import minhash_components
 from anamnesis.llm.common import crc, load, materialise
 from anamnesis.llm.decontaminate import contaminated, find_passages
 from anamnesis.llm.jaccard_join import jaccard_components
@@ -158,3 +159,33 @@ def op6_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_components(load(spark, sf_dir, "documents"), n=2, share=80)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n_ngrams").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+ORACLE["op11_circulant_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 1 THEN words
+  ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links
+  UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+  s.doc_id = coalesce(component_id, s.doc_id) AS kept
+FROM s LEFT JOIN least ON s.doc_id = least.doc_id
+"""
