@@ -14,6 +14,7 @@ from anamnesis.llm.common import crc, load, materialise
 from anamnesis.llm.decontaminate import contaminated, find_passages
 from anamnesis.llm.jaccard_join import jaccard_components
 from anamnesis.llm.kd_shards import kd_shards
+from anamnesis.llm.lyndon_runs import find_runs, with_periods
 from anamnesis.llm.pieces import encode_texts
 from anamnesis.llm.privacy import KINDS, find_private
 from anamnesis.llm.quality_rules import COUNTS, base_failed, count_text, kept, learn
@@ -189,3 +190,23 @@ SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(component_id
   s.doc_id = coalesce(component_id, s.doc_id) AS kept
 FROM s LEFT JOIN least ON s.doc_id = least.doc_id
 """
+
+
+@query
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = find_runs(docs.select("doc_id", with_periods(F.col("text"), crc(F.col("doc_id"))).alias("text")))
+    early = lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period"))
+    found = found.withColumn("best", F.array_max(F.transform("runs", early)))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    length, period = F.col("best.length"), F.col("best.period")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
