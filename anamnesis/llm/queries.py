@@ -12,6 +12,7 @@ from anamnesis.llm.bilinear_lm import score_texts
 from anamnesis.llm.circulant_minhash import minhash_components
 from anamnesis.llm.common import crc, load, materialise
 from anamnesis.llm.decontaminate import contaminated, find_passages
+from anamnesis.llm.hybrid_search import search
 from anamnesis.llm.jaccard_join import jaccard_components
 from anamnesis.llm.kd_shards import kd_shards
 from anamnesis.llm.lyndon_runs import find_runs, with_periods
@@ -210,3 +211,28 @@ def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLE["op12_hybrid_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tfs AS (SELECT doc_id, n, term, count(*) AS tf FROM tf GROUP BY doc_id, n, term),
+size AS (SELECT count(*) AS docs, sum(len(terms)) AS total FROM d WHERE len(terms) > 0),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+df AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, size GROUP BY term),
+scores AS (SELECT item_id, doc_id,
+  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n * docs) // total AS BIGINT))))) AS BIGINT) AS score
+  FROM items JOIN df USING (term) JOIN tfs USING (term), size GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
