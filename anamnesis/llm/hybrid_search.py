@@ -198,7 +198,7 @@ def _search_blocks(index: DataFrame, weighted: pa.Table, docs: int, total: int,
         weights = dict(zip(term.tolist(), weight.tolist(), strict=True))
         order = np.argsort(query, kind="stable")
         numbers, first = np.unique(query[order], return_index=True)
-        terms = [t.tolist() for t in np.split(term[order], first[1:])]
+        terms = [t.tolist() for t in np.split(term[order], first[1:])] if len(numbers) else []
         best = [Best(k) for _ in numbers]
         id_type = pa.null()
         for batch in batches:
