@@ -3,7 +3,7 @@
 Each reads what the one before wrote:
 
 ``process_events``  ``out/index`` (one row per sample), ``out/events`` (placed events with
-                    tokens), ``out/samples`` (nested chunks), ``out/manifest``
+                    tokens), ``out/samples`` (nested chunks), ``out/manifest``, ``out/malformed``
 ``encode_events``   ``out/vocabulary`` and ``out/vectors`` (one vector per event)
 ``predict_cohort``  a cohort with a prediction per row
 
@@ -32,7 +32,7 @@ from anamnesis.sources import events as SE
 from anamnesis.sources import samples as SS
 from anamnesis.sources.workspace import materialise
 
-NOT_FIELDS = ("subject_id", "time", "split", "source_row")
+NOT_FIELDS = ("subject_id", "time", "split", "source_row", SE.MALFORMED)
 _APART = "\x1f"
 
 
@@ -75,19 +75,24 @@ def process_events(
 ) -> None:
     """Events and predictions on disk to samples, manifest and placed events on disk.
 
-    Events at the same time keep the order of their rows in the files. A cohort whose folders are named like
+    Events at the same time keep the order of their rows in the files. All columns of the files beyond subject and time
+    go into the events; CSV columns that ``event_schema`` doesn't name are text. CSV rows that don't fit their header or
+    its types are no events; they are listed in ``out/malformed`` with their file. A cohort whose folders are named like
     splits of the events is paired with them; any other holds for all splits. ``hours`` leaves out
     events before that hour of a history, ``max_events`` keeps the last events of each history
     only. Samples and manifest have a folder for each split and shard.
     """
-    raw = SE.scan_events(spark, root, event_schema)
-    raw = raw.withColumns({"split": SE.split_from_path(root), "source_row": SE.source_order()})
-    kept = K.drop_empty_events(C.drop_birth_and_static(raw, birth_code), NOT_FIELDS)
+    origin = {"split": SE.split_from_path(root), "source_row": SE.source_order()}
+    raw = SE.scan_events(spark, root, event_schema, origin, malformed=True)
+    fits = F.col(SE.MALFORMED).isNull()
+    kept = K.drop_empty_events(C.drop_birth_and_static(raw.where(fits), birth_code), NOT_FIELDS)
     if codes is not None:
         kept = C.describe_codes(kept, SE.scan_codes(spark, codes))
-    kept = materialise(kept, "kept")
+    kept = materialise(kept.drop(SE.MALFORMED), "kept")
+    broken = raw.where(~fits).select("split", F.col("source_row.file").alias("file"), SE.MALFORMED)
+    SE.write_new(broken, f"{out}/malformed", rebase)
 
-    scanned = SE.scan_cohort(spark, cohort, cohort_schema).withColumn("split", SE.split_from_path(cohort))
+    scanned = SE.scan_cohort(spark, cohort, cohort_schema, {"split": SE.split_from_path(cohort)})
     subjects = kept.select("split", "subject_id").distinct()
     unpaired = scanned.select("split").distinct().join(subjects.select("split").distinct(), "split", "left_anti")
     labelled = C.drop_unlabelled(scanned, label)

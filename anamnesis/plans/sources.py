@@ -16,22 +16,86 @@ from anamnesis.sources import samples as SS
 from anamnesis.sources.workspace import fresh_path, materialise
 from anamnesis.streaming.ingest import event_stream, ingest_shards
 
-CSV_SCHEMA = SE.EVENT_SCHEMA + ", props STRING, event_id BIGINT"
+CSV_SCHEMA = SE.EVENT_SCHEMA + ", event_id BIGINT"
+
+#: Headers of the shards that the queries below write: other orders of the columns, and columns that not all shards have.
+HEADERS = {
+    "click": ["subject_id", "time", "code", "numeric_value", "event_id"],
+    "view": ["time", "props", "code", "subject_id", "event_id", "numeric_value"],
+    "error": ["event_id", "numeric_value", "code", "time", "subject_id", "props", "unit"],
+}
+
+
+def write_shards(events, root):
+    """A folder of CSV shards for each code; the codes without a header of their own have that of ``view``."""
+    shards = events.withColumns({"time": F.col("time").cast("string"), "unit": F.concat(F.lit("u"), F.col("event_id") % 3)})
+    for code, header in HEADERS.items():
+        named = F.col("code") == code if code != "view" else ~F.col("code").isin("click", "error")
+        rows = shards.where(named).select(*header).repartition(3, "subject_id")
+        rows.write.option("header", True).option("escape", '"').csv(f"{root}/shards/{code}")
 
 
 @query(
     "scan_events",
-    "WITH " + X.MEDS_SQL + f" SELECT event_id, subject_id, {stamp_sql('time')}, code, numeric_value, props FROM meds",
+    "WITH " + X.MEDS_SQL + f""" SELECT event_id, subject_id, {stamp_sql('time')}, code, numeric_value,
+  CASE WHEN code <> 'click' THEN props END AS props, CASE WHEN code = 'error' THEN 'u' || CAST(event_id % 3 AS VARCHAR) END AS unit,
+  CASE WHEN code IN ('click', 'error') THEN code ELSE 'view' END AS folder FROM meds""",
 )
 def scan_events(spark, sf_dir):
-    """A directory with CSV shards in sub-directories (by code) and a Parquet file that is passed over."""
+    """A directory with CSV shards of three headers in sub-directories, and a Parquet file that is passed over."""
     root = fresh_path(spark, "events")
-    events = X.meds(spark, sf_dir)
-    shards = events.withColumns({"shard": F.col("code"), "time": F.col("time").cast("string")})
-    shards.write.partitionBy("shard").option("header", True).option("escape", '"').csv(f"{root}/shards")
+    write_shards(X.meds(spark, sf_dir), root)
     X.codes(spark).write.parquet(f"{root}/codes")
-    rows = SE.scan_events(spark, root, CSV_SCHEMA)
-    return rows.select("event_id", "subject_id", stamp("time"), "code", "numeric_value", "props")
+    rows = SE.scan_events(spark, root, CSV_SCHEMA, {"folder": SE.split_from_path(f"{root}/shards")})
+    return rows.select("event_id", "subject_id", stamp("time"), "code", "numeric_value", "props", "unit", "folder")
+
+
+@query(
+    "scan_malformed",
+    "WITH " + X.MEDS_SQL + """ SELECT event_id % 3 = 0 AS broken, code, count(*) AS n_rows,
+  CAST(sum(CASE WHEN event_id % 3 <> 0 THEN subject_id END) AS BIGINT) AS subjects,
+  CAST(sum(CASE WHEN event_id % 3 = 0 THEN event_id END) AS BIGINT) AS broken_ids
+FROM meds WHERE code IN ('click', 'error') GROUP BY 1, 2""",
+)
+def scan_malformed(spark, sf_dir):
+    """Shards of two headers in which every third row has a time that is none, or a field too many."""
+    root = fresh_path(spark, "events")
+    events = X.meds(spark, sf_dir).where(F.col("code").isin("click", "error"))
+    broken = F.col("event_id") % 3 == 0
+    time = F.when(broken & (F.col("code") == "click"), "soon").otherwise(F.col("time").cast("string"))
+    extra = F.when(broken & (F.col("code") == "error"), ",more").otherwise("")
+    line = {
+        "click": F.concat_ws(",", "subject_id", time, "code", "event_id"),
+        "error": F.concat(F.concat_ws(",", "event_id", "code", time, "subject_id"), extra),
+    }
+    header = {"click": "subject_id,time,code,event_id", "error": "event_id,code,time,subject_id"}
+    for code in line:
+        rows = events.where(F.col("code") == code).select(line[code].alias("value"))
+        first = spark.range(1).select(F.lit(header[code]).alias("value"))
+        # One file, so that the header is its first line.
+        first.union(rows).coalesce(1).write.text(f"{root}/{code}")
+        _rename_parts(spark, f"{root}/{code}")
+    schema = "subject_id BIGINT, time TIMESTAMP_NTZ, code STRING, event_id BIGINT"
+    rows = SE.scan_events(spark, root, schema, {"folder": SE.split_from_path(root)}, malformed=True)
+    text = F.col(SE.MALFORMED)
+    ids = F.split(text, ",")
+    broken_id = F.when(F.col("folder") == "click", F.get(ids, F.lit(3))).otherwise(F.get(ids, F.lit(0))).cast("bigint")
+    return rows.groupBy(text.isNotNull().alias("broken"), F.col("folder").alias("code")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.when(text.isNull(), F.col("subject_id"))).alias("subjects"),
+        F.sum(broken_id).alias("broken_ids"),
+    )
+
+
+def _rename_parts(spark, folder):
+    """Text files of a folder as CSV files."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, name[:-4] + ".csv"))
 
 
 @query(
@@ -84,9 +148,8 @@ def split_from_path(spark, sf_dir):
     events = X.meds(spark, sf_dir).withColumn("split", split_of(F.col("subject_id")))
     for name in ("train", "tuning", "held_out"):
         events.where(F.col("split") == name).drop("split").write.parquet(f"{root}/{name}")
-    rows = SE.scan_events(spark, root)
-    split = SE.split_from_path(root).alias("split")
-    return rows.select(split).groupBy("split").agg(F.count(F.lit(1)).alias("n_events"))
+    rows = SE.scan_events(spark, root, origin={"split": SE.split_from_path(root)})
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 FIELDS = ["event_id", "time_min"]
