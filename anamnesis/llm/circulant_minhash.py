@@ -32,13 +32,15 @@ from anamnesis.llm.common import components, drop_written, materialise
 from anamnesis.llm.shingles import GROUP_NGRAMS, compare_group, describe, in_groups, read_sets
 
 #: Slots of the ring, as a power of two.
-SLOT_BITS = 22
+SLOT_BITS = 21
 #: Coordinates of a band.
 ROWS = 6
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-8
 #: N-grams whose shifts are gathered at once.
 GATHER = 1024
+#: N-grams that are compared with one set at once, a single longer set aside.
+PART_NGRAMS = 100_000
 SEED = 20_240_601
 
 
@@ -78,28 +80,47 @@ def band_keys(ngrams: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
+def _check(table: pa.Table, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, low) among the rows (low, part, node, ngrams): each node of a part with the one that is its ``low``."""
+    low, node = (table.column(c).to_numpy() for c in ("low", "node"))
+    sets = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
+    order = np.lexsort((node != low, table.column("part").to_numpy(), low))
+    lead, linked = None, np.zeros(len(order), dtype=bool)
+    for i in order.tolist():
+        if node[i] == low[i]:
+            lead = sets[i]
+            continue
+        own = sets[i]
+        if 100 * min(len(own), len(lead)) < share * max(len(own), len(lead)):
+            continue
+        at = np.searchsorted(lead, own)
+        both = int((lead[np.minimum(at, len(lead) - 1)] == own).sum())
+        linked[i] = 100 * both >= share * (len(own) + len(lead) - both)
+    return node[linked], low[linked]
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets overlap by the share.
 
-    Many pairs of one ``b`` meet a single row, so adaptive execution splits them.
+    The nodes that meet one ``b`` are dealt to parts of about ``PART_NGRAMS``, each with a copy of its set, and parts to
+    groups of about ``GROUP_NGRAMS``, so that no group grows with the data.
     """
+    weight = pairs.join(sets.select(F.col("node").alias("a"), "n_ngrams"), "a").groupBy("b").agg(F.sum("n_ngrams").alias("weight"))
+    weight = weight.withColumn("parts", F.ceil(F.col("weight") / PART_NGRAMS).cast("int"))
+    total = weight.agg(F.sum("weight")).first()[0] or 0
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+    members = pairs.join(weight, "b").select(F.col("b").alias("low"), part, F.col("a").alias("node"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    members = members.union(weight.select(F.col("b").alias("low"), parts, F.col("b").alias("node")))
+    group = F.pmod(F.xxhash64("low", "part"), F.lit(1 + 2 * total // GROUP_NGRAMS)).alias("group")
+    placed = members.withColumn("group", group).join(sets.select("node", "ngrams"), "node")
 
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                one, two = (np.frombuffer(s.as_buffer(), dtype=U) for s in (one, two))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep[i] = 100 * both >= share * (len(one) + len(two) - both)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+    def run(table):
+        pa.default_memory_pool().release_unused()
+        one, two = _check(table, share)
+        return pa.table({"a": pa.array(one), "b": pa.array(two)})
 
-    size = F.col("n_ngrams")
-    one = sets.select(F.col("node").alias("a"), size.alias("na"), F.col("ngrams").alias("one"))
-    two = sets.select(F.col("node").alias("b"), size.alias("nb"), F.col("ngrams").alias("two"))
-    near = 100 * F.least("na", "nb") >= share * F.greatest("na", "nb")
-    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").where(near).select("a", "b")
-    both = sized.join(one.drop("na"), "a").join(two.drop("nb"), "b").select("a", "b", "one", "two")
-    return both.mapInArrow(run, "a long, b long")
+    return placed.select("group", "low", "part", "node", "ngrams").groupBy("group").applyInArrow(run, "a long, b long")
 
 
 def minhash_links(
@@ -134,8 +155,9 @@ def minhash_links(
     placed = in_groups(members, group_ngrams).join(sets.select("node", "ngrams"), "node")
 
     def link(key, table):
+        pa.default_memory_pool().release_unused()
         names = table.column("node").to_numpy()
-        own = [np.frombuffer(s, dtype=U) for s in table.column("ngrams").to_pylist()]
+        own = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
         halves = table.column("block").to_numpy() if key[1].as_py() != key[2].as_py() else None
         found = compare_group(own, table.column("component").to_numpy(), share, halves)
         ends = np.array(found, dtype=np.int64).reshape(-1, 2)

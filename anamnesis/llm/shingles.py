@@ -17,7 +17,7 @@ from anamnesis.llm.bytewords import INVERSE, LOWER, NOT_SPACE, U, Words, mix, te
 from anamnesis.llm.common import materialise, send_code
 
 #: N-grams that one group holds at most, a single longer set aside.
-GROUP_NGRAMS = 2_000_000
+GROUP_NGRAMS = 1_000_000
 #: Least and most bits of the filter that keeps texts without partners from being read into sets: 16 for a wanted
 #: set between them. Beyond the most (16 MB) more texts pass, which the join that follows drops.
 FILTER_BITS = (1 << 16, 1 << 27)
@@ -58,6 +58,7 @@ def describe(
 
     def run(batches):
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             names = np.zeros((batch.num_rows, 2), dtype=np.int64)
             made: dict = {}
@@ -169,9 +170,9 @@ def compare_group(sets: list[np.ndarray], labels: np.ndarray, share: int, halves
     if len(joined.members) < 2:
         return []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     owner = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(token, kind="stable")]
-    ends = np.append(0, np.cumsum(np.bincount(token, minlength=len(tokens))))
+    ends = np.append(0, np.cumsum(np.bincount(token)))
     cuts = np.append(0, np.cumsum(sizes))
     links = []
     # Small components first: the members of the largest are reached from all others.
