@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.functions.vectors import dot, literal_vector
+from anamnesis.sources.workspace import send_code
 
 Weights = Sequence[tuple[Sequence[float], float]]
 
 
-def sigmoid(logit: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+def sigmoid(logits: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-logits))
 
 
-def softmax(logits: Column) -> Column:
-    largest = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - largest))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+def softmax(logits: np.ndarray) -> np.ndarray:
+    raised = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def as_matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Arrays of equal length as the rows of a matrix; none of them is null."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), width)
 
 
 def linear_heads(
@@ -30,15 +36,28 @@ def linear_heads(
 ) -> DataFrame:
     """Add one array column per task: ``heads[task] = (kind, [(weights, bias) per class])``.
 
-    Multiclass heads give a softmax over the classes, all others a sigmoid per class.
+    Multiclass heads give a softmax over the classes, all others a sigmoid per class. All heads are one matrix
+    product for a batch of rows; a null vector has null in each task.
     """
-    out = {}
-    for task, (kind, classes) in heads.items():
-        logits = F.array(
-            *[dot(F.col(vector), literal_vector(w)) + F.lit(float(b)) for w, b in classes]
-        )
-        out[task] = softmax(logits) if kind == "multiclass" else F.transform(logits, sigmoid)
-    return df.withColumns(out)
+    send_code(df.sparkSession)
+    weights = np.array([w for _, classes in heads.values() for w, _ in classes], dtype=np.float64)
+    bias = np.array([b for _, classes in heads.values() for _, b in classes], dtype=np.float64)
+    cuts = np.append(0, np.cumsum([len(classes) for _, classes in heads.values()]))
+    parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), [kind for kind, _ in heads.values()], strict=True))
+
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            there = vectors.is_valid()
+            logits = as_matrix(vectors.filter(there), weights.shape[1]) @ weights.T + bias
+            out = [(softmax if kind == "multiclass" else sigmoid)(logits[:, low:high]) for low, high, kind in parts]
+            flat = pa.array(np.concatenate(out, axis=1).ravel()) if out else pa.array([], pa.float64())
+            ends = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False))).astype(np.int32) * len(bias)
+            yield pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~there.to_numpy(zero_copy_only=False), False)), flat)
+
+    scored = df.withColumn("__heads", score(F.col(vector)))
+    slices = {task: F.slice("__heads", low + 1, high - low) for task, (low, high, _) in zip(heads, parts, strict=True)}
+    return scored.withColumns(slices).drop("__heads")
 
 
 PENALTY = 1e-4

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from anamnesis.functions import arrays as A
 from anamnesis.functions.vectors import text_of
 from anamnesis.operators import heads as H
 from anamnesis.operators import predict as P
 from anamnesis.operators import retrieval as R
+from anamnesis.operators import training as L
 from anamnesis.operators import vectors as E
 from anamnesis.plans import fixtures as X
 from anamnesis.plans import tokens as TP
@@ -481,6 +483,37 @@ def fit_head(spark, sf_dir):
     return gradient.select(F.col("component").cast("bigint").alias("component"), (F.abs("gradient") < 1e-5).alias("at_minimum"))
 
 
+#: A head of each kind; 17 classes are those of the diagnosis family.
+TASKS = [L.Task("mortality_1", "binary", 1), L.Task("creatinine_1", "multiclass", 5), L.Task("diagnosis", "multilabel", 17)]
+
+
+def labelled_vectors(spark, sf_dir):
+    """All vectors with labels of three tasks made from their class and number; each task lacks some."""
+    label, number = F.col("label"), F.col("event_idx")
+    known = {"mortality_1": number % 7 != 0, "creatinine_1": number % 11 != 0, "diagnosis": number % 5 != 0}
+    truth = {
+        "mortality_1": A.binary_label(F.when(known["mortality_1"], (label < 5).cast("int"))),
+        "creatinine_1": A.one_hot(F.when(known["creatinine_1"], label % 5), 5),
+        "diagnosis": A.multi_hot(F.when(known["diagnosis"], F.array(label, (label * 3 + 1) % 17, 10 + number % 7)), 17),
+    }
+    return X.vectors(spark, sf_dir).select("event_idx", "repr", *[v.alias(k) for k, v in truth.items()])
+
+
+@query(
+    "fit_heads",
+    """WITH classes AS (SELECT * FROM (VALUES ('mortality_1', 1), ('creatinine_1', 5), ('diagnosis', 17)) AS t(task, n)),
+rows AS (SELECT task, unnest(range(n)) AS class FROM classes)
+SELECT DISTINCT task, CAST(class AS INT) AS class, CAST(component AS INT) AS component, true AS at_minimum
+FROM rows, (SELECT unnest(range(-1, len(embedding))) AS component FROM embeddings)""",
+)
+def fit_heads(spark, sf_dir):
+    """Heads of three kinds with missing labels from the same passes: is the gradient 0 in every class and component?"""
+    train = materialise(labelled_vectors(spark, sf_dir), "labelled")
+    fitted = L.fit_heads(train, TASKS, "repr", penalty=1e-2)
+    gradient = L.heads_gradient(fitted, train, TASKS, "repr", penalty=1e-2)
+    return gradient.select("task", "class", "component", (F.abs("gradient") < 1e-5).alias("at_minimum"))
+
+
 @query(
     "predict_head",
     "WITH " + X.VECTORS_SQL + f""",

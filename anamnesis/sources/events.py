@@ -90,7 +90,7 @@ def _typed(header: tuple[str, ...], types: Mapping[str, T.DataType]) -> list[Col
 
 
 def _scan_csv(
-    spark: SparkSession, path: str, files: list[str], schema: str | None, origin: Mapping[str, Column], malformed: bool
+    spark: SparkSession, path: str, files: list[str], schema: str | None, origin: Mapping[str, Column], malformed: bool, multi_line: bool
 ) -> DataFrame:
     types = {f.name: f.dataType for f in T.StructType.fromDDL(schema)} if schema else {}
     groups = csv_groups(spark, files)
@@ -103,6 +103,8 @@ def _scan_csv(
             raise ValueError(f"{own[0]}: its first line {list(header)} names none of the columns {list(types)}")
         # The guard: a file whose header turns out another one than was read is an error.
         reader = spark.read.options(header=True, escape='"', enforceSchema=False)
+        if multi_line or any("\n" in name for name in header):
+            reader = reader.option("multiLine", True)
         if schema is None:
             reader = reader.option("inferSchema", True)
         else:
@@ -132,6 +134,7 @@ def scan_events(
     csv_schema: str | None = EVENT_SCHEMA,
     origin: Mapping[str, Column] | None = None,
     malformed: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One ``.csv`` or ``.parquet`` file, or a directory searched with its sub-directories.
 
@@ -141,7 +144,8 @@ def scan_events(
 
     ``origin`` adds columns made where a file is scanned (``split_from_path``, ``source_order``), as ``_metadata`` does not
     outlive the union of files with different headers. With ``malformed`` a column of this name holds the text of CSV rows
-    that don't fit their header or types; it is null in all others.
+    that don't fit their header or types; it is null in all others. Values with line breaks need ``multi_line``, with which
+    a file is not split between tasks.
     """
     origin = dict(origin or {})
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -150,7 +154,7 @@ def scan_events(
     for kind in kinds:
         files = _files(spark, path, kind)
         if kind == "csv" and files:
-            return _scan_csv(spark, path, files, csv_schema, origin, malformed)
+            return _scan_csv(spark, path, files, csv_schema, origin, malformed, multi_line)
         if files:
             options = {} if single else {"recursiveFileLookup": True, "pathGlobFilter": "*.parquet"}
             rows = spark.read.options(mergeSchema=not single or len(files) > 1, **options).parquet(path)
