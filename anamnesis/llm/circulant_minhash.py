@@ -23,13 +23,12 @@ import functools
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import BASE, U, mix
-from anamnesis.llm.common import components, drop_written, materialise
-from anamnesis.llm.shingles import GROUP_NGRAMS, compare_group, describe, in_groups, read_sets
+from anamnesis.llm.common import components, materialise
+from anamnesis.llm.shingles import GROUP_NGRAMS, compare_group, connect, describe, read_sets, with_lead
 
 #: Slots of the ring, as a power of two.
 SLOT_BITS = 21
@@ -39,8 +38,6 @@ ROWS = 6
 MISS = 1e-8
 #: N-grams whose shifts are gathered at once.
 GATHER = 1024
-#: N-grams that are compared with one set at once, a single longer set aside.
-PART_NGRAMS = 100_000
 SEED = 20_240_601
 
 
@@ -80,49 +77,6 @@ def band_keys(ngrams: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
-def _check(table: pa.Table, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, low) among the rows (low, part, node, ngrams): each node of a part with the one that is its ``low``."""
-    low, node = (table.column(c).to_numpy() for c in ("low", "node"))
-    sets = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
-    order = np.lexsort((node != low, table.column("part").to_numpy(), low))
-    lead, linked = None, np.zeros(len(order), dtype=bool)
-    for i in order.tolist():
-        if node[i] == low[i]:
-            lead = sets[i]
-            continue
-        own = sets[i]
-        if 100 * min(len(own), len(lead)) < share * max(len(own), len(lead)):
-            continue
-        at = np.searchsorted(lead, own)
-        both = int((lead[np.minimum(at, len(lead) - 1)] == own).sum())
-        linked[i] = 100 * both >= share * (len(own) + len(lead) - both)
-    return node[linked], low[linked]
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets overlap by the share.
-
-    The nodes that meet one ``b`` are dealt to parts of about ``PART_NGRAMS``, each with a copy of its set, and parts to
-    groups of about ``GROUP_NGRAMS``, so that no group grows with the data.
-    """
-    weight = pairs.join(sets.select(F.col("node").alias("a"), "n_ngrams"), "a").groupBy("b").agg(F.sum("n_ngrams").alias("weight"))
-    weight = weight.withColumn("parts", F.ceil(F.col("weight") / PART_NGRAMS).cast("int"))
-    total = weight.agg(F.sum("weight")).first()[0] or 0
-    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
-    members = pairs.join(weight, "b").select(F.col("b").alias("low"), part, F.col("a").alias("node"))
-    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    members = members.union(weight.select(F.col("b").alias("low"), parts, F.col("b").alias("node")))
-    group = F.pmod(F.xxhash64("low", "part"), F.lit(1 + 2 * total // GROUP_NGRAMS)).alias("group")
-    placed = members.withColumn("group", group).join(sets.select("node", "ngrams"), "node")
-
-    def run(table):
-        pa.default_memory_pool().release_unused()
-        one, two = _check(table, share)
-        return pa.table({"a": pa.array(one), "b": pa.array(two)})
-
-    return placed.select("group", "low", "part", "node", "ngrams").groupBy("group").applyInArrow(run, "a long, b long")
-
-
 def minhash_links(
     docs: DataFrame, n: int, share: int, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, group_ngrams: int = GROUP_NGRAMS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,39 +88,15 @@ def minhash_links(
 
     chosen = known.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     keyed = chosen.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
-    shared = materialise(shared.select("key", "low"), "keys")
-    met = materialise(keyed.join(shared, "key"), "met")
-    drop_written(shared)
-
-    pairs = materialise(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
-    sets = read_sets(docs, wanted, n, id_col, text_col)
-    links = materialise(_checked(pairs, sets, share), "links")
-    joined = materialise(components(links), "joined")
-
-    named = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
-    left = materialise(named.join(left.select("key"), "key").select("node", "low", "component"), "left")
-    clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    clusters = clusters.withColumnRenamed("component", "cluster")
-    members = clusters.join(left.select("node", "component").distinct(), "node").join(sets.select("node", "n_ngrams"), "node")
-    members = materialise(members, "members")
-    placed = in_groups(members, group_ngrams).join(sets.select("node", "ngrams"), "node")
-
-    def link(key, table):
-        pa.default_memory_pool().release_unused()
-        names = table.column("node").to_numpy()
-        own = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
-        halves = table.column("block").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        found = compare_group(own, table.column("component").to_numpy(), share, halves)
-        ends = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(names[ends[:, 0]]), "b": pa.array(names[ends[:, 1]])})
-
-    more = placed.select("cluster", "one", "two", "node", "block", "component", "ngrams")
-    more = materialise(more.groupBy("cluster", "one", "two").applyInArrow(link, "a long, b long"), "links")
-    drop_written(met, pairs, sets, joined, left, members)
-    return known, nodes, links.union(more)
+    links = connect(
+        keyed,
+        nodes,
+        lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
+        lambda sets: with_lead(sets, share),
+        lambda sets, labels, halves: compare_group(sets, labels, share, halves),
+        group_ngrams,
+    )
+    return known, nodes, links
 
 
 def minhash_components(

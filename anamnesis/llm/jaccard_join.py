@@ -1,14 +1,14 @@
 """Documents whose sets of word n-grams overlap by a given share, joined over prefix trees.
 
-1. Every text becomes the set of its distinct n-grams, held as 64-bit hashes. Texts with equal
-   sets are one node from here on, so copies are never paired.
+1. Every text becomes the set of its distinct n-grams, held as 64-bit hashes. Texts with equal sets (by two 64-bit sums) are
+   one node from here on, so copies are never paired.
 2. Sets that link differ in at most ``d`` n-grams. Cut by hash value into d + 1 parts, two such
    sets agree in a whole part, and the hash of a part is the key by which they meet. ``d`` follows
    from the longest set of a band of lengths; a set takes the keys of its band and of the next.
    A few parts more make up for empty ones, which would let unlike sets meet.
-3. Nodes that share a key, directly or in steps, are a cluster. The sets of a cluster go to one
-   group, whose size is bounded: a larger cluster is cut into blocks and every two blocks meet.
-4. In a group the sets, ordered by how common an n-gram is, form a prefix tree. It is walked once
+3. Nodes of a key meet the least node of it, in parts of a bounded size. A key whose nodes are connected by the
+   links found is done; only the nodes of the others go on to meet each other, in groups of a bounded size.
+4. In a part or group the sets, ordered by how common an n-gram is, form a prefix tree. It is walked once
    for all sets: at each edge the overlaps of all sets that are still possible grow by one count
    shared by the whole subtree, and a set is dropped as soon as the n-grams that remain can't
    bring it to the share. What reaches a leaf is exact. Links only leave as a spanning forest.
@@ -20,40 +20,21 @@ n-grams to be taken for equal when they are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.bytewords import INVERSE, LOWER, NOT_SPACE, U, Words, mix, text_runs, windows
-from anamnesis.llm.common import components, materialise, send_code
+from anamnesis.llm.bytewords import U, mix
+from anamnesis.llm.common import components, materialise
+from anamnesis.llm.shingles import GROUP_NGRAMS, connect, describe, digest, ngram_sets, read_sets
 
-#: N-grams that one group holds at most, a single longer set aside.
-GROUP_NGRAMS = 2_000_000
 #: Texts whose keys a task holds at once.
 BATCH_ROWS = 2048
-#: Bits of the filter that keeps texts without partners from being shuffled; a fixed size.
-FILTER_BITS = 1 << 23
-
-
-def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct n-gram hashes)."""
-    for first, data, offsets in text_runs(texts):
-        words = Words(LOWER[data], offsets, NOT_SPACE)
-        hashes = words.hashes()
-        for row in range(len(offsets) - 1):
-            own = hashes[words.first[row] : words.first[row + 1]]
-            yield first + row, np.unique(windows(own, min(n, len(own)))) if len(own) else own
-
-
-def _digest(ngrams: np.ndarray) -> int:
-    """Of a whole set; order does not matter."""
-    if not len(ngrams):
-        return 0
-    once = np.add.reduce(mix(ngrams ^ INVERSE))
-    return int(mix(np.array([once ^ (U(len(ngrams)) << U(40))], dtype=U)).view(np.int64)[0])
+#: Nodes whose ids are equal though their sets are not; a few in 1e10, so more than this are an error.
+MAX_ODD = 100_000
 
 
 def _bands(share: int) -> Callable[[int], tuple[tuple[int, int], tuple[int, int]]]:
@@ -104,70 +85,50 @@ def _keys(ngrams: np.ndarray, bands) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=U)
 
 
-def describe(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_ngrams, node, mark): the size of every row's set, the number of the set and a hash of the text."""
-
-    def run(batches):
-        for batch in batches:
-            sizes = np.zeros(batch.num_rows, dtype=np.int64)
-            nodes = np.zeros(batch.num_rows, dtype=np.int64)
-            for row, ngrams in _sets(batch.column(1), n):
-                sizes[row], nodes[row] = len(ngrams), _digest(ngrams)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes), pa.array(nodes), batch.column(2)], names=["doc", "n_ngrams", "node", "mark"]
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
-    return rows.mapInArrow(run, f"doc {kind}, n_ngrams long, node long, mark long")
-
+def _ids(nodes: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Nodes with the lower half of their digest as id, and the ids of those that it doesn't tell apart."""
+    odd = nodes.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
+    other = F.xxhash64("high", "low")
+    rows = nodes.join(odd, "low", "left_semi").select("high", "low", other.alias("id")).limit(MAX_ODD + 1).collect()
+    if len(rows) > MAX_ODD:
+        raise ValueError("the digests of sets agree far too often")
+    ids = {(r["high"], r["low"]): r["id"] for r in rows}
+    named = nodes.withColumn("node", F.col("low"))
+    if ids:
+        known = nodes.sparkSession.createDataFrame([(*k, v) for k, v in ids.items()], "high long, low long, __id long")
+        named = named.join(F.broadcast(known), ["high", "low"], "left").withColumn("node", F.coalesce("__id", "node")).drop("__id")
+    return named, ids
 
-def _keyed(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """(local, key, node): for each key of a batch its least node; local rows are edges.
 
-    A node that is not the least of a key in its batch gets an edge (key, node) to that one, so
-    a key leaves a batch once, however many texts hold it.
-    """
+def _keyed(docs: DataFrame, n: int, share: int, text_col: str, ids: dict[tuple[int, int], int]) -> DataFrame:
+    """(key, node): the keys of every node, once for a batch of texts."""
 
     def run(batches):
         of = _bands(share)
         for batch in (whole.slice(low, BATCH_ROWS) for whole in batches for low in range(0, whole.num_rows, BATCH_ROWS)):
+            pa.default_memory_pool().release_unused()
             keys, nodes, seen = [], [], set()
-            for _, ngrams in _sets(batch.column(0), n):
-                node = _digest(ngrams)
-                if len(ngrams) and node not in seen:
-                    seen.add(node)
+            for _, ngrams in ngram_sets(batch.column(0), n):
+                name = digest(ngrams)
+                if len(ngrams) and name not in seen:
+                    seen.add(name)
                     keys.append(_keys(ngrams, of(len(ngrams))))
-                    nodes.append(np.full(len(keys[-1]), node, dtype=np.int64))
-            if not keys:
-                continue
-            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = key[1:] != key[:-1]
-            low = node[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(key) else node
-            edges = np.unique(np.stack([node, low], axis=1)[node != low], axis=0)
-            local = np.repeat([False, True], [int(fresh.sum()), len(edges)])
-            yield pa.record_batch(
-                [
-                    pa.array(local),
-                    pa.array(np.concatenate([key[fresh], edges[:, 0]])),
-                    pa.array(np.concatenate([node[fresh], edges[:, 1]])),
-                ],
-                names=["local", "key", "node"],
-            )
-
-    return docs.select(text_col).mapInArrow(run, "local boolean, key long, node long")
-
-
-def link_group(sets: list[np.ndarray], share: int, halves: np.ndarray | None = None) -> list[tuple[int, int]]:
+                    nodes.append(np.full(len(keys[-1]), ids.get(name, name[1]), dtype=np.int64))
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return docs.select(text_col).mapInArrow(run, "key long, node long")
+
+
+def link_group(
+    sets: list[np.ndarray], share: int, halves: np.ndarray | None = None, labels: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links between distinct sets that connect all sets that any links connect.
 
-    With ``halves`` only sets of different halves are compared.
+    With ``halves`` only sets of different halves are compared; sets of equal ``labels`` are connected already.
     """
     m = len(sets)
-    if m < 2:
+    if m < 2 or (labels is not None and (labels == labels[0]).all()):
         return []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -189,6 +150,9 @@ def link_group(sets: list[np.ndarray], share: int, halves: np.ndarray | None = N
         differ = np.flatnonzero(a[:short] != b[:short])
         shared[k] = differ[0] if len(differ) else short
     parent = list(range(m))
+    if labels is not None:
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        parent = first[of].tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -235,45 +199,6 @@ def link_group(sets: list[np.ndarray], share: int, halves: np.ndarray | None = N
     return links
 
 
-def _wanted_bits(wanted: DataFrame) -> np.ndarray:
-    """Which of ``FILTER_BITS`` bits the wanted rows set; read as at most a word for 64 bits."""
-    bit = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(FILTER_BITS))
-    words = wanted.select(
-        (bit / 64).cast("long").alias("w"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v"),
-    )
-    words = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return bits.view(U)
-
-
-def _read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, ngrams) of the wanted nodes, read from their first rows, and of few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
-
-    def run(batches):
-        for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                piece = batch.slice(part, 512)
-                if piece.num_rows:
-                    sets = {_digest(s): s for _, s in _sets(piece.column(0), n)}
-                    ngrams = pa.array([s.tobytes() for s in sets.values()], pa.binary())
-                    yield pa.record_batch([pa.array(list(sets), pa.int64()), ngrams], names=["node", "ngrams"])
-
-    def some(batches):
-        def kept():
-            for batch in batches:
-                bit = batch.column(1).to_numpy()
-                on = (bits.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)
-                yield batch.filter(pa.array(on.astype(bool)))
-
-        yield from run(kept())
-
-    bit = F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col)), F.lit(FILTER_BITS))
-    return docs.select(F.col(text_col), bit.alias("bit")).mapInArrow(some, "node long, ngrams binary")
-
-
 def jaccard_components(
     docs: DataFrame,
     n: int = 5,
@@ -306,46 +231,20 @@ def linked_rows(
     """
     if not 50 < share <= 100:
         raise ValueError("share must be over 50 and at most 100 percent")
-    send_code(docs.sparkSession)
-    known = materialise(describe(docs, n, id_col, text_col), "sets")
-    first = F.struct(F.col("doc").isNull().alias("without"), "doc", "mark")
-    nodes = known.where("n_ngrams > 0").groupBy("node").agg(F.min(first).alias("first"), F.max("n_ngrams").alias("n_ngrams"))
-    nodes = materialise(nodes, "nodes")
-
-    keyed = _keyed(docs, n, share, id_col, text_col)
-    low = F.min("node").over(Window.partitionBy("local", "key"))
-    met = keyed.withColumn("low", F.when(~F.col("local"), low)).where("local or node > low")
-    edges = met.select(
-        F.when(F.col("local"), F.col("key")).otherwise(F.col("node")).alias("a"), F.coalesce("low", "node").alias("b")
-    )
-    clusters = materialise(components(edges), "clusters")
-
-    members = nodes.join(clusters, "node")
-    weight = clusters.join(nodes, "node").groupBy("component").agg(F.sum("n_ngrams").alias("weight"))
-    # A whole cluster is block 0 with itself. Of a larger one, each node goes to every pair that its block is in.
-    blocks = F.ceil(F.col("weight") * 2 / group_ngrams).cast("int")
-    members = members.join(weight, "component").withColumn(
-        "blocks", F.when(F.col("weight") <= group_ngrams, 1).otherwise(blocks)
+    known, nodes = describe(docs, n, id_col, text_col)
+    nodes, ids = _ids(nodes)
+    links = connect(
+        _keyed(docs, n, share, text_col, ids),
+        nodes,
+        lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
+        lambda sets: link_group(sets, share),
+        lambda sets, labels, halves: link_group(sets, share, halves, labels),
+        group_ngrams,
     )
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialise(members.select("first", "node", "component", "blocks", "block"), "members")
-    sets = _read_sets(docs, members, n, id_col, text_col)
-    placed = sets.dropDuplicates(["node"]).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "ngrams")
-
-    def link(key, table):
-        one, two = key[1].as_py(), key[2].as_py()
-        names = table.column("node").to_numpy()
-        own = [np.frombuffer(s, dtype=U) for s in table.column("ngrams").to_pylist()]
-        halves = table.column("block").to_numpy() if one != two else None
-        links = link_group(own, share, halves)
-        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    links = placed.groupBy("component", "one", "two").applyInArrow(link, "a long, b long")
-    joined = components(links)
-    named = joined.join(nodes.select("node", "first"), "node")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    of_node = nodes.select("node", "first").join(named.join(least, "component").select("node", "least"), "node", "left")
-    of_node = of_node.select("node", F.coalesce("least", "first").alias("first"))
-    return known.join(of_node, "node", "left").select("doc", "mark", "n_ngrams", "first")
+    firsts = nodes.join(components(links), "node", "left")
+    firsts = firsts.select("high", "low", "first", F.coalesce("component", "node").alias("component"))
+    firsts = materialise(firsts, "firsts")
+    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    of_set = firsts.join(least, "component").select("high", "low", F.col("least").alias("first"))
+    # Rows with many copies meet the one row of their set.
+    return known.join(of_set, ["high", "low"], "left").select("doc", "mark", "n_ngrams", "first")

@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import INVERSE, LOWER, NOT_SPACE, U, Words, mix, text_runs, windows
-from anamnesis.llm.common import materialise, send_code
+from anamnesis.llm.common import components, drop_written, materialise, send_code
 
 #: N-grams that one group holds at most, a single longer set aside.
 GROUP_NGRAMS = 1_000_000
+#: N-grams that are compared with one set at once, a single longer set aside.
+PART_NGRAMS = 100_000
 #: Least and most bits of the filter that keeps texts without partners from being read into sets: 16 for a wanted
 #: set between them. Beyond the most (16 MB) more texts pass, which the join that follows drops.
 FILTER_BITS = (1 << 16, 1 << 27)
 #: Texts read into sets at once.
 READ_ROWS = 512
+#: Rows of two numbers up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,3 +197,109 @@ def compare_group(sets: list[np.ndarray], labels: np.ndarray, share: int, halves
             if joined.link(x, y):
                 links.append((x, y))
     return links
+
+
+#: Links (places of two sets) among sets: connecting all that any links connect, given labels of those connected already,
+#: and halves, sets of one of which are not to be compared.
+Compare = Callable[[list[np.ndarray], np.ndarray, np.ndarray | None], list[tuple[int, int]]]
+
+
+def with_lead(sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """Links of the other sets with the first one."""
+    lead, links = sets[0], []
+    for i, own in enumerate(sets[1:], 1):
+        if 100 * min(len(own), len(lead)) < share * max(len(own), len(lead)):
+            continue
+        at = np.searchsorted(lead, own)
+        both = int((lead[np.minimum(at, len(lead) - 1)] == own).sum())
+        if 100 * both >= share * (len(own) + len(lead) - both):
+            links.append((i, 0))
+    return links
+
+
+def _as_table(names: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(names[ends[:, 0]]), "b": pa.array(names[ends[:, 1]])})
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) of nodes among those that meet one ``b`` in ``pairs`` (a, b).
+
+    They are dealt to parts of about ``PART_NGRAMS``, each with a copy of the set of ``b`` in front, and parts to groups of
+    about ``GROUP_NGRAMS``, so that no group grows with the data. Only a ``b`` of several parts has to be looked up by the
+    pairs; these are broadcast if there are few, so that the pairs of one ``b`` never meet in a task.
+    """
+    weight = pairs.join(sets.select(F.col("node").alias("a"), "n_ngrams"), "a").groupBy("b").agg(F.sum("n_ngrams").alias("weight"))
+    weight = materialise(weight.withColumn("parts", F.ceil(F.col("weight") / PART_NGRAMS).cast("int")), "weight")
+    several = weight.where("parts > 1").select("b", F.col("parts").alias("__parts"))
+    total, split = weight.agg(F.sum("weight"), F.count_if(F.col("parts") > 1)).first()
+    total = total or 0
+    cut = pairs.join(F.broadcast(several) if split <= BROADCAST_ROWS else several, "b", "left")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("__parts", F.lit(1))).cast("int").alias("part")
+    members = cut.select(F.col("b").alias("low"), part, F.col("a").alias("node"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    members = members.union(weight.select(F.col("b").alias("low"), parts, F.col("b").alias("node")))
+    group = F.pmod(F.xxhash64("low", "part"), F.lit(1 + 2 * total // GROUP_NGRAMS)).alias("group")
+    placed = members.withColumn("group", group).join(sets.select("node", "ngrams"), "node")
+
+    def run(table):
+        pa.default_memory_pool().release_unused()
+        low, part, node = (table.column(c).to_numpy() for c in ("low", "part", "node"))
+        sets = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
+        order = np.lexsort((node != low, part, low))
+        starts = np.flatnonzero(np.append(True, (np.diff(low[order]) != 0) | (np.diff(part[order]) != 0)))
+        links = []
+        for own in np.split(order, starts[1:]):
+            links += [(own[i], own[j]) for i, j in first([sets[k] for k in own.tolist()])]
+        return _as_table(node, links)
+
+    return placed.select("group", "low", "part", "node", "ngrams").groupBy("group").applyInArrow(run, "a long, b long")
+
+
+def connect(
+    keyed: DataFrame,
+    nodes: DataFrame,
+    read: Callable[[DataFrame], DataFrame],
+    first: Callable[[list[np.ndarray]], list[tuple[int, int]]],
+    compare: Compare,
+    group_ngrams: int = GROUP_NGRAMS,
+) -> DataFrame:
+    """Links (a, b) of nodes that connect all linked nodes of which any key of ``keyed`` (key, node) has both; written.
+
+    1. Of every key with several nodes, all meet the least one: ``first`` gives the links among them and it. Nodes
+       that meet the same one in many keys do so once. Keys whose nodes are connected by these links are done.
+    2. Nodes of the keys that are left are clusters, connected by such keys only. ``compare`` finds the links of a cluster
+       inside of a task, all with all except those connected already; a large cluster goes in pairs of blocks.
+
+    ``nodes`` has (node, n_ngrams, …) and ``read`` gives (node, n_ngrams, ngrams) of some of its rows, written. Links leave a
+    task as a spanning forest, so a group of near copies gives as many rows as it has members.
+    """
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
+    shared = materialise(shared.select("key", "low"), "keys")
+    met = materialise(keyed.join(shared, "key"), "met")
+    drop_written(shared)
+    pairs = materialise(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    sets = read(nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    links = materialise(_checked(pairs, sets, first), "links")
+    joined = materialise(components(links), "joined")
+
+    named = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
+    left = materialise(named.join(left.select("key"), "key").select("node", "low", "component"), "left")
+    drop_written(met, pairs, joined)
+    clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    clusters = clusters.withColumnRenamed("component", "cluster")
+    members = clusters.join(left.select("node", "component").distinct(), "node").join(sets.select("node", "n_ngrams"), "node")
+    members = materialise(members, "members")
+    placed = in_groups(members, group_ngrams).join(sets.select("node", "ngrams"), "node")
+
+    def link(key, table):
+        pa.default_memory_pool().release_unused()
+        own = [np.frombuffer(s.as_buffer(), dtype=U) for s in table.column("ngrams")]
+        halves = table.column("block").to_numpy() if key[1].as_py() != key[2].as_py() else None
+        return _as_table(table.column("node").to_numpy(), compare(own, table.column("component").to_numpy(), halves))
+
+    more = placed.select("cluster", "one", "two", "node", "block", "component", "ngrams")
+    more = materialise(more.groupBy("cluster", "one", "two").applyInArrow(link, "a long, b long"), "links")
+    drop_written(sets, left, members)
+    return links.union(more)
