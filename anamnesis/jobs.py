@@ -25,6 +25,7 @@ from anamnesis.operators import heads as H
 from anamnesis.operators import predict as P
 from anamnesis.operators import retrieval as R
 from anamnesis.operators import sequence as Q
+from anamnesis.operators import timed as M
 from anamnesis.operators import tokens as K
 from anamnesis.operators import vectors as E
 from anamnesis.operators.skew import find_hot
@@ -173,7 +174,7 @@ def retrieve(vectors: DataFrame, samples: DataFrame, model: Model) -> DataFrame:
     if model.scorer and model.scorer_use_time:
         # The sample's last event gives the time, also if its own vector is padding.
         ends = samples.select("subject_id", "sample_id", "sample_no", "n_events")
-        best = R.history_topk_timed(vectors, ends, model.scorer, model.max_retrieve_len, model.rejection_cutoff, zeros=False)
+        best = M.history_topk_timed(vectors, ends, model.scorer, model.max_retrieve_len, model.rejection_cutoff, zeros=False)
     else:
         scored = R.mlp_score(real, model.scorer, time=None) if model.scorer else R.cosine_scores(real, model.query)
         narrow = R.reject_below(scored.select("subject_id", "event_idx", "score"), model.rejection_cutoff)

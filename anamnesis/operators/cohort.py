@@ -278,6 +278,19 @@ def shard_of(subject: Column | str, shards: int) -> Column:
     return F.pmod(F.xxhash64(subject), F.lit(shards)).cast("int")
 
 
+def worker_lists(events: DataFrame, workers: int) -> DataFrame:
+    """``(subject_id, n_events, worker)``: subjects in order, cut into lists of nearly equal numbers of events.
+
+    A subject goes to the worker in whose share of all events its middle event lies, so a list differs from an equal
+    share by no more than half of the subjects at its ends. All of a subject's events have one worker.
+    """
+    counts = events.groupBy(SUBJECT).agg(F.count(F.lit(1)).alias("n_events"))
+    placed = running(counts, [], [SUBJECT], {"__before": ("sum", F.col("n_events"), False)})
+    total = counts.agg(F.sum("n_events").alias("__total"))
+    worker = F.floor((2 * F.col("__before") + F.col("n_events")) * workers / (2 * F.col("__total"))).cast("int")
+    return placed.join(F.broadcast(total)).select(SUBJECT, "n_events", worker.alias("worker"))
+
+
 def latest_description(codes: DataFrame, order: Column) -> DataFrame:
     """One description per code: the last in order wins."""
     return codes.groupBy("code").agg(F.max_by("description", order).alias("description"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from anamnesis import settings as S
 from anamnesis.functions import vectors as V
 from anamnesis.functions.arrays import all_zero
-from anamnesis.operators.cohort import join_history
 from anamnesis.operators.skew import HotGroups, attach, row_in_window
 from anamnesis.sources.workspace import send_code
 
@@ -226,29 +225,3 @@ def history_topk(
     )
     carried = [c for c in events.columns if c != subject]
     return row_in_window(met.select(subject, "sample_id", *carried), ["sample_id"], best, k)
-
-
-def history_topk_timed(
-    events: DataFrame,
-    samples: DataFrame,
-    layers: Sequence[Layer],
-    k: int = S.MAX_RETRIEVE_LEN,
-    cutoff: float = 0.0,
-    vector: str = "repr",
-    zeros: bool = True,
-) -> DataFrame:
-    """The k best events of every sample when their score depends on the sample.
-
-    The scorer's time is the minutes before the last event of the sample, so an event has a
-    score for each sample that holds it. Samples meet their events in the blocked join, Arrow
-    batches are scored there, and only scores leave it. ``events`` has ``(subject_id, event_idx,
-    time_min, vector)``; without ``zeros`` padding vectors are left out.
-    """
-    subject = "subject_id"
-    last = events.select(subject, (F.col("event_idx") + 1).alias("n_events"), F.col("time_min").alias("__end"))
-    dated = samples.join(last, [subject, "n_events"])
-    offered = events.select(subject, "event_idx", "time_min", vector)
-    met = join_history(offered if zeros else mask_zero_vectors(offered, vector), dated)
-    aged = met.withColumn("__before", F.col("__end") - F.col("time_min"))
-    scored = mlp_score(aged, layers, vector, "__before").select(subject, "sample_id", "event_idx", "score")
-    return row_in_window(reject_below(scored, cutoff), ["sample_id"], [F.desc("score"), F.col("event_idx")], k)

@@ -89,6 +89,33 @@ def chunk_index(lengths: DataFrame, key: str, length: str, max_len: int) -> Data
     )
 
 
+def chunk_lookup(lengths: DataFrame, wanted: DataFrame, key: str, length: str, max_len: int, number: str = "global_chunk") -> DataFrame:
+    """The rows of ``wanted`` with ``(key, chunk, start, stop)`` of the chunk that their number names in ``chunk_index``.
+
+    No chunk is listed: numbers and the first numbers of samples are merged in order, in ranges, and each number
+    takes the last sample that starts at or before it. Numbers may repeat; one below 0, beyond the last chunk, or null
+    names none and has nulls. Samples without events have no chunk.
+    """
+    counted = lengths.where(F.col(length) > 0).withColumn("__chunks", F.ceil(F.col(length) / max_len))
+    placed = running(counted, [], [key], {"__first": ("sum", F.col("__chunks"), False)})
+    sample = F.struct("__first", F.col(key).alias("__key"), F.col(length).alias("__length"), "__chunks").alias("__sample")
+    starts = placed.select(F.col("__first").cast("bigint").alias("__number"), F.lit(0).alias("__asked"), sample)
+    columns = F.struct(*wanted.columns).alias("__row")
+    asked = wanted.select(F.col(number).cast("bigint").alias("__number"), F.lit(1).alias("__asked"), columns)
+    both = starts.unionByName(asked, allowMissingColumns=True)
+    merged = running(both, [], ["__number", "__asked"], {"__at": ("max", F.col("__sample"))}).where(F.col("__asked") == 1)
+    place = F.col("__number") - F.col("__at.__first")
+    inside = (F.col("__number") >= 0) & (place < F.col("__at.__chunks"))
+    found = {
+        key: F.col("__at.__key"),
+        "chunk": place,
+        "start": place * max_len,
+        "stop": F.least((place + 1) * max_len, F.col("__at.__length")),
+    }
+    kept = [c for c in wanted.columns if c not in found]
+    return merged.select(*[F.col(f"__row.{c}").alias(c) for c in kept], *[F.when(inside, v).alias(n) for n, v in found.items()])
+
+
 def reassemble_chunks(
     pieces: DataFrame, expected: DataFrame, key: str, max_len: int, hot: HotGroups | None = None
 ) -> DataFrame:

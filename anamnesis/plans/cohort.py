@@ -210,6 +210,19 @@ def partition_subjects(spark, sf_dir):
     )
 
 
+@query(
+    "worker_lists",
+    "WITH " + X.KEPT_SQL + """,
+counts AS (SELECT subject_id, count(*) AS n_events FROM kept GROUP BY subject_id),
+placed AS (SELECT *, coalesce(sum(n_events) OVER (ORDER BY subject_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+           sum(n_events) OVER () AS total FROM counts)
+SELECT subject_id, n_events, CAST((2 * before + n_events) * 8 // (2 * total) AS INT) AS worker FROM placed""",
+)
+def worker_lists(spark, sf_dir):
+    """Eight lists of subjects with nearly equal numbers of events."""
+    return C.worker_lists(X.kept(spark, sf_dir), 8)
+
+
 def _list_text(name: str, item):
     return F.array_join(F.transform(F.col(name), item), ",").alias(name)
 

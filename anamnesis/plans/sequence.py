@@ -88,6 +88,24 @@ def chunk_index(spark, sf_dir):
     return Q.chunk_index(lengths, "subject_id", "n", 16)
 
 
+@query(
+    "chunk_lookup",
+    "WITH " + X.KEPT_SQL + """,
+lengths AS (SELECT subject_id, count(*) AS n, (count(*) + 15) // 16 AS chunks FROM kept GROUP BY subject_id),
+starts AS (SELECT *, CAST(sum(chunks) OVER (ORDER BY subject_id) - chunks AS BIGINT) AS first FROM lengths),
+wanted AS (SELECT event_id, event_id % 251 - 2 AS global_chunk FROM kept)
+SELECT event_id, global_chunk, subject_id, global_chunk - first AS chunk, CAST((global_chunk - first) * 16 AS BIGINT) AS start,
+       CAST(least((global_chunk - first + 1) * 16, n) AS BIGINT) AS stop
+FROM wanted LEFT JOIN starts ON global_chunk >= first AND global_chunk < first + chunks""",
+)
+def chunk_lookup(spark, sf_dir):
+    """The chunks that given numbers name, one number for each event: many repeat, some name no chunk."""
+    kept = X.kept(spark, sf_dir)
+    lengths = kept.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = kept.select("event_id", (F.col("event_id") % 251 - 2).alias("global_chunk"))
+    return Q.chunk_lookup(lengths, wanted, "subject_id", "n", 16)
+
+
 @query(
     "reassemble_chunks",
     "WITH " + PLACED_VECTORS_SQL + """,

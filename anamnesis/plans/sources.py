@@ -271,6 +271,22 @@ def read_repr_cache(spark, sf_dir):
     return rows.select("sample_id", "event_idx", "time_min", total_of("repr"))
 
 
+@query(
+    "fetch_repr_chunks",
+    "WITH " + PLACED_VECTORS_SQL + """
+SELECT sample_id, event_idx, round(list_sum(repr), 6) AS total FROM placed WHERE (sample_id + event_idx // 4) % 3 = 0""",
+)
+def fetch_repr_chunks(spark, sf_dir):
+    """A third of the chunks of four vectors, fetched by number: (sample + chunk) divisible by three; chunk 9 exists nowhere."""
+    path = fresh_path(spark, "repr")
+    SS.write_repr_cache(placed_vectors(spark, sf_dir), path)
+    samples = X.vectors(spark, sf_dir).select("sample_id").distinct()
+    wanted = samples.withColumn("chunk", F.explode(F.array(*[F.lit(c).cast("bigint") for c in range(10)])))
+    wanted = wanted.where((F.col("sample_id") + F.col("chunk")) % 3 == 0)
+    rows = SS.read_repr_cache(spark, path, wanted.union(wanted.where("chunk = 0")), max_len=4)
+    return rows.select("sample_id", "event_idx", total_of("repr"))
+
+
 # --- legacy stays: one row per sample of twenty vectors, its event times as text ----------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from anamnesis.functions import arrays as A
@@ -10,8 +11,10 @@ from anamnesis.functions.vectors import text_of
 from anamnesis.operators import heads as H
 from anamnesis.operators import predict as P
 from anamnesis.operators import retrieval as R
+from anamnesis.operators import timed as M
 from anamnesis.operators import training as L
 from anamnesis.operators import vectors as E
+from anamnesis.operators.skew import running
 from anamnesis.plans import fixtures as X
 from anamnesis.plans import tokens as TP
 from anamnesis.plans.cohort import histories
@@ -371,18 +374,44 @@ def event_vectors(spark, sf_dir):
     )
 
 
+@query(
+    "event_vectors_blocked",
+    "WITH " + EVENT_VECTORS_SQL + """
+SELECT event_id, round(list_sum(pooled), 6) AS total, round(pooled[1], 6) AS first, round(pooled[64], 6) AS last
+FROM event_vectors""",
+)
+def event_vectors_blocked(spark, sf_dir):
+    """The same vectors with the token table in blocks of ids, as if it were too large to send."""
+    events = TP.tokenized(spark, sf_dir, TP.NOT_FIELDS_OR_IDS).select("event_id", "tokens")
+    vocabulary = materialise(TP.K.build_vocabulary(TP.event_token_rows(spark, sf_dir)), "vocabulary")
+    sums = E.token_sums(events, "event_id", vocabulary, *embedding_tables(spark, sf_dir), X.DIM, block_bytes=64 * X.DIM * 4)
+    vector = F.col("vector")
+    return sums.select(
+        "event_id",
+        F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / F.col("n_tokens"), 6).alias("total"),
+        F.round(vector[0] / F.col("n_tokens"), 6).alias("first"),
+        F.round(F.element_at(vector, -1) / F.col("n_tokens"), 6).alias("last"),
+    )
+
+
 @query(
     "encode_with",
     "WITH " + X.KEPT_SQL + """
 SELECT event_id, round(CAST(length(code) AS DOUBLE), 6) AS a, round(numeric_value / 7, 3) AS b FROM kept""",
 )
 def encode_with(spark, sf_dir):
-    """A user encoder on batches: here the length of the code and a share of the value."""
+    """A user encoder on Arrow batches, loaded once in each worker: here the length of the code and a share of the value."""
 
-    def encode(frame):
-        return np.stack([frame["code"].str.len(), frame["numeric_value"] / 7], axis=1)
+    def load():
+        share = np.float64(7)  # what a real one would read its weights for
 
-    coded = E.encode_with(X.kept(spark, sf_dir), ["event_id"], ["code", "numeric_value"], encode)
+        def encode(batch):
+            lengths = pc.utf8_length(batch.column("code")).to_numpy(zero_copy_only=False)
+            return np.stack([lengths, batch.column("numeric_value").to_numpy(zero_copy_only=False) / share], axis=1)
+
+        return encode
+
+    coded = E.encode_with(X.kept(spark, sf_dir), ["event_id"], ["code", "numeric_value"], set_up=load)
     return coded.select(
         "event_id",
         F.col("repr")[0].cast("double").alias("a"),
@@ -559,6 +588,43 @@ def history_topk_timed(spark, sf_dir):
     events, samples, _ = histories(spark, sf_dir)
     vector = F.array(F.col("numeric_value") / 100, (F.col("event_idx") % 7) / 7)
     rows = events.select("subject_id", "event_idx", "event_id", F.col("time_min").cast("bigint").alias("time_min"), vector.alias("repr"))
-    best = R.history_topk_timed(rows, samples, timed_layers(), 5, 0.3)
+    best = M.history_topk_timed(rows, samples, timed_layers(), 5, 0.3)
     named = best.join(rows.select("subject_id", "event_idx", "event_id"), ["subject_id", "event_idx"])
     return named.select("sample_id", "event_id", F.col("rank").cast("bigint").alias("rank"), round6("score"))
+
+
+@query(
+    "history_topk_bounded",
+    "WITH " + X.MEDS_SQL + """,
+placed AS (SELECT event_id, numeric_value, row_number() OVER (ORDER BY event_id) - 1 AS event_idx,
+       CAST((row_number() OVER (ORDER BY event_id) - 1) * 7 AS BIGINT) AS time_min FROM meds),
+samples AS (SELECT event_idx // 25 AS sample_no, event_idx + 1 AS n_events FROM placed WHERE event_idx % 25 = 24),
+aged AS (
+  SELECT sample_no, event_id, event_idx, [numeric_value / 100, (event_idx % 7) / 7, (7 * (n_events - 1) - time_min) / 1440.0::DOUBLE] AS x
+  FROM samples JOIN placed ON event_idx < n_events),
+w AS (SELECT """ + f"""{weights_sql(4, 3, 1)} AS a, {weights_sql(1, 4, 2)} AS b),
+hidden AS (SELECT sample_no, event_id, event_idx, {matmul_sql('a', 'x')} AS h, b FROM aged, w),
+centred AS (SELECT *, list_transform(h, lambda y: y - list_avg(h)) AS d FROM hidden),
+scaled AS (
+  SELECT *, list_transform(d, lambda y: greatest(y / sqrt(list_avg(list_transform(d, lambda z: z * z)) + 1e-5), 0)) AS r FROM centred),
+scores AS (SELECT *, 1 / (1 + exp(-list_dot_product(b[1], r))) AS score FROM scaled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_no ORDER BY round(score, 9) DESC, event_idx) AS rank FROM scores WHERE score > 0.3)
+SELECT sample_no, event_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
+)
+def history_topk_bounded(spark, sf_dir):
+    """All events as the history of one subject with a sample at every 25th: the best five of each, found by bounds."""
+    events = running(X.meds(spark, sf_dir), [], ["event_id"], {"__place": ("sum", F.lit(1).cast("bigint"))})
+    events = events.withColumns({"subject_id": F.lit(1).cast("bigint"), "event_idx": F.col("__place") - 1})
+    vector = F.array(F.col("numeric_value") / 100, (F.col("event_idx") % 7) / 7)
+    rows = events.select("subject_id", "event_idx", "event_id", (F.col("event_idx") * 7).alias("time_min"), vector.alias("repr"))
+    rows = materialise(rows, "one subject")
+    samples = rows.where("event_idx % 25 = 24").select(
+        "subject_id",
+        F.floor(F.col("event_idx") / 25).alias("sample_no"),
+        F.concat(F.lit("1_"), F.floor(F.col("event_idx") / 25).cast("string")).alias("sample_id"),
+        (F.col("event_idx") + 1).alias("n_events"),
+    )
+    best = M.history_topk_timed(rows, samples, timed_layers(), 5, 0.3, worth=0.1)
+    named = best.join(rows.select("subject_id", "event_idx", "event_id"), ["subject_id", "event_idx"])
+    number = F.split_part("sample_id", F.lit("_"), F.lit(2)).cast("bigint").alias("sample_no")
+    return named.select(number, "event_id", F.col("rank").cast("bigint").alias("rank"), round6("score"))

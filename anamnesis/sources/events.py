@@ -30,7 +30,7 @@ def _files(spark: SparkSession, path: str, kind: str) -> list[str]:
     return sorted(spark._jvm.org.apache.hadoop.fs.Path(java(name)).toString() for name in listing.load(path).inputFiles())
 
 
-def _as_glob(path: str) -> str:
+def as_glob(path: str) -> str:
     """A path as a pattern that matches it alone."""
     return re.sub(r"([\[\]{}*?,\\])", r"\\\1", path)
 
@@ -116,7 +116,7 @@ def _scan_csv(
         if own == files:
             rows = reader.options(recursiveFileLookup=True, pathGlobFilter="*.csv").csv(path)
         else:
-            rows = reader.csv([_as_glob(file) for file in own])
+            rows = reader.csv([as_glob(file) for file in own])
         columns = _typed(header, types) if malformed and schema is not None else [F.col(f"`{name}`") for name in rows.columns]
         parts.append(rows.select(*columns, *[column.alias(name) for name, column in origin.items()]))
     # The known columns first, then the others in the order in which headers name them.
