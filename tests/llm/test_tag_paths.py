@@ -74,3 +74,53 @@ def test_names_of_elements_around_the_text_are_no_boilerplate(start, end):
     page = f"{start}<p>{LONG * 3}</p><div class=sidebar><p>{LONG}</p></div><p>{LONG * 2}</p><article class=comment><article class=comment>{LONG}</article></article>{end}"
     text = main_text(page)
     assert text.startswith(" ".join((LONG * 5).split())) and text.count("long day") < 7
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><p>{LONG * 2}</p><div class=product-tags>{LONG} {LONG}</div><p>{LONG}</p></main>",
+        f"<article><div class=social-history><p>{LONG * 2}</p><p>{LONG}</p></div><p>{LONG}</p><p>{LONG}</p></article>",
+        f"<body><p>{LONG * 2}</p><div class=body><p>{LONG * 2}</p></div><p>{LONG}</p></body>",
+    ],
+)
+def test_names_only_tip_the_balance(page):
+    assert main_text(page).count("long day") == page.count("long day")
+
+
+def test_names_that_say_so_in_all_their_words_are_boilerplate():
+    for name in ("ad", "cookie-notice", "user-comments", "newsletter-signup", "share-bar", "related"):
+        page = f"<article><p>{LONG * 3}</p><div class='{name}'><p>{LONG}</p></div><p>{LONG * 2}</p></article>"
+        assert main_text(page).count("long day") == 5, name
+
+
+@pytest.mark.parametrize("unit", ["<div>abc", "<div>", "<ul><li>abc", "<div class=a><p>abc", "<foo>abc<li>", "<p>abc</div>", "<table><tr><td>x"])
+def test_deep_pages_take_time_by_their_length(unit):
+    import time
+
+    started = time.perf_counter()
+    main_text(unit * 30_000)
+    assert time.perf_counter() - started < 12
+
+
+def brute_ratios(blocks):
+    """Ratio per path by summing over all blocks, then neighbours by the five weights."""
+    def mean(value):
+        own = [[value(c) for c in blocks if c.path == b.path] for b in blocks]
+        return [sum(o) / len(o) for o in own]
+
+    def smooth(x):
+        weights = [2.718281828459045 ** (-0.5 * d * d) for d in range(-2, 3)]
+        at = lambda i: x[min(max(i, 0), len(x) - 1)]
+        return [sum(w * at(i + d) for w, d in zip(weights, range(-2, 3), strict=True)) / sum(weights) for i in range(len(x))]
+
+    text = smooth(mean(lambda b: len(b.text) - 0.9 * min(b.linked, len(b.text))))
+    marks = smooth(mean(lambda b: sum(b.text.count(c) for c in ".,;:!?")))
+    return [t * (0.5 + m) for t, m in zip(text, marks, strict=True)]
+
+
+def test_ratios_by_brute_force():
+    page = "<body>" + "".join(f"<div><p>{LONG * (k % 4)}</p><section>{'x, ' * k}<a href=x>{'y' * k}</a></section></div>" for k in range(25)) + "</body>"
+    blocks = read_blocks(page)
+    assert len(blocks) > 30
+    assert path_ratios(blocks).tolist() == pytest.approx(brute_ratios(blocks))
