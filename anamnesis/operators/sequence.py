@@ -71,8 +71,8 @@ def sample_events(df: DataFrame, key: str, max_len: int, seed: int, place: str =
 
 
 def chunk_index(lengths: DataFrame, key: str, length: str, max_len: int) -> DataFrame:
-    """All chunks of all samples in sample order: ``(global_chunk, key, chunk, start, stop)``."""
-    counted = lengths.withColumn("__chunks", F.ceil(F.col(length) / max_len))
+    """All chunks of all samples in sample order: ``(global_chunk, key, chunk, start, stop)``; no events, no chunk."""
+    counted = lengths.where(F.col(length) > 0).withColumn("__chunks", F.ceil(F.col(length) / max_len))
     placed = running(counted, [], [key], {"__first": ("sum", F.col("__chunks"), False)})
     chunks = explode_range(
         placed.withColumnRenamed("__first", "__before"),

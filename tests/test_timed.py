@@ -62,7 +62,7 @@ def rows_of(found):
     return sorted((r["sample_id"], r["rank"], r["event_idx"], round(r["score"], 9)) for r in found.collect())
 
 
-@pytest.mark.parametrize(("seed", "k", "cutoff", "zeros"), [(1, 5, 0.0, True), (2, 3, 0.6, False), (3, 40, 0.3, True)])
+@pytest.mark.parametrize(("seed", "k", "cutoff", "zeros"), [(1, 5, 0.0, True), (2, 3, 0.15, False), (3, 40, 0.3, True)])
 def test_same_as_all_pairs(spark, monkeypatch, seed, k, cutoff, zeros):
     monkeypatch.setattr(M, "CHUNK_EVENTS", 16)
     monkeypatch.setattr(M, "BLOCK_SAMPLES", 4)
