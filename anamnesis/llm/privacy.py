@@ -9,8 +9,7 @@ its occurrences (Chernoff's bound) is weighed against the number of words and en
 are terms, and every occurrence in any text is found. A term that stands beside the entity in at least ``remove_share`` of
 its occurrences is removed, any other is generalised to its class.
 
-A fixed-size filter of the words seen beside entities keeps the count of the corpus to those words;
-an exact join follows. Null and empty texts have no spans. Offsets are code points, end exclusive.
+A filter of the words that can still be terms keeps the count of the corpus to them; an exact join follows. Null and empty texts have no spans. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import LOWER, NOT_SPACE, U, Words, text_runs
@@ -51,7 +50,10 @@ MIN_BITS, MIN_SHARE = 3.0, 0.2
 SURE_BITS = 10.0
 #: Share of occurrences beside entities from which a term is removed and not generalised.
 REMOVE_SHARE = 0.8
-FILTER_BITS = 1 << 23
+#: Bits of a filter for a term, and the least and most in all (16 MB); beyond, more words pass, and the join that follows drops them.
+BITS_PER_TERM, FILTER_BITS = 32, (1 << 16, 1 << 27)
+#: Different terms that a task counts before it hands them on.
+TALLY_TERMS = 1_000_000
 
 
 def _emails(text: str):
@@ -177,44 +179,81 @@ def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits, of which each term sets one; the driver reads a word for 64 bits at most."""
+    """Bits, a power of two of them, of which each term sets one; the driver reads a word for 64 bits at most."""
+    wanted = 1 << (BITS_PER_TERM * terms.count()).bit_length()
+    size = min(max(wanted, FILTER_BITS[0]), FILTER_BITS[1])
 
     def bits(batches):
         for batch in batches:
             for _, data, offsets in text_runs(batch.column(0)):
-                hashes = Words(data, offsets, TERM_BYTES).hashes() & U(FILTER_BITS - 1)
+                hashes = Words(data, offsets, TERM_BYTES).hashes() & U(size - 1)
                 yield pa.record_batch([pa.array(hashes.astype(np.int64))], names=["b"])
 
     bit = terms.select("term").mapInArrow(bits, "b long")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
     table = bit.groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[table.column("w").to_numpy()] = table.column("v").to_numpy()
     return out.view(U)
 
 
+def _passing(words: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a run, and the places of those that pass the filter."""
+    hashes = words.hashes()
+    bit = hashes & U(64 * len(bits) - 1)
+    return hashes, np.flatnonzero((bits[bit >> U(6)] >> (bit & U(63))) & U(1))
+
+
+def _count_words(docs: DataFrame, text_col: str) -> int:
+    """Words of all texts together."""
+
+    def count(batches):
+        total = 0
+        for batch in batches:
+            for _, data, offsets in text_runs(batch.column(0)):
+                total += len(Words(data, offsets, TERM_BYTES))
+        yield pa.record_batch([pa.array([total], pa.int64())], names=["n"])
+
+    return docs.select(text_col).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def _count_terms(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
-    """(term, n) over all texts for terms that pass the filter of ``candidates``; the count of all terms is
-    under the null term."""
+    """(term, n) over all texts for terms that pass the filter of ``candidates``.
+
+    A task adds up its counts and gives each term once, or once for every ``TALLY_TERMS`` different ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(candidates))
 
     def count(batches):
+        tally: dict[bytes, int] = {}
+
+        def rows():
+            names = [name.decode("utf-8", "replace") for name in tally]
+            return pa.record_batch([pa.array(names, pa.string()), pa.array(list(tally.values()), pa.int64())], names=["term", "n"])
+
         for batch in batches:
-            total, names, counts = 0, [], []
             for _, data, offsets in text_runs(batch.column(0)):
                 words = Words(LOWER[data], offsets, TERM_BYTES)
-                total += len(words)
-                hashes = words.hashes()
-                bit = hashes & U(FILTER_BITS - 1)
-                on = np.flatnonzero((shared.value[bit >> U(6)] >> (bit & U(63))) & U(1))
-                _, lead, count = np.unique(hashes[on], return_index=True, return_counts=True)
-                names += [words.text(i).decode("utf-8", "replace") for i in on[lead].tolist()]
-                counts += count.tolist()
-            yield pa.record_batch([pa.array([*names, None], pa.string()), pa.array([*counts, total], pa.int64())], names=["term", "n"])
+                hashes, on = _passing(words, shared.value)
+                _, lead, counts = np.unique(hashes[on], return_index=True, return_counts=True)
+                for i, n in zip(on[lead].tolist(), counts.tolist(), strict=True):
+                    name = words.text(i)
+                    tally[name] = tally.get(name, 0) + n
+                if len(tally) > TALLY_TERMS:
+                    yield rows()
+                    tally.clear()
+        yield rows()
 
     return docs.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _significance(docs: Column, n: Column, chance: Column) -> Column:
+    """Bits of Chernoff's bound for ``docs`` of ``n`` occurrences beside an entity; it falls as ``n`` grows."""
+    seen = docs / n
+    other = F.when((seen < 1) & (chance < 1), (1 - seen) * F.log2((1 - seen) / (1 - chance))).otherwise(0.0)
+    return F.when(seen > chance, n * (seen * F.log2(seen / chance) + other)).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, near, n, share, bits, remove) of the words that reveal protected entities.
 
@@ -235,17 +274,19 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text
     single = often.where(~wide).join(counted.where(~wide), "event")
     places = F.coalesce(*[F.when(F.col("event") == e, F.lit(n)) for e, n in of_wide.items()], F.lit(0))
     candidates = often.where(wide).withColumn("places", places.cast("long")).unionByName(single)
-    candidates = materialise(candidates.select("term", "event", "near", "docs", "places"), "candidates")
+    words = _count_words(docs, text_col)
+    chance = F.least(F.lit(1.0), F.col("places") / F.lit(max(words, 1)))
+    least = SURE_BITS + float(np.log2(max(words, 1)) + np.log2(max(events, 1)))
+    # A word that is not significant, or says too little, with no occurrence but those beside the entity never is: the others
+    # only lower both. So what is left to count grows with the terms, not with the words beside entities.
+    able = (_significance(F.col("docs"), F.col("near"), chance) >= least) & (-F.log2(chance) >= MIN_BITS)
+    candidates = candidates.select("term", "event", "near", "docs", "places").where(able)
+    candidates = materialise(candidates, "candidates")
     counts = materialise(_count_terms(docs, candidates.select("term").distinct(), text_col), "words")
-    words = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
-    scored = candidates.join(counts.where("term is not null"), "term")
+    scored = candidates.join(counts, "term")
     n = F.greatest("n", "near")
-    chance = F.least(F.lit(1.0), F.col("places") / F.lit(max(words, 1)))
     scored = scored.withColumn("share", F.col("near") / n).withColumn("bits", F.log2(F.col("near") / n / chance))
-    seen = F.col("docs") / n
-    other = F.when((seen < 1) & (chance < 1), (1 - seen) * F.log2((1 - seen) / (1 - chance))).otherwise(0.0)
-    sure = F.when(seen > chance, n * (seen * F.log2(seen / chance) + other)).otherwise(0.0)
-    least = SURE_BITS + float(np.log2(max(words, 1)) + np.log2(max(events, 1)))
+    sure = _significance(F.col("docs"), n, chance)
     scored = scored.where((F.col("bits") >= MIN_BITS) & (F.col("share") >= MIN_SHARE) & (sure >= least))
     best = scored.groupBy("term").agg(F.max(F.struct("share", "bits", "near", "n")).alias("best")).select("term", "best.*")
     return best.select("term", "near", "n", "share", "bits", (F.col("share") >= REMOVE_SHARE).alias("remove"))
@@ -254,8 +295,7 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text
 def _maybe(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words of a run, and the places of those that pass the filter of terms."""
     words = Words(LOWER[data], offsets, TERM_BYTES)
-    bit = words.hashes() & U(FILTER_BITS - 1)
-    return words, np.flatnonzero((bits[bit >> U(6)] >> (bit & U(63))) & U(1))
+    return words, _passing(words, bits)[1]
 
 
 class _Terms:
