@@ -8,6 +8,7 @@ from anamnesis import jobs as J
 from anamnesis.operators import cohort as C
 from anamnesis.operators import sequence as Q
 from anamnesis.plans import fixtures as X
+from anamnesis.plans import vectors as V
 from anamnesis.plans.cohort import histories, stamp, stamp_sql
 from anamnesis.plans.sequence import PLACED_VECTORS_SQL, placed_vectors
 from anamnesis.registry import register_operator as query
@@ -489,40 +490,56 @@ def process_events_samples(spark, sf_dir):
     return samples.groupBy("split", "sample_id", "label").agg(F.sum(F.size("events")).alias("n_events"))
 
 
-@query(
-    "predict_test_cohort",
-    "WITH " + X.KEPT_SQL + ",\n" + X.RAW_COHORT_SQL + f""",
-held AS (SELECT * FROM kept WHERE {SPLIT_SQL} = 'held_out')
-SELECT c.subject_id, {stamp_sql('prediction_time')}, boolean_value,
-       CASE WHEN EXISTS (SELECT 1 FROM held e WHERE e.subject_id = c.subject_id AND e.time <= c.prediction_time)
-            THEN 0.731059 END AS boolean_prediction
-FROM raw_cohort c WHERE c.subject_id % 10 >= 8""",
-)
+TEST_COHORT_SQL = "WITH " + V.LOOKUP_SQL + ",\n" + X.RAW_COHORT_SQL + """,
+event_vectors AS """ + V.mean_sql("summed", "subject_id, event_id", "vector") + ",\n" + V.QUERY_SQL + """,
+encoded AS (SELECT subject_id, event_id, CAST(pooled AS FLOAT[]) AS v FROM event_vectors),
+event_scores AS (
+  SELECT e.subject_id, e.event_id, k.time, CAST(e.v AS DOUBLE[]) AS vector, (list_cosine_similarity(CAST(e.v AS DOUBLE[]), q.v) + 1) / 2 AS score
+  FROM encoded e JOIN kept k ON e.event_id = k.event_id, q),
+asked AS (SELECT DISTINCT subject_id, prediction_time FROM raw_cohort WHERE subject_id % 2 = 0),
+history AS (
+  SELECT a.subject_id, a.prediction_time, s.event_id, s.vector, s.score, s.time
+  FROM asked a JOIN event_scores s ON a.subject_id = s.subject_id AND s.time <= a.prediction_time),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY subject_id, prediction_time ORDER BY score DESC, time, event_id) AS rank FROM history WHERE score > 0.6),
+pooled AS """ + V.mean_sql("(SELECT * FROM ranked WHERE rank <= 16)", "subject_id, prediction_time", "vector") + f""",
+filled AS (
+  SELECT h.subject_id, h.prediction_time, coalesce(p.pooled, {V.CONSTANT_SQL}) AS pooled
+  FROM (SELECT DISTINCT subject_id, prediction_time FROM history) h
+  LEFT JOIN pooled p ON h.subject_id = p.subject_id AND h.prediction_time = p.prediction_time),
+scored AS (
+  SELECT subject_id, prediction_time, 1 / (1 + exp(-list_dot_product(w[1], pooled))) AS score
+  FROM filled, (SELECT {V.weights_sql(1, 64, 4)} AS w))
+SELECT c.subject_id, strftime(c.prediction_time, '%Y-%m-%d %H:%M:%S.%f') AS prediction_time, c.boolean_value, round(s.score, 4) AS boolean_prediction
+FROM raw_cohort c LEFT JOIN scored s ON c.subject_id = s.subject_id AND c.prediction_time = s.prediction_time
+WHERE c.subject_id % 2 = 0"""
+
+
+@query("predict_test_cohort", TEST_COHORT_SQL)
 def predict_test_cohort(spark, sf_dir):
-    """All three jobs, then an outside cohort with unlabelled rows and subjects of another split.
+    """All three jobs over the events of three splits, then an outside cohort: half of the subjects, with unlabelled rows.
 
-    Every event is rejected, so each row with history gets what the head makes of the fallback.
+    Whole vectors; events that score 0.6 or less are rejected, and of the others the 16 best of each history are kept.
     """
     root, out, encoded = (fresh_path(spark, n) for n in ("test events", "processed", "encoded"))
     events = X.meds(spark, sf_dir).withColumn("split", split_of(F.col("subject_id")))
-    events.where("split = 'held_out'").drop("split").write.parquet(f"{root}/held_out")
+    for name in SPLITS:
+        rows = events.where(F.col("split") == name)
+        # Events of one time keep the order of their rows; the number of an event is no field of it.
+        rows.repartitionByRange(2, "time", "event_id").sortWithinPartitions("time", "event_id").drop("split", "event_id").write.parquet(f"{root}/{name}")
     asked = fresh_path(spark, "asked")
     X.raw_cohort(spark, sf_dir).write.parquet(f"{asked}/all")
     J.process_events(spark, root, asked, out, birth_code=X.BIRTH)
-
-    def table(name):
-        vectors = X.table(spark, sf_dir, "embeddings")
-        return vectors.select(F.col("vec_id").cast("int").alias(name), F.slice("embedding", 1, 4).alias("embedding"))
-
-    J.encode_events(spark, out, encoded, table("token_id"), table("type_id"), table("dpe_id"), dim=4)
+    J.encode_events(spark, out, encoded, *V.embedding_tables(spark, sf_dir), dim=X.DIM)
     model = J.Model(
-        heads={"meds_single_task": ("binary", [([1.0, 0.0, 0.0, 0.0], 0.0)])},
-        constant=[1.0, 0.0, 0.0, 0.0],
-        query=[1.0, 0.0, 0.0, 0.0],
-        rejection_cutoff=1.0,
+        heads={"meds_single_task": ("binary", V.head(1, 4))},
+        constant=V.CONSTANT,
+        query=X.first_vector(spark, sf_dir),
+        rejection_cutoff=0.6,
+        max_retrieve_len=16,
     )
-    cohort = X.raw_cohort(spark, sf_dir).where(F.col("subject_id") % 10 >= 8)
-    found = J.predict_cohort(spark, out, encoded, model, split="held_out", test_cohort=cohort)
+    cohort = X.raw_cohort(spark, sf_dir).where(F.col("subject_id") % 2 == 0)
+    found = J.predict_cohort(spark, out, encoded, model, test_cohort=cohort, check_ids=False)
     return found.select(
-        "subject_id", stamp("prediction_time"), "boolean_value", F.round("boolean_prediction", 6).alias("boolean_prediction")
+        "subject_id", stamp("prediction_time"), "boolean_value", F.round("boolean_prediction", 4).alias("boolean_prediction")
     )
