@@ -7,8 +7,8 @@
    the set. The shifts of one slot lie side by side in memory, so all coordinates come from one gather and one minimum.
 3. ``rows`` coordinates in a row are a band; sets that agree in a whole band share a key. At the threshold a pair
    is in no band with a chance of (1 - share ** rows) ** bands, which ``bands_for`` brings below ``MISS``.
-4. Of every key with several nodes, all meet the least one, and the pair is checked on the full sets. Keys whose
-   nodes are connected by these links are done.
+4. The least node of a key is a partner of all others. Each node meets the partners that it shares most keys with, and the
+   pairs are checked on the full sets. Keys whose nodes are connected by these links are done.
 5. Nodes of the keys that are left are clusters (connected by such keys). Their sets are compared all with
    all inside of a task, exactly, except those already connected; a large cluster in pairs of blocks. Links only leave as a
    spanning forest, so a group of near copies gives as many rows as it has members.
@@ -23,12 +23,13 @@ import functools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import BASE, U, mix
 from anamnesis.llm.common import components, materialise
-from anamnesis.llm.shingles import GROUP_NGRAMS, compare_group, connect, describe, read_sets, with_lead
+from anamnesis.llm.shingles import GROUP_NGRAMS, compare_group, connect, describe, is_on, read_sets, top_half, with_lead
 
 #: Slots of the ring, as a power of two.
 SLOT_BITS = 21
@@ -88,8 +89,20 @@ def minhash_links(
 
     chosen = known.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     keyed = chosen.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+
+    def shared_only(bits: np.ndarray | None) -> DataFrame:
+        if bits is None:
+            return keyed
+        on = docs.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(is_on(on.value, top_half(batch.column(1).to_numpy()))))
+
+        return keyed.mapInArrow(run, "node long, key long")
+
     links = connect(
-        keyed,
+        shared_only,
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
         lambda sets: with_lead(sets, share),

@@ -6,8 +6,9 @@
    sets agree in a whole part, and the hash of a part is the key by which they meet. ``d`` follows
    from the longest set of a band of lengths; a set takes the keys of its band and of the next.
    A few parts more make up for empty ones, which would let unlike sets meet.
-3. Nodes of a key meet the least node of it, in parts of a bounded size. A key whose nodes are connected by the
-   links found is done; only the nodes of the others go on to meet each other, in groups of a bounded size.
+3. The least node of a key is a partner of all others. Nodes meet the partners that they share most keys with, in parts of a
+   bounded size. A key whose nodes are connected by the links found is done; only the nodes of the others go on to meet each
+   other, in groups of a bounded size.
 4. In a part or group the sets, ordered by how common an n-gram is, form a prefix tree. It is walked once
    for all sets: at each edge the overlaps of all sets that are still possible grow by one count
    shared by the whole subtree, and a set is dropped as soon as the n-grams that remain can't
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import U, mix
 from anamnesis.llm.common import components, materialise
-from anamnesis.llm.shingles import GROUP_NGRAMS, connect, describe, digest, ngram_sets, read_sets
+from anamnesis.llm.shingles import GROUP_NGRAMS, connect, describe, digest, is_on, ngram_sets, read_sets, top_half
 
 #: Texts whose keys a task holds at once.
 BATCH_ROWS = 2048
@@ -100,8 +101,9 @@ def _ids(nodes: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     return named, ids
 
 
-def _keyed(docs: DataFrame, n: int, share: int, text_col: str, ids: dict[tuple[int, int], int]) -> DataFrame:
-    """(key, node): the keys of every node, once for a batch of texts."""
+def _keyed(docs: DataFrame, n: int, share: int, text_col: str, ids: dict[tuple[int, int], int], bits: np.ndarray | None) -> DataFrame:
+    """(key, node): the keys of every node that pass the filter, once for a batch of texts."""
+    on = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         of = _bands(share)
@@ -112,7 +114,8 @@ def _keyed(docs: DataFrame, n: int, share: int, text_col: str, ids: dict[tuple[i
                 name = digest(ngrams)
                 if len(ngrams) and name not in seen:
                     seen.add(name)
-                    keys.append(_keys(ngrams, of(len(ngrams))))
+                    own = _keys(ngrams, of(len(ngrams)))
+                    keys.append(own if on is None else own[is_on(on.value, top_half(own))])
                     nodes.append(np.full(len(keys[-1]), ids.get(name, name[1]), dtype=np.int64))
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
@@ -234,7 +237,7 @@ def linked_rows(
     known, nodes = describe(docs, n, id_col, text_col)
     nodes, ids = _ids(nodes)
     links = connect(
-        _keyed(docs, n, share, text_col, ids),
+        lambda bits: _keyed(docs, n, share, text_col, ids, bits),
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
         lambda sets: link_group(sets, share),

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import INVERSE, LOWER, NOT_SPACE, U, Words, mix, text_runs, windows
@@ -88,30 +88,16 @@ def describe(
     return rows, materialise(nodes.withColumn("node", F.col("first.row")), "nodes")
 
 
-def _wanted_bits(wanted: DataFrame, bits: int) -> np.ndarray:
-    """Which bits the wanted texts set; read as at most a word for 64 bits."""
-    bit = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(bits))
-    words = wanted.select(
-        (bit / 64).cast("long").alias("w"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v"),
-    )
-    words = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    found = np.zeros(bits // 64, dtype=np.int64)
-    found[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return found.view(U)
-
-
 def read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, n_ngrams, ngrams) of the ``wanted`` nodes, their n-grams as bytes, from texts read once more; written."""
-    count = wanted.count()
-    bits = min(max(1 << (16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    on = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, bits))
+    wanted = materialise(wanted, "wanted")
+    bits = _filter_size(wanted.count())
+    place = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(bits)).alias("bit")
+    on = docs.sparkSession.sparkContext.broadcast(_bits_of(wanted.select(place), bits))
 
     def run(batches):
         for batch in batches:
-            bit = batch.column(1).to_numpy()
-            mine = (on.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)
-            batch = batch.filter(pa.array(mine.astype(bool)))
+            batch = batch.filter(pa.array(is_on(on.value, batch.column(1).to_numpy())))
             for part in range(0, batch.num_rows, READ_ROWS):
                 sets = {digest(s): s.tobytes() for _, s in ngram_sets(batch.column(0).slice(part, READ_ROWS), n)}
                 high, low = np.array(list(sets), dtype=np.int64).reshape(-1, 2).T
@@ -256,8 +242,46 @@ def _checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray
     return placed.select("group", "low", "part", "node", "ngrams").groupBy("group").applyInArrow(run, "a long, b long")
 
 
+def _bits_of(places: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` bits the column ``bit`` sets; read as at most a word for 64 bits."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    words = places.groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+    found = np.zeros(bits // 64, dtype=np.int64)
+    found[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return found.view(U)
+
+
+def _filter_size(count: int) -> int:
+    return min(max(1 << (16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
+def is_on(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits of some numbers are set; the last digits of a number say which."""
+    place = places.view(U) & U(64 * len(bits) - 1)
+    return ((bits[place >> U(6)] >> (place & U(63))) & U(1)).astype(bool)
+
+
+def top_half(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.int64) >> 32
+
+
+def shared_keys(keyed: DataFrame) -> np.ndarray:
+    """Filter of the top halves of keys that more than one row has: what a key must pass to join any two nodes."""
+    half = keyed.select(F.shiftright("key", 32).cast("int").alias("half"))
+    twice = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("half").cast("long").alias("half"))
+    twice = materialise(twice, "twice")
+    size = _filter_size(twice.count())
+    bits = _bits_of(twice.select(F.pmod("half", F.lit(size)).alias("bit")), size)
+    drop_written(twice)
+    return bits
+
+
+#: Partners of a node that are compared with it one by one before all that is left is compared in groups.
+ROUNDS = 2
+
+
 def connect(
-    keyed: DataFrame,
+    keyed: Callable[[np.ndarray | None], DataFrame],
     nodes: DataFrame,
     read: Callable[[DataFrame], DataFrame],
     first: Callable[[list[np.ndarray]], list[tuple[int, int]]],
@@ -266,27 +290,45 @@ def connect(
 ) -> DataFrame:
     """Links (a, b) of nodes that connect all linked nodes of which any key of ``keyed`` (key, node) has both; written.
 
-    1. Of every key with several nodes, all meet the least one: ``first`` gives the links among them and it. Nodes
-       that meet the same one in many keys do so once. Keys whose nodes are connected by these links are done.
-    2. Nodes of the keys that are left are clusters, connected by such keys only. ``compare`` finds the links of a cluster
+    1. Keys that one row has alone are left out, first by a filter of the halves of keys that come twice: ``keyed`` is
+       called without a filter, then with it, and leaves out the keys that are not ``is_on`` by their ``top_half``.
+    2. All nodes of a key have its least node as a partner. Each node meets the partner that it shares most keys with, then the
+       next one if they are not connected by then, ``ROUNDS`` of them; ``first`` gives the links among those that meet one
+       node. Keys whose nodes are connected by these links are done.
+    3. Nodes of the keys that are left are clusters, connected by such keys only. ``compare`` finds the links of a cluster
        inside of a task, all with all except those connected already; a large cluster goes in pairs of blocks.
 
     ``nodes`` has (node, n_ngrams, …) and ``read`` gives (node, n_ngrams, ngrams) of some of its rows, written. Links leave a
     task as a spanning forest, so a group of near copies gives as many rows as it has members.
     """
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
+    some = materialise(keyed(shared_keys(keyed(None))), "keyed")
+    shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
     shared = materialise(shared.select("key", "low"), "keys")
-    met = materialise(keyed.join(shared, "key"), "met")
-    drop_written(shared)
-    pairs = materialise(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    met = materialise(some.join(shared, "key"), "met")
+    drop_written(some, shared)
     sets = read(nodes.join(met.select("node").distinct(), "node", "left_semi"))
-    links = materialise(_checked(pairs, sets, first), "links")
-    joined = materialise(components(links), "joined")
+
+    pairs = met.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    pairs = materialise(pairs.withColumn("rank", rank).where(F.col("rank") <= ROUNDS), "pairs")
+    links, joined = None, None
+    for number in range(1, ROUNDS + 1):
+        asked = pairs.where(F.col("rank") == number).select("a", "b")
+        if joined is not None:
+            ends = [joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+            asked = asked.join(ends[0], "a", "left").join(ends[1], "b", "left")
+            asked = asked.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        asked = materialise(asked, "asked")
+        found = materialise(_checked(asked, sets, first), "links")
+        drop_written(asked)
+        links = found if links is None else links.union(found)
+        joined = materialise(components(links), "joined")
+    drop_written(pairs)
 
     named = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
     left = materialise(named.join(left.select("key"), "key").select("node", "low", "component"), "left")
-    drop_written(met, pairs, joined)
+    drop_written(met, joined)
     clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
     clusters = clusters.withColumnRenamed("component", "cluster")
     members = clusters.join(left.select("node", "component").distinct(), "node").join(sets.select("node", "n_ngrams"), "node")
