@@ -91,7 +91,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archived(load(spark, sf_dir, "pages")).where("gap is null")
+    records = archived(load(spark, sf_dir, "pages"))
     return records.select(
         page_of(F.col("record_id")).alias("page_id"),
         "payload_bytes",

@@ -5,7 +5,8 @@ least id holds the payload, the others are revisits of it. Archives are written
 system it knows, members apart by one zero byte, which gzip readers skip.
 
 Reading: each record is checked (member checksum, version line, headers, length, closing blank lines,
-digests). When a check fails, the reader looks for the next member or version line from which a record passes
+digests of payload, block and of the header itself, which the writer adds as an extension field). A header without its digest
+must not hold a second version line, so the rest of a cut header never takes the next record's for its own. When a check fails, the reader looks for the next member or version line from which a record passes
 all checks, goes on there, and reports the bytes between as a gap with the reason. Plain and compressed records
 may follow each other. A member is read the same way: its records before and after damage are kept, also those before
 the place where it can no longer be unpacked. Places are of the archive's bytes; a gap inside a member has the member's.
@@ -36,12 +37,14 @@ DATE = "2000-01-01T00:00:00Z"
 BATCH_BYTES = 4 << 20
 #: Records that a task packs at a time.
 PACK_ROWS = 256
-#: Records in one archive file at most.
-FILE_RECORDS = 20_000
+#: Records, and bytes of packed records, in one archive file at most, a single larger record aside. A task reads a file at once.
+FILE_RECORDS, FILE_BYTES = 20_000, 64 << 20
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r\n")
 _FIRST = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
-_NEXT = re.compile(rb"\r\nWARC/[0-9]+\.[0-9]+\r\n")
+#: Extension field at the end of a header: the digest of all of it before this line.
+HEADER_DIGEST = "X-Header-Digest"
+_OWN_DIGEST = re.compile(rb"\r\nX-Header-Digest: sha1:([A-Z2-7]{32})\Z")
 
 
 def digest(data: bytes) -> str:
@@ -69,8 +72,9 @@ def write_record(page_id, url, payload: bytes, refers_to, revisit: bool, payload
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
-    head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode()
-    return head + b"\r\n" + block + b"\r\n\r\n"
+    head = VERSION + b"\r\n" + "\r\n".join(f"{k}: {v}" for k, v in lines).encode()
+    head += f"\r\n{HEADER_DIGEST}: sha1:{digest(head)}".encode()
+    return head + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(record: bytes) -> bytes:
@@ -130,7 +134,14 @@ def parse_record(data: bytes, start: int) -> Record:
     if not first:
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", first.end() - 2)
-    if stop < 0 or _NEXT.search(data, first.end() - 2, stop + 2):
+    if stop < 0:
+        raise Damaged("header without an end")
+    head = data[start:stop]
+    own = _OWN_DIGEST.search(head)
+    if own:
+        if own[1].decode() != digest(head[: own.start()]):
+            raise Damaged("header digest differs")
+    elif _FIRST.search(head + b"\r\n", first.end() - start):
         raise Damaged("header without an end")
     headers = _headers(data[first.end() : stop])
     size = headers.get("content-length", "")
@@ -278,17 +289,23 @@ def write_archives(
     placed = placed.select("page", "url", F.when(~revisit, F.col("payload")).alias("payload"), size.cast("long").alias("size"), base32(F.col("hash")).alias("digest"), "least", revisit.alias("revisit"))
 
     def run(batches):
+        part, size = 0, 0
         for batch in batches:
             for low in range(0, batch.num_rows, PACK_ROWS):
                 columns = [c.to_pylist() for c in batch.slice(low, PACK_ROWS).columns]
-                records = []
+                records, parts = [], []
                 for page, url, payload, n, mark, least, again in zip(*columns, strict=True):
                     body = _Length(n) if again else payload
                     records.append(member(write_record(page, url, body, least, again, mark)))
-                yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
+                    if size and size + len(records[-1]) > FILE_BYTES:
+                        part, size = part + 1, 0
+                    parts.append(part)
+                    size += len(records[-1]) + 1
+                yield pa.record_batch([pa.array(records, pa.binary()), pa.array(parts, pa.int32())], names=["record", "part"])
 
-    packed = placed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    packed.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    packed = placed.mapInArrow(run, "record binary, part int").select(F.col("record").cast("string").alias("value"), "part")
+    # The parts of a task are files of their own.
+    packed.write.partitionBy("part").option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 class _Length(bytes):
@@ -354,7 +371,9 @@ def page_of(name) -> object:
 
 
 def archived(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
-    """``pages`` written as archives, to the shared folder by default, and read back."""
+    """``pages`` written as archives, to the shared folder by default, and read back; a gap in them is an error."""
     path = path or fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path, **columns)
-    return read_archives(pages.sparkSession, path, with_payload=False)
+    found = read_archives(pages.sparkSession, path, with_payload=False)
+    said = F.concat_ws(" ", F.lit("a record was not read back:"), "file", "start", "end", "gap")
+    return found.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(said).cast("boolean")))
