@@ -32,6 +32,7 @@ from anamnesis.operators.skew import find_hot
 from anamnesis.sources import events as SE
 from anamnesis.sources import samples as SS
 from anamnesis.sources.workspace import materialise
+from anamnesis.streaming.ingest import read_ingested
 
 NOT_FIELDS = ("subject_id", "time", "split", "source_row", SE.MALFORMED)
 _APART = "\x1f"
@@ -138,10 +139,13 @@ def encode_events(
 ) -> None:
     """One FLOAT vector per event, for all samples that share it; builds a vocabulary if none is given.
 
+    Events that arrived in batches (``ingest_shards``) are those of the latest batch of each subject.
+
     Vectors lie in the order of subject and event. The tokens are brought into that order before
     they are encoded, since they are smaller than vectors.
     """
-    events = spark.read.parquet(f"{processed}/events").drop("time")
+    events = spark.read.parquet(f"{processed}/events")
+    events = (read_ingested(spark, processed, "events") if "batch" in events.columns else events).drop("time")
     if vocabulary is None:
         vocabulary = K.build_vocabulary(events.select(F.explode_outer("tokens.token").alias("token")))
     SE.write_new(vocabulary, f"{out}/vocabulary", rebase)

@@ -15,7 +15,7 @@ from anamnesis.registry import register_operator as query
 from anamnesis.sources import events as SE
 from anamnesis.sources import samples as SS
 from anamnesis.sources.workspace import fresh_path, materialise
-from anamnesis.streaming.ingest import event_stream, ingest_shards
+from anamnesis.streaming.ingest import event_stream, ingest_shards, read_ingested
 
 CSV_SCHEMA = SE.EVENT_SCHEMA + ", event_id BIGINT"
 
@@ -429,6 +429,30 @@ def ingest_shards_query(spark, sf_dir):
     return SS.read_manifest(spark, f"{out}/manifest").select("subject_id", "num_events")
 
 
+@query(
+    "ingest_split_subjects",
+    "WITH " + X.JOINED_SQL + """
+SELECT sample_id AS subject_id, count(*) AS num_events, CAST(sum(event_idx) AS BIGINT) AS places,
+       CAST(sum(time_min) AS BIGINT) AS minutes FROM joined GROUP BY sample_id""",
+)
+def ingest_split_subjects(spark, sf_dir):
+    """Three shards, each with a third of the events of every subject, in three batches: the samples are those of one batch."""
+    root, out = fresh_path(spark, "shards"), fresh_path(spark, "ingest")
+    events = X.meds(spark, sf_dir)
+    for third in range(3):
+        events.where(F.col("event_id") % 3 == third).coalesce(1).write.parquet(f"{root}/{third}")
+    stream = event_stream(spark, root, events.schema, files=1)
+    run = ingest_shards(stream, materialise(X.cohort(spark, sf_dir), "cohort"), out, X.TIE, X.BIRTH)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+    samples = read_ingested(spark, out, "samples")
+    of = lambda field: F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e[field].cast("bigint"))
+    sums = samples.groupBy("sample_id").agg(F.sum(of("event_idx")).alias("places"), F.sum(of("time_min")).alias("minutes"))
+    listed = read_ingested(spark, out, "manifest").select("subject_id", "num_events")
+    return listed.join(sums.withColumnRenamed("sample_id", "subject_id"), "subject_id", "left")
+
+
 # --- the jobs on files, with subjects that lie in two splits ------------------------------
 
 SPLITS = ("train", "tuning", "held_out")

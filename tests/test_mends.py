@@ -19,6 +19,7 @@ from anamnesis.operators import vectors as E
 from anamnesis.operators.skew import HotGroups
 from anamnesis.sources import events as SE
 from anamnesis.sources import samples as SS
+from anamnesis.streaming import ingest as I
 from anamnesis.streaming.ingest import event_stream, ingest_shards
 
 T0 = datetime(2024, 1, 1)
@@ -165,10 +166,10 @@ def test_hot_groups_have_no_limit(spark):
     assert hot.outside(spark.range(3001).select(F.col("id").alias("k"))).count() == 1
 
 
-def test_ingest_is_read_by_encode_and_refuses_known_subjects(spark, tmp_path):
+def test_ingest_is_read_by_encode_and_goes_on_with_known_subjects(spark, tmp_path):
     shards, out = f"{tmp_path}/shards", f"{tmp_path}/out"
-    rows = lambda s: spark.createDataFrame([(s, T0 + timedelta(hours=h), "c0", float(h)) for h in range(3)], EVENTS)
-    cohort = C.prepare_cohort(spark.createDataFrame([(1, T0 + timedelta(hours=5), True)], COHORT))
+    rows = lambda s, first=0: spark.createDataFrame([(s, T0 + timedelta(hours=h), "c0", float(h)) for h in range(first, first + 3)], EVENTS)
+    cohort = C.prepare_cohort(spark.createDataFrame([(1, T0 + timedelta(hours=5), True), (1, T0 + timedelta(hours=1), False)], COHORT))
     codes = spark.createDataFrame([("c0", "zero")], "code STRING, description STRING")
     run = lambda: ingest_shards(event_stream(spark, shards, rows(1).schema), cohort, out, ["code"], "MEDS_BIRTH", codes=codes)
     rows(1).write.parquet(f"{shards}/0")
@@ -177,9 +178,37 @@ def test_ingest_is_read_by_encode_and_refuses_known_subjects(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/encoded/vectors").count() == 3
     words = spark.read.parquet(f"{tmp_path}/encoded/vocabulary").select("token").collect()
     assert "zero" in {r.token for r in words}
-    rows(1).write.parquet(f"{shards}/1")
-    with pytest.raises(Exception, match="came again"):
-        run().awaitTermination()
+    listed = lambda: {r["subject_id"]: r["num_events"] for r in I.read_ingested(spark, out, "manifest").collect()}
+    assert listed() == {"1_0": 2, "1_1": 3}
+    # Earlier events of a known subject, and another one; then nothing; then both again.
+    rows(1, -3).union(rows(2)).write.parquet(f"{shards}/1")
+    run().awaitTermination()
+    assert listed() == {"1_0": 5, "1_1": 6}
+    rows(1).limit(0).write.parquet(f"{shards}/2")
+    run().awaitTermination()
+    rows(1, 3).union(rows(2, 3)).write.parquet(f"{shards}/3")
+    run().awaitTermination()
+    assert listed() == {"1_0": 5, "1_1": 9}
+    state = {r["subject_id"]: r for r in I.read_state(spark, out, 4 if (tmp_path / "out/state/from=0/to=4").exists() else 3).collect()}
+    assert (state[1]["n_events"], state[1]["n_samples"], state[2]["n_events"], state[2]["n_samples"]) == (9, 2, 6, 0)
+    assert state[1]["first_time"] == T0 - timedelta(hours=3) and state[2]["last_time"] == T0 + timedelta(hours=5)
+    events = I.read_ingested(spark, out, "events")
+    assert sorted(r["event_idx"] for r in events.where("subject_id = 1").collect()) == list(range(9))
+    assert I.read_ingested(spark, out, "samples").selectExpr("sum(size(events))").first()[0] == 14
+    J.encode_events(spark, out, f"{tmp_path}/again", *tables(spark), dim=3)
+    assert spark.read.parquet(f"{tmp_path}/again/vectors").count() == 15
+
+
+def test_state_is_in_blocks_by_the_digits_of_the_batches(spark, tmp_path):
+    out = str(tmp_path)
+    state = lambda n: spark.createDataFrame([(s, [n], n, n + 1, 0, T0, T0) for s in (n, 99)], "subject_id long, batches array<int>, batch int, n_events int, n_samples int, first_time timestamp, last_time timestamp")
+    for number in range(7):
+        I._write_state(spark, out, number, state(number))
+        assert len(I._blocks(number + 1)) <= 3
+        rows = {r["subject_id"]: r for r in I.read_state(spark, out, number + 1).collect()}
+        assert sorted(rows) == [*range(number + 1), 99]
+        assert rows[99]["batches"] == list(range(number + 1)) and rows[99]["batch"] == number
+    assert I._blocks(7) == [(0, 4), (4, 6), (6, 7)] and I.read_state(spark, out, 0) is None
 
 
 def test_workers_need_no_installed_package(tmp_path):
