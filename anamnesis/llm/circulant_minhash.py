@@ -9,9 +9,10 @@
    is in no band with a chance of (1 - share ** rows) ** bands, which ``bands_for`` brings below ``MISS``.
 4. The least node of a key is a partner of all others. Each node meets the partners that it shares most keys with, and the
    pairs are checked on the full sets. Keys whose nodes are connected by these links are done.
-5. Nodes of the keys that are left are clusters (connected by such keys). Their sets are compared all with
-   all inside of a task, exactly, except those already connected; a large cluster in pairs of blocks. Links only leave as a
-   spanning forest, so a group of near copies gives as many rows as it has members.
+5. Nodes of the keys that are left go on by the n-grams of their prefixes, which only sets without much of their own share,
+   to partners, and then to clusters. Their sets are compared all with all inside of a task, exactly, except those already
+   connected; a large cluster in pairs of blocks. Links only leave as a spanning forest, so a group of near copies gives as
+   many rows as it has members.
 
 Null, empty and blank texts have empty sets, no links, and are their own component. Repeated rows are copies of each
 other. Rows without an id link like others; a component is named by its least id, null if no row has one.
@@ -105,6 +106,7 @@ def minhash_links(
         shared_only,
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
+        share,
         lambda sets: with_lead(sets, share),
         lambda sets, labels, halves: compare_group(sets, labels, share, halves),
         group_ngrams,

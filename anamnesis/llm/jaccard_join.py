@@ -240,6 +240,7 @@ def linked_rows(
         lambda bits: _keyed(docs, n, share, text_col, ids, bits),
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
+        share,
         lambda sets: link_group(sets, share),
         lambda sets, labels, halves: link_group(sets, share, halves, labels),
         group_ngrams,

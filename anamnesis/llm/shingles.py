@@ -276,14 +276,82 @@ def shared_keys(keyed: DataFrame) -> np.ndarray:
     return bits
 
 
-#: Partners of a node that are compared with it one by one before all that is left is compared in groups.
-ROUNDS = 2
+#: Partners that a node is compared with one by one, by keys of the whole corpus and by those of the nodes that are left.
+ROUNDS = (1, 2)
+
+
+def _shared(keyed: Callable[[np.ndarray | None], DataFrame]) -> DataFrame:
+    """(key, node, low) of the keys that several nodes have, with the least of these; written."""
+    some = materialise(keyed(shared_keys(keyed(None))), "keyed")
+    shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
+    shared = materialise(shared.select("key", "low"), "keys")
+    met = materialise(some.join(shared, "key"), "met")
+    drop_written(some, shared)
+    return met
+
+
+def _with_partners(
+    met: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]], list[tuple[int, int]]], links: DataFrame | None, rounds: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links, with those known before, and (node, low, component) of the keys whose nodes they don't connect; written.
+
+    Each node meets the partner that it shares most keys with, then the next one if they are not connected by then.
+    """
+    pairs = met.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    pairs = materialise(pairs.withColumn("rank", rank).where(F.col("rank") <= rounds), "pairs")
+    joined = None if links is None else materialise(components(links), "joined")
+    for number in range(1, rounds + 1):
+        asked = pairs.where(F.col("rank") == number).select("a", "b")
+        if joined is not None:
+            ends = [joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+            asked = asked.join(ends[0], "a", "left").join(ends[1], "b", "left")
+            asked = asked.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        asked = materialise(asked, "asked")
+        found = materialise(_checked(asked, sets, first), "links")
+        drop_written(asked, *([] if joined is None else [joined]))
+        links = found if links is None else links.union(found)
+        joined = materialise(components(links), "joined")
+    named = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
+    left = materialise(named.join(left.select("key"), "key").select("node", "low", "component").distinct(), "left")
+    drop_written(pairs, joined)
+    return links, left
+
+
+def _prefixes(sets: DataFrame, share: int, bits: np.ndarray | None) -> DataFrame:
+    """(key, node): without a filter all n-grams of the sets, with one those of their prefixes that others may have.
+
+    N-grams are in order by whether they pass the filter of those that come twice, then by hash. Two sets that link have an
+    n-gram in common among the first n - ceil(share n) + 1 of each; one that is in a single set joins none, so a set of which
+    more than 1 - share is its own has no key at all.
+    """
+    on = None if bits is None else sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, READ_ROWS):
+                piece = batch.slice(low, READ_ROWS)
+                keys = []
+                for one in piece.column(1):
+                    own = np.frombuffer(one.as_buffer(), dtype=U)
+                    if on is not None:
+                        passed = own[is_on(on.value, top_half(own))]
+                        length = len(own) - -(-share * len(own) // 100) + 1
+                        own = passed[: max(length - (len(own) - len(passed)), 0)]
+                    keys.append(own)
+                nodes = np.repeat(piece.column(0).to_numpy(), [len(k) for k in keys])
+                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=U)
+                yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(nodes)], names=["key", "node"])
+
+    return sets.select("node", "ngrams").mapInArrow(run, "key long, node long")
 
 
 def connect(
     keyed: Callable[[np.ndarray | None], DataFrame],
     nodes: DataFrame,
     read: Callable[[DataFrame], DataFrame],
+    share: int,
     first: Callable[[list[np.ndarray]], list[tuple[int, int]]],
     compare: Compare,
     group_ngrams: int = GROUP_NGRAMS,
@@ -292,48 +360,32 @@ def connect(
 
     1. Keys that one row has alone are left out, first by a filter of the halves of keys that come twice: ``keyed`` is
        called without a filter, then with it, and leaves out the keys that are not ``is_on`` by their ``top_half``.
-    2. All nodes of a key have its least node as a partner. Each node meets the partner that it shares most keys with, then the
-       next one if they are not connected by then, ``ROUNDS`` of them; ``first`` gives the links among those that meet one
-       node. Keys whose nodes are connected by these links are done.
-    3. Nodes of the keys that are left are clusters, connected by such keys only. ``compare`` finds the links of a cluster
+    2. All nodes of a key have its least node as a partner, and meet the partners that they share most keys with. ``first``
+       gives the links among those that meet one node. Keys whose nodes are connected by these links are done.
+    3. Nodes of the keys that are left get new keys, the n-grams of their prefixes in an order that begins with those that
+       one of them has alone, and step 2 is done again with these. Nodes that have much of their own drop out here.
+    4. Nodes of the keys that are left then are clusters, connected by such keys only. ``compare`` finds the links of a cluster
        inside of a task, all with all except those connected already; a large cluster goes in pairs of blocks.
 
     ``nodes`` has (node, n_ngrams, …) and ``read`` gives (node, n_ngrams, ngrams) of some of its rows, written. Links leave a
     task as a spanning forest, so a group of near copies gives as many rows as it has members.
     """
-    some = materialise(keyed(shared_keys(keyed(None))), "keyed")
-    shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
-    shared = materialise(shared.select("key", "low"), "keys")
-    met = materialise(some.join(shared, "key"), "met")
-    drop_written(some, shared)
+    met = _shared(keyed)
     sets = read(nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    links, left = _with_partners(met, sets, first, None, ROUNDS[0])
+    drop_written(met)
 
-    pairs = met.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    pairs = materialise(pairs.withColumn("rank", rank).where(F.col("rank") <= ROUNDS), "pairs")
-    links, joined = None, None
-    for number in range(1, ROUNDS + 1):
-        asked = pairs.where(F.col("rank") == number).select("a", "b")
-        if joined is not None:
-            ends = [joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
-            asked = asked.join(ends[0], "a", "left").join(ends[1], "b", "left")
-            asked = asked.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-        asked = materialise(asked, "asked")
-        found = materialise(_checked(asked, sets, first), "links")
-        drop_written(asked)
-        links = found if links is None else links.union(found)
-        joined = materialise(components(links), "joined")
-    drop_written(pairs)
+    rest = materialise(sets.join(left.select("node").distinct(), "node", "left_semi"), "rest")
+    drop_written(sets, left)
+    met = _shared(lambda bits: _prefixes(rest, share, bits))
+    links, left = _with_partners(met, rest, first, links, ROUNDS[1])
+    drop_written(met)
 
-    named = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two")
-    left = materialise(named.join(left.select("key"), "key").select("node", "low", "component"), "left")
-    drop_written(met, joined)
     clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
     clusters = clusters.withColumnRenamed("component", "cluster")
-    members = clusters.join(left.select("node", "component").distinct(), "node").join(sets.select("node", "n_ngrams"), "node")
+    members = clusters.join(left.select("node", "component").distinct(), "node").join(rest.select("node", "n_ngrams"), "node")
     members = materialise(members, "members")
-    placed = in_groups(members, group_ngrams).join(sets.select("node", "ngrams"), "node")
+    placed = in_groups(members, group_ngrams).join(rest.select("node", "ngrams"), "node")
 
     def link(key, table):
         pa.default_memory_pool().release_unused()
@@ -343,5 +395,5 @@ def connect(
 
     more = placed.select("cluster", "one", "two", "node", "block", "component", "ngrams")
     more = materialise(more.groupBy("cluster", "one", "two").applyInArrow(link, "a long, b long"), "links")
-    drop_written(sets, left, members)
+    drop_written(rest, left, members)
     return links.union(more)
