@@ -18,6 +18,8 @@ from anamnesis.operators.skew import HotGroups, attach, explode_range, find_hot,
 
 SUBJECT = "subject_id"
 BLOCK_SAMPLES = 1024
+#: Descriptions, a line of text each, up to which a dictionary of codes is broadcast.
+BROADCAST_CODES = 200_000
 
 
 def drop_birth_and_static(events: DataFrame, birth_code: str = S.BIRTH_CODE) -> DataFrame:
@@ -57,11 +59,18 @@ def truncate_seconds(events: DataFrame) -> DataFrame:
 
 
 def describe_codes(events: DataFrame, codes: DataFrame) -> DataFrame:
-    """Replace a code by its description where that is neither null nor empty."""
+    """Replace a code by its description where that is neither null nor empty.
+
+    A dictionary of up to ``BROADCAST_CODES`` is broadcast, so a code that most events have is no key of a shuffle. With a
+    longer one, the events of frequent codes meet their descriptions on a route of their own.
+    """
     names = codes.where(F.col("description") != "").select(
         "code", F.col("description").alias("__description")
     )
-    described = events.join(names, "code", "left")
+    if names.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
+        described = events.join(F.broadcast(names), "code", "left")
+    else:
+        described = attach(events, names, ["code"], "left")
     return described.withColumn("code", F.coalesce("__description", "code")).select(*events.columns)
 
 

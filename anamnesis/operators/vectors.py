@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from anamnesis import settings as S
 from anamnesis.functions.arrays import all_zero
+from anamnesis.operators.skew import attach
 from anamnesis.operators.tokens import token_ids, token_rows
 from anamnesis.sources.workspace import materialise, send_code
 
@@ -48,8 +49,8 @@ def token_embedding_lookup(
 ) -> DataFrame:
     """Add ``vector``: the sum of token, type and digit-place vectors.
 
-    Type and place vectors are added up once per pair of ids; that table has a fixed
-    size and is broadcast. The token table is joined as its size asks.
+    Type and place vectors are added up once per pair of ids; that table has a fixed size and is broadcast. The result
+    has a vector per token; ``token_sums`` adds them up per event without making them.
     """
     ids = tokens.sparkSession.range(S.NUM_TYPES * S.NUM_PLACES)
     pairs = (
@@ -62,9 +63,8 @@ def token_embedding_lookup(
         .select("type_id", "dpe_id", _add_known(F.col("__b"), F.col("__c")).alias("__pair"))
     )
     words = _known_ids(token_table, "token_id", "__word")
-    joined = tokens.join(words, "token_id", "left").join(
-        F.broadcast(pairs), ["type_id", "dpe_id"], "left"
-    )
+    # Frequent tokens are hot keys, which meet their vectors on a route of their own.
+    joined = attach(tokens, words, ["token_id"], "left").join(F.broadcast(pairs), ["type_id", "dpe_id"], "left")
     nothing = F.array_repeat(F.lit(0.0), dim)
     total = F.coalesce(_add_known(F.col("__word"), F.col("__pair")), nothing)
     return joined.withColumn("vector", total).drop("__word", "__pair")
