@@ -1,11 +1,16 @@
-"""A class-based log-bilinear language model, trained by noise-contrastive estimation.
+"""A log-bilinear language model with vectors per word, trained by noise-contrastive estimation.
 
-Words are counted over all training texts. The most frequent words are classes of their own, the end of a
-text is one, and all other words fall into classes by their last two bytes. All triples of
-consecutive classes are counted as well. A log-bilinear model of the next class given two is trained in
-numpy on draws from those counts, each against noise classes. One batched matrix product gives the normalised
-log-probabilities of every class after every pair of classes; a token's probability is that of its
-class times its share of the class, one more count given to each word and to an unseen one.
+Words are counted over all training texts. The most frequent ones, about the square root of the number of tokens and at most
+``MAX_OWN``, are classes of their own, the end of a text is one, and all other words fall into classes by their last two
+bytes. Every class has a vector for each of the two places before a token, and one as the token itself. By
+frequency the classes form groups of about the square root of their number, which have vectors too.
+
+Every training token is a draw, told from noise twice: its group from groups of the corpus, and it from other classes of its
+group. Tasks train in numpy on the texts they read, from common weights, and the weights are averaged by tokens, in
+``ROUNDS`` rounds over a share of the texts each. A small corpus is gone through several times. Scoring takes
+batched matrix products: the log-probability of the group, normalised over all groups, and that of the class, normalised over
+its group. A token's probability is that of its class times its share of the class, one more count given to each word
+and to an unseen one.
 
 Frequent words are broadcast with their counts, a table of bounded size; the others are joined. Null
 texts are empty, and an empty text is one end. Words are told apart by 64-bit hashes.
@@ -13,6 +18,9 @@ texts are empty, and an empty text is one end. Words are told apart by 64-bit ha
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +29,17 @@ from pyspark.sql import functions as F
 from anamnesis.llm.bytewords import LOWER, NOT_SPACE, U, Words, text_runs
 from anamnesis.llm.common import materialise, send_code
 
-#: Words that are classes of their own, classes by the last bytes of a word.
-OWN_CLASSES, ENDING_CLASSES = 39, 24
-END = OWN_CLASSES
-CLASSES = OWN_CLASSES + 1 + ENDING_CLASSES
+#: Words that are classes of their own: at least, and at most whatever the corpus; classes by the last bytes of a word.
+MIN_OWN, MAX_OWN, ENDING_CLASSES = 39, 1 << 16, 256
 #: Words whose counts are broadcast at most.
 HEAD_WORDS = 1 << 18
-DIMENSIONS, STEPS, BATCH, NOISE, RATE = 24, 3000, 1024, 32, 0.2
+DIMENSIONS, ROUNDS, BATCH, NOISE, RATE = 24, 3, 16_384, 16, 0.1
+#: Tokens that a corpus is trained on at least, the same ones again if it has fewer.
+LEAST_DRAWS = 1_000_000
+#: Tasks that train at once at most, and weights that are averaged by one task.
+TRAINERS, FAN_IN = 256, 8
+#: Tokens whose probabilities are made at once.
+SCORED = 32_768
 
 
 def _endings(words: Words) -> np.ndarray:
@@ -87,100 +99,230 @@ def count_words(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class _Classes:
-    """Class of every token of a run, ends included."""
+    """Class of every token of a run, ends included: own words by their place in ``own``, then the end, then endings."""
 
     def __init__(self, own: np.ndarray) -> None:
         self.order = np.argsort(own)
         self.own = own[self.order]
+        self.end = len(own)
 
     def of(self, words: Words, hashes: np.ndarray):
-        """(class of each token, place of each word, start of each row) with an end after every row."""
+        """(class of each token, start of each row) with an end after every row."""
         rows = len(words.offsets) - 1
-        kind = OWN_CLASSES + 1 + _endings(words)
+        kind = self.end + 1 + _endings(words)
         if len(self.own):
             at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
             is_own = self.own[at] == hashes
             kind[is_own] = self.order[at[is_own]]
-        token = np.full(len(words) + rows, END, dtype=np.int64)
-        place = np.arange(len(words)) + words.row
-        token[place] = kind
-        return token, place, words.first[:-1] + np.arange(rows)
-
-    @staticmethod
-    def context(token: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Number of the triple (two before, one before, token) at each place."""
-        one = np.append(END, token[:-1])
-        two = np.append([END, END], token[:-2])[: len(token)]
-        two[start] = END
-        return (two * CLASSES + one) * CLASSES + token
+        token = np.full(len(words) + rows, self.end, dtype=np.int64)
+        token[np.arange(len(words)) + words.row] = kind
+        return token, words.first[:-1] + np.arange(rows)
 
+    def context(self, token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes two before and one before each token; ends stand before a text."""
+        one = np.append(self.end, token[:-1])
+        two = np.append([self.end, self.end], token[:-2])[: len(token)]
+        two[start] = self.end
+        return two, one
 
-def count_triples(texts: DataFrame, own: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """Occurrences of each triple of classes over all texts, at most ``CLASSES`` ** 3 numbers."""
-
-    def run(batches):
-        classes, total = _Classes(own), np.zeros(CLASSES**3, dtype=np.int64)
-        for batch in batches:
-            for _, data, offsets in text_runs(batch.column(0)):
-                words = Words(LOWER[data], offsets, NOT_SPACE)
-                token, _, start = classes.of(words, words.hashes())
-                triples, count = np.unique(classes.context(token, start), return_counts=True)
-                total[triples] += count
-        cells = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    rows = texts.select(text_col).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES**3, dtype=np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis=1, keepdims=True)) + top)[:, 0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(triples: np.ndarray, steps: int = STEPS, seed: int = 1) -> np.ndarray:
-    """log10 probabilities of each class after each two classes, from counts of triples.
-
-    Draws from the counts are told from draws of noise classes, in proportion to the classes' own
-    frequency, by s(class | context) - log(noise draws x noise probability).
-    """
-    rng = np.random.default_rng(seed)
-    seen = np.flatnonzero(triples)
-    vectors = rng.normal(0, 0.1, (2, CLASSES, DIMENSIONS))  # of a class two before and one before
-    targets = rng.normal(0, 0.1, (CLASSES, DIMENSIONS))
-    noise = (triples.reshape(-1, CLASSES).sum(0) + 1.0) if len(seen) else np.ones(CLASSES)
-    noise = noise / noise.sum()
-    bias = np.log(noise)
-    if len(seen):
-        share = np.cumsum(triples[seen] / triples[seen].sum())
-        steep = np.cumsum(noise)
-        one_hot = np.eye(CLASSES)
-        weights = [vectors, targets, bias]
-        slopes = [np.full(w.shape, 1e-3) for w in weights]
-        for step in range(steps):
-            cell = seen[np.minimum(np.searchsorted(share, rng.random(BATCH)), len(seen) - 1)]
-            two, one, real = cell // CLASSES**2, cell // CLASSES % CLASSES, cell % CLASSES
-            # The noise of a step is drawn once, for all its draws from the counts.
-            fake = np.minimum(np.searchsorted(steep, rng.random(NOISE)), CLASSES - 1)
-            hidden = vectors[0, two] + vectors[1, one]
-            offset = bias - np.log(NOISE * noise)
-            error_real = (_sigmoid((hidden * targets[real]).sum(1) + offset[real]) - 1.0) / BATCH
-            error_fake = _sigmoid(hidden @ targets[fake].T + offset[fake]) / BATCH
-            back = error_real[:, None] * targets[real] + error_fake @ targets[fake]
-            slope_targets = one_hot[real].T @ (error_real[:, None] * hidden)
-            slope_targets += one_hot[fake].T @ (error_fake.T @ hidden)
-            slope_bias = np.bincount(real, error_real, CLASSES) + np.bincount(fake, error_fake.sum(0), CLASSES)
-            slope_vectors = np.stack([one_hot[two].T @ back, one_hot[one].T @ back])
-            rate = RATE * (1 - step / steps)
-            for w, s, g in zip(weights, slopes, [slope_vectors, slope_targets, slope_bias], strict=True):
-                s += g * g
-                w -= rate * g / np.sqrt(s)
-    hidden = vectors[0][:, None, :] + vectors[1][None, :, :]
-    logits = hidden.reshape(-1, DIMENSIONS) @ targets.T + bias
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return (logits / np.log(10)).ravel()
+@dataclass
+class Groups:
+    """Classes in groups by frequency: the group of each, its place there, and how often groups and classes occur."""
+
+    group: np.ndarray
+    place: np.ndarray
+    size: int
+    group_share: np.ndarray
+    class_share: np.ndarray  # by group and place, within the group; 0 where there is no class
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Groups:
+        """``counts`` of all classes; each counts once more than it occurs."""
+        size = max(1, int(np.ceil(np.sqrt(len(counts)))))
+        rank = np.empty(len(counts), dtype=np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        group, place = rank // size, rank % size
+        table = np.zeros((int(group.max()) + 1, size))
+        table[group, place] = counts + 1.0
+        total = table.sum(axis=1, keepdims=True)
+        return cls(group, place, size, (total / total.sum())[:, 0], table / total)
+
+
+class Weights:
+    """All vectors and biases in one array, so that they can be sent and averaged."""
+
+    def __init__(self, classes: int, groups: Groups, flat: np.ndarray | None = None) -> None:
+        g, s, d = len(groups.group_share), groups.size, DIMENSIONS
+        shapes = [(2, classes, d), (g, d), (g,), (g, s, d), (g, s)]
+        ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
+        if flat is None:
+            flat = np.random.default_rng(1).normal(0, 0.1, ends[-1]).astype(np.float32)
+            flat[ends[2] : ends[3]] = np.log(groups.group_share)
+            flat[ends[4] :] = np.log(np.maximum(groups.class_share, 1e-30)).ravel()
+        self.flat = flat
+        parts = [flat[a:b].reshape(x) for a, b, x in zip(ends[:-1], ends[1:], shapes, strict=True)]
+        self.before, self.groups, self.group_bias, self.classes, self.class_bias = parts
+
+    def log10(self, groups: Groups, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Normalised log-probability of each token's class."""
+        out = np.empty(len(token))
+        empty = groups.class_share == 0
+        for low in range(0, len(token), SCORED):
+            own = slice(low, low + SCORED)
+            hidden = self.before[0, two[own]] + self.before[1, one[own]]
+            group, place = groups.group[token[own]], groups.place[token[own]]
+            logits = hidden @ self.groups.T + self.group_bias
+            found = logits[np.arange(len(group)), group] - _log_sum(logits)
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
+            for rows in np.split(order, cuts[1:]):
+                g = group[rows[0]]
+                inner = hidden[rows] @ self.classes[g].T + np.where(empty[g], -1e30, self.class_bias[g])
+                found[rows] += inner[np.arange(len(rows)), place[rows]] - _log_sum(inner)
+            out[own] = found
+        return out / np.log(10)
+
+
+class Trainer:
+    """Noise-contrastive steps from given weights; steps shrink with what a weight has moved (Adagrad)."""
+
+    def __init__(self, weights: Weights, classes: int, groups: Groups, seed: int) -> None:
+        self.w, self.groups = Weights(classes, groups, weights.flat.copy()), groups
+        self.slopes = Weights(classes, groups, np.full_like(weights.flat, 1e-2))
+        self.rng = np.random.default_rng(seed)
+        self.group_steep = np.cumsum(groups.group_share)
+        self.class_steep = np.cumsum(groups.class_share, axis=1)
+        self.draws = 0
+
+    def _move(self, name: str, at, slope: np.ndarray) -> None:
+        weight, seen = getattr(self.w, name), getattr(self.slopes, name)
+        seen[at] += slope * slope
+        weight[at] -= RATE * slope / np.sqrt(seen[at])
+
+    @staticmethod
+    def _contrast(hidden, targets, bias, real, fake, log_noise):
+        """Slopes of hidden, targets and bias for real rows of targets against rows that are drawn once for all."""
+        offset = bias - np.log(len(fake)) - log_noise
+        real_error = _sigmoid((hidden * targets[real]).sum(axis=1) + offset[real]) - 1.0
+        fake_error = _sigmoid(hidden @ targets[fake].T + offset[fake])
+        back = real_error[:, None] * targets[real] + fake_error @ targets[fake]
+        own, at = np.unique(np.append(real, fake), return_inverse=True)
+        hot = np.zeros((len(own), len(real)), dtype=np.float32)
+        hot[at[: len(real)], np.arange(len(real))] = real_error
+        slope, slope_bias = hot @ hidden, hot.sum(axis=1)
+        np.add.at(slope, at[len(real) :], fake_error.T @ hidden)
+        np.add.at(slope_bias, at[len(real) :], fake_error.sum(axis=0))
+        return back, own, slope, slope_bias
+
+    def step(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> None:
+        w, groups = self.w, self.groups
+        self.draws += len(token)
+        hidden = w.before[0, two] + w.before[1, one]
+        group, place = groups.group[token], groups.place[token]
+        fake = np.minimum(np.searchsorted(self.group_steep, self.rng.random(NOISE)), len(self.group_steep) - 1)
+        back, own, slope, bias = self._contrast(hidden, w.groups, w.group_bias, group, fake, np.log(groups.group_share))
+        self._move("groups", own, slope)
+        self._move("group_bias", own, bias)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+        for rows in np.split(order, cuts[1:]):
+            g = int(group[rows[0]])
+            share = groups.class_share[g]
+            fake = np.minimum(np.searchsorted(self.class_steep[g], self.rng.random(NOISE)), int(np.flatnonzero(share)[-1]))
+            noise = np.log(np.maximum(share, 1e-30))
+            inner, own, slope, bias = self._contrast(hidden[rows], w.classes[g], w.class_bias[g], place[rows], fake, noise)
+            back[rows] += inner
+            self._move("classes", (g, own), slope)
+            self._move("class_bias", (g, own), bias)
+        for k, context in enumerate((two, one)):
+            order = np.argsort(context, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(context[order]) != 0))
+            self._move("before", (k, context[order[cuts]]), np.add.reduceat(back[order], cuts, axis=0))
+
+
+def batches_of(streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(two, one, token) in batches of ``size``, the last one shorter."""
+    held, count = [], 0
+    for stream in streams:
+        held.append(stream)
+        count += len(stream[2])
+        if count >= size:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            full = count - count % size
+            for low in range(0, full, size):
+                yield tuple(x[low : low + size] for x in whole)
+            held, count = [tuple(x[full:] for x in whole)], count - full
+    if count:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def train(texts: DataFrame, own: np.ndarray, groups: Groups, tokens: int, text_col: str = "text") -> Weights:
+    """Weights learned from all tokens of the texts."""
+    context = texts.sparkSession.sparkContext
+    classes = len(groups.group)
+    weights = Weights(classes, groups)
+    again = max(1, -(-LEAST_DRAWS // max(tokens, 1)))
+
+    def learn(now: Weights) -> Callable:
+        shared = context.broadcast((now.flat, own, groups))
+
+        def run(batches):
+            flat, mine, grouped = shared.value
+            kinds = _Classes(mine)
+            trainer = None
+
+            def streams():
+                for batch in batches:
+                    for _, data, offsets in text_runs(batch.column(0)):
+                        words = Words(LOWER[data], offsets, NOT_SPACE)
+                        token, start = kinds.of(words, words.hashes())
+                        yield *kinds.context(token, start), token
+
+            own_batches = batches_of(streams(), BATCH if again == 1 else BATCH // 8)
+            if again > 1:  # fewer than LEAST_DRAWS tokens in all
+                kept = list(own_batches)
+                own_batches = (b for _ in range(again) for b in kept)
+            for two, one, token in own_batches:
+                if trainer is None:
+                    trainer = Trainer(Weights(classes, grouped, flat), classes, grouped, len(token) + int(token[0]))
+                trainer.step(two, one, token)
+            if trainer is not None:
+                yield _weighed(trainer.w.flat.astype(np.float64) * trainer.draws, trainer.draws)
+
+        return run
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(s.as_buffer()) for s in table.column("flat")], axis=0)
+        return pa.Table.from_batches([_weighed(total, sum(table.column("draws").to_pylist()))])
+
+    for number in range(ROUNDS):
+        share = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == number
+        rows = texts.where(share).select(text_col)
+        parts = max(1, min(rows.rdd.getNumPartitions(), TRAINERS))
+        learned = rows.coalesce(parts).mapInArrow(learn(weights), "flat binary, draws long")
+        while parts > FAN_IN:
+            parts = -(-parts // FAN_IN)
+            numbered = learned.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(parts)))
+            learned = numbered.groupBy("group").applyInArrow(add, "flat binary, draws long")
+        sums = learned.toArrow()
+        if sums.num_rows:
+            flat = np.frombuffer(add(sums).column("flat")[0].as_buffer()) / sum(sums.column("draws").to_pylist())
+            weights = Weights(classes, groups, flat.astype(np.float32))
+    return weights
+
+
+def _weighed(flat: np.ndarray, draws: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([flat.tobytes()], pa.binary()), pa.array([draws], pa.int64())], names=["flat", "draws"])
 
 
 class Model:
@@ -199,20 +341,26 @@ class Model:
         ending = head.column("ending").to_numpy()
         order = np.argsort(word)
         self.word, self.count, ending = word[order], count[order], ending[order]
-        top = np.lexsort((self.word, -self.count))[:OWN_CLASSES]
-        self.own = self.word[top]
-        sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
         ends = texts.count()
-        n, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+        sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+        tokens = ends + sum(r["n"] for r in sums)
+        top = np.lexsort((self.word, -self.count))[: min(max(MIN_OWN, int(tokens**0.5)), MAX_OWN)]
+        self.own, end = self.word[top], len(top)
+        n, kinds = np.zeros(end + 1 + ENDING_CLASSES), np.zeros(end + 1 + ENDING_CLASSES)
         for r in sums:
-            n[OWN_CLASSES + 1 + r["ending"]], kinds[OWN_CLASSES + 1 + r["ending"]] = r["n"], r["words"]
-        for k, i in enumerate(top.tolist()):
-            n[k], kinds[k] = self.count[i], 1
-            n[OWN_CLASSES + 1 + ending[i]] -= self.count[i]
-            kinds[OWN_CLASSES + 1 + ending[i]] -= 1
-        n[END], kinds[END] = ends, int(ends > 0)
+            n[end + 1 + r["ending"]], kinds[end + 1 + r["ending"]] = r["n"], r["words"]
+        n[:end], kinds[:end] = self.count[top], 1
+        np.subtract.at(n, end + 1 + ending[top], self.count[top])
+        np.subtract.at(kinds, end + 1 + ending[top], 1)
+        n[end], kinds[end] = ends, int(ends > 0)
         self.ends, self.tokens, self.types = ends, int(n.sum()), int(kinds.sum())
-        self.table = train(count_triples(texts, self.own, text_col)) - np.tile(np.log10(n + kinds + 1), CLASSES**2)
+        self.groups = Groups.of(n)
+        self.weights = train(texts, self.own, self.groups, self.tokens, text_col)
+        self.class_size = np.log10(n + kinds + 1)
+
+    def log10(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Of each token: the log-probability of its class, less that of all that share the class."""
+        return self.weights.log10(self.groups, two, one, token) - self.class_size[token]
 
 
 def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +381,8 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
             for _, data, offsets in text_runs(batch.column(1)):
                 words = Words(LOWER[data], offsets, NOT_SPACE)
                 hashes, rows = words.hashes(), len(offsets) - 1
-                token, _, start = classes.of(words, hashes)
-                scores.append(np.add.reduceat(m.table[classes.context(token, start)], start))
+                token, start = classes.of(words, hashes)
+                scores.append(np.add.reduceat(m.log10(*classes.context(token, start), token), start))
                 tokens.append(np.diff(words.first) + 1)
                 at = np.minimum(np.searchsorted(m.word, hashes), max(len(m.word) - 1, 0))
                 frequent = m.word[at] == hashes if len(m.word) else np.zeros(len(hashes), dtype=bool)

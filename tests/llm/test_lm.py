@@ -47,33 +47,75 @@ def test_counts_and_scores(spark, table, monkeypatch):
     assert sum(rows[i]["score"] for i in held) > sum(rows[i]["base_score"] for i in held)
 
 
-def test_probabilities_of_all_next_tokens_sum_to_one(spark, table):
+def test_probabilities_of_all_next_tokens_sum_to_one(spark, table, monkeypatch):
+    monkeypatch.setattr(L, "MIN_OWN", 20)
     texts = [t for t in corpus(60) if t]
     docs = table(texts)
     counts = L.count_words(docs)
     model = L.Model(counts, docs)
+    classes, end = len(model.groups.group), len(model.own)
+    assert 20 <= end < classes
     # Every counted word, the end, and one unseen word in each class, after a given context.
-    share = np.zeros(L.CLASSES)
-    rows = counts.collect()
+    share = np.zeros(classes)
     own = {int(np.uint64(w).view(np.int64)): k for k, w in enumerate(model.own)}
-    for r in rows:
-        share[own.get(r["word"], L.OWN_CLASSES + 1 + r["ending"])] += r["n"] + 1
-    share[L.END] += model.ends + 1
+    for r in counts.collect():
+        share[own.get(r["word"], end + 1 + r["ending"])] += r["n"] + 1
+    share[end] += model.ends + 1
     share += 1  # the unseen word
-    for context in (0, L.END * L.CLASSES + L.END, 17):
-        log = model.table[context * L.CLASSES : (context + 1) * L.CLASSES]
-        assert math.isclose((10**log * share).sum(), 1.0, rel_tol=1e-6)
-
-
-def test_training_finds_the_counts():
-    rng = np.random.default_rng(0)
-    triples = np.zeros((L.CLASSES,) * 3, dtype=np.int64)
-    for two in range(3):
-        for one in range(3):
-            triples[two, one, :3] = rng.multinomial(20_000, [0.8, 0.1, 0.1] if one == 0 else [0.1, 0.1, 0.8])
-    table = 10 ** L.train(triples.ravel()).reshape((L.CLASSES,) * 3)
-    assert np.allclose(table.sum(2), 1.0)
-    assert abs(table[1, 0, 0] - 0.8) < 0.1 and abs(table[0, 2, 2] - 0.8) < 0.1
+    for two, one in ((0, 0), (end, end), (3, 17), (classes - 1, 5)):
+        log = model.log10(np.full(classes, two), np.full(classes, one), np.arange(classes))
+        assert math.isclose((10**log * share).sum(), 1.0, rel_tol=1e-4)
+
+
+def test_log_probabilities_by_plain_sums():
+    rng = np.random.default_rng(2)
+    groups = L.Groups.of(rng.integers(0, 100, 13))
+    w = L.Weights(13, groups, rng.normal(size=len(L.Weights(13, groups).flat)).astype(np.float32))
+    two, one, token = rng.integers(0, 13, (3, 40))
+    found = w.log10(groups, two, one, token)
+    for a, b, c, got in zip(two, one, token, found, strict=True):
+        h = w.before[0, a] + w.before[1, b]
+        g = groups.group[c]
+        of_group = [math.exp(float(h @ u + x)) for u, x in zip(w.groups, w.group_bias, strict=True)]
+        inside = [math.exp(float(h @ w.classes[g, k] + w.class_bias[g, k])) for k in range(groups.size) if groups.class_share[g, k]]
+        want = math.log10(of_group[g] / sum(of_group)) + math.log10(inside[groups.place[c]] / sum(inside))
+        assert math.isclose(got, want, rel_tol=1e-4, abs_tol=1e-5)
+
+
+def test_training_finds_what_follows(spark, table):
+    """After x comes a in eight of ten cases, after y in one; z says nothing."""
+    rng = random.Random(0)
+    texts = []
+    for _ in range(400):
+        words = []
+        for _ in range(30):
+            first = rng.choice("xyz")
+            words += [first, "a" if rng.random() < {"x": 0.8, "y": 0.1, "z": 0.5}[first] else "b"]
+        texts.append(" ".join(words))
+    docs = table(texts).repartition(3)
+    model = L.Model(L.count_words(docs), docs)
+    names = {}
+    for name in "xyzab":
+        words = L.Words(np.frombuffer(name.encode(), np.uint8), np.array([0, 1]), L.NOT_SPACE)
+        names[name] = int(np.flatnonzero(model.own == words.hashes()[0])[0])
+    for first, want in (("x", 0.8), ("y", 0.1), ("z", 0.5)):
+        log = model.weights.log10(model.groups, np.array([names["a"]] * 2), np.array([names[first]] * 2), np.array([names["a"], names["b"]]))
+        assert abs(10 ** log[0] - want) < 0.15 and abs(10 ** log[1] - (1 - want)) < 0.15
+
+
+def test_batches_hold_every_token_once():
+    streams = [tuple(np.arange(low, low + n) for _ in range(3)) for low, n in ((0, 3), (3, 0), (3, 25), (28, 4))]
+    parts = list(L.batches_of(iter(streams), 10))
+    assert [len(p[2]) for p in parts] == [10, 10, 10, 2] and np.concatenate([p[0] for p in parts]).tolist() == list(range(32))
+
+
+def test_words_of_their_own_grow_with_the_corpus(spark, table):
+    sizes = []
+    for n in (20, 200):
+        rng = random.Random(n)
+        docs = table([" ".join("w%d" % rng.randrange(20 * n) for _ in range(100)) for _ in range(n)])
+        sizes.append(len(L.Model(L.count_words(docs), docs).own))
+    assert sizes == [int((20 * 101) ** 0.5), int((200 * 101) ** 0.5)]
 
 
 def test_empty_tables(spark, table):
