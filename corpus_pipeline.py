@@ -24,10 +24,13 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: the base rules and the list learned from the labels of these documents."""
     names = docs.columns
-    # Written once: a filter on the counts would otherwise be pushed below them and count again.
-    counted = materialise(count_text(docs, out="_counts"), "counted")
-    rules = learn(counted, load(spark, sf_dir, "labels"), out="_counts")
-    return counted.where(kept(rules, F.col("_counts"))).select(*names)
+    labels = load(spark, sf_dir, "labels")
+    # Only labelled rows are learned from; their counts are written without their texts.
+    labelled = count_text(docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi"), out="_counts")
+    rules = learn(materialise(labelled.select("doc_id", "_counts"), "counted"), labels, out="_counts")
+    # The row number, which no filter passes, keeps this one above the counts: below, it would count again for each condition.
+    counted = count_text(docs, out="_counts").withColumn("_row", F.monotonically_increasing_id())
+    return counted.where(kept(rules, F.col("_counts")) & (F.col("_row") >= 0)).select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
