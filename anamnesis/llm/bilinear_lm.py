@@ -132,7 +132,7 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
@@ -158,6 +158,12 @@ class Groups:
         return cls(group, place, size, (total / total.sum())[:, 0], table / total)
 
 
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, and where in it each group begins and the last ends."""
+    order = np.argsort(group.astype(np.int32), kind="stable")
+    return order, np.append(np.flatnonzero(np.append(len(order) > 0, np.diff(group[order]) != 0)), len(order))
+
+
 class Weights:
     """All vectors and biases in one array, so that they can be sent and averaged."""
 
@@ -179,16 +185,19 @@ class Weights:
         empty = groups.class_share == 0
         for low in range(0, len(token), SCORED):
             own = slice(low, low + SCORED)
-            hidden = self.before[0, two[own]] + self.before[1, one[own]]
-            group, place = groups.group[token[own]], groups.place[token[own]]
+            order, cuts = _by_group(groups.group[token[own]])
+            hidden = self.before[0, two[own][order]] + self.before[1, one[own][order]]
+            group, place = groups.group[token[own][order]], groups.place[token[own][order]]
             logits = hidden @ self.groups.T + self.group_bias
             found = logits[np.arange(len(group)), group] - _log_sum(logits)
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
-            for rows in np.split(order, cuts[1:]):
-                g = group[rows[0]]
-                inner = hidden[rows] @ self.classes[g].T + np.where(empty[g], -1e30, self.class_bias[g])
-                found[rows] += inner[np.arange(len(rows)), place[rows]] - _log_sum(inner)
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                g = group[first]
+                inner = hidden[first:end] @ self.classes[g].T + np.where(empty[g], np.float32(-1e30), self.class_bias[g])
+                found[first:end] += inner[np.arange(end - first), place[first:end]] - _log_sum(inner)
+            # Back to the order of the tokens.
+            back = np.empty(len(order))
+            back[order] = found
+            found = back
             out[own] = found
         return out / np.log(10)
 
@@ -202,52 +211,53 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.group_steep = np.cumsum(groups.group_share)
         self.class_steep = np.cumsum(groups.class_share, axis=1)
+        self.group_noise = np.log(groups.group_share).astype(np.float32)
+        self.class_noise = np.log(np.maximum(groups.class_share, 1e-30)).astype(np.float32)
+        self.last = [int(np.flatnonzero(share)[-1]) for share in groups.class_share]
         self.draws = 0
 
     def _move(self, name: str, at, slope: np.ndarray) -> None:
         weight, seen = getattr(self.w, name), getattr(self.slopes, name)
-        seen[at] += slope * slope
-        weight[at] -= RATE * slope / np.sqrt(seen[at])
+        grown = seen[at] + slope * slope
+        seen[at] = grown
+        weight[at] -= RATE * slope / np.sqrt(grown)
 
     @staticmethod
     def _contrast(hidden, targets, bias, real, fake, log_noise):
         """Slopes of hidden, targets and bias for real rows of targets against rows that are drawn once for all."""
-        offset = bias - np.log(len(fake)) - log_noise
-        real_error = _sigmoid((hidden * targets[real]).sum(axis=1) + offset[real]) - 1.0
+        offset = bias - np.float32(np.log(len(fake))) - log_noise
+        n = np.arange(len(real))
+        real_error = _sigmoid(np.einsum("ij,ij->i", hidden, targets[real]) + offset[real]) - 1
         fake_error = _sigmoid(hidden @ targets[fake].T + offset[fake])
         back = real_error[:, None] * targets[real] + fake_error @ targets[fake]
-        own, at = np.unique(np.append(real, fake), return_inverse=True)
-        hot = np.zeros((len(own), len(real)), dtype=np.float32)
-        hot[at[: len(real)], np.arange(len(real))] = real_error
-        slope, slope_bias = hot @ hidden, hot.sum(axis=1)
-        np.add.at(slope, at[len(real) :], fake_error.T @ hidden)
-        np.add.at(slope_bias, at[len(real) :], fake_error.sum(axis=0))
-        return back, own, slope, slope_bias
+        hot = np.zeros((len(bias), len(real)), dtype=np.float32)
+        hot[real, n] = real_error
+        drawn = np.zeros((len(bias), len(fake)), dtype=np.float32)
+        drawn[fake, np.arange(len(fake))] = 1
+        slope = hot @ hidden + drawn @ (fake_error.T @ hidden)
+        return back, slope, hot.sum(axis=1) + drawn @ fake_error.sum(axis=0)
 
     def step(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> None:
         w, groups = self.w, self.groups
         self.draws += len(token)
+        order, cuts = _by_group(groups.group[token])
+        two, one, token = two[order], one[order], token[order]
         hidden = w.before[0, two] + w.before[1, one]
         group, place = groups.group[token], groups.place[token]
         fake = np.minimum(np.searchsorted(self.group_steep, self.rng.random(NOISE)), len(self.group_steep) - 1)
-        back, own, slope, bias = self._contrast(hidden, w.groups, w.group_bias, group, fake, np.log(groups.group_share))
-        self._move("groups", own, slope)
-        self._move("group_bias", own, bias)
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-        for rows in np.split(order, cuts[1:]):
-            g = int(group[rows[0]])
-            share = groups.class_share[g]
-            fake = np.minimum(np.searchsorted(self.class_steep[g], self.rng.random(NOISE)), int(np.flatnonzero(share)[-1]))
-            noise = np.log(np.maximum(share, 1e-30))
-            inner, own, slope, bias = self._contrast(hidden[rows], w.classes[g], w.class_bias[g], place[rows], fake, noise)
-            back[rows] += inner
-            self._move("classes", (g, own), slope)
-            self._move("class_bias", (g, own), bias)
+        back, slope, bias = self._contrast(hidden, w.groups, w.group_bias, group, fake, self.group_noise)
+        self._move("groups", slice(None), slope)
+        self._move("group_bias", slice(None), bias)
+        for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            g = int(group[first])
+            fake = np.minimum(np.searchsorted(self.class_steep[g], self.rng.random(NOISE)), self.last[g])
+            own = self._contrast(hidden[first:end], w.classes[g], w.class_bias[g], place[first:end], fake, self.class_noise[g])
+            back[first:end] += own[0]
+            self._move("classes", g, own[1])
+            self._move("class_bias", g, own[2])
         for k, context in enumerate((two, one)):
-            order = np.argsort(context, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(context[order]) != 0))
-            self._move("before", (k, context[order[cuts]]), np.add.reduceat(back[order], cuts, axis=0))
+            order, cuts = _by_group(context)
+            self._move("before", (k, context[order[cuts[:-1]]]), np.add.reduceat(back[order], cuts[:-1], axis=0))
 
 
 def batches_of(streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, ...]]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.bytewords import U, mix
 from anamnesis.llm.common import components, materialise
-from anamnesis.llm.shingles import GROUP_NGRAMS, connect, describe, digest, is_on, ngram_sets, read_sets, top_half
+from anamnesis.llm.shingles import GROUP_NGRAMS, connect, describe, digest, first_rows, is_on, ngram_sets, read_sets, top_half
 
 #: Texts whose keys a task holds at once.
 BATCH_ROWS = 2048
@@ -94,33 +94,39 @@ def _ids(nodes: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     if len(rows) > MAX_ODD:
         raise ValueError("the digests of sets agree far too often")
     ids = {(r["high"], r["low"]): r["id"] for r in rows}
-    named = nodes.withColumn("node", F.col("low"))
+    named = nodes.withColumn("node", F.col("low"))  # told apart below where halves are equal
     if ids:
         known = nodes.sparkSession.createDataFrame([(*k, v) for k, v in ids.items()], "high long, low long, __id long")
         named = named.join(F.broadcast(known), ["high", "low"], "left").withColumn("node", F.coalesce("__id", "node")).drop("__id")
     return named, ids
 
 
-def _keyed(docs: DataFrame, n: int, share: int, text_col: str, ids: dict[tuple[int, int], int], bits: np.ndarray | None) -> DataFrame:
-    """(key, node): the keys of every node that pass the filter, once for a batch of texts."""
-    on = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+def _keyed(rows: DataFrame, firsts: np.ndarray, n: int, share: int, ids: dict[tuple[int, int], int], bits: np.ndarray | None) -> DataFrame:
+    """(key, node): the keys that pass the filter ``bits``, of every node, once for a batch of texts.
+
+    Of ``rows`` (text, bit) only those that ``firsts`` lets pass stand for a node; copies of them have nothing to add.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((firsts, bits))
 
     def run(batches):
         of = _bands(share)
-        for batch in (whole.slice(low, BATCH_ROWS) for whole in batches for low in range(0, whole.num_rows, BATCH_ROWS)):
-            pa.default_memory_pool().release_unused()
-            keys, nodes, seen = [], [], set()
-            for _, ngrams in ngram_sets(batch.column(0), n):
-                name = digest(ngrams)
-                if len(ngrams) and name not in seen:
-                    seen.add(name)
-                    own = _keys(ngrams, of(len(ngrams)))
-                    keys.append(own if on is None else own[is_on(on.value, top_half(own))])
-                    nodes.append(np.full(len(keys[-1]), ids.get(name, name[1]), dtype=np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    return docs.select(text_col).mapInArrow(run, "key long, node long")
+        first, on = shared.value
+        for whole in batches:
+            whole = whole.filter(pa.array(is_on(first, whole.column(1).to_numpy())))
+            for batch in (whole.slice(low, BATCH_ROWS) for low in range(0, whole.num_rows, BATCH_ROWS)):
+                pa.default_memory_pool().release_unused()
+                keys, nodes, seen = [], [], set()
+                for _, ngrams in ngram_sets(batch.column(0), n):
+                    name = digest(ngrams)
+                    if len(ngrams) and name not in seen:
+                        seen.add(name)
+                        own = _keys(ngrams, of(len(ngrams)))
+                        keys.append(own if on is None else own[is_on(on, top_half(own))])
+                        nodes.append(np.full(len(keys[-1]), ids.get(name, name[1]), dtype=np.int64))
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return rows.mapInArrow(run, "key long, node long")
 
 
 def link_group(
@@ -236,14 +242,16 @@ def linked_rows(
         raise ValueError("share must be over 50 and at most 100 percent")
     known, nodes = describe(docs, n, id_col, text_col)
     nodes, ids = _ids(nodes)
+    rows, firsts = first_rows(docs, nodes, id_col, text_col)
     links = connect(
-        lambda bits: _keyed(docs, n, share, text_col, ids, bits),
+        lambda bits: _keyed(rows, firsts, n, share, ids, bits),
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
         share,
         lambda sets: link_group(sets, share),
         lambda sets, labels, halves: link_group(sets, share, halves, labels),
         group_ngrams,
+        by_low=True,
     )
     firsts = nodes.join(components(links), "node", "left")
     firsts = firsts.select("high", "low", "first", F.coalesce("component", "node").alias("component"))

@@ -88,12 +88,19 @@ def describe(
     return rows, materialise(nodes.withColumn("node", F.col("first.row")), "nodes")
 
 
+def first_rows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
+    """(text, bit) of all rows, and the filter of the bits of those that stand for a node, and of few others."""
+    bits = _filter_size(nodes.count())
+    place = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(bits)).alias("bit")
+    rows = docs.select(F.col(text_col), F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col)), F.lit(bits)).alias("bit"))
+    return rows, _bits_of(nodes.select(place), bits)
+
+
 def read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, n_ngrams, ngrams) of the ``wanted`` nodes, their n-grams as bytes, from texts read once more; written."""
     wanted = materialise(wanted, "wanted")
-    bits = _filter_size(wanted.count())
-    place = F.pmod(F.xxhash64("first.doc", "first.mark"), F.lit(bits)).alias("bit")
-    on = docs.sparkSession.sparkContext.broadcast(_bits_of(wanted.select(place), bits))
+    rows, bits = first_rows(docs, wanted, id_col, text_col)
+    on = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
@@ -105,8 +112,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                     [pa.array(high.copy()), pa.array(low.copy()), pa.array(list(sets.values()), pa.binary())], names=["high", "low", "ngrams"]
                 )
 
-    bit = F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col)), F.lit(bits))
-    read = docs.select(F.col(text_col), bit.alias("bit")).mapInArrow(run, "high long, low long, ngrams binary")
+    read = rows.mapInArrow(run, "high long, low long, ngrams binary")
     known = wanted.select("high", "low", "node", "n_ngrams")
     return materialise(read.join(known, ["high", "low"]).dropDuplicates(["node"]).select("node", "n_ngrams", "ngrams"), "read")
 
@@ -280,12 +286,19 @@ def shared_keys(keyed: DataFrame) -> np.ndarray:
 ROUNDS = (1, 2)
 
 
-def _shared(keyed: Callable[[np.ndarray | None], DataFrame]) -> DataFrame:
-    """(key, node, low) of the keys that several nodes have, with the least of these; written."""
+def _shared(keyed: Callable[[np.ndarray | None], DataFrame], by_low: bool = False) -> DataFrame:
+    """(key, node, low) of the keys that several nodes have, with the least of these; written.
+
+    ``by_low`` makes one key of all that have the same least node, and adds ``n``, how many a node has of them: far fewer rows
+    where nodes have many keys in common.
+    """
     some = materialise(keyed(shared_keys(keyed(None))), "keyed")
     shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
     shared = materialise(shared.select("key", "low"), "keys")
-    met = materialise(some.join(shared, "key"), "met")
+    met = some.join(shared, "key")
+    if by_low:
+        met = met.groupBy("node", "low").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.col("low"))
+    met = materialise(met, "met")
     drop_written(some, shared)
     return met
 
@@ -297,7 +310,8 @@ def _with_partners(
 
     Each node meets the partner that it shares most keys with, then the next one if they are not connected by then.
     """
-    pairs = met.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    count = F.sum("n") if "n" in met.columns else F.count(F.lit(1))
+    pairs = met.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(count.alias("n"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
     pairs = materialise(pairs.withColumn("rank", rank).where(F.col("rank") <= rounds), "pairs")
     joined = None if links is None else materialise(components(links), "joined")
@@ -355,6 +369,7 @@ def connect(
     first: Callable[[list[np.ndarray]], list[tuple[int, int]]],
     compare: Compare,
     group_ngrams: int = GROUP_NGRAMS,
+    by_low: bool = False,
 ) -> DataFrame:
     """Links (a, b) of nodes that connect all linked nodes of which any key of ``keyed`` (key, node) has both; written.
 
@@ -367,10 +382,12 @@ def connect(
     4. Nodes of the keys that are left then are clusters, connected by such keys only. ``compare`` finds the links of a cluster
        inside of a task, all with all except those connected already; a large cluster goes in pairs of blocks.
 
+    With ``by_low`` keys of the same least node are one, for sets that have many in common.
+
     ``nodes`` has (node, n_ngrams, …) and ``read`` gives (node, n_ngrams, ngrams) of some of its rows, written. Links leave a
     task as a spanning forest, so a group of near copies gives as many rows as it has members.
     """
-    met = _shared(keyed)
+    met = _shared(keyed, by_low)
     sets = read(nodes.join(met.select("node").distinct(), "node", "left_semi"))
     links, left = _with_partners(met, sets, first, None, ROUNDS[0])
     drop_written(met)
