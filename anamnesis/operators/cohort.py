@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from anamnesis import settings as S
 from anamnesis.functions.time import elapsed_minutes, whole_seconds
 from anamnesis.operators.skew import HotGroups, attach, explode_range, find_hot, running
+from anamnesis.sources.workspace import materialise
 
 SUBJECT = "subject_id"
 BLOCK_SAMPLES = 1024
@@ -293,11 +294,11 @@ def worker_lists(events: DataFrame, workers: int) -> DataFrame:
     A subject goes to the worker in whose share of all events its middle event lies, so a list differs from an equal
     share by no more than half of the subjects at its ends. All of a subject's events have one worker.
     """
-    counts = events.groupBy(SUBJECT).agg(F.count(F.lit(1)).alias("n_events"))
+    counts = materialise(events.groupBy(SUBJECT).agg(F.count(F.lit(1)).alias("n_events")), "counts")
     placed = running(counts, [], [SUBJECT], {"__before": ("sum", F.col("n_events"), False)})
-    total = counts.agg(F.sum("n_events").alias("__total"))
-    worker = F.floor((2 * F.col("__before") + F.col("n_events")) * workers / (2 * F.col("__total"))).cast("int")
-    return placed.join(F.broadcast(total)).select(SUBJECT, "n_events", worker.alias("worker"))
+    total = counts.agg(F.sum("n_events")).first()[0] or 1
+    worker = F.floor((2 * F.col("__before") + F.col("n_events")) * workers / F.lit(2 * total)).cast("int")
+    return placed.select(SUBJECT, "n_events", worker.alias("worker"))
 
 
 def latest_description(codes: DataFrame, order: Column) -> DataFrame:
