@@ -214,7 +214,7 @@ def _as_table(names: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(names[ends[:, 0]]), "b": pa.array(names[ends[:, 1]])})
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
     """Links (a, b) of nodes among those that meet one ``b`` in ``pairs`` (a, b).
 
     They are dealt to parts of about ``PART_NGRAMS``, each with a copy of the set of ``b`` in front, and parts to groups of
@@ -322,7 +322,7 @@ def _with_partners(
             asked = asked.join(ends[0], "a", "left").join(ends[1], "b", "left")
             asked = asked.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
         asked = materialise(asked, "asked")
-        found = materialise(_checked(asked, sets, first), "links")
+        found = materialise(checked(asked, sets, first), "links")
         drop_written(asked, *([] if joined is None else [joined]))
         links = found if links is None else links.union(found)
         joined = materialise(components(links), "joined")
