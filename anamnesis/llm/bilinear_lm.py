@@ -33,7 +33,7 @@ from anamnesis.llm.common import materialise, send_code
 MIN_OWN, MAX_OWN, ENDING_CLASSES = 39, 1 << 16, 256
 #: Words whose counts are broadcast at most.
 HEAD_WORDS = 1 << 18
-DIMENSIONS, ROUNDS, BATCH, NOISE, RATE = 24, 3, 16_384, 16, 0.1
+DIMENSIONS, ROUNDS, BATCH, NOISE, RATE = 24, 3, 32_768, 16, 0.1
 #: Tokens that a corpus is trained on at least, the same ones again if it has fewer.
 LEAST_DRAWS = 1_000_000
 #: Tasks that train at once at most, and weights that are averaged by one task.
@@ -298,7 +298,7 @@ def train(texts: DataFrame, own: np.ndarray, groups: Groups, tokens: int, text_c
                         token, start = kinds.of(words, words.hashes())
                         yield *kinds.context(token, start), token
 
-            own_batches = batches_of(streams(), BATCH if again == 1 else BATCH // 8)
+            own_batches = batches_of(streams(), BATCH if again == 1 else BATCH // 16)
             if again > 1:  # fewer than LEAST_DRAWS tokens in all
                 kept = list(own_batches)
                 own_batches = (b for _ in range(again) for b in kept)
