@@ -144,7 +144,7 @@ SELECT sample_id, round(sum(weight * (1 / (1 + exp(-repr[1])))), 6) AS pred FROM
 )
 def weighted_prediction(spark, sf_dir):
     weighed = R.retrieval_weights(top(spark, sf_dir), "sample_id")
-    each = weighed.withColumn("pred", H.sigmoid(F.col("repr")[0].cast("double")))
+    each = weighed.withColumn("pred", 1 / (1 + F.exp(-F.col("repr")[0].cast("double"))))
     return R.weighted_prediction(each, "sample_id").select("sample_id", round6("pred"))
 
 

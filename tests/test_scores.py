@@ -226,3 +226,16 @@ def test_time_features(spark):
 
 def test_token_cap_takes_the_memory_off():
     assert Q.token_cap(1) == 492 and Q.token_cap(7) == 3444
+
+
+def test_weighted_prediction_over_the_given_tables(spark):
+    """The query itself, whose retrieved events give a probability each."""
+    from anamnesis.plans import vectors as V
+
+    sf_dir = "/root/testdata/sf0.01"
+    weighed = R.retrieval_weights(V.top(spark, sf_dir), "sample_id").select("sample_id", "weight", "repr").collect()
+    wanted = {}
+    for row in weighed:
+        wanted[row.sample_id] = wanted.get(row.sample_id, 0.0) + row.weight / (1 + math.exp(-row.repr[0]))
+    found = {row.sample_id: row.pred for row in V.weighted_prediction(spark, sf_dir).collect()}
+    assert found and found == pytest.approx(wanted, abs=1e-6)
