@@ -8,6 +8,8 @@ one whose piece may follow the piece that ends where it starts. Two pieces may s
 merging best pairs first, as byte-pair models do, never joins across their border. So the path is
 that of the merges, without running them.
 
+Stretches that a worker has encoded before are not laid out again: their pieces are kept, up to a bounded size.
+
 Null gives null, an empty text no pieces. Characters without a piece become byte pieces. As in the
 format itself the character U+2581 stands for a space, so it comes back as one; every other text comes back
 exactly. The vocabulary is a file whose path is a parameter; it is read on the driver and
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.bytewords import Words, text_runs
+from anamnesis.llm.bytewords import U, Words, text_runs
 from anamnesis.llm.common import send_code
 
 SPACE = "▁"
 #: Bytes of text whose distinct stretches are indexed together.
 INDEX_BYTES = 1 << 19
+#: Stretches, and pieces of stretches, that a worker keeps; beyond, it begins anew.
+KEPT_STRETCHES, KEPT_PIECES = 1 << 19, 1 << 22
 #: Bytes that end a word: controls and space.
 INSIDE = np.arange(256) > 0x20
 
@@ -168,11 +172,39 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class _Stretches:
+    """Pieces of the stretches that were encoded before, by their hashes."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        """Which of some sorted, distinct hashes are not known. What is known is forgotten if it has grown too large."""
+        if len(self.keys) > KEPT_STRETCHES or len(self.ids) > KEPT_PIECES:
+            self.forget()
+        if not len(self.keys):
+            return np.ones(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] != keys
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, cuts[:-1] + len(self.ids))
+        self.size = np.insert(self.size, at, np.diff(cuts))
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class _Borders:
-    """Answers of ``may_follow`` that were asked before."""
+    """Answers of ``may_follow`` that were asked before, and stretches that were encoded before."""
 
     def __init__(self, words: Vocabulary) -> None:
         self.words = words
+        self.stretches = _Stretches()
         self.keys = np.zeros(0, dtype=np.int64)
         self.fine = np.zeros(0, dtype=bool)
 
@@ -185,9 +217,7 @@ class _Borders:
         if not known.all():
             new = key[~known]
             fine = self.words.may_follow(new // self.words.size, new % self.words.size)
-            keys = np.concatenate([self.keys, new])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.fine = keys[order], np.concatenate([self.fine, fine])[order]
+            self.keys, self.fine = np.insert(self.keys, at[~known], new), np.insert(self.fine, at[~known], fine)
             at = np.searchsorted(self.keys, key)
         return self.fine[at][back]
 
@@ -303,6 +333,17 @@ def _join_spaces(words: Vocabulary, ids: np.ndarray, offsets: np.ndarray):
     return np.concatenate(parts), np.append(0, np.cumsum(sizes))
 
 
+def _encode_new(words: Vocabulary, borders: _Borders, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Pieces of stretches given as ranges of bytes: (ids, offsets)."""
+    raw = data.tobytes()
+    text = b"".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+    # Code points before each stretch: bytes that do not continue a character.
+    lead_byte = (np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80
+    count = np.append(0, np.cumsum(lead_byte))
+    return _encode_stretches(words, borders, points, count[np.append(0, np.cumsum(ends - starts))])
+
+
 def encode_batch(words: Vocabulary, borders: _Borders, texts: pa.Array):
     """(first row, ids, offsets by row) of runs of texts whose spaces are plain and that start with one."""
     for first, data, offsets in text_runs(texts, INDEX_BYTES):
@@ -316,19 +357,16 @@ def encode_batch(words: Vocabulary, borders: _Borders, texts: pa.Array):
             continue
         starts = np.append(0, ends[:-1])
         hashes = found.slices(starts, ends)
-        _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, size = data.tobytes(), (ends - starts)[lead]
-        text = b"".join([raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)])
-        points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
-        # Code points before each stretch: bytes that do not continue a character.
-        lead_byte = (np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80
-        count = np.append(0, np.cumsum(lead_byte))
-        begins = count[np.append(0, np.cumsum(size))]
-        ids, cuts = _encode_stretches(words, borders, points, begins)
-        per = np.diff(cuts)
-        take = per[back]
+        keys, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known = borders.stretches
+        new = known.new(keys)
+        if new.any():
+            lead = lead[new]
+            known.add(keys[new], *_encode_new(words, borders, data, starts[lead], ends[lead]))
+        at = np.searchsorted(known.keys, keys)
+        take = known.size[at][back]
         before = np.cumsum(take) - take
-        flat = ids[np.arange(int(take.sum())) + np.repeat(cuts[:-1][back] - before, take)]
+        flat = known.ids[np.arange(int(take.sum())) + np.repeat(known.start[at][back] - before, take)]
         ending = np.searchsorted(ends, offsets, side="right")
         yield first, flat, np.append(0, np.cumsum(take))[ending]
 

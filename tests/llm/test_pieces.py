@@ -74,3 +74,22 @@ def test_empty_table(spark, table):
     assert encode_texts(table([]), PIECES).count() == 0
     words = vocabulary(PIECES)
     assert list(encode_batch(words, _Borders(words), pa.array([], pa.string()))) == []
+
+
+def test_stretches_are_laid_out_once(monkeypatch):
+    from anamnesis.llm import pieces
+
+    words = pieces.vocabulary(PIECES)
+    borders, seen = pieces._Borders(words), []
+    encode = pieces._encode_stretches
+    monkeypatch.setattr(pieces, "_encode_stretches", lambda w, b, points, first: seen.append(len(first) - 1) or encode(w, b, points, first))
+    monkeypatch.setattr(pieces, "KEPT_STRETCHES", 6)
+    batches = [[" a word and a word", None, ""], [" a word é", " and more"], [" b c d e f g"], [" a word and more"]]
+    for texts in batches:
+        found = list(pieces.encode_batch(words, borders, pa.array(texts, pa.string())))
+        alone = list(pieces.encode_batch(words, pieces._Borders(words), pa.array(texts, pa.string())))
+        seen.pop()
+        for (_, ids, cuts), (_, own, at) in zip(found, alone, strict=True):
+            assert ids.tolist() == own.tolist() and cuts.tolist() == at.tolist()
+    # Three stretches, two new ones, six new ones, and after these too many are kept, so all are new again.
+    assert seen == [3, 2, 6, 4]
