@@ -5,7 +5,7 @@
 2. Sets that link differ in at most ``d`` n-grams. Cut by hash value into d + 1 parts, two such
    sets agree in a whole part, and the hash of a part is the key by which they meet. ``d`` follows
    from the longest set of a band of lengths; a set takes the keys of its band and of the next.
-   A few parts more make up for empty ones, which would let unlike sets meet.
+   A few parts more make up for empty ones, which would let unlike sets meet. Or they meet by prefixes, see ``_prefix_keys``.
 3. The least node of a key is a partner of all others. Nodes meet the partners that they share most keys with, in parts of a
    bounded size. A key whose nodes are connected by the links found is done; only the nodes of the others go on to meet each
    other, in groups of a bounded size.
@@ -101,15 +101,45 @@ def _ids(nodes: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     return named, ids
 
 
-def _keyed(rows: DataFrame, firsts: np.ndarray, n: int, share: int, ids: dict[tuple[int, int], int], bits: np.ndarray | None) -> DataFrame:
-    """(key, node): the keys that pass the filter ``bits``, of every node, once for a batch of texts.
+def _part_keys(share: int) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+    """Of a set and a filter of what comes twice: the keys of its parts that pass."""
+    of = _bands(share)
+
+    def keys(ngrams: np.ndarray, on: np.ndarray | None) -> np.ndarray:
+        own = _keys(ngrams, of(len(ngrams)))
+        return own if on is None else own[is_on(on, top_half(own))]
+
+    return keys
+
+
+def _prefix_keys(share: int) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+    """Of a set: without a filter the even half of its n-grams, which are counted; with one its prefix but for those it has alone.
+
+    The order of n-grams is: counted ones that no other set has, odd ones, then the others, each by hash. It depends on
+    the n-gram only, so two sets that link have one in common among the first n - ceil(share n) + 1 of each. A set that is known
+    to have more than 1 - share to itself has no key.
+    """
+
+    def keys(ngrams: np.ndarray, on: np.ndarray | None) -> np.ndarray:
+        odd = (ngrams & U(1)).astype(bool)
+        if on is None:
+            return ngrams[~odd]
+        counted = ngrams[~odd]
+        twice = counted[is_on(on, top_half(counted))]
+        length = len(ngrams) - -(-share * len(ngrams) // 100) + 1 - (len(counted) - len(twice))
+        return np.concatenate([ngrams[odd], twice])[: max(length, 0)]
+
+    return keys
+
+
+def _keyed(rows: DataFrame, firsts: np.ndarray, n: int, make: Callable, ids: dict[tuple[int, int], int], bits: np.ndarray | None) -> DataFrame:
+    """(key, node): the keys that ``make`` gives with the filter ``bits``, of every node, once for a batch of texts.
 
     Of ``rows`` (text, bit) only those that ``firsts`` lets pass stand for a node; copies of them have nothing to add.
     """
     shared = rows.sparkSession.sparkContext.broadcast((firsts, bits))
 
     def run(batches):
-        of = _bands(share)
         first, on = shared.value
         for whole in batches:
             whole = whole.filter(pa.array(is_on(first, whole.column(1).to_numpy())))
@@ -120,8 +150,7 @@ def _keyed(rows: DataFrame, firsts: np.ndarray, n: int, share: int, ids: dict[tu
                     name = digest(ngrams)
                     if len(ngrams) and name not in seen:
                         seen.add(name)
-                        own = _keys(ngrams, of(len(ngrams)))
-                        keys.append(own if on is None else own[is_on(on, top_half(own))])
+                        keys.append(make(ngrams, on))
                         nodes.append(np.full(len(keys[-1]), ids.get(name, name[1]), dtype=np.int64))
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
@@ -232,19 +261,22 @@ def linked_rows(
     id_col: str = "doc_id",
     text_col: str = "text",
     group_ngrams: int = GROUP_NGRAMS,
+    by_prefix: bool = False,
 ) -> DataFrame:
     """(doc, mark, n_ngrams, first) for every row; mark is a hash of its text, which tells rows of one id apart.
 
     first is (without, doc, mark) of the least row that links lead to, rows without an id last; it is null where
-    the set is empty.
+    the set is empty. Sets meet by parts, or ``by_prefix``: both give the same links, prefixes need fewer sets to be read where
+    most sets have many n-grams to themselves.
     """
     if not 50 < share <= 100:
         raise ValueError("share must be over 50 and at most 100 percent")
     known, nodes = describe(docs, n, id_col, text_col)
     nodes, ids = _ids(nodes)
     rows, firsts = first_rows(docs, nodes, id_col, text_col)
+    make = _prefix_keys(share) if by_prefix else _part_keys(share)
     links = connect(
-        lambda bits: _keyed(rows, firsts, n, share, ids, bits),
+        lambda bits: _keyed(rows, firsts, n, make, ids, bits),
         nodes,
         lambda wanted: read_sets(docs, wanted, n, id_col, text_col),
         share,

@@ -361,6 +361,18 @@ def _prefixes(sets: DataFrame, share: int, bits: np.ndarray | None) -> DataFrame
     return sets.select("node", "ngrams").mapInArrow(run, "key long, node long")
 
 
+def _members(left: DataFrame, clusters: DataFrame, sets: DataFrame, group_ngrams: int) -> DataFrame:
+    """(node, cluster, component, n_ngrams): a cluster as it is, or by the least nodes of its keys if it is too large for a group.
+
+    Nodes that have a key in common have its least node in common, so they still meet, and a chain of keys no longer makes
+    all nodes along it meet each other.
+    """
+    placed = left.join(clusters, "node").join(sets.select("node", "n_ngrams"), "node")
+    weight = placed.select("node", "cluster", "n_ngrams").distinct().groupBy("cluster").agg(F.sum("n_ngrams").alias("__weight"))
+    cluster = F.when(F.col("__weight") <= group_ngrams, F.col("cluster")).otherwise(F.col("low"))
+    return placed.join(weight, "cluster").withColumn("cluster", cluster).select("node", "cluster", "component", "n_ngrams").distinct()
+
+
 def connect(
     keyed: Callable[[np.ndarray | None], DataFrame],
     nodes: DataFrame,
@@ -380,7 +392,8 @@ def connect(
     3. Nodes of the keys that are left get new keys, the n-grams of their prefixes in an order that begins with those that
        one of them has alone, and step 2 is done again with these. Nodes that have much of their own drop out here.
     4. Nodes of the keys that are left then are clusters, connected by such keys only. ``compare`` finds the links of a cluster
-       inside of a task, all with all except those connected already; a large cluster goes in pairs of blocks.
+       inside of a task, all with all except those connected already; a large cluster is parted by the least nodes of its
+       keys, and what is still large goes in pairs of blocks.
 
     With ``by_low`` keys of the same least node are one, for sets that have many in common.
 
@@ -400,8 +413,7 @@ def connect(
 
     clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
     clusters = clusters.withColumnRenamed("component", "cluster")
-    members = clusters.join(left.select("node", "component").distinct(), "node").join(rest.select("node", "n_ngrams"), "node")
-    members = materialise(members, "members")
+    members = materialise(_members(left, clusters, rest, group_ngrams), "members")
     placed = in_groups(members, group_ngrams).join(rest.select("node", "ngrams"), "node")
 
     def link(key, table):

@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejected documents go: the base rules and the list learned from the labels of these documents."""
     names = docs.columns
     labels = load(spark, sf_dir, "labels")
-    # Only labelled rows are learned from; their counts are written without their texts.
-    labelled = count_text(docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi"), out="_counts")
-    rules = learn(materialise(labelled.select("doc_id", "_counts"), "counted"), labels, out="_counts")
+    # Only labelled rows are learned from; texts are counted where they are read, so that no join deals them out.
+    every = count_text(docs.select("doc_id", "text"), out="_counts").select("doc_id", "_counts")
+    labelled = materialise(every, "counted").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rules = learn(materialise(labelled, "labelled"), labels, out="_counts")
     # The row number, which no filter passes, keeps this one above the counts: below, it would count again for each condition.
     counted = count_text(docs, out="_counts").withColumn("_row", F.monotonically_increasing_id())
     return counted.where(kept(rules, F.col("_counts")) & (F.col("_row") >= 0)).select(*names)
@@ -38,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text, so other texts under the id of a copy stay.
     """
-    found = linked_rows(docs, n=5, share=80)
+    found = linked_rows(docs, n=5, share=80, by_prefix=True)
     named = found.where("doc is not null")
     others = named.where("doc <> first.doc or mark <> first.mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
     repeated = named.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from anamnesis.llm.bytewords import U
-from anamnesis.llm.jaccard_join import jaccard_components, link_group
+from anamnesis.llm.jaccard_join import _part_keys, _prefix_keys, jaccard_components, link_group, linked_rows
+from anamnesis.llm.shingles import top_half
 
 
 def brute(texts, n, share):
@@ -83,3 +84,42 @@ def test_rows_that_share_an_id_keep_their_links(spark, table):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table([]).schema)
     found = {(r["doc"], r["n_ngrams"], r["component"]) for r in jaccard_components(docs).collect()}
     assert found == {(1, 36, 1), (1, 0, 1), (2, 37, 1), (3, 37, 1), (None, 36, 4), (None, 37, 4), (4, 37, 4)}
+
+
+@pytest.mark.parametrize(("n", "share", "group"), [(3, 87, 300), (5, 80, 600), (5, 80, 4_000_000)])
+def test_same_by_prefixes(spark, table, n, share, group):
+    texts = corpus(n * share + 1)
+    found = linked_rows(table(texts), n, share, group_ngrams=group, by_prefix=True)
+    found = found.selectExpr("doc", "n_ngrams", "coalesce(first.doc, doc)").collect()
+    assert sorted(tuple(r) for r in found) == brute(texts, n, share)
+
+
+def test_sets_with_much_of_their_own_have_no_prefix_key():
+    rng = np.random.default_rng(5)
+    common, copied = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (300, 600))
+    unlike = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 300, dtype=np.uint64)])) for _ in range(50)]
+    copies = [np.unique(copied), np.unique(np.append(copied[60:], rng.integers(0, 1 << 63, 40, dtype=np.uint64)))]
+    make = _prefix_keys(80)
+    halves, times = np.unique(np.concatenate([top_half(make(s, None)) for s in unlike + copies]), return_counts=True)
+    places = halves[times > 1].view(np.int64) & ((1 << 16) - 1)
+    on = np.zeros(1 << 10, dtype=U)
+    np.bitwise_or.at(on, places >> 6, U(1) << (places & 63).astype(U))
+    assert [len(make(s, on)) for s in unlike] == [0] * 50
+    assert len(np.intersect1d(make(copies[0], on), make(copies[1], on)))
+    parts = np.unique(np.concatenate([_part_keys(80)(s, None) for s in unlike]), return_counts=True)[1]
+    assert (parts > 1).any()  # by parts some of them meet
+
+
+def test_a_chain_of_keys_does_not_make_all_meet(spark):
+    from anamnesis.llm.shingles import _members, in_groups
+
+    left = spark.createDataFrame([(k + d, k, k + d) for k in range(99) for d in (0, 1)], "node long, low long, component long")
+    clusters = spark.createDataFrame([(k, 0) for k in range(100)], "node long, cluster long")
+    sets = spark.createDataFrame([(k, 10) for k in range(100)], "node long, n_ngrams long")
+    placed = in_groups(_members(left, clusters, sets, 100), 100).collect()
+    assert len(placed) == 198  # all pairs of blocks were 2,000 rows
+    groups = {}
+    for r in placed:
+        groups.setdefault((r.cluster, r.one, r.two), set()).add(r.node)
+    assert all(any({k, k + 1} <= g for g in groups.values()) for k in range(99))
+    assert {r.cluster for r in _members(left, clusters, sets, 1000).collect()} == {0}
