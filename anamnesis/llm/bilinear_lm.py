@@ -36,10 +36,12 @@ HEAD_WORDS = 1 << 18
 DIMENSIONS, ROUNDS, BATCH, NOISE, RATE = 24, 3, 32_768, 16, 0.1
 #: Tokens that a corpus is trained on at least, the same ones again if it has fewer.
 LEAST_DRAWS = 1_000_000
-#: Tasks that train at once at most, and weights that are averaged by one task.
-TRAINERS, FAN_IN = 256, 8
-#: Tokens whose probabilities are made at once.
-SCORED = 32_768
+#: Tasks that train at once at most, tokens that each of them has in a round at least, and weights that are averaged by one task.
+TRAINERS, TRAINED, FAN_IN = 256, 2_000_000, 8
+#: How moves of weights are sent: steps are of the order of ``RATE``, so they keep three digits and stay far below the largest number.
+MOVED = np.float16
+#: Tokens whose probabilities are made at once, and those whose groups are.
+SCORED, SCORED_GROUPS = 32_768, 2048
 
 
 def _endings(words: Words) -> np.ndarray:
@@ -127,8 +129,10 @@ class _Classes:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis=1, keepdims=True)) + top)[:, 0]
+    """By row; ``x`` is used up."""
+    top = x.max(axis=1)
+    x -= top[:, None]
+    return np.log(np.exp(x, out=x).sum(axis=1)) + top
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -188,12 +192,19 @@ class Weights:
             order, cuts = _by_group(groups.group[token[own]])
             hidden = self.before[0, two[own][order]] + self.before[1, one[own][order]]
             group, place = groups.group[token[own][order]], groups.place[token[own][order]]
-            logits = hidden @ self.groups.T + self.group_bias
-            found = logits[np.arange(len(group)), group] - _log_sum(logits)
+            found = np.empty(len(order), dtype=np.float32)
+            for first in range(0, len(order), SCORED_GROUPS):
+                part = slice(first, first + SCORED_GROUPS)
+                logits = hidden[part] @ self.groups.T
+                logits += self.group_bias
+                of_group = logits[np.arange(len(logits)), group[part]]
+                found[part] = of_group - _log_sum(logits)
             for first, end in zip(cuts[:-1], cuts[1:], strict=True):
                 g = group[first]
-                inner = hidden[first:end] @ self.classes[g].T + np.where(empty[g], np.float32(-1e30), self.class_bias[g])
-                found[first:end] += inner[np.arange(end - first), place[first:end]] - _log_sum(inner)
+                inner = hidden[first:end] @ self.classes[g].T
+                inner += np.where(empty[g], np.float32(-1e30), self.class_bias[g])
+                of_class = inner[np.arange(end - first), place[first:end]]
+                found[first:end] += of_class - _log_sum(inner)
             # Back to the order of the tokens.
             back = np.empty(len(order))
             back[order] = found
@@ -307,18 +318,21 @@ def train(texts: DataFrame, own: np.ndarray, groups: Groups, tokens: int, text_c
                     trainer = Trainer(Weights(classes, grouped, flat), classes, grouped, len(token) + int(token[0]))
                 trainer.step(two, one, token)
             if trainer is not None:
-                yield _weighed(trainer.w.flat.astype(np.float64) * trainer.draws, trainer.draws)
+                yield _weighed(trainer.w.flat - flat, trainer.draws)
 
         return run
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(s.as_buffer()) for s in table.column("flat")], axis=0)
-        return pa.Table.from_batches([_weighed(total, sum(table.column("draws").to_pylist()))])
+        draws = np.array(table.column("draws").to_pylist(), dtype=np.float64)
+        moved = np.zeros(len(weights.flat))
+        for one, share in zip(table.column("flat"), draws / draws.sum(), strict=True):
+            moved += np.frombuffer(one.as_buffer(), dtype=MOVED) * share
+        return pa.Table.from_batches([_weighed(moved, int(draws.sum()))])
 
     for number in range(ROUNDS):
         share = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == number
         rows = texts.where(share).select(text_col)
-        parts = max(1, min(rows.rdd.getNumPartitions(), TRAINERS))
+        parts = max(1, min(rows.rdd.getNumPartitions(), TRAINERS, -(-tokens // (ROUNDS * TRAINED))))
         learned = rows.coalesce(parts).mapInArrow(learn(weights), "flat binary, draws long")
         while parts > FAN_IN:
             parts = -(-parts // FAN_IN)
@@ -326,13 +340,15 @@ def train(texts: DataFrame, own: np.ndarray, groups: Groups, tokens: int, text_c
             learned = numbered.groupBy("group").applyInArrow(add, "flat binary, draws long")
         sums = learned.toArrow()
         if sums.num_rows:
-            flat = np.frombuffer(add(sums).column("flat")[0].as_buffer()) / sum(sums.column("draws").to_pylist())
-            weights = Weights(classes, groups, flat.astype(np.float32))
+            moved = np.frombuffer(add(sums).column("flat")[0].as_buffer(), dtype=MOVED)
+            weights = Weights(classes, groups, weights.flat + moved.astype(np.float32))
     return weights
 
 
-def _weighed(flat: np.ndarray, draws: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([flat.tobytes()], pa.binary()), pa.array([draws], pa.int64())], names=["flat", "draws"])
+def _weighed(moved: np.ndarray, draws: int) -> pa.RecordBatch:
+    """How far a task, or several on average, moved the weights that it was given, and over how many draws."""
+    flat = moved.astype(MOVED).tobytes()
+    return pa.record_batch([pa.array([flat], pa.binary()), pa.array([draws], pa.int64())], names=["flat", "draws"])
 
 
 class Model:

@@ -124,3 +124,20 @@ def test_empty_tables(spark, table):
     assert [(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"]) for x in r] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     clash = table(["a b", "c"]).selectExpr("*", "1 as row", "2 as word", "3 as rare", "4 as key", "5 as n")
     assert L.score_texts(clash, F.lit(True)).count() == 2
+
+
+def test_moves_of_weights_are_sent_small(spark, monkeypatch):
+    from anamnesis.llm import bilinear_lm as B
+
+    sent = []
+    weighed = B._weighed
+    monkeypatch.setattr(B, "_weighed", lambda moved, draws: sent.append((len(moved), weighed(moved, draws))) or sent[-1][1])
+    texts = spark.createDataFrame([(f"a b c{i % 7} d",) for i in range(400)], "text string").repartition(9)
+    own = np.zeros(0, dtype=np.uint64)
+    groups = B.Groups.of(np.ones(1 + B.ENDING_CLASSES))
+    seen = []
+    monkeypatch.setattr(type(texts), "coalesce", lambda self, n, f=type(texts).coalesce: seen.append(n) or f(self, n))
+    start, end = B.Weights(len(groups.group), groups), B.train(texts, own, groups, 2000)
+    assert seen == [1] * B.ROUNDS  # so few tokens are one task's, nine tasks had them before
+    assert sent and all(row.column("flat")[0].as_buffer().size == 2 * n for n, row in sent)  # eight bytes before
+    assert 0.1 < np.abs(end.flat - start.flat).max() < 100
