@@ -99,6 +99,8 @@ def first_rows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
 def read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, n_ngrams, ngrams) of the ``wanted`` nodes, their n-grams as bytes, from texts read once more; written."""
     wanted = materialise(wanted, "wanted")
+    known = wanted.select("high", "low", "node", "n_ngrams")
+    known = F.broadcast(known) if wanted.count() <= BROADCAST_ROWS // 2 else known
     rows, bits = first_rows(docs, wanted, id_col, text_col)
     on = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -113,7 +115,6 @@ def read_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 )
 
     read = rows.mapInArrow(run, "high long, low long, ngrams binary")
-    known = wanted.select("high", "low", "node", "n_ngrams")
     return materialise(read.join(known, ["high", "low"]).dropDuplicates(["node"]).select("node", "n_ngrams", "ngrams"), "read")
 
 
@@ -221,10 +222,11 @@ def checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]
     about ``GROUP_NGRAMS``, so that no group grows with the data. Only a ``b`` of several parts has to be looked up by the
     pairs; these are broadcast if there are few, so that the pairs of one ``b`` never meet in a task.
     """
-    weight = pairs.join(sets.select(F.col("node").alias("a"), "n_ngrams"), "a").groupBy("b").agg(F.sum("n_ngrams").alias("weight"))
+    weight = pairs.join(sets.select(F.col("node").alias("a"), "n_ngrams"), "a").groupBy("b")
+    weight = weight.agg(F.sum("n_ngrams").alias("weight"), F.count(F.lit(1)).alias("n"))
     weight = materialise(weight.withColumn("parts", F.ceil(F.col("weight") / PART_NGRAMS).cast("int")), "weight")
     several = weight.where("parts > 1").select("b", F.col("parts").alias("__parts"))
-    total, split = weight.agg(F.sum("weight"), F.count_if(F.col("parts") > 1)).first()
+    total, split, rows = weight.agg(F.sum("weight"), F.count_if(F.col("parts") > 1), F.sum(F.col("n") + F.col("parts"))).first()
     total = total or 0
     cut = pairs.join(F.broadcast(several) if split <= BROADCAST_ROWS else several, "b", "left")
     part = F.pmod(F.xxhash64("a"), F.coalesce("__parts", F.lit(1))).cast("int").alias("part")
@@ -232,7 +234,8 @@ def checked(pairs: DataFrame, sets: DataFrame, first: Callable[[list[np.ndarray]
     parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     members = members.union(weight.select(F.col("b").alias("low"), parts, F.col("b").alias("node")))
     group = F.pmod(F.xxhash64("low", "part"), F.lit(1 + 2 * total // GROUP_NGRAMS)).alias("group")
-    placed = members.withColumn("group", group).join(sets.select("node", "ngrams"), "node")
+    members = members.withColumn("group", group)
+    placed = sets.select("node", "ngrams").join(F.broadcast(members) if (rows or 0) <= BROADCAST_ROWS // 2 else members, "node")
 
     def run(table):
         pa.default_memory_pool().release_unused()
@@ -271,28 +274,39 @@ def top_half(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64) >> 32
 
 
-def shared_keys(keyed: DataFrame) -> np.ndarray:
-    """Filter of the top halves of keys that more than one row has: what a key must pass to join any two nodes."""
+#: A level of how common an n-gram is ends where it has so many rows; what more rows have is one level. Half of the keys of a level
+#: or more don't reach the next one, so the filters of all levels together are bounded like the first.
+LEVELS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
+
+
+def shared_keys(keyed: DataFrame, levels: tuple[int, ...] = LEVELS[:1]) -> list[np.ndarray]:
+    """For each of ``levels`` the filter of the top halves of keys that more rows have; the first is what a key must pass to join any two nodes."""
     half = keyed.select(F.shiftright("key", 32).cast("int").alias("half"))
-    twice = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("half").cast("long").alias("half"))
-    twice = materialise(twice, "twice")
-    size = _filter_size(twice.count())
-    bits = _bits_of(twice.select(F.pmod("half", F.lit(size)).alias("bit")), size)
+    twice = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > levels[0])
+    twice = materialise(twice.select(F.col("half").cast("long").alias("half"), "n"), "twice")
+    counts = twice.agg(*[F.count_if(F.col("n") > n) for n in levels]).first()
+    found = []
+    for n, count in zip(levels, counts, strict=True):
+        if found and not count:
+            break
+        size = _filter_size(count)
+        found.append(_bits_of(twice.where(F.col("n") > n).select(F.pmod("half", F.lit(size)).alias("bit")), size))
     drop_written(twice)
-    return bits
+    return found
 
 
 #: Partners that a node is compared with one by one, by keys of the whole corpus and by those of the nodes that are left.
 ROUNDS = (1, 2)
 
 
-def _shared(keyed: Callable[[np.ndarray | None], DataFrame], by_low: bool = False) -> DataFrame:
+def _shared(keyed: Callable, by_low: bool = False, levels: tuple[int, ...] | None = None) -> DataFrame:
     """(key, node, low) of the keys that several nodes have, with the least of these; written.
 
-    ``by_low`` makes one key of all that have the same least node, and adds ``n``, how many a node has of them: far fewer rows
-    where nodes have many keys in common.
+    ``keyed`` is given nothing, then the filter of ``shared_keys``, or those of all ``levels``. ``by_low`` makes one key of all that
+    have the same least node, and adds ``n``, how many a node has of them: far fewer rows where nodes have many keys in common.
     """
-    some = materialise(keyed(shared_keys(keyed(None))), "keyed")
+    found = shared_keys(keyed(None)) if levels is None else shared_keys(keyed(None), levels)
+    some = materialise(keyed(found[0] if levels is None else found), "keyed")
     shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
     shared = materialise(shared.select("key", "low"), "keys")
     met = some.join(shared, "key")
@@ -333,27 +347,33 @@ def _with_partners(
     return links, left
 
 
-def _prefixes(sets: DataFrame, share: int, bits: np.ndarray | None) -> DataFrame:
-    """(key, node): without a filter all n-grams of the sets, with one those of their prefixes that others may have.
+def _prefix(ngrams: np.ndarray, share: int, filters: list[np.ndarray]) -> np.ndarray:
+    """What others may have of the first n - ceil(share n) + 1 n-grams, in order by how many of ``filters`` they pass, then by hash."""
+    level = np.zeros(len(ngrams), dtype=np.int8)
+    at = np.arange(len(ngrams))
+    for bits in filters:
+        at = at[is_on(bits, top_half(ngrams[at]))]
+        level[at] += 1
+    own = np.count_nonzero(level == 0)
+    length = len(ngrams) - -(-share * len(ngrams) // 100) + 1
+    return ngrams[np.argsort(level, kind="stable")[own : max(length, own)]]
+
+
+def _prefixes(sets: DataFrame, share: int, filters: list[np.ndarray] | None) -> DataFrame:
+    """(key, node): without filters all n-grams of the sets, with them those of their prefixes that others may have.
 
-    N-grams are in order by whether they pass the filter of those that come twice, then by hash. Two sets that link have an
-    n-gram in common among the first n - ceil(share n) + 1 of each; one that is in a single set joins none, so a set of which
+    N-grams are in order of rarity, by levels, then by hash; the first level are those that one set has alone. Two sets that link
+    have an n-gram in common among the first n - ceil(share n) + 1 of each; one that is in a single set joins none, so a set of which
     more than 1 - share is its own has no key at all.
     """
-    on = None if bits is None else sets.sparkSession.sparkContext.broadcast(bits)
+    on = None if filters is None else sets.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, READ_ROWS):
                 piece = batch.slice(low, READ_ROWS)
-                keys = []
-                for one in piece.column(1):
-                    own = np.frombuffer(one.as_buffer(), dtype=U)
-                    if on is not None:
-                        passed = own[is_on(on.value, top_half(own))]
-                        length = len(own) - -(-share * len(own) // 100) + 1
-                        own = passed[: max(length - (len(own) - len(passed)), 0)]
-                    keys.append(own)
+                keys = [np.frombuffer(one.as_buffer(), dtype=U) for one in piece.column(1)]
+                keys = keys if on is None else [_prefix(k, share, on.value) for k in keys]
                 nodes = np.repeat(piece.column(0).to_numpy(), [len(k) for k in keys])
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=U)
                 yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(nodes)], names=["key", "node"])
@@ -389,8 +409,8 @@ def connect(
        called without a filter, then with it, and leaves out the keys that are not ``is_on`` by their ``top_half``.
     2. All nodes of a key have its least node as a partner, and meet the partners that they share most keys with. ``first``
        gives the links among those that meet one node. Keys whose nodes are connected by these links are done.
-    3. Nodes of the keys that are left get new keys, the n-grams of their prefixes in an order that begins with those that
-       one of them has alone, and step 2 is done again with these. Nodes that have much of their own drop out here.
+    3. Nodes of the keys that are left get new keys, the n-grams of their prefixes in order of rarity, and step 2 is done again
+       with these. Nodes that have much of their own drop out here.
     4. Nodes of the keys that are left then are clusters, connected by such keys only. ``compare`` finds the links of a cluster
        inside of a task, all with all except those connected already; a large cluster is parted by the least nodes of its
        keys, and what is still large goes in pairs of blocks.
@@ -405,16 +425,20 @@ def connect(
     links, left = _with_partners(met, sets, first, None, ROUNDS[0])
     drop_written(met)
 
-    rest = materialise(sets.join(left.select("node").distinct(), "node", "left_semi"), "rest")
-    drop_written(sets, left)
-    met = _shared(lambda bits: _prefixes(rest, share, bits))
+    some = materialise(left.select("node").distinct(), "some")
+    rest = sets.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "node", "left_semi")
+    rest = materialise(rest, "rest")
+    drop_written(sets, left, some)
+    met = _shared(lambda filters: _prefixes(rest, share, filters), levels=LEVELS)
     links, left = _with_partners(met, rest, first, links, ROUNDS[1])
     drop_written(met)
 
     clusters = components(left.select(F.col("node").alias("a"), F.col("low").alias("b")))
     clusters = clusters.withColumnRenamed("component", "cluster")
     members = materialise(_members(left, clusters, rest, group_ngrams), "members")
-    placed = in_groups(members, group_ngrams).join(rest.select("node", "ngrams"), "node")
+    places = materialise(in_groups(members, group_ngrams).drop("n_ngrams"), "places")
+    few = places.count() <= BROADCAST_ROWS // 2
+    placed = rest.select("node", "ngrams").join(F.broadcast(places) if few else places, "node")
 
     def link(key, table):
         pa.default_memory_pool().release_unused()
@@ -424,5 +448,5 @@ def connect(
 
     more = placed.select("cluster", "one", "two", "node", "block", "component", "ngrams")
     more = materialise(more.groupBy("cluster", "one", "two").applyInArrow(link, "a long, b long"), "links")
-    drop_written(rest, left, members)
+    drop_written(rest, left, members, places)
     return links.union(more)

@@ -34,11 +34,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it ends. Else they stay until the driver collects its garbage,
+#: so a job of many steps has those of all steps on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once and read it back, which fixes its rows and cuts its lineage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once and read it back, which fixes its rows and cuts its lineage; its shuffle files go with the write."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    written = spark.read.schema(df.schema).parquet(path)
     written._anamnesis_path = path
     return written
 

@@ -123,3 +123,18 @@ def test_a_chain_of_keys_does_not_make_all_meet(spark):
         groups.setdefault((r.cluster, r.one, r.two), set()).add(r.node)
     assert all(any({k, k + 1} <= g for g in groups.values()) for k in range(99))
     assert {r.cluster for r in _members(left, clusters, sets, 1000).collect()} == {0}
+
+
+def test_rare_ngrams_come_first_in_a_prefix(spark):
+    """Sets that have much in common with all others, and less with one, meet by what they have in common with that one."""
+    from anamnesis.llm.shingles import LEVELS, _prefixes, _shared
+
+    rng = np.random.default_rng(6)
+    draw = lambda low, k: rng.integers(low << 40, (low + 1) << 40, k, dtype=np.uint64) << U(20)
+    common, rows = draw(1, 60), []
+    for pair in range(40):
+        both = draw(1000 + pair, 40)
+        rows += [(2 * pair + i, bytearray(np.unique(np.concatenate([common, both, draw(2000 + 2 * pair + i, 3)])).tobytes())) for i in (0, 1)]
+    sets = spark.createDataFrame(rows, "node long, ngrams binary")
+    met = _shared(lambda filters: _prefixes(sets, 90, filters), levels=LEVELS).collect()
+    assert {(r.node, r.low) for r in met} == {(n, n - n % 2) for n in range(80)}  # by hash all 80 had the least node in common

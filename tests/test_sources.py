@@ -123,3 +123,23 @@ def test_a_query_name_can_be_used_once():
     registry.register("q")(lambda spark, sf_dir: None)
     with pytest.raises(ValueError):
         registry.register("q")(lambda spark, sf_dir: None)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    import time
+
+    from anamnesis.sources.workspace import CLEANUP, materialise
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    table = materialise(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    assert sorted(table.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
