@@ -94,3 +94,47 @@ def test_edges(spark):
     assert M.history_topk_timed(events, samples.limit(0), layers, 2, worth=0).count() == 0
     assert M.history_topk_timed(events.limit(0), samples.limit(0), layers, 2).count() == 0
     assert M.history_topk_timed(events, samples, layers, 2, cutoff=1.0, worth=0).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "sizes", "norm"), [(1, [4, 1], True), (2, [8, 5, 1], True), (4, [6, 3, 1], False)])
+def test_scores_lie_in_their_ranges(seed, sizes, norm):
+    rng = np.random.default_rng(seed)
+    layers, edges = network(seed, 3, sizes, norm), M.span_edges(5000, 20)
+    x = rng.normal(size=(40, 3)) * [1, 5, 0.1]
+    least, most = M.score_ranges(layers, x, edges)
+    t0 = rng.uniform(0, 4000, 40)
+    t1 = t0 + rng.choice([0, 10, 900], 40)
+    own = M.own_ranges(layers, x, t0, t1, edges)
+    for part in np.linspace(0, 1, 40):
+        for g in range(20):
+            scores = forward(layers, np.concatenate([x, np.full((40, 1), edges[g] + part * (edges[g + 1] - edges[g]))], axis=1))
+            assert (least[:, g] <= scores).all() and (scores <= most[:, g]).all()
+        scores = forward(layers, np.concatenate([x, (t0 + part * (t1 - t0))[:, None]], axis=1))
+        assert (own[0] <= scores).all() and (scores <= own[1]).all()
+    assert (own[1] - own[0])[t0 == t1].max() < 1e-9
+
+
+def test_spans_of_times(spark):
+    edges = M.span_edges(5000, 20)
+    times = [-3.0, 0.0, 0.5, 1.0, 2.0, 77.0, 4999.0, 5001.0, *edges[1:-1].tolist()]
+    found = spark.createDataFrame([(t,) for t in times], "t double").select("t", *[M._span_of(F.col("t"), edges, b) for b in (False, True)]).collect()
+    for t, first, last in found:
+        there = [g for g in range(20) if edges[g] <= max(t, 0) <= edges[g + 1]]
+        assert 0 <= first <= there[0] and there[-1] <= last <= 19 and last - first <= 2
+
+
+def test_old_events_are_told_apart(spark, monkeypatch):
+    """Scores that all come close to one another with age: bounds must be closer still, or every pair is scored."""
+    from anamnesis.plans.vectors import timed_layers
+
+    monkeypatch.setattr(M, "CHUNK_EVENTS", 16)
+    monkeypatch.setattr(M, "BLOCK_SAMPLES", 4)
+    rng = np.random.default_rng(3)
+    rows = [(1, i, 700 * i, [float(rng.exponential(0.5)), i % 7 / 7]) for i in range(4000)]
+    events = spark.createDataFrame(rows, "subject_id long, event_idx long, time_min long, repr array<double>").cache()
+    samples = spark.createDataFrame([(1, j, f"1_{j}", 25 * j + 25) for j in range(160)], "subject_id long, sample_no long, sample_id string, n_events long")
+    dated = samples.withColumn("__end", 700 * (F.col("n_events") - 1)).cache()
+    pairs = []
+    found = M.bounded_topk(events, dated, timed_layers(), 5, 0.3, "repr", pairs=pairs)
+    assert rows_of(found) == rows_of(M.all_pairs_topk(events, dated, timed_layers(), 5, 0.3, "repr"))
+    assert sum(pairs) < 160 * 4000 / 2 / 20
